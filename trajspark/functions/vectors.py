@@ -7,6 +7,11 @@ from pyspark.sql import Column, functions as F
 TINY = 1e-12
 
 
+def let(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, instead of wherever the expression mentions it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
@@ -29,7 +34,7 @@ def minus(a: Column, b: Column) -> Column:
 
 def rms(v: Column) -> Column:
     """Root of the mean square."""
-    return F.sqrt(dot(v, v) / F.size(v))
+    return let(v, lambda x: F.sqrt(dot(x, x) / F.size(x)))
 
 
 def select_dims(v: Column, dims: list[int]) -> Column:
@@ -37,8 +42,7 @@ def select_dims(v: Column, dims: list[int]) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    size = F.greatest(norm(v), F.lit(TINY))
-    return F.transform(v, lambda x: x / size)
+    return let(F.greatest(norm(v), F.lit(TINY)), lambda size: F.transform(v, lambda x: x / size))
 
 
 def is_finite(x: Column) -> Column:
@@ -68,9 +72,9 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 def cosine_similarity(a: Column, b: Column) -> Column:
     """Two zero vectors count as identical."""
-    na, nb = norm(a), norm(b)
-    both_zero = (na <= TINY) & (nb <= TINY)
-    return F.when(both_zero, F.lit(1.0)).otherwise(dot(a, b) / F.greatest(na * nb, F.lit(TINY)))
+    norms = F.struct(norm(a).alias("a"), norm(b).alias("b"))
+    return let(norms, lambda s: F.when((s["a"] <= TINY) & (s["b"] <= TINY), F.lit(1.0)).otherwise(
+        dot(a, b) / F.greatest(s["a"] * s["b"], F.lit(TINY))))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -78,13 +82,12 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def standardize(v: Column, mu: Column, sigma: Column, floor: float = 1e-6) -> Column:
-    scaled = F.transform(sigma, lambda s: F.greatest(s, F.lit(floor)))
-    return F.zip_with(minus(v, mu), scaled, lambda x, s: x / s)
+    return F.zip_with(minus(v, mu), sigma, lambda x, s: x / F.greatest(s, F.lit(floor)))
 
 
 def layer_norm(v: Column, eps: float = 1e-5) -> Column:
-    centred = F.transform(v, lambda x: x - mean(v))
-    return F.transform(centred, lambda x: x / F.sqrt(dot(centred, centred) / F.size(v) + eps))
+    centred = let(mean(v), lambda m: F.transform(v, lambda x: x - m))
+    return let(centred, lambda c: let(F.sqrt(dot(c, c) / F.size(c) + eps), lambda s: F.transform(c, lambda x: x / s)))
 
 
 def standard_normal_kl(m: Column, log_var: Column) -> Column:
@@ -101,33 +104,33 @@ def gaussian_kl(mq: Column, lvq: Column, mp: Column, lvp: Column) -> Column:
 
 def horizon_weights(steps: Column) -> Column:
     raw = F.transform(steps, lambda h: 1.0 / F.sqrt(h))
-    return F.transform(raw, lambda w: w / total(raw))
+    return let(raw, lambda r: let(total(r), lambda t: F.transform(r, lambda w: w / t)))
 
 
 def softmax(logits: Column) -> Column:
-    e = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(e, lambda x: x / total(e))
+    raised = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return let(raised, lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def readout(logits: Column, radius: int = 2) -> Column:
     """Position estimate and confidence figures of a distribution over equal bins of [0, 1]."""
-    p = softmax(logits)
-    best = (F.array_position(p, F.array_max(p)) - 1).cast("long")
-    bins = F.size(p)
-    first = F.greatest(best - radius, F.lit(0))
-    near = F.slice(p, (first + 1).cast("int"), (F.least(best + radius, bins - 1) - first + 1).cast("int"))
-    centres = F.transform(near, lambda q, i: q * ((first + i + 0.5) / bins))
-    ranked = F.sort_array(p, asc=False)
-    return F.struct(
-        (total(centres) / F.greatest(total(near), F.lit(TINY))).alias("u_hat"), F.array_max(p).alias("c_max"),
-        (-total(F.transform(p, lambda q: q * F.log(F.greatest(q, F.lit(TINY)))))).alias("entropy"),
-        (F.get(ranked, F.lit(0)) - F.get(ranked, F.lit(1))).alias("margin"), best.alias("best_bin"))
+    def figures(p: Column, best: Column) -> Column:
+        bins = F.size(p)
+        local = F.transform(p, lambda q, i: F.when(F.abs(i - best) <= radius, q).otherwise(F.lit(0.0)))
+        centres = F.transform(local, lambda q, i: q * ((i + 0.5) / bins))
+        ranked = F.sort_array(p, asc=False)
+        return F.struct(
+            (total(centres) / F.greatest(total(local), F.lit(TINY))).alias("u_hat"), F.array_max(p).alias("c_max"),
+            (-total(F.transform(p, lambda q: q * F.log(F.greatest(q, F.lit(TINY)))))).alias("entropy"),
+            let(ranked, lambda r: F.get(r, F.lit(0)) - F.get(r, F.lit(1))).alias("margin"), best.alias("best_bin"))
+
+    return let(softmax(logits), lambda p: let((F.array_position(p, F.array_max(p)) - 1).cast("long"), lambda best: figures(p, best)))
 
 
 def soft_target(u: Column, bins: int, sigma: float) -> Column:
     """Normalised Gaussian weights of the bin centres around u."""
     centres = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: (i + 0.5) / bins)
-    return softmax(F.transform(centres, lambda c: -0.5 * F.pow((c - u) / sigma, F.lit(2))))
+    return let(F.transform(centres, lambda c: -0.5 * F.pow((c - u) / sigma, F.lit(2))), softmax)
 
 
 def huber(d: Column, delta: float) -> Column:
@@ -145,10 +148,8 @@ def masked_mean_huber(a: Column, b: Column, mask: Column, delta: float) -> Colum
 
 
 def cross_entropy(target: Column, logits: Column) -> Column:
-    p = softmax(logits)
-    return -total(F.zip_with(target, p, lambda t, q: t * F.log(F.greatest(q, F.lit(TINY)))))
+    return -total(F.zip_with(target, softmax(logits), lambda t, q: t * F.log(F.greatest(q, F.lit(TINY)))))
 
 
 def feature_reconstruction(a: Column, b: Column, cosine_weight: float) -> Column:
-    d = minus(layer_norm(a), layer_norm(b))
-    return dot(d, d) / F.size(d) + cosine_weight * (1.0 - cosine_similarity(a, b))
+    return let(minus(layer_norm(a), layer_norm(b)), lambda d: dot(d, d) / F.size(d)) + cosine_weight * (1.0 - cosine_similarity(a, b))

@@ -117,3 +117,17 @@ def stage_partition(windows: DataFrame, group: str, id_col: str, fractions: list
     return ranked.join(F.broadcast(ends), inside).drop("n", "end", "allocated").withColumns({  # one row per stage
         "group_order": F.md5(F.concat(F.lit(f"{seed}/group:"), F.col(group).cast("string"))),
         "row_order": F.md5(F.concat(F.lit(f"{seed}/row:"), F.col(id_col).cast("string")))})
+
+
+def first_n_per_group(df: DataFrame, keys: list[str], id_col: str, n: int, size: int = 65536) -> DataFrame:
+    """First ``n`` rows of each group by id; every id block keeps its own first ``n`` before they are merged."""
+    local = W.partitionBy(*keys, "_blk").orderBy(id_col)
+    thin = df.withColumn("_blk", floor_div(F.col(id_col), size)).withColumn("_rn", F.row_number().over(local)).where(F.col("_rn") <= n)
+    return thin.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(id_col))).where(F.col("_rn") <= n).drop("_rn", "_blk")
+
+
+def known_names(df: DataFrame, col: str, names: list[str]) -> DataFrame:
+    """The requested names, with the ones that do not occur marked as unknown."""
+    asked = df.sparkSession.createDataFrame([(x,) for x in names], f"{col} string")
+    return asked.join(df.select(col).distinct().withColumn("_k", F.lit(True)), col, "left").select(
+        col, F.col("_k").isNull().alias("unknown"))

@@ -116,3 +116,11 @@ def mandatory_knots(df: DataFrame, keys: list[str], pos: str, n: str, sharpness:
     marked = shifted(sharp.join(limits, keys, "left").withColumn("_hit", hit), keys, pos, {"_next": ("_hit", 1)})
     keep = (F.col(pos) == 0) | (F.col(pos) == F.col(n) - 1) | (F.col(pos) % gap == 0) | F.col("_hit") | F.coalesce("_next", F.lit(False))
     return marked.withColumn("mandatory", keep).drop("_hit", "_next", "_q")
+
+
+def stride_sample(df: DataFrame, pos: str, n: str, stride: int, most: int, fps: float) -> DataFrame:
+    """Every ``stride``-th frame up to ``most`` per episode, on a uniform clock; episodes left with one frame are dropped."""
+    taken = F.least(F.lit(most), F.floor((F.col(n) - 1) / stride) + 1)
+    at = F.floor(F.col(pos) / stride).cast("long")
+    kept = df.where((F.col(pos) % stride == 0) & (at < most) & (taken >= 2))
+    return kept.withColumns({"pos": at, "source_frame": F.col(pos), "t": at / F.lit(fps), "u": at / (taken - 1)})

@@ -147,10 +147,9 @@ def _votes(spark, sf):
 
 
 @query("e9_monotone_boundaries", VOTES + """,
-chain AS (SELECT episode, total, 0::BIGINT AS idx, 0::BIGINT AS boundary FROM episodes_total
+chain AS (SELECT episode, n AS total, 0::BIGINT AS idx, 0::BIGINT AS boundary FROM episodes
   UNION ALL SELECT c.episode, c.total, r.idx, greatest(c.boundary + 2, least(round_even(r.vote, 0)::BIGINT, r.total - (r.parts - r.idx) * 2))
-  FROM chain c JOIN raw_votes r ON r.episode = c.episode AND r.idx = c.idx + 1),
-episodes_total AS (SELECT episode, n AS total FROM episodes)""", "SELECT episode, idx, boundary FROM chain WHERE idx > 0", recursive=True)
+  FROM chain c JOIN raw_votes r ON r.episode = c.episode AND r.idx = c.idx + 1)""", "SELECT episode, idx, boundary FROM chain WHERE idx > 0", recursive=True)
 def e9(spark, sf):
     return S.monotone_boundaries(_votes(spark, sf), EP, "idx", "vote", "total", "parts", min_gap=2).select("episode", "idx", "boundary")
 
@@ -264,10 +263,9 @@ def e19(spark, sf):
 
 
 @query("e20_segments_from_boundaries", VOTES + """,
-chain AS (SELECT episode, total, 0::BIGINT AS idx, 0::BIGINT AS boundary FROM episodes_total
+chain AS (SELECT episode, n AS total, 0::BIGINT AS idx, 0::BIGINT AS boundary FROM episodes
   UNION ALL SELECT c.episode, c.total, r.idx, greatest(c.boundary + 1, least(round_even(r.vote, 0)::BIGINT, r.total - (r.parts - r.idx)))
   FROM chain c JOIN raw_votes r ON r.episode = c.episode AND r.idx = c.idx + 1),
-episodes_total AS (SELECT episode, n AS total FROM episodes),
 full_chain AS (SELECT episode, idx, boundary, CASE WHEN idx = 0 THEN 1.0 ELSE 1.0 / (1 + (episode + idx) % 9) END AS conf FROM chain
   UNION ALL SELECT episode, 5, n, 1.0 FROM episodes),
 cut AS (SELECT episode, idx AS segment_id, boundary AS start_frame, lead(boundary) OVER w AS end_frame, (conf + lead(conf) OVER w) / 2 AS confidence
