@@ -119,3 +119,12 @@ def category_ranges(df: DataFrame, ranges: DataFrame, index: str) -> DataFrame:
     hit = df.join(ranges, (F.col(index) >= F.col("start")) & (F.col(index) < F.col("end_exclusive")), "left")
     best = F.min(F.struct("ord", "category_id"))
     return hit.groupBy(*df.columns).agg(best["category_id"].alias("category_id"))
+
+
+def fixed_pairs(frames: DataFrame, pairs: DataFrame, slots: int) -> DataFrame:
+    """Every frame of a paired episode times ``slots``; a repeated pair id is an error."""
+    counted = pairs.groupBy("pair_id").agg(F.count(F.lit(1)).alias("_k"), F.first("episode").alias("episode"), F.first("partner").alias("partner"))
+    checked = counted.withColumn("pair_id", F.when(
+        F.col("_k") > 1, F.raise_error(F.concat(F.lit("duplicate pair id "), "pair_id"))).otherwise(F.col("pair_id"))).drop("_k")
+    return frames.join(checked, "episode").withColumn(
+        "slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)).cast("array<bigint>")))
