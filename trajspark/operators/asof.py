@@ -7,59 +7,91 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from trajspark.operators.blocks import POSITION_BLOCK, floor_div
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], on: str, right_on: str, payload: list[str],
-         width: float, below: str = "lower", above: str | None = None, strict: bool = False,
-         dedupe: bool = False) -> DataFrame:
+ROWS_PER_BUCKET = 4096
+
+
+def asof(left: DataFrame, right: DataFrame, keys: list[str], on: str, right_on: str, payload: list[str], size: str | None = None,
+         below: str = "lower", above: str | None = None, strict: bool = False) -> DataFrame:
     """Attach to each left row the nearest right rows at or below (``below``) and at or above (``above``) it.
 
-    Both sides are cut into value buckets of ``width``; a bucket finds its neighbours inside itself and, when it
-    has none there, takes the closest right row of another bucket from a table with one row per bucket.
-    ``strict`` makes the lower side exclude equal values. The right side must be unique on (keys, right_on);
-    rows come back as structs of ``right_on`` and ``payload``. ``dedupe`` looks each distinct left value up once
-    and joins the answer back, for left sides that repeat one value very often.
+    ``strict`` makes the lower side exclude equal values; see ``asof_many`` for the rest.
     """
-    wide = left
-    if dedupe:
-        left = left.select(*keys, on).where(F.col(on).isNotNull()).distinct()
-    left_cols = [c for c in left.columns if c not in keys and c != on]
+    return asof_many(left, right, keys, right_on, payload, {below: (on, strict)}, size=size, above=above)
+
+
+def asof_many(left: DataFrame, right: DataFrame, keys: list[str], right_on: str, payload: list[str],
+              probes: dict[str, tuple[str, bool]], ids: list[str] | None = None, size: str | None = None,
+              above: str | None = None) -> DataFrame:
+    """Several as-of look-ups (output name -> value column, strict) of the same left rows in one pass.
+
+    A key group is cut into value buckets of about 4,096 rows, so ordinary groups are one bucket and a large one spreads
+    over many tasks. The last right row of a bucket is copied into the buckets up to the next filled one (and the first
+    row backwards), so a window inside (keys, bucket) always sees the neighbour it needs.
+
+    The right side must be unique on (keys, right_on); rows come back as structs of ``v`` and ``payload``. With ``size``
+    both sides carry the row count of the key group and values lie in [0, 1]; without it counts and range are measured.
+    More than one probe needs ``ids``, the unique columns of the left side besides ``keys``.
+    """
+    left_cols = [c for c in left.columns if c not in keys]
+    names = list(probes)
     row = F.struct(F.col(right_on).alias("v"), *payload)
-    points = right.select(*keys, F.col(right_on).cast("double").alias("_v"), row.alias("_r"))
-    probes = left.select(*keys, F.col(on).cast("double").alias("_v"), F.struct(F.col(on), *left_cols).alias("_l"))
-    both = (points.withColumn("_l", F.lit(None).cast(probes.schema["_l"].dataType))
-            .unionByName(probes.withColumn("_r", F.lit(None).cast(points.schema["_r"].dataType)))
-            .withColumn("_b", F.coalesce(F.floor(F.col("_v") / F.lit(width)), -1 - F.pmod(F.xxhash64("_l"), F.lit(1024))))
-            .withColumn("_side", F.when(F.col("_r").isNotNull(), 0).otherwise(1)))
-    ends = both.groupBy(*keys, "_b").agg(
-        F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_v"))).alias("_hi"),
-        F.min_by("_r", F.when(F.col("_r").isNotNull(), F.col("_v"))).alias("_lo"))
-    buckets = W.partitionBy(*keys).orderBy("_b")
-    carry = ends.select(
-        *keys, "_b",
-        F.last("_hi", ignorenulls=True).over(buckets.rowsBetween(W.unboundedPreceding, -1)).alias("_prev"),
-        F.first("_lo", ignorenulls=True).over(buckets.rowsBetween(1, W.unboundedFollowing)).alias("_next"))
+    points = right.select(*keys, F.col(right_on).cast("double").alias("_v"), row.alias("_r"), *([F.col(size).alias("_n")] if size else []))
+    kept = F.struct(*left_cols)
+    tags = F.array(*[F.struct(F.lit(i).alias("tag"), F.col(c).cast("double").alias("v"), F.lit(1 if strict else -1).alias("side"))
+                     for i, (c, strict) in enumerate(probes.values())])
+    asked = left.select(*keys, kept.alias("_l"), *([F.col(size).alias("_n")] if size else []), F.explode(tags).alias("_q")).select(
+        "*", F.col("_q.v").alias("_v"), F.col("_q.tag").alias("_tag"), F.col("_q.side").alias("_at")).drop("_q")
+    if size:
+        share, count = F.col("_v"), F.ceil(F.col("_n") / ROWS_PER_BUCKET)
+    else:
+        sizes = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.col(right_on).cast("double")).alias("_min"),
+                                         F.max(F.col(right_on).cast("double")).alias("_max"))
+        points, asked = points.join(sizes, keys), asked.join(sizes, keys, "left")
+        count = F.ceil(F.col("_n") / ROWS_PER_BUCKET)
+        share = F.when(F.col("_max") > F.col("_min"), (F.col("_v") - F.col("_min")) / (F.col("_max") - F.col("_min"))).otherwise(F.lit(0.0))
+    bucket = F.least(F.greatest(F.floor(share * count), F.lit(0)), count - 1)
+    rows = points.select(*keys, bucket.alias("_b"), count.alias("_nb"), "_v", "_r")
+    order = W.partitionBy(*keys).orderBy("_b")
+    ends = rows.where("_nb > 1").groupBy(*keys, "_b").agg(
+        F.max_by("_r", "_v").alias("_hi"), F.min_by("_r", "_v").alias("_lo"), F.first("_nb").alias("_nb"))
+    ends = ends.withColumns({"_to": F.coalesce(F.lead("_b").over(order), F.col("_nb") - 1), "_from": F.coalesce(F.lag("_b").over(order), F.lit(0))})
+    spread = F.when(F.col("_to") > F.col("_b"), F.transform(F.expr("sequence(_b + 1, _to)"), lambda b: F.struct(b.alias("b"), F.col("_hi").alias("r"))))
+    if above:
+        back = F.when(F.col("_from") < F.col("_b"), F.transform(F.expr("sequence(_from, _b - 1)"), lambda b: F.struct(b.alias("b"), F.col("_lo").alias("r"))))
+        empty = F.expr("filter(array(struct(_b as b, _lo as r)), x -> false)")
+        spread = F.concat(F.coalesce(spread, empty), F.coalesce(back, empty))
+    copies = ends.select(*keys, F.explode(spread).alias("_c")).select(*keys, F.col("_c.b").alias("_b"), F.col("_c.r").alias("_r"))
+    placed = rows.select(*keys, "_b", "_v", "_r").unionByName(copies.withColumn("_v", F.col("_r.v").cast("double")))
+    nowhere = -1 - F.pmod(F.xxhash64("_l"), F.lit(1024))  # no value or no right rows: any bucket will do
+    asked = asked.select(*keys, F.coalesce(bucket, nowhere).alias("_b"), "_v", "_l", "_tag", "_at")
+    both = (placed.withColumns({"_l": F.lit(None).cast(asked.schema["_l"].dataType), "_tag": F.lit(-1), "_at": F.lit(0)})
+            .unionByName(asked.withColumn("_r", F.lit(None).cast(points.schema["_r"].dataType))))
     inside = W.partitionBy(*keys, "_b")
-    up = inside.orderBy("_v", F.col("_side").desc() if strict else F.col("_side"))
-    looked = {below: F.coalesce(F.last("_r", ignorenulls=True).over(up.rowsBetween(W.unboundedPreceding, 0)), "_prev")}
+    latest = lambda w: F.when(F.col("_v").isNotNull(), F.last("_r", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    looked = {"_down": latest(inside.orderBy("_v", F.col("_at").desc()))}  # strict probes sort before equal points, others after
+    if above:
+        looked["_up"] = latest(inside.orderBy(F.col("_v").desc(), F.when(F.col("_tag") < 0, 0).otherwise(1)))
+    found = both.withColumns(looked).where("_tag >= 0")
+    if len(names) == 1:
+        return found.select(*keys, "_l.*", F.col("_down").alias(names[0]), *([F.col("_up").alias(above)] if above else []))
+    found = found.select(*keys, *[F.col(f"_l.{c}").alias(c) for c in ids], "_l", "_tag", "_down", *looked.keys() - {"_down"})
+    picked = [F.max(F.when(F.col("_tag") == i, F.col("_down"))).alias(n) for i, n in enumerate(names)]
     if above:
-        down = inside.orderBy(F.col("_v").desc(), "_side")
-        looked[above] = F.coalesce(
-            F.last("_r", ignorenulls=True).over(down.rowsBetween(W.unboundedPreceding, 0)), "_next")
-    looked = {out: F.when(F.col("_v").isNotNull(), row) for out, row in looked.items()}
-    found = (both.join(carry, [*keys, "_b"]).withColumns(looked)
-             .where("_side = 1").select(*keys, "_l.*", *looked))
-    return wide.join(found, [*keys, on], "left") if dedupe else found
+        picked += [F.max(F.when(F.col("_tag") == i, F.col("_up"))).alias(f"{n}_{above}") for i, n in enumerate(names)]
+    merged = found.groupBy(*keys, *ids).agg(F.max(F.when(F.col("_tag") == 0, F.col("_l"))).alias("_l"), *picked)
+    out = [*names, *([f"{n}_{above}" for n in names] if above else [])]
+    return merged.select(*keys, "_l.*", *out)
 
 
-def count_between(intervals: DataFrame, points: DataFrame, keys: list[str], start: str, end: str, value: str,
-                  rank: str, width: float, name: str = "covered") -> DataFrame:
+def count_between(intervals: DataFrame, points: DataFrame, keys: list[str], ids: list[str], start: str, end: str, value: str,
+                  rank: str, size: str | None = None, name: str = "covered") -> DataFrame:
     """Number of points with start <= value <= end, from two rank look-ups instead of a range join.
 
     ``rank`` is the zero-based rank of a point by ``value``; for repeated values it must be the highest one.
     """
-    upto = asof(intervals, points, keys, end, value, [rank], width, below="_to")
-    before = asof(upto, points, keys, start, value, [rank], width, below="_from", strict=True)
+    found = asof_many(intervals, points, keys, value, [rank], {"_to": (end, False), "_from": (start, True)}, ids, size)
     count = F.coalesce(F.col(f"_to.{rank}") + 1, F.lit(0)) - F.coalesce(F.col(f"_from.{rank}") + 1, F.lit(0))
-    return before.withColumn(name, F.greatest(count, F.lit(0)).cast("long")).drop("_to", "_from")
+    return found.withColumn(name, F.greatest(count, F.lit(0)).cast("long")).drop("_to", "_from")
 
 
 def band_join(points: DataFrame, intervals: DataFrame, keys: list[str], pos: str, start: str, end: str,

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from trajspark.operators.asof import asof, count_between
+from trajspark.operators.asof import asof, asof_many, count_between
 from trajspark.operators.blocks import core, halo, running
 from trajspark.operators.windows import shifted
 
 EPSILON = 1e-8
-WIDTH = 1 / 256
 
 
 def covering_frames(knots: DataFrame, frames: DataFrame) -> DataFrame:
     """Last frame at or before each knot."""
-    found = asof(knots, frames, ["episode"], "knot", "u", ["frame"], WIDTH)
+    found = asof(knots, frames, ["episode"], "knot", "u", ["frame"], size="n")
     return found.withColumn("covering_frame", F.col("lower.frame")).drop("lower")
 
 
@@ -24,7 +23,7 @@ def future_knots(frames: DataFrame, unique_knots: DataFrame, count: int) -> Data
     ``unique_knots`` carry their rank r and the number kn per episode, so the k-th next knot is an equi-join on rank.
     """
     cover = covering_frames(unique_knots, frames)
-    base = asof(frames.select("episode", "frame", "n", "u"), unique_knots, ["episode"], "u", "knot", ["r", "kn"], WIDTH)
+    base = asof(frames.select("episode", "frame", "n", "u"), unique_knots, ["episode"], "u", "knot", ["r", "kn"], size="n")
     base = base.select("episode", "frame", "n", "u", F.col("lower.r").alias("r0"), F.col("lower.kn").alias("kn"))
     valid = F.least(F.lit(count), F.col("kn") - 1 - F.col("r0"))
     slots = base.withColumn("valid_count", valid.cast("long")).withColumn(
@@ -47,14 +46,14 @@ def future_knots(frames: DataFrame, unique_knots: DataFrame, count: int) -> Data
         end_u.alias("end_u"), end_frame.alias("end_frame"))
 
 
-def interval_knot_counts(intervals: DataFrame, unique_knots: DataFrame, keys: list[str], degree: int = 3) -> DataFrame:
+def interval_knot_counts(intervals: DataFrame, unique_knots: DataFrame, keys: list[str], ids: list[str], degree: int = 3,
+                         size: str | None = "n") -> DataFrame:
     """Knot and control point counts of a spline restricted to (start_u, end_u).
 
     Restriction keeps the knots strictly inside and gives both ends full multiplicity: exact = 2(k+1) + inside.
     ``unique_knots`` must carry ``cum``, the number of inner knots (with multiplicity) up to that one.
     """
-    upto = asof(intervals, unique_knots, keys, "end_u", "knot", ["r", "cum"], WIDTH, below="_e", strict=True)
-    both = asof(upto, unique_knots, keys, "start_u", "knot", ["r", "cum"], WIDTH, below="_s")
+    both = asof_many(intervals, unique_knots, keys, "knot", ["r", "cum"], {"_e": ("end_u", True), "_s": ("start_u", False)}, ids, size)
     inside = lambda f, none: F.greatest(
         F.coalesce(F.col(f"_e.{f}"), F.lit(none)) - F.coalesce(F.col(f"_s.{f}"), F.lit(none)), F.lit(0))
     ok = F.col("end_u") > F.col("start_u") + EPSILON
@@ -65,10 +64,11 @@ def interval_knot_counts(intervals: DataFrame, unique_knots: DataFrame, keys: li
         "control_points": F.when(ok, inside("cum", 0) + degree + 1).otherwise(0).cast("long")}).drop("_e", "_s")
 
 
-def covered_frames(intervals: DataFrame, frames: DataFrame, keys: list[str], slack: float = 0.0) -> DataFrame:
+def covered_frames(intervals: DataFrame, frames: DataFrame, keys: list[str], ids: list[str], slack: float = 0.0,
+                   size: str | None = "n") -> DataFrame:
     """Frames with start_u - slack <= u <= end_u + slack."""
     edges = intervals.withColumns({"_lo": F.col("start_u") - slack, "_hi": F.col("end_u") + slack})
-    return count_between(edges, frames, keys, "_lo", "_hi", "u", "frame", WIDTH).drop("_lo", "_hi")
+    return count_between(edges, frames, keys, ids, "_lo", "_hi", "u", "frame", size).drop("_lo", "_hi")
 
 
 def knot_gaps(unique_knots: DataFrame, gap: int) -> DataFrame:
@@ -80,7 +80,7 @@ def geometry(knots: DataFrame) -> DataFrame:
     """Support, midpoint, width and Greville point of every cubic basis function."""
     ahead = shifted(knots, ["episode"], "i", {f"k{j}": ("knot", j) for j in (1, 2, 3, 4)}).where("k4 is not null")
     return ahead.select(
-        "episode", "i", F.col("knot").alias("left"), F.col("k4").alias("right"), (0.5 * (F.col("knot") + F.col("k4"))).alias("midpoint"),
+        "episode", "i", "n", F.col("knot").alias("left"), F.col("k4").alias("right"), (0.5 * (F.col("knot") + F.col("k4"))).alias("midpoint"),
         (F.col("k4") - F.col("knot")).alias("width"), ((F.col("k1") + F.col("k2") + F.col("k3")) / 3.0).alias("greville"))
 
 
@@ -137,9 +137,9 @@ def cubic_spans(knots: DataFrame) -> DataFrame:
                                          F.col("t2").alias("e"), F.col("t3").alias("f")).alias("near"))
 
 
-def cubic_basis(points: DataFrame, knots: DataFrame, u: str, dedupe: bool = False) -> DataFrame:
+def cubic_basis(points: DataFrame, knots: DataFrame, u: str) -> DataFrame:
     """Rows (point, i, basis, d1, d2) for the four basis functions alive at each point; u = 1 uses the last span."""
-    found = asof(points, cubic_spans(knots), ["episode"], u, "knot", ["i", "near"], WIDTH, dedupe=dedupe).where("lower is not null")
+    found = asof(points, cubic_spans(knots), ["episode"], u, "knot", ["i", "near"]).where("lower is not null")
     t = {-2: F.col("lower.near.a"), -1: F.col("lower.near.b"), 0: F.col("lower.v"), 1: F.col("lower.near.d"),
          2: F.col("lower.near.e"), 3: F.col("lower.near.f")}
     rows = F.array(*[F.struct((F.col("lower.i") + k).alias("i"), v.alias("basis"), d1.alias("d1"), d2.alias("d2"))
@@ -169,14 +169,14 @@ def overlapping_coefficients(intervals: DataFrame, geo: DataFrame, keys: list[st
 
     Supports are ordered, so the overlap is the index range between two as-of look-ups instead of a range join.
     """
-    lefts = geo.groupBy(*keys, "left").agg(F.max("i").alias("i"))
-    rights = geo.groupBy(*keys, "right").agg(F.max("i").alias("i"))
-    to = asof(intervals, lefts, keys, "end_u", "left", ["i"], WIDTH, below="_to", strict=True)
-    both = asof(to, rights, keys, "start_u", "right", ["i"], WIDTH, below="_from")
+    lefts = geo.groupBy(*keys, "left").agg(F.max("i").alias("i"), F.max("n").alias("n"))
+    rights = geo.groupBy(*keys, "right").agg(F.max("i").alias("i"), F.max("n").alias("n"))
+    to = asof(intervals, lefts, keys, "end_u", "left", ["i"], size="n", below="_to", strict=True)
+    both = asof(to, rights, keys, "start_u", "right", ["i"], size="n", below="_from")
     first, last = F.coalesce(F.col("_from.i") + 1, F.lit(0)), F.coalesce(F.col("_to.i"), F.lit(-1))
     ranged = both.withColumn("i", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array(F.lit(0).cast("long")))))
     width = F.greatest(F.col("end_u") - F.col("start_u"), F.lit(1e-6))
-    joined = ranged.drop("_to", "_from").join(geo.withColumnRenamed("width", "support"), [*keys, "i"])
+    joined = ranged.drop("_to", "_from").join(geo.withColumnRenamed("width", "support").drop("n"), [*keys, "i"])
     return joined.select(*id_cols, "i", *[((F.col(c) - F.col("start_u")) / width).alias(c) for c in ("left", "right", "midpoint", "greville")],
                          (F.col("support") / width).alias("width"))
 
@@ -212,7 +212,7 @@ def eval_pchip(points: DataFrame, slopes: DataFrame, u: str = "u") -> DataFrame:
     """Hermite value at each point from the piece it lies in."""
     pieces = slopes.where("next_u is not null").select(
         "episode", F.col("u").alias("at"), F.struct("y", "slope", "next_u", "next_y", "next_slope").alias("p"))
-    found = asof(points, pieces, ["episode"], u, "at", ["p"], WIDTH)
+    found = asof(points, pieces, ["episode"], u, "at", ["p"])
     h = F.col("lower.p.next_u") - F.col("lower.v")
     s = (F.col(u) - F.col("lower.v")) / h
     value = ((1 + 2 * s) * (1 - s) * (1 - s) * F.col("lower.p.y") + s * (1 - s) * (1 - s) * h * F.col("lower.p.slope")
@@ -223,7 +223,7 @@ def eval_pchip(points: DataFrame, slopes: DataFrame, u: str = "u") -> DataFrame:
 def nearest_row(probes: DataFrame, frames: DataFrame, u: str, ahead: int) -> DataFrame:
     """Row whose u is closest (the first on ties) and the u ``ahead`` rows later, at most the last row."""
     rows = frames.groupBy("episode", F.col("u").alias("ru")).agg(F.min("frame").alias("frame"), F.max("n").alias("n"))
-    found = asof(probes, rows, ["episode"], u, "ru", ["frame", "n"], WIDTH, above="upper", dedupe=True)
+    found = asof(probes, rows, ["episode"], u, "ru", ["frame", "n"], size="n", above="upper")
     a, b = F.col("lower"), F.col("upper")
     use = F.when(b["v"].isNull() | (F.abs(a["v"] - F.col(u)) <= F.abs(b["v"] - F.col(u))), a).otherwise(b)
     hit = found.withColumn("_m", use).withColumns({

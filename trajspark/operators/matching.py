@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trajspark.operators.asof import asof
 
 FLAT = 1e-6
-PROGRESS_WIDTH = 1 / 256
-
 
 def alignment_report(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Rows present on both sides, only left and only right."""
@@ -32,7 +30,7 @@ def edge_labels(windows: DataFrame, labels: DataFrame, key: str = "episode") ->
 def progress_points(labels: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
     """One row per distinct progress of a segment, with its first and last frame in stored order."""
     row = F.struct("frame", *extra)
-    return labels.groupBy(*keys, "progress").agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    return labels.groupBy(*keys, "progress", "size").agg(F.min(row).alias("first"), F.max(row).alias("last"))
 
 
 def _nearer(target: Column, a: Column, b: Column) -> Column:
@@ -42,9 +40,11 @@ def _nearer(target: Column, a: Column, b: Column) -> Column:
 
 
 def nearest_progress(probes: DataFrame, labels: DataFrame, keys: list[str], target: str) -> DataFrame:
-    """Frame of the same segment whose progress is closest; the earliest frame on ties."""
-    found = asof(probes, progress_points(labels, keys, []), keys, target, "progress", ["first"], PROGRESS_WIDTH,
-                 above="upper", dedupe=True)
+    """Frame of the same segment whose progress is closest; the earliest frame on ties.
+
+    Both sides carry ``size``, the larger of the label rows and the probes of a key group.
+    """
+    found = asof(probes, progress_points(labels, keys, []), keys, target, "progress", ["first"], "size", above="upper")
     low, up = F.col("lower"), F.col("upper")
     use = F.when(_nearer(F.col(target), low, up), low).otherwise(up)
     return found.withColumn("_m", use).withColumns({
@@ -58,8 +58,7 @@ def interpolated_u(probes: DataFrame, labels: DataFrame, keys: list[str], target
     Neighbours closer than 1e-6 in progress give the u of the nearest frame, or of the lower one with ``details``,
     which also reports neighbours, weight, match kind and the reason of a missing answer.
     """
-    found = asof(probes, progress_points(labels, keys, ["u"]), keys, target, "progress", ["first", "last"], PROGRESS_WIDTH,
-                 above="upper", strict=True, dedupe=True)
+    found = asof(probes, progress_points(labels, keys, ["u"]), keys, target, "progress", ["first", "last"], "size", above="upper", strict=True)
     t, low, up = F.col(target), F.col("lower"), F.col("upper")
     qa, qb, ua, ub = F.col("lower.v"), F.col("upper.v"), F.col("lower.last.u"), F.col("upper.first.u")
     alpha = (t - qa) / (qb - qa)
@@ -83,11 +82,11 @@ def interpolated_u(probes: DataFrame, labels: DataFrame, keys: list[str], target
     return out.drop("lower", "upper")
 
 
-def interval_table(windows: DataFrame, labels: DataFrame, partner_labels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Partner interval of every (frame, slot): start and end matched at once, valid when both are and end > start."""
-    wide = edge_labels(windows, labels).join(pairs, ["episode", "frame"])
+def interval_table(edges: DataFrame, partner_labels: DataFrame) -> DataFrame:
+    """Partner interval of every (frame, slot): start and end matched one after the other, valid when both are and end > start."""
+    wide = edges
     for edge in ("start", "end"):
-        probe = wide.withColumns({"segment_id": F.col(f"{edge}_segment")})
+        probe = wide.withColumn("segment_id", F.col(f"{edge}_segment"))
         hit = interpolated_u(probe, partner_labels, ["partner", "segment_id"], f"{edge}_progress")
         wide = hit.withColumnsRenamed({"matched_u": f"{edge}_u", "valid": f"{edge}_valid"}).drop("segment_id")
     return wide.withColumn("valid", F.coalesce(

@@ -1,19 +1,19 @@
-"""Exact, linearly interpolated quantiles by bucket refinement.
+"""Exact, linearly interpolated quantiles.
 
-The built-in ``percentile`` keeps every distinct value of a group in one buffer. Here values are counted per
-distinct value, located in a monotone logarithmic bucket, then in one of 4,096 equal steps of that bucket, and only
-the rows of the final step are ordered. Buckets depend on the values alone, so every pass agrees on them.
+The built-in ``percentile`` keeps every distinct value of a group in one buffer. Here values are counted per distinct
+value and ranked in narrow logarithmic buckets (4,096 per factor of two); one row per bucket carries the counts below it.
+Buckets depend on the values alone, so both passes agree on them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-STEPS = 4096
+BUCKETS_PER_OCTAVE = 4096
 
 
 def _log_bucket(v: Column) -> Column:
-    scale = F.floor((F.log2(F.abs(v)) + 1100) * 64) + 1
+    scale = F.floor((F.log2(F.abs(v)) + 1100) * BUCKETS_PER_OCTAVE) + 1
     return F.when(v > 0, scale).when(v < 0, -scale).otherwise(F.lit(0)).cast("long")
 
 
@@ -26,32 +26,20 @@ def quantiles_long(df: DataFrame, keys: list[str], value: str, probs: list[float
     counted = (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
                .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
                .withColumn("_b", _log_bucket(F.col("_v"))))
-    whole = W.partitionBy(*keys)
-    earlier = whole.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    coarse = (counted.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-              .select("*", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"), F.sum("_n").over(whole).alias("_all")))
-    wanted = (coarse.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-              .withColumn("_at", (F.col("_all") - 1) * F.col("prob"))
-              .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
-              .where("_rank >= _off and _rank < _off + _n")
-              .select(*keys, "_b", "prob", "_at", "_rank"))
-    hit = coarse.join(wanted.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi").select(*keys, "_b", "_lo", "_hi", "_off")
-    step = F.when(F.col("_hi") > F.col("_lo"),
-                  F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * STEPS)).otherwise(F.lit(0)).cast("long")
-    narrowed = counted.join(hit, [*keys, "_b"]).withColumn("_s", step)
-    within = W.partitionBy(*keys, "_b").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    fine = (narrowed.groupBy(*keys, "_b", "_s").agg(F.sum("_c").alias("_n"), F.first("_off").alias("_off"))
-            .select(*keys, "_b", "_s", "_n", (F.col("_off") + F.coalesce(F.sum("_n").over(within), F.lit(0))).alias("_off2")))
-    spots = (fine.join(wanted, [*keys, "_b"]).where("_rank >= _off2 and _rank < _off2 + _n")
-             .select(*keys, "_b", "_s", "_off2", "prob", "_at", "_rank"))
-    last = narrowed.join(spots.select(*keys, "_b", "_s", "_off2").distinct(), [*keys, "_b", "_s"])
-    order = W.partitionBy(*keys, "_b", "_s").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = last.select(*keys, "_b", "_s", "_v", "_c", (F.col("_off2") + F.sum("_c").over(order)).alias("_end"))
-    picked = (ranked.join(spots.drop("_off2"), [*keys, "_b", "_s"])
-              .where("_rank >= _end - _c and _rank < _end"))
-    low, high = F.min("_v"), F.max("_v")
-    return picked.groupBy(*keys, "prob").agg(
-        (low + (high - low) * (F.first("_at") - F.floor(F.first("_at")))).alias("quantile"))
+    group = W.partitionBy(*keys)
+    below = F.coalesce(F.sum("_n").over(group.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    wanted = F.transform(F.array(*[F.lit(float(p)) for p in probs]),
+                         lambda p: F.struct(p.alias("prob"), ((F.sum("_n").over(group) - 1) * p).alias("at")))
+    buckets = (counted.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"))
+               .select(*keys, "_b", "_n", below.alias("_below"), wanted.alias("_w"))
+               .withColumn("_w", F.filter("_w", lambda w: (F.ceil(w["at"]) >= F.col("_below")) & (F.floor(w["at"]) < F.col("_below") + F.col("_n"))))
+               .where(F.size("_w") > 0).drop("_n"))
+    order = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = counted.join(buckets, [*keys, "_b"]).withColumn("_end", F.col("_below") + F.sum("_c").over(order))
+    hit = ranked.select(*keys, "_v", (F.col("_end") - F.col("_c")).alias("_first"), "_end", F.explode("_w").alias("_w")).where(
+        "ceil(_w.at) >= _first and floor(_w.at) < _end")
+    low, high, at = F.min("_v"), F.max("_v"), F.first("_w.at")
+    return hit.groupBy(*keys, F.col("_w.prob").alias("prob")).agg((low + (high - low) * (at - F.floor(at))).alias("quantile"))
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], prefix: str = "") -> DataFrame:

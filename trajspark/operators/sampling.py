@@ -29,20 +29,19 @@ def balanced_pairs(frames: DataFrame, episodes: DataFrame, partners: DataFrame,
     """``slots`` different partners per frame, every partner used equally often per slot (difference at most one).
 
     Frames of a group are numbered 0..T-1 and permuted by i -> a*i mod T with a coprime to T; slot s of frame i takes
-    partner (a*i mod T + s*step) mod H with step coprime to H.
+    partner (a*i mod T + s*step) mod H with step coprime to H. Columns of ``frames`` are kept.
     """
     numbered = with_positions(partners.select(*keys, F.col("episode").alias("partner")), keys,
                               floor_div(F.col("partner"), 65536), ["partner"], name="h", total="hn")
-    sizes = numbered.groupBy(*keys).agg(F.first("hn").alias("hn"))
+    sizes = partners.groupBy(*keys).agg(F.count(F.lit(1)).alias("hn"))
     placed = cursors(episodes.select("episode", "n", *keys), keys, "episode", "n").join(sizes, keys)
-    grid = frames.select("episode", "frame").join(placed.drop("n"), "episode").withColumn(
+    grid = frames.join(placed.drop("n", *keys), "episode").withColumn(
         "slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)).cast("array<bigint>")))
     a = F.expr(first_coprime_sql("total", FRAME_PRIMES)) % F.col("total")
     step = F.expr(first_coprime_sql("hn", STEP_PRIMES))
     h = ((a * (F.col("cursor") + F.col("frame"))) % F.col("total") + F.col("slot") * step) % F.col("hn")
     enough = F.when(F.col("hn") < slots, F.raise_error(F.lit("fewer partners than slots"))).otherwise(h)
-    return grid.withColumn("h", enough.cast("long")).join(numbered.drop("hn"), [*keys, "h"]).select(
-        *keys, "episode", "frame", "slot", "partner")
+    return grid.withColumn("h", enough.cast("long")).join(numbered.drop("hn"), [*keys, "h"]).drop("h", "cursor", "total", "hn")
 
 
 def usage_balance(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -33,12 +33,16 @@ def windows(spark, sf):
 
 def known_labels(spark, sf):
     return v.frame_labels(spark, sf).where("dataset = 'human' and episode % 9 <> 1").select(
-        F.col("episode").alias("partner"), "segment_id", "frame", "progress", "u", "n")
+        F.col("episode").alias("partner"), "segment_id", "frame", "progress", "u", "n").join(v.partner_sizes(spark, sf), "partner")
 
 
 def asked(spark, sf):
-    edges = M.edge_labels(windows(spark, sf), v.frame_labels(spark, sf))
-    return edges.join(v.pairings(spark, sf), ["episode", "frame"])
+    """Robot windows with the labels of both ends, times their partners."""
+    labels = v.frame_labels(spark, sf).where("dataset = 'robot'").select("episode", "frame", "n", "dataset", "category", "segment_id", "progress")
+    ends = Wn.fixed_future(labels, EP, "frame", "n", ["segment_id", "progress"], HORIZON)
+    edges = ends.select("episode", "frame", "dataset", "category", F.col("segment_id").alias("start_segment"), F.col("progress").alias("start_progress"),
+                        F.col("future_segment_id").alias("end_segment"), F.col("future_progress").alias("end_progress"))
+    return v.pairings(spark, sf, edges).join(v.partner_sizes(spark, sf), "partner")
 
 
 @query("c1_alignment_report", v.FRAMES + """,
@@ -131,17 +135,19 @@ ivals AS (SELECT f.episode, f.frame, f.u AS start_u, CASE WHEN f.frame % 10 = 3
 
 def intervals(spark, sf):
     end = F.when(F.col("frame") % 10 == 3, F.col("u")).otherwise(F.least(F.col("u") + F.col("x") / 500, F.lit(1.0)))
-    return v.frames(spark, sf).select("episode", "frame", F.col("u").alias("start_u"), end.alias("end_u"))
+    return v.frames(spark, sf).select("episode", "frame", "n", F.col("u").alias("start_u"), end.alias("end_u"))
 
 
 @query("c7_covered_frames", INTERVALS, """
-SELECT i.episode, i.frame, (SELECT count(*) FROM frames f WHERE f.episode = i.episode AND f.u BETWEEN i.start_u AND i.end_u) AS covered,
-  (SELECT count(*) FROM frames f WHERE f.episode = i.episode AND f.u BETWEEN i.start_u - 1e-8 AND i.end_u + 1e-8) AS covered_slack FROM ivals i""")
+SELECT i.episode, i.frame, (SELECT count(*) FROM frames f WHERE f.episode = i.episode AND f.u BETWEEN i.start_u AND i.end_u) AS covered FROM ivals i""")
 def c7(spark, sf):
-    f = v.frames(spark, sf)
-    closed = K.covered_frames(intervals(spark, sf), f, EP)
-    return K.covered_frames(closed.withColumnRenamed("covered", "closed"), f, EP, slack=1e-8).select(
-        "episode", "frame", F.col("closed").alias("covered"), F.col("covered").alias("covered_slack"))
+    return K.covered_frames(intervals(spark, sf), v.frames(spark, sf), EP, ["frame"]).select("episode", "frame", "covered")
+
+
+@query("c7_covered_frames_slack", INTERVALS, """
+SELECT i.episode, i.frame, (SELECT count(*) FROM frames f WHERE f.episode = i.episode AND f.u BETWEEN i.start_u - 1e-8 AND i.end_u + 1e-8) AS covered FROM ivals i""")
+def c7b(spark, sf):
+    return K.covered_frames(intervals(spark, sf), v.frames(spark, sf), EP, ["frame"], slack=1e-8).select("episode", "frame", "covered")
 
 
 @query("c8_interval_knot_counts", INTERVALS + """,
@@ -150,7 +156,7 @@ cnt AS (SELECT i.episode, i.frame, i.start_u, i.end_u, (SELECT count(*) FROM kno
 SELECT episode, frame, end_u > start_u + 1e-8 AS interval_ok, CASE WHEN end_u > start_u + 1e-8 THEN 8 + inside ELSE 0 END AS exact_knots,
   CASE WHEN end_u > start_u + 1e-8 THEN 2 + distinct_inside ELSE 0 END AS unique_knots, CASE WHEN end_u > start_u + 1e-8 THEN 4 + inside ELSE 0 END AS control_points FROM cnt""")
 def c8(spark, sf):
-    return K.interval_knot_counts(intervals(spark, sf), K.inner_knot_ranks(v.unique_knots(spark, sf)), EP).select(
+    return K.interval_knot_counts(intervals(spark, sf), K.inner_knot_ranks(v.unique_knots(spark, sf)), EP, ["frame"]).select(
         "episode", "frame", "interval_ok", "exact_knots", "unique_knots", "control_points")
 
 
@@ -266,7 +272,7 @@ ranked AS (SELECT p.episode, p.probe, f.frame, f.n, row_number() OVER (PARTITION
 SELECT r.episode, r.probe, r.frame AS nearest_frame, g.frame AS end_frame, round(g.u, 6) AS end_u FROM ranked r JOIN frames g ON g.episode = r.episode AND g.frame = least(r.frame + 5, r.n - 1) WHERE rn = 1""")
 def c17(spark, sf):
     f = v.frames(spark, sf)
-    probes = f.select("episode", F.col("frame").alias("probe"), ((F.col("frame") * 37 % 101) / 100.0).alias("v"))
+    probes = f.select("episode", "n", F.col("frame").alias("probe"), ((F.col("frame") * 37 % 101) / 100.0).alias("v"))
     return v.rounded(K.nearest_row(probes, f, "v", 5).select("episode", "probe", "nearest_frame", "end_frame", "end_u"))
 
 
@@ -291,7 +297,7 @@ def c19(spark, sf):
 
 
 def exact_intervals(spark, sf):
-    return M.interval_table(windows(spark, sf), v.frame_labels(spark, sf), known_labels(spark, sf), v.pairings(spark, sf))
+    return M.interval_table(asked(spark, sf), known_labels(spark, sf))
 
 
 @query("c20_segment_slices", v.LABELS, """

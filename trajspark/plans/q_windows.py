@@ -203,7 +203,7 @@ SELECT episode, i, round(l, 6) AS "left", round(k4, 6) AS "right", round(0.5 * (
   SELECT episode, i, knot AS l, lead(knot, 1) OVER w AS k1, lead(knot, 2) OVER w AS k2, lead(knot, 3) OVER w AS k3, lead(knot, 4) OVER w AS k4
   FROM knots WINDOW w AS (PARTITION BY episode ORDER BY i)) WHERE k4 IS NOT NULL""")
 def e13(spark, sf):
-    return v.rounded(K.geometry(v.knots(spark, sf)))
+    return v.rounded(K.geometry(v.knots(spark, sf)).drop("n"))
 
 
 SPANS = v.KNOTS + """,
@@ -240,8 +240,8 @@ gaps AS (SELECT episode, r, knot AS s, lead(knot, 3) OVER (PARTITION BY episode
 SELECT g.episode, g.r, round(g.s, 6) AS start_u, round(g.e, 6) AS end_u, (SELECT count(*) FROM frames f WHERE f.episode = g.episode AND f.u BETWEEN g.s AND g.e) AS covered
 FROM gaps g WHERE g.e IS NOT NULL""")
 def e17(spark, sf):
-    gaps = K.knot_gaps(v.unique_knots(spark, sf), 2).select("episode", "r", "start_u", "end_u")
-    return v.rounded(K.covered_frames(gaps, v.frames(spark, sf), EP))
+    gaps = K.knot_gaps(v.unique_knots(spark, sf), 2).select("episode", "n", "r", "start_u", "end_u")
+    return v.rounded(K.covered_frames(gaps, v.frames(spark, sf), EP, ["r"]).drop("n"))
 
 
 @query("e18_action_next_state", v.STATE + """,

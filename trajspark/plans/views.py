@@ -76,23 +76,33 @@ def frame_labels(spark: SparkSession, sf: str) -> DataFrame:
     return seg.label_equal_segments(frames(spark, sf), SEGMENTS)
 
 
-def pairings(spark: SparkSession, sf: str) -> DataFrame:
+def pairings(spark: SparkSession, sf: str, robot_frames: DataFrame | None = None) -> DataFrame:
     eps = episodes(spark, sf)
+    robot_frames = frames(spark, sf).select("episode", "frame", "dataset", "category") if robot_frames is None else robot_frames
     return sampling.balanced_pairs(
-        frames(spark, sf).where("dataset = 'robot'"), eps.where("dataset = 'robot'"),
-        eps.where("dataset = 'human'"), ["category"], SLOTS)
+        robot_frames.where("dataset = 'robot'").drop("dataset"), eps.where("dataset = 'robot'").select("episode", "n", "category"),
+        eps.where("dataset = 'human'").select("episode", "category"), ["category"], SLOTS)
+
+
+def partner_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Upper bound of label rows and of probes per partner episode, from the episode table."""
+    eps = episodes(spark, sf)
+    load = eps.groupBy("category").agg(
+        (F.sum(F.when(F.col("dataset") == "robot", F.col("n"))) * SLOTS / F.greatest(F.count_if(F.col("dataset") == "human"), F.lit(1))).alias("load"))
+    return eps.where("dataset = 'human'").join(load, "category").select(
+        F.col("episode").alias("partner"), F.ceil(F.greatest(F.col("n"), F.coalesce("load", F.lit(0)))).alias("size"))
 
 
 def knots(spark: SparkSession, sf: str) -> DataFrame:
     """Clamped cubic knots: u of every fifth inner frame, four-fold ends."""
     f = frames(spark, sf)
     inner = f.where(f"frame % {KNOT_EVERY} = 0 and frame > 0 and frame < n - 1").select(
-        "episode", (floor_div(F.col("frame"), KNOT_EVERY) + 3).alias("i"), F.col("u").alias("knot"))
+        "episode", "n", (floor_div(F.col("frame"), KNOT_EVERY) + 3).alias("i"), F.col("u").alias("knot"))
     m = F.greatest(floor_div(F.col("n") - 2, KNOT_EVERY), F.lit(0))
-    ends = episodes(spark, sf).select("episode", m.alias("m")).select(
-        "episode", F.explode(F.array(*[
+    ends = episodes(spark, sf).select("episode", "n", m.alias("m")).select(
+        "episode", "n", F.explode(F.array(*[
             F.struct(at.cast("long").alias("i"), F.lit(v).alias("knot"))
-            for k in range(4) for at, v in ((F.lit(k), 0.0), (F.col("m") + 4 + k, 1.0))])).alias("e")).select("episode", "e.*")
+            for k in range(4) for at, v in ((F.lit(k), 0.0), (F.col("m") + 4 + k, 1.0))])).alias("e")).select("episode", "n", "e.*")
     return inner.unionByName(ends)
 
 
@@ -102,7 +112,7 @@ def unique_knots(spark: SparkSession, sf: str) -> DataFrame:
     inner = F.greatest(floor_div(F.col("n") - 2, KNOT_EVERY), F.lit(0))
     keep = (F.col("frame") % KNOT_EVERY == 0) | (F.col("frame") == F.col("n") - 1)
     rank = F.when(F.col("frame") == F.col("n") - 1, inner + 1).otherwise(floor_div(F.col("frame"), KNOT_EVERY))
-    return f.where(keep & (F.col("n") > 1)).select("episode", rank.alias("r"), F.col("u").alias("knot"), (inner + 2).alias("kn"))
+    return f.where(keep & (F.col("n") > 1)).select("episode", "n", rank.alias("r"), F.col("u").alias("knot"), (inner + 2).alias("kn"))
 
 
 def coefficients(spark: SparkSession, sf: str) -> DataFrame:
