@@ -153,3 +153,8 @@ def variance_floor(df: DataFrame, vec: str, floor: float) -> DataFrame:
     """Mean squared shortfall of the per-dimension spread below ``floor``."""
     dims = df.select(F.posexplode(vec).alias("dim", "x")).groupBy("dim").agg(F.sqrt(F.var_pop("x") + 1e-4).alias("s"))
     return dims.agg(F.avg(F.pow(F.greatest(F.lit(floor) - F.col("s"), F.lit(0.0)), F.lit(2))).alias("variance_floor"))
+
+
+def merge_summaries(partial: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Sum partial summaries of independent runs."""
+    return partial.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns], F.count(F.lit(1)).alias("parts"))
