@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trajspark.functions import vectors as V
-from trajspark.operators.quantiles import quantiles
+from trajspark.operators.asof import asof
+from trajspark.operators.quantiles import quantiles, quantiles_long
 
 
 def vector_moments(df: DataFrame, keys: list[str], vec: str, floor: float = 1e-6) -> DataFrame:
@@ -15,6 +16,12 @@ def vector_moments(df: DataFrame, keys: list[str], vec: str, floor: float = 1e-6
         F.count("x").alias("count"), F.avg("x").alias("mean"), F.greatest(F.stddev_pop("x"), F.lit(floor)).alias("std"))
 
 
+def moment_vector(moments: DataFrame, col: str) -> Column:
+    """One moment of all dimensions as a vector, for use in expressions (a scalar subquery)."""
+    ordered = F.array_sort(F.collect_list(F.struct("dim", col)))
+    return moments.agg(F.transform(ordered, lambda r: r[col]).alias(col)).scalar()
+
+
 def moments_with_fallback(df: DataFrame, vec: str, train: Column) -> DataFrame:
     """Moments of the training rows, or of all rows when there is no training row."""
     dims = df.withColumn("_t", train).select("_t", F.posexplode(vec).alias("dim", "x")).withColumn("dim", F.col("dim").cast("long"))
@@ -28,19 +35,23 @@ def moments_with_fallback(df: DataFrame, vec: str, train: Column) -> DataFrame:
 
 def percentile_exemplars(df: DataFrame, value: str, probs: list[float], id_cols: list[str]) -> DataFrame:
     """For every quantile the first row closest to it."""
-    from trajspark.operators.quantiles import quantiles_long
-    targets = F.broadcast(quantiles_long(df, [], value, probs))  # one row per probability
-    gap = F.abs(F.col(value) - F.col("quantile"))
-    best = F.min_by(F.struct(value, *id_cols), F.struct(gap.alias("g"), *id_cols))
-    return df.crossJoin(targets).groupBy("prob", "quantile").agg(best.alias("b")).select("prob", "quantile", "b.*")
+    one = df.withColumn("_all", F.lit(1))
+    targets = quantiles_long(one, ["_all"], value, probs)
+    rows = one.groupBy("_all", value).agg(F.min(F.struct(*id_cols)).alias("first"))
+    found = asof(targets, rows, ["_all"], "quantile", value, ["first"], above="upper")
+    gap = lambda side: F.abs(F.col(f"{side}.v") - F.col("quantile"))
+    lower = F.col("upper").isNull() | (gap("lower") < gap("upper")) | ((gap("lower") == gap("upper")) & (F.col("lower.first") <= F.col("upper.first")))
+    best = F.when(lower, F.col("lower")).otherwise(F.col("upper"))
+    return found.withColumn("_b", best).select("prob", "quantile", F.col("_b.v").alias(value), "_b.first.*")
 
 
 def reason_counts(df: DataFrame, reason: str, tail: Column) -> DataFrame:
     """Rows per reason, how many of them touch the tail, and both fractions."""
     per = df.groupBy(reason).agg(F.count(F.lit(1)).alias("n"), F.count_if(tail).alias("tail_n"))
-    total = F.broadcast(per.agg(F.sum("n").alias("_n"), F.sum("tail_n").alias("_t")))  # one row
-    return per.crossJoin(total).select(reason, "n", "tail_n", (F.col("n") / F.col("_n")).alias("fraction"),
-                                       F.when(F.col("_t") > 0, F.col("tail_n") / F.col("_t")).alias("tail_fraction"))
+    every = W.partitionBy(F.lit(1))  # a handful of reasons
+    return per.withColumns({"_n": F.sum("n").over(every), "_t": F.sum("tail_n").over(every)}).select(
+        reason, "n", "tail_n", (F.col("n") / F.col("_n")).alias("fraction"),
+        F.when(F.col("_t") > 0, F.col("tail_n") / F.col("_t")).alias("tail_fraction"))
 
 
 def match_counts(df: DataFrame, keys: list[str]) -> DataFrame:

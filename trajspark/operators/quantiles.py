@@ -51,10 +51,12 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], pr
 
 def distribution(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """Count, mean, min, max and quantiles of the non-null values per group."""
+    if not keys:
+        return distribution(df.withColumn("_all", F.lit(1)), ["_all"], value, probs).drop("_all")
     basic = df.groupBy(*keys).agg(
         F.count(value).alias("count"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
     q = quantiles(df, keys, value, probs)
-    return basic.join(q, keys, "left") if keys else basic.join(q, F.lit(True), "left")
+    return basic.join(q, keys, "left")
 
 
 # Percentile families of the report jobs, in percent.

@@ -111,9 +111,10 @@ def stage_partition(windows: DataFrame, group: str, id_col: str, fractions: list
     ranked = with_hash_rank(windows, [], seed, id_col)
     total = ranked.groupBy().agg(F.count(F.lit(1)).alias("all_rows")).withColumn("k", F.lit(1))
     sizes = largest_remainder(total, "k", "all_rows", fractions)
-    ends = sizes.select("stage", "allocated", F.sum("allocated").over(W.partitionBy("k").orderBy("stage")).alias("end"))
-    inside = F.col("rank").between(F.col("end") - F.col("allocated"), F.col("end") - 1)
-    return ranked.join(F.broadcast(ends), inside).drop("n", "end", "allocated").withColumns({  # one row per stage
+    ends = sizes.select(F.sum("allocated").over(W.partitionBy("k").orderBy("stage")).alias("end"))
+    limits = ends.agg(F.array_sort(F.collect_list("end")).alias("ends")).scalar()  # one entry per stage
+    return ranked.drop("n").withColumns({
+        "stage": F.size(F.filter(limits, lambda e: e <= F.col("rank"))).cast("long"),
         "group_order": F.md5(F.concat(F.lit(f"{seed}/group:"), F.col(group).cast("string"))),
         "row_order": F.md5(F.concat(F.lit(f"{seed}/row:"), F.col(id_col).cast("string")))})
 
@@ -130,3 +131,23 @@ def known_names(df: DataFrame, col: str, names: list[str]) -> DataFrame:
     asked = df.sparkSession.createDataFrame([(x,) for x in names], f"{col} string")
     return asked.join(df.select(col).distinct().withColumn("_k", F.lit(True)), col, "left").select(
         col, F.col("_k").isNull().alias("unknown"))
+
+
+def top_k(df: DataFrame, keys: list[str], cost: str, tie: str, k: int, salts: int = 16) -> DataFrame:
+    """The ``k`` cheapest rows of each group, ties by ``tie``; salted parts keep their own ``k`` before the merge."""
+    part = W.partitionBy(*keys, "_salt").orderBy(cost, tie)
+    thin = df.withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(salts))).withColumn("_rk", F.row_number().over(part)).where(F.col("_rk") <= k)
+    return thin.withColumn("rk", F.row_number().over(W.partitionBy(*keys).orderBy(cost, tie))).where(F.col("rk") <= k).drop("_rk", "_salt")
+
+
+def slot_schedule(pairs: DataFrame, slot: str, schedule: list[int], epochs: int) -> DataFrame:
+    """Samples an epoch sees when slots rotate through ``schedule``."""
+    per = pairs.groupBy(slot).agg(F.count(F.lit(1)).alias("samples"))
+    turns = F.array(*[F.struct(F.lit(e).cast("long").alias("epoch"), F.lit(schedule[e % len(schedule)]).cast("long").alias("s")) for e in range(epochs)])
+    return per.withColumn("_t", F.explode(turns)).where(F.col("_t.s") == F.col(slot)).select("_t.epoch", slot, "samples")
+
+
+def first_by_hash(df: DataFrame, id_col: str, seed: str) -> DataFrame:
+    """The row that comes first in hashed order."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    return df.agg(F.min(F.struct(h.alias("h"), F.col(id_col).alias("id"))).alias("m")).where("m is not null").select(F.col("m.id").alias(id_col))

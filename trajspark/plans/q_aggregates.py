@@ -58,7 +58,7 @@ def d2b(spark, sf):
 
 
 @query("d2_knot_count_distribution", INTERVALS + """,
-cnt AS (SELECT 8 + (SELECT count(*) FROM knots k WHERE k.episode = i.episode AND k.knot > i.start_u AND k.knot < i.end_u) AS c FROM ivals i WHERE end_u > start_u + 1e-8)""",
+cnt AS (SELECT 8 + (SELECT count(*) FROM knots k WHERE k.episode = i.episode AND k.knot > i.start_u AND k.knot < i.end_u)::DOUBLE AS c FROM ivals i WHERE end_u > start_u + 1e-8)""",
        f"SELECT {_dist('c')}, {_p(family('knots'), 'c')} FROM cnt")
 def d2c(spark, sf):
     counts = K.interval_knot_counts(intervals(spark, sf), K.inner_knot_ranks(v.unique_knots(spark, sf)), EP, ["frame"])
@@ -218,14 +218,14 @@ def d9(spark, sf):
 
 
 @query("d11_fit_errors", v.FRAMES + """,
-er AS (SELECT episode, x / 100 AS latent, abs(x - 40) / 400 AS cosine, abs(u - 0.5) AS state FROM frames),
+er AS (SELECT episode, x / 100 AS latent, abs(x - 40) / 387 AS cosine, abs(u - 0.5) AS state FROM frames),
 ag AS (SELECT episode, max(latent) AS ml, max(cosine) AS mc, max(state) AS ms, max(greatest(latent / 1.5, cosine / 0.5, state / 0.4)) AS sev, avg(latent) AS al, avg(cosine) AS ac, avg(state) AS st,
   quantile_cont(latent, [0.95, 0.99]) AS ql, quantile_cont(cosine, [0.95, 0.99]) AS qc, quantile_cont(state, [0.95, 0.99]) AS qs FROM er GROUP BY episode)""", """
 SELECT episode, round(sev, 6) AS max_severity, round(ml, 6) AS max_latent, round(mc, 6) AS max_cosine, round(ms, 6) AS max_state, round(al, 6) AS mean_latent, round(ac, 6) AS mean_cosine,
   round(st, 6) AS mean_state, CASE WHEN ml / 1.5 >= mc / 0.5 AND ml / 1.5 >= ms / 0.4 THEN 'latent' WHEN mc / 0.5 >= ms / 0.4 THEN 'cosine' ELSE 'state' END AS limiting_error,
   round(ql[1], 6) AS p95_latent, round(ql[2], 6) AS p99_latent, round(qc[1], 6) AS p95_cosine, round(qc[2], 6) AS p99_cosine, round(qs[1], 6) AS p95_state, round(qs[2], 6) AS p99_state FROM ag""")
 def d11(spark, sf):
-    e = v.frames(spark, sf).select("episode", (F.col("x") / 100).alias("latent"), (F.abs(F.col("x") - 40) / 400).alias("cosine"), F.abs(F.col("u") - 0.5).alias("state"))
+    e = v.frames(spark, sf).select("episode", (F.col("x") / 100).alias("latent"), (F.abs(F.col("x") - 40) / 387).alias("cosine"), F.abs(F.col("u") - 0.5).alias("state"))
     return v.rounded(A.fit_errors(e, EP, {"latent": 1.5, "cosine": 0.5, "state": 0.4}))
 
 

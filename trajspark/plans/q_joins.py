@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions import scalars as Sc, vectors as V
 from trajspark.operators import knots as K, matching as M, segments as S, windows as Wn
-from trajspark.operators.aggregates import vector_moments
+from trajspark.operators.aggregates import moment_vector, vector_moments
 from trajspark.operators.asof import asof
 from trajspark.plans import views as v
 from trajspark.plans.registry import query
@@ -193,10 +193,9 @@ def c11(spark, sf):
 def gap_rmse(spark, sf, gap: int = 10):
     """Standardised distance of frames ``gap`` + 1 apart; the mean cancels, so only the spread is needed."""
     f = v.vec_frames(spark, sf)
-    sd = vector_moments(f, [], "vec", floor=1e-8).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "std"))), lambda r: r["std"]).alias("sd"))  # one row per dimension
+    sd = moment_vector(vector_moments(f, [], "vec", floor=1e-8), "std")
     pairs = Wn.shifted(f, EP, "frame", {"b": ("vec", gap + 1)}).where("b is not null")
-    return pairs.crossJoin(F.broadcast(sd)).withColumn("rmse", V.rms(F.zip_with(V.minus(F.col("b"), F.col("vec")), F.col("sd"), lambda d, s: d / s)))
+    return pairs.withColumn("sd", sd).withColumn("rmse", V.rms(F.zip_with(V.minus(F.col("b"), F.col("vec")), F.col("sd"), lambda d, s: d / s)))
 
 
 @query("c13_exclusions", None, """
@@ -263,7 +262,7 @@ def c16(spark, sf):
     rows = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(c).alias("category_id"), s.cast("long").alias("start"), e.cast("long").alias("end_exclusive")) for o, c, s, e in (
         (0, "a", F.lit(0), div(mm, 3)), (1, "b", div(mm, 4), div(2 * mm, 3)), (2, "c", div(2 * mm, 3), mm - 2))])
     ranges = m.select(F.explode(rows).alias("r")).select("r.*")
-    return M.category_ranges(eps, F.broadcast(ranges), "episode")  # three rows
+    return M.category_ranges(eps, ranges, "episode")
 
 
 @query("c17_nearest_row", v.FRAMES + """,

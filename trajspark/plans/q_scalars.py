@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions import scalars as Sc, vectors as V
 from trajspark.operators import windows as Wn
-from trajspark.operators.aggregates import vector_moments
+from trajspark.operators.aggregates import moment_vector, vector_moments
 from trajspark.operators.sampling import first_n_per_group, known_names
 from trajspark.plans import views as v
 from trajspark.plans.registry import query
@@ -124,10 +124,8 @@ mom AS (SELECT d, avg(x) AS mu, greatest(stddev_pop(x), 1e-6) AS sd FROM dims GR
 SELECT episode, frame, d AS dim, round((x - mu) / sd, 6) AS value FROM dims JOIN mom USING (d)""")
 def b10(spark, sf):
     s = v.state_frames(spark, sf)
-    mom = vector_moments(s, [], "state").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda r: r["mean"]).alias("mu"),
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "std"))), lambda r: r["std"]).alias("sd"))  # one row per dimension
-    z = s.crossJoin(F.broadcast(mom)).select("episode", "frame", F.posexplode(V.standardize(F.col("state"), F.col("mu"), F.col("sd"))).alias("dim", "value"))
+    mom = vector_moments(s, [], "state")
+    z = s.withColumns({"mu": moment_vector(mom, "mean"), "sd": moment_vector(mom, "std")}).select("episode", "frame", F.posexplode(V.standardize(F.col("state"), F.col("mu"), F.col("sd"))).alias("dim", "value"))
     return v.rounded(z.withColumn("dim", F.col("dim").cast("long")))
 
 
