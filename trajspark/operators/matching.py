@@ -116,8 +116,8 @@ def reconcile(local: DataFrame, remote: DataFrame) -> DataFrame:
 def category_ranges(df: DataFrame, ranges: DataFrame, index: str) -> DataFrame:
     """First half-open range holding the index; ``ranges`` is the configured category table (ord, start, end_exclusive, category_id)."""
     listed = ranges.agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end_exclusive", "category_id"))).alias("r")).scalar()
-    holding = F.filter(listed, lambda r: (r["start"] <= F.col(index)) & (F.col(index) < r["end_exclusive"]))
-    return df.withColumn("category_id", F.get(holding, F.lit(0))["category_id"])
+    holding = F.filter("_ranges", lambda r: (r["start"] <= F.col(index)) & (F.col(index) < r["end_exclusive"]))
+    return df.withColumn("_ranges", listed).withColumn("category_id", F.get(holding, F.lit(0))["category_id"]).drop("_ranges")
 
 
 def fixed_pairs(frames: DataFrame, pairs: DataFrame, slots: int) -> DataFrame:

@@ -113,10 +113,10 @@ def stage_partition(windows: DataFrame, group: str, id_col: str, fractions: list
     sizes = largest_remainder(total, "k", "all_rows", fractions)
     ends = sizes.select(F.sum("allocated").over(W.partitionBy("k").orderBy("stage")).alias("end"))
     limits = ends.agg(F.array_sort(F.collect_list("end")).alias("ends")).scalar()  # one entry per stage
-    return ranked.drop("n").withColumns({
-        "stage": F.size(F.filter(limits, lambda e: e <= F.col("rank"))).cast("long"),
+    return ranked.drop("n").withColumn("_ends", limits).withColumns({
+        "stage": F.size(F.filter("_ends", lambda e: e <= F.col("rank"))).cast("long"),
         "group_order": F.md5(F.concat(F.lit(f"{seed}/group:"), F.col(group).cast("string"))),
-        "row_order": F.md5(F.concat(F.lit(f"{seed}/row:"), F.col(id_col).cast("string")))})
+        "row_order": F.md5(F.concat(F.lit(f"{seed}/row:"), F.col(id_col).cast("string")))}).drop("_ends")
 
 
 def first_n_per_group(df: DataFrame, keys: list[str], id_col: str, n: int, size: int = 65536) -> DataFrame:

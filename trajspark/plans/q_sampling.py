@@ -60,11 +60,11 @@ def f5(spark, sf):
 
 
 @query("f6_stratified_split", None, """
-SELECT c_custkey, category, CASE WHEN n > 1 AND rk < least(greatest(round_even(n * 0.15, 0)::BIGINT, 2), n - 1) THEN 'val' ELSE 'train' END AS split
+SELECT c_custkey, category::BIGINT AS category, CASE WHEN n > 1 AND rk < least(greatest(round_even(n * 0.15, 0)::BIGINT, 2), n - 1) THEN 'val' ELSE 'train' END AS split
 FROM (SELECT c_custkey, c_nationkey AS category, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('v:' || c_custkey), c_custkey) - 1 AS rk, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)""")
 def f6(spark, sf):
     df = v.table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("category"))
-    return Sp.stratified_split(df, ["category"], "c_custkey", 0.15, 2, "v").select("c_custkey", F.col("category").cast("int").alias("category"), "split")
+    return Sp.stratified_split(df, ["category"], "c_custkey", 0.15, 2, "v").select("c_custkey", F.col("category").cast("long").alias("category"), "split")
 
 
 @query("f7_balanced_pairs", v.PAIRS, "SELECT category, episode, frame, slot, partner FROM pairings")
