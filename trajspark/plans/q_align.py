@@ -1 +1,180 @@
+"""Alignment family: distances, time warping, boundary votes and label transfer."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trajspark.functions import vectors as V
+from trajspark.operators import align as Al, votes as Vo, windows as Wn
+from trajspark.operators.segments import segment_problems
+from trajspark.plans import views as v
+from trajspark.plans.registry import query
+
+PARTS = 4
+
+
+def _unit(spark, sf, smooth: int = 3):
+    f = Wn.mean_smooth(v.vec_frames(spark, sf), v.EPISODE, "frame", "n", "vec", smooth, "m")
+    return f.select("episode", "frame", "n", V.l2_normalize(F.col("m")).alias("vec"))
+
+
+def _vector_pairs(spark, sf):
+    """References 0-4 and targets 5-9, paired when their labels agree modulo 5 or differ by one."""
+    labels = v.table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("e")).distinct()
+    refs = labels.where("e < 5").select(F.col("e").alias("ref"), F.explode(F.expr("array(e + 5, (e + 1) % 5 + 5)")).alias("target"))
+    return refs.join(labels.select(F.col("e").alias("target")), "target", "left_semi")
+
+
+@query("c12_pair_distance", v.VEC + """,
+unit AS (SELECT episode, frame, n, list_transform(vec, lambda x: x / greatest(sqrt(list_dot_product(vec, vec)), 1e-12)) AS vec FROM vec_frames)""", """
+SELECT r.episode AS ref, t.episode AS target, r.frame AS ref_frame, t.frame AS target_frame, round(least(greatest(1 - list_dot_product(r.vec, t.vec), 0), 2), 6) AS distance,
+  round(greatest(1 - list_dot_product(r.vec, t.vec) + 0.02 * abs(r.frame / greatest(r.n - 1, 1)::DOUBLE - t.frame / greatest(t.n - 1, 1)::DOUBLE), 0), 6) AS prior_distance
+FROM unit r JOIN unit t ON r.episode < 5 AND (t.episode = r.episode + 5 OR t.episode = (r.episode + 1) % 5 + 5)""")
+def c12(spark, sf):
+    f = v.vec_frames(spark, sf).select("episode", "frame", "n", V.l2_normalize(F.col("vec")).alias("vec"))
+    return v.rounded(Al.pair_distances(_vector_pairs(spark, sf), f.where("episode < 5"), f.where("episode >= 5"), 0.02))
+
+
+@query("h1_dtw_align")
+def h1(spark, sf):
+    f = _unit(spark, sf)
+    return v.rounded(Al.dtw_paths(_vector_pairs(spark, sf), f.where("episode < 5"), f.where("episode >= 5"), Al.one_reference()))
+
+
+@query("h2_dtw_costs")
+def h2(spark, sf):
+    f = _unit(spark, sf)
+    return v.rounded(Al.pair_costs(Al.dtw_paths(_vector_pairs(spark, sf), f.where("episode < 5"), f.where("episode >= 5"), Al.many_references())))
+
+
+def _vector_boundaries(spark, sf, pairs):
+    """Inner boundaries of equal segments of every reference, next to the lengths of both episodes."""
+    n = v.table(spark, sf, "embeddings").groupBy(F.col("label").cast("long").alias("e")).agg(F.count(F.lit(1)).alias("n"))
+    return _boundaries(pairs.join(n.select(F.col("e").alias("ref"), F.col("n").alias("ref_n")), "ref").join(
+        n.select(F.col("e").alias("target"), F.col("n").alias("target_n")), "target"))
+
+
+def _boundaries(sized):
+    out = sized.withColumn("index", F.explode(F.sequence(F.lit(1), F.lit(PARTS - 1)).cast("array<bigint>")))
+    size, extra = F.floor(F.col("ref_n") / PARTS), F.col("ref_n") % PARTS
+    start = F.col("index") * size + F.least(F.col("index"), extra)
+    return out.select("target", "ref", "index", start.cast("long").alias("ref_boundary"), "ref_n", "target_n")
+
+
+@query("h3_transfer_labels")
+def h3(spark, sf):
+    """Aligned references vote on the boundaries of every target; the fused segments are checked before they count."""
+    f = _unit(spark, sf)
+    pairs = _vector_pairs(spark, sf)
+    cells = Al.dtw_paths(pairs, f.where("episode < 5"), f.where("episode >= 5"), Al.many_references())
+    voted = Vo.window_median_boundary(_vector_boundaries(spark, sf, pairs), cells, Vo.frame_mapping(cells), 2)
+    costs = Al.pair_costs(cells).select("ref", "target", F.col("normalized_cost").alias("cost"))
+    votes = voted.join(costs, ["target", "ref"]).withColumns({"weight": Vo.reference_weight("cost", 0.25), "parts": F.lit(PARTS).cast("long")})
+    scored = Vo.boundary_confidence(Vo.fuse_boundaries(votes, 2), 0.25)
+    seg = Vo.transfer_segments(scored, F.concat(F.lit("seg_"), F.col("segment_id").cast("string")))
+    checked = seg.withColumnsRenamed({"target": "episode"}).withColumns({"pos": F.col("segment_id"), "end_inclusive": F.col("end_frame") - 1})
+    lengths = scored.groupBy(F.col("target").alias("episode")).agg(F.max("target_n").alias("length"))
+    bad = segment_problems(checked, lengths).select(F.col("episode").alias("target")).distinct()
+    return v.rounded(seg.join(bad, "target", "left_anti"))
+
+
+VOTED = v.EPISODES + f""",
+vp AS (SELECT t.episode AS target, r.episode AS ref, r.n AS rn, t.n AS tn, (t.episode * 7 + r.episode * 3) % 3 AS jit, ((t.episode * 31 + r.episode * 17) % 97) / 197.0::DOUBLE AS cost
+  FROM episodes t JOIN episodes r ON r.category = t.category WHERE t.dataset = 'robot' AND r.dataset = 'human' AND r.episode % 10 = 1),
+runs AS (SELECT p.*, i.i AS ref_frame, least(i.i * tn // rn + jit, tn - 1) AS lo, least(greatest(i.i * tn // rn + 1, (i.i + 1) * tn // rn) + jit, tn) AS hi
+  FROM vp p, LATERAL (SELECT unnest(range(p.rn)) AS i) i WHERE (i.i + p.target) % 6 <> 0),
+path AS (SELECT target, ref, ref_frame, j.j AS target_frame, ((ref_frame * 13 + j.j * 7) % 50) / 40.0::DOUBLE AS distance FROM runs, LATERAL (SELECT unnest(range(lo, hi)) AS j) j),
+mapping AS (SELECT target, ref, ref_frame, min(target_frame) AS target_min, median(target_frame) AS target_median, max(target_frame) AS target_max, count(*) AS matches FROM path GROUP BY ALL),
+bnd AS (SELECT target, ref, k.k AS idx, k.k * (rn // {PARTS}) + least(k.k, rn % {PARTS}) AS b, rn, tn, cost FROM vp, range(1, {PARTS}) k(k))"""
+
+
+def _synthetic(spark, sf):
+    """Monotone frame paths between episodes of one category, with gaps, from episode lengths alone."""
+    eps = v.episodes(spark, sf)
+    t = eps.where("dataset = 'robot'").select(F.col("episode").alias("target"), F.col("n").alias("tn"), "category")
+    r = eps.where("dataset = 'human' and episode % 10 = 1").select(F.col("episode").alias("ref"), F.col("n").alias("rn"), "category")
+    pairs = t.join(r, "category").select(
+        "target", "ref", "rn", "tn", ((F.col("target") * 7 + F.col("ref") * 3) % 3).alias("jit"),
+        (((F.col("target") * 31 + F.col("ref") * 17) % 97) / 197.0).alias("cost"))
+    frames = v.frames(spark, sf).where("dataset = 'human' and episode % 10 = 1").select(F.col("episode").alias("ref"), F.col("frame").alias("ref_frame"))
+    placed = pairs.join(frames, "ref").where((F.col("ref_frame") + F.col("target")) % 6 != 0)
+    at = lambda i: F.expr(f"({i}) * tn div rn")
+    lo = F.least(at("ref_frame") + F.col("jit"), F.col("tn") - 1)
+    hi = F.least(F.greatest(at("ref_frame") + 1, at("ref_frame + 1")) + F.col("jit"), F.col("tn"))
+    path = placed.withColumns({"lo": lo, "hi": hi}).where("hi > lo").withColumn("target_frame", F.explode(F.expr("sequence(lo, hi - 1)")))
+    path = path.select("target", "ref", "ref_frame", "target_frame", (((F.col("ref_frame") * 13 + F.col("target_frame") * 7) % 50) / 40.0).alias("distance"))
+    bounds = _boundaries(pairs.select("target", "ref", F.col("rn").alias("ref_n"), F.col("tn").alias("target_n")))
+    return pairs, path, bounds
+
+
+@query("d16_frame_mapping", VOTED, "SELECT target, ref, ref_frame, target_min, round(target_median, 6) AS target_median, target_max, matches FROM mapping")
+def d16(spark, sf):
+    return Vo.frame_mapping(_synthetic(spark, sf)[1])
+
+
+@query("d17_two_sided_boundary", VOTED + """,
+near AS (SELECT b.target, b.ref, b.idx, median(m.target_median) FILTER (WHERE m.ref_frame < b.b) AS l, median(m.target_median) FILTER (WHERE m.ref_frame >= b.b AND m.ref_frame < b.b + 1) AS r, median(m.target_median) AS c
+  FROM bnd b JOIN mapping m ON m.target = b.target AND m.ref = b.ref AND m.ref_frame BETWEEN b.b - 1 AND b.b + 1 GROUP BY ALL)""", """
+SELECT b.target, b.ref, b.idx AS "index", CASE WHEN l IS NOT NULL AND r IS NOT NULL THEN 'two_sided_median' WHEN c IS NOT NULL THEN 'symmetric_median_fallback' ELSE 'duration_ratio_fallback' END AS method,
+  least(greatest(floor(CASE WHEN l IS NOT NULL AND r IS NOT NULL THEN (l + r) / 2 WHEN c IS NOT NULL THEN c ELSE b.b * b.tn / b.rn::DOUBLE END + 0.5), 1), b.tn - 1)::BIGINT AS raw_boundary
+FROM bnd b LEFT JOIN near n ON n.target = b.target AND n.ref = b.ref AND n.idx = b.idx""")
+def d17(spark, sf):
+    _, path, bounds = _synthetic(spark, sf)
+    return Vo.two_sided_boundary(bounds, Vo.frame_mapping(path), 1).select("target", "ref", "index", "method", "raw_boundary")
+
+
+def _votes_ctes(window: int) -> str:
+    return f""",
+inside AS (SELECT b.target, b.ref, b.idx, median(p.target_frame) AS med FROM bnd b JOIN path p ON p.target = b.target AND p.ref = b.ref AND p.ref_frame BETWEEN b.b - {window} AND b.b + {window} GROUP BY ALL),
+far AS (SELECT b.target, b.ref, b.idx, arg_min(m.target_median, (abs(m.ref_frame - b.b), m.ref_frame)) AS near FROM bnd b JOIN mapping m ON m.target = b.target AND m.ref = b.ref GROUP BY ALL),
+votes AS (SELECT b.target, b.ref, b.idx, b.tn, b.cost, exp(-b.cost / 0.25) AS weight, coalesce(round_even(i.med, 0), round_even(f.near, 0), b.b)::BIGINT AS vote
+  FROM bnd b LEFT JOIN inside i ON i.target = b.target AND i.ref = b.ref AND i.idx = b.idx LEFT JOIN far f ON f.target = b.target AND f.ref = b.ref AND f.idx = b.idx)"""
+
+
+def _votes(spark, sf, window: int):
+    pairs, path, bounds = _synthetic(spark, sf)
+    voted = Vo.window_median_boundary(bounds, path, Vo.frame_mapping(path), window)
+    return voted.join(pairs.select("target", "ref", "cost"), ["target", "ref"]).withColumns({
+        "weight": Vo.reference_weight("cost", 0.25), "parts": F.lit(PARTS).cast("long")})
+
+
+@query("d18_window_median_boundary", VOTED + _votes_ctes(0), 'SELECT target, ref, idx AS "index", vote FROM votes')
+def d18(spark, sf):
+    return _votes(spark, sf, 0).select("target", "ref", "index", "vote")
+
+
+@query("d15_boundary_similarity", VOTED + """,
+near AS (SELECT b.target, b.ref, b.idx, avg(p.distance) AS d FROM bnd b LEFT JOIN path p ON p.target = b.target AND p.ref = b.ref AND p.ref_frame BETWEEN b.b - 1 AND b.b GROUP BY ALL)""", """
+SELECT target, ref, idx AS "index", round(coalesce(d, 2), 6) AS mean_distance, round(1 - coalesce(d, 2), 6) AS mean_similarity, round(least(greatest(1 - coalesce(d, 2) / 2, 0), 1), 6) AS confidence FROM near""")
+def d15(spark, sf):
+    _, path, bounds = _synthetic(spark, sf)
+    return v.rounded(Vo.boundary_similarity(bounds, path, 1))
+
+
+FUSED = VOTED + _votes_ctes(2) + f""",
+best AS (SELECT target, ref FROM (SELECT target, ref, row_number() OVER (PARTITION BY target ORDER BY cost, ref) AS rk FROM vp) WHERE rk <= 3),
+top AS (SELECT v.*, sum(weight) OVER (PARTITION BY target, idx ORDER BY vote, ref) AS cum, sum(weight) OVER (PARTITION BY target, idx) AS tot FROM votes v JOIN best USING (target, ref)),
+st AS (SELECT target, idx, min(vote) FILTER (WHERE cum >= tot * 0.5) AS weighted_median, min(vote) AS vote_min, max(vote) AS vote_max, stddev_pop(vote) AS vote_std, count(*) AS num_votes, avg(cost) AS mean_cost, max(tn) AS tn FROM top GROUP BY target, idx),
+mono AS (SELECT *, idx + greatest(0, max(least(weighted_median - idx, tn - {PARTS})) OVER (PARTITION BY target ORDER BY idx)) AS boundary FROM st)"""
+
+
+@query("d12_weighted_median", FUSED, 'SELECT target, idx AS "index", weighted_median FROM st')
+def d12(spark, sf):
+    from trajspark.operators.sampling import top_k
+    votes = _votes(spark, sf, 2)
+    best = top_k(votes.groupBy("target", "ref").agg(F.first("cost").alias("cost")), ["target"], "cost", "ref", 3).select("target", "ref")
+    return Vo.weighted_median(votes.join(best, ["target", "ref"], "left_semi"), ["target", "index"], "vote", "weight")
+
+
+@query("d13_fuse_boundaries", FUSED, 'SELECT target, idx AS "index", weighted_median, vote_min, vote_max, round(vote_std, 6) AS vote_std, num_votes, boundary::BIGINT AS boundary FROM mono')
+def d13(spark, sf):
+    return v.rounded(Vo.fuse_boundaries(_votes(spark, sf, 2), 3).select(
+        "target", "index", "weighted_median", "vote_min", "vote_max", "vote_std", "num_votes", "boundary"))
+
+
+@query("d14_boundary_confidence", FUSED, """
+SELECT target, idx AS "index", round(1 / (1 + vote_std / 5), 6) AS agreement, round(exp(-mean_cost / 0.25), 6) AS match_quality,
+  round(least(greatest(1 / (1 + vote_std / 5) * exp(-mean_cost / 0.25), 0), 1), 6) AS confidence FROM mono""")
+def d14(spark, sf):
+    scored = Vo.boundary_confidence(Vo.fuse_boundaries(_votes(spark, sf, 2), 3), 0.25)
+    return v.rounded(scored.select("target", "index", "agreement", "match_quality", "confidence"))
