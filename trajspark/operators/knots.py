@@ -235,3 +235,10 @@ def nearest_row(probes: DataFrame, frames: DataFrame, u: str, ahead: int) -> Dat
 def inner_knot_ranks(unique_knots: DataFrame) -> DataFrame:
     """Distinct knots with ``cum``: inner knots up to and including each (both clamped ends count none)."""
     return unique_knots.withColumn("cum", F.least(F.col("r"), F.col("kn") - 2))
+
+
+def worst_free_frame(errors: DataFrame, taken: DataFrame, spacing: int) -> DataFrame:
+    """Per episode the inner frame with the largest error at least ``spacing`` frames from every taken one (the later one on ties)."""
+    blocked = taken.select("episode", F.explode(F.sequence(F.col("frame") - (spacing - 1), F.col("frame") + (spacing - 1))).alias("frame"))
+    free = errors.where("frame > 0 and frame < n - 1").join(blocked, ["episode", "frame"], "left_anti")
+    return free.groupBy("episode").agg(F.max(F.struct("error", "frame")).alias("b")).select("episode", "b.frame", "b.error")

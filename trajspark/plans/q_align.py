@@ -9,6 +9,7 @@ from trajspark.operators import align as Al, votes as Vo, windows as Wn
 from trajspark.operators.segments import segment_problems
 from trajspark.plans import views as v
 from trajspark.plans.registry import query
+from trajspark.session import cut_lineage
 
 PARTS = 4
 
@@ -66,7 +67,7 @@ def h3(spark, sf):
     """Aligned references vote on the boundaries of every target; the fused segments are checked before they count."""
     f = _unit(spark, sf)
     pairs = _vector_pairs(spark, sf)
-    cells = Al.dtw_paths(pairs, f.where("episode < 5"), f.where("episode >= 5"), Al.many_references())
+    cells = cut_lineage(Al.dtw_paths(pairs, f.where("episode < 5"), f.where("episode >= 5"), Al.many_references()))  # used several times
     voted = Vo.window_median_boundary(_vector_boundaries(spark, sf, pairs), cells, Vo.frame_mapping(cells), 2)
     costs = Al.pair_costs(cells).select("ref", "target", F.col("normalized_cost").alias("cost"))
     votes = voted.join(costs, ["target", "ref"]).withColumns({"weight": Vo.reference_weight("cost", 0.25), "parts": F.lit(PARTS).cast("long")})

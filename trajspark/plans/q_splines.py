@@ -1 +1,183 @@
+"""Spline family: curve evaluation, bases, restrictions, fits and pair scoring."""
 
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from trajspark.functions import vectors as V
+from trajspark.operators import fits, knots as K, windows as Wn
+from trajspark.operators.aggregates import moment_vector, vector_moments
+from trajspark.plans import views as v
+from trajspark.plans.q_joins import intervals
+from trajspark.plans.registry import query
+
+EP = v.EPISODE
+
+
+def fit_frames(spark, sf):
+    """Frames of the vector episodes on an even clock, with the first four dimensions as the state channel."""
+    f = v.vec_frames(spark, sf)
+    return f.select("episode", "frame", (F.col("frame") / 23.0).alias("t"), (F.col("frame") / (F.col("n") - 1)).cast("float").cast("double").alias("u"),
+                    F.col("vec").alias("latent"), F.slice("vec", 1, 4).alias("state"))
+
+
+def moments_of(frames, columns):
+    """Normalisation vectors for the task functions: one short row per channel."""
+    out = {}
+    for c in columns:
+        row = vector_moments(frames, [], c).agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "std"))).alias("m")).first()["m"]
+        out[c] = (np.array([r["mean"] for r in row]), np.array([r["std"] for r in row]))
+    return out
+
+
+@query("h4_fit_interpolating_spline")
+def h4(spark, sf):
+    f = fit_frames(spark, sf)
+    out = fits.fit_interpolating(f, moments_of(f, ["latent", "state"]), fits.Limits(latent=0.6, cosine=0.2, channels={"state": 1.0}))
+    return v.rounded(out.select("episode", "status", "satisfied", "iterations", "frames", "knots", "max_severity", "limiting_error", "out_of_range_percent"))
+
+
+@query("h5_fit_bspline")
+def h5(spark, sf):
+    f = fit_frames(spark, sf)
+    out = fits.fit_bspline(f, moments_of(f, ["latent", "state"]), fits.Limits(latent=0.6, cosine=0.3, channels={"state": 1.0}), most=40, spacing=1)
+    return v.rounded(out.select("episode", "status", "satisfied", "iterations", "frames", "knots", "max_severity", "limiting_error", "out_of_range_percent"))
+
+
+@query("f10_worst_error_picks", v.VEC + f""",
+z AS (SELECT episode, frame, n, sqrt(list_dot_product(vec, vec)) AS e FROM vec_frames),
+r AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY e DESC, frame DESC) AS rk FROM z WHERE frame > 0 AND frame < n - 1 AND frame % 5 <> 0 AND frame % 5 <> 1 AND frame % 5 <> 4)""", """
+SELECT episode, frame, round(e, 6) AS error FROM r WHERE rk = 1""")
+def f10(spark, sf):
+    """One greedy step: the worst inner frame at least two frames away from the knots at every fifth frame."""
+    f = v.vec_frames(spark, sf).withColumn("error", V.norm(F.col("vec")))
+    taken = f.where("frame % 5 = 0").select("episode", "frame")
+    return v.rounded(K.worst_free_frame(f.select("episode", "frame", "n", "error"), taken, 2))
+
+
+PCHIP = v.KNOTS + """,
+pk AS (SELECT k.episode, k.r, k.kn, k.knot AS u, f.x AS y FROM unique_knots k JOIN frames f ON f.episode = k.episode AND f.u = k.knot),
+st AS (SELECT *, lead(u) OVER w - u AS h, (lead(y) OVER w - y) / (lead(u) OVER w - u) AS m FROM pk WINDOW w AS (PARTITION BY episode ORDER BY r)),
+nb AS (SELECT *, lag(h) OVER w AS hp, lag(m) OVER w AS mp, lag(h, 2) OVER w AS hpp, lag(m, 2) OVER w AS mpp, lead(h) OVER w AS hn, lead(m) OVER w AS mn FROM st WINDOW w AS (PARTITION BY episode ORDER BY r)),
+raw AS (SELECT *, CASE WHEN r = 0 THEN ((2 * h + hn) * m - h * mn) / (h + hn) WHEN r = kn - 1 THEN ((2 * hp + hpp) * mp - hp * mpp) / (hp + hpp) END AS d,
+  CASE WHEN r = 0 THEN m ELSE mp END AS m0, CASE WHEN r = 0 THEN mn ELSE mpp END AS m1 FROM nb),
+sl AS (SELECT episode, r, kn, u, y, CASE WHEN kn = 2 THEN coalesce(m, mp) WHEN r = 0 OR r = kn - 1 THEN
+    CASE WHEN sign(d) <> sign(m0) THEN 0 WHEN sign(m0) <> sign(m1) AND abs(d) > 3 * abs(m0) THEN 3 * m0 ELSE d END
+  WHEN sign(mp) <> sign(m) OR mp = 0 OR m = 0 THEN 0 ELSE (3 * h + 3 * hp) / ((2 * h + hp) / mp + (h + 2 * hp) / m) END AS s FROM raw),
+pc AS (SELECT *, lead(u) OVER w AS u1, lead(y) OVER w AS y1, lead(s) OVER w AS s1 FROM sl WINDOW w AS (PARTITION BY episode ORDER BY r)),
+ev AS (SELECT f.episode, f.frame, p.*, (f.u - p.u) / (p.u1 - p.u) AS q, p.u1 - p.u AS hh FROM frames f ASOF JOIN (SELECT * FROM pc WHERE u1 IS NOT NULL) p ON p.episode = f.episode AND f.u >= p.u)"""
+
+
+@query("h6_eval_pchip", PCHIP, """
+SELECT episode, frame, round((1 + 2 * q) * (1 - q) * (1 - q) * y + q * (1 - q) * (1 - q) * hh * s + q * q * (3 - 2 * q) * y1 + q * q * (q - 1) * hh * s1, 6) AS value FROM ev""")
+def h6(spark, sf):
+    f = v.frames(spark, sf)
+    keep = (F.col("frame") % v.KNOT_EVERY == 0) | (F.col("frame") == F.col("n") - 1)
+    inner = F.greatest(F.floor((F.col("n") - 2) / v.KNOT_EVERY), F.lit(0)).cast("long")
+    r = F.when(F.col("frame") == F.col("n") - 1, inner + 1).otherwise(F.floor(F.col("frame") / v.KNOT_EVERY)).cast("long")
+    knots = f.where(keep & (F.col("n") > 1)).select("episode", "n", r.alias("r"), "u", F.col("x").alias("y"), (inner + 2).alias("kn"))
+    return v.rounded(K.eval_pchip(f.select("episode", "frame", "n", "u"), K.pchip_slopes(knots)).select("episode", "frame", "value"))
+
+
+def _basis_ctes(points: str) -> str:
+    """Textbook recursion over all basis functions of every point, degree by degree."""
+    out = f""",
+pts AS ({points}),
+kk AS (SELECT episode, i, knot AS t0, lead(knot, 1) OVER w AS t1, lead(knot, 2) OVER w AS t2, lead(knot, 3) OVER w AS t3, lead(knot, 4) OVER w AS t4 FROM knots WINDOW w AS (PARTITION BY episode ORDER BY i)),
+lastspan AS (SELECT episode, max(i) AS li FROM kk WHERE t1 > t0 GROUP BY episode),
+b0 AS (SELECT p.episode, p.pid, p.u, k.i, k.t0, k.t1, k.t2, k.t3, k.t4, CASE WHEN (p.u >= 1 AND k.i = l.li) OR (p.u < 1 AND k.t0 <= p.u AND p.u < k.t1) THEN 1.0::DOUBLE ELSE 0.0 END AS n, 0.0::DOUBLE AS d, 0.0::DOUBLE AS e
+  FROM pts p JOIN kk k USING (episode) JOIN lastspan l USING (episode) WHERE k.t1 IS NOT NULL)"""
+    for p in (1, 2, 3):
+        hi, hi1 = f"t{p}", f"t{p + 1}"
+        left, right = f"nullif(a.{hi} - a.t0, 0)", f"nullif(a.{hi1} - a.t1, 0)"
+        term = lambda x, y: f"coalesce({x} / {left}, 0) + coalesce({y} / {right}, 0)"
+        out += f""",
+b{p} AS (SELECT a.episode, a.pid, a.u, a.i, a.t0, a.t1, a.t2, a.t3, a.t4, {term('(a.u - a.t0) * a.n', f'(a.{hi1} - a.u) * b.n')} AS n,
+  {term('(a.n + (a.u - a.t0) * a.d)', f'(-b.n + (a.{hi1} - a.u) * b.d)')} AS d, {term('(2 * a.d + (a.u - a.t0) * a.e)', f'(-2 * b.d + (a.{hi1} - a.u) * b.e)')} AS e
+  FROM b{p - 1} a JOIN b{p - 1} b ON b.episode = a.episode AND b.pid = a.pid AND b.i = a.i + 1)"""
+    return out
+
+
+@query("h7_bspline_basis", v.KNOTS + _basis_ctes("SELECT episode, frame AS pid, u FROM frames"), """
+SELECT episode, pid AS frame, i, round(n, 6) AS basis, round(d, 4) AS d1, round(e, 2) AS d2 FROM b3 WHERE i BETWEEN
+  (SELECT max(k.i) FROM kk k WHERE k.episode = b3.episode AND k.t1 > k.t0 AND k.t0 <= b3.u) - 3 AND (SELECT max(k.i) FROM kk k WHERE k.episode = b3.episode AND k.t1 > k.t0 AND k.t0 <= b3.u)""")
+def h7(spark, sf):
+    points = v.frames(spark, sf).select("episode", "n", "frame", "u")
+    return K.cubic_basis(points, v.knots(spark, sf), "u").select(
+        "episode", "frame", "i", F.round("basis", 6).alias("basis"), F.round("d1", 4).alias("d1"), F.round("d2", 2).alias("d2"))
+
+
+@query("h8_phase_basis", v.KNOTS + _basis_ctes("SELECT episode, b.b AS pid, (b.b + 0.5) / 16.0 AS u FROM shape, range(16) b(b)"), """
+SELECT episode, pid AS bin, i, round(n, 6) AS basis FROM b3 WHERE n > 1e-9""")
+def h8(spark, sf):
+    bins = v.episodes(spark, sf).select("episode", "n", F.explode(F.sequence(F.lit(0), F.lit(15)).cast("array<bigint>")).alias("bin")).withColumn("u", (F.col("bin") + 0.5) / 16.0)
+    return v.rounded(K.cubic_basis(bins, v.knots(spark, sf), "u").where("basis > 1e-9").select("episode", "bin", "i", "basis"))
+
+
+GRID = """SELECT f.episode, f.frame * 10 + g.g AS pid, f.u + g.g / 4.0 * (least(f.u + 0.2, 1) - f.u) AS u FROM frames f, range(5) g(g) WHERE f.frame % 7 = 0 AND f.frame < f.n - 1"""
+
+
+@query("h9_eval_interval", v.KNOTS + _basis_ctes(GRID), """
+SELECT b.episode, b.pid // 10 AS frame, b.pid % 10 AS g, round(sum(b.n * c.coef), 5) AS position, round(sum(b.d * c.coef) * greatest(least(max(f.u) + 0.2, 1) - max(f.u), 1e-6), 3) AS velocity,
+  round(sum(b.e * c.coef) * greatest(least(max(f.u) + 0.2, 1) - max(f.u), 1e-6) ** 2, 2) AS acceleration
+FROM b3 b JOIN coefficients c ON c.episode = b.episode AND c.i = b.i JOIN frames f ON f.episode = b.episode AND f.frame = b.pid // 10 GROUP BY b.episode, b.pid""")
+def h9(spark, sf):
+    iv = v.frames(spark, sf).where("frame % 7 = 0 and frame < n - 1").select("episode", "n", "frame", F.col("u").alias("start_u"), F.least(F.col("u") + 0.2, F.lit(1.0)).alias("end_u"))
+    out = K.evaluate_intervals(iv, v.knots(spark, sf), v.coefficients(spark, sf), 5, ["episode", "frame"])
+    return out.select("episode", "frame", "g", F.round("position", 5).alias("position"), F.round("velocity", 3).alias("velocity"), F.round("acceleration", 2).alias("acceleration"))
+
+
+def _splines(spark, sf):
+    """Knots and control values of every frame episode as arrays, one row per episode."""
+    k = v.knots(spark, sf).groupBy("episode").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "knot"))), lambda s: s["knot"]).alias("knots"))
+    c = v.coefficients(spark, sf).groupBy("episode").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "coef"))), lambda s: F.array(s["coef"])).alias("coefficients"))
+    return k.join(c, "episode")
+
+
+@query("h10_restrict_bspline", v.KNOTS + """,
+ivals AS (SELECT f.episode, f.frame, f.u AS start_u, CASE WHEN f.frame % 10 = 3 THEN f.u ELSE least(f.u + f.x / 500, 1) END AS end_u FROM frames f)""", """
+SELECT episode, frame, end_u > start_u + 1e-8 AS valid, CASE WHEN end_u > start_u + 1e-8 THEN 8 + (SELECT count(*) FROM knots k WHERE k.episode = i.episode AND k.knot > i.start_u AND k.knot < i.end_u) ELSE 0 END AS knots,
+  CASE WHEN end_u > start_u + 1e-8 THEN 4 + (SELECT count(*) FROM knots k WHERE k.episode = i.episode AND k.knot > i.start_u AND k.knot < i.end_u) ELSE 0 END AS control_points FROM ivals i""")
+def h10(spark, sf):
+    local = fits.restrict_bsplines(_splines(spark, sf), intervals(spark, sf).withColumnRenamed("frame", "id"))
+    return local.select("episode", F.col("id").alias("frame"), "valid", F.size("knots").cast("long").alias("knots"), F.size("coefficients").cast("long").alias("control_points"))
+
+
+@query("h11_overlapping_coefficients", v.KNOTS + """,
+ivals AS (SELECT episode, frame, u AS s, least(u + 0.1, 1) AS e FROM frames WHERE frame % 3 = 0),
+geo AS (SELECT episode, i, knot AS l, lead(knot, 1) OVER w AS k1, lead(knot, 2) OVER w AS k2, lead(knot, 3) OVER w AS k3, lead(knot, 4) OVER w AS r FROM knots WINDOW w AS (PARTITION BY episode ORDER BY i)),
+hit AS (SELECT v.*, g.i, g.l, g.r, (g.k1 + g.k2 + g.k3) / 3 AS gr FROM ivals v JOIN geo g ON g.episode = v.episode AND g.r IS NOT NULL WHERE (g.r > v.s AND g.l < v.e)
+  OR (g.i = 0 AND NOT EXISTS (SELECT 1 FROM geo q WHERE q.episode = v.episode AND q.r > v.s AND q.l < v.e)))""", """
+SELECT episode, frame, i, round((l - s) / greatest(e - s, 1e-6), 4) AS "left", round((r - s) / greatest(e - s, 1e-6), 4) AS "right", round((0.5 * (l + r) - s) / greatest(e - s, 1e-6), 4) AS midpoint,
+  round((gr - s) / greatest(e - s, 1e-6), 4) AS greville, round((r - l) / greatest(e - s, 1e-6), 4) AS width FROM hit""")
+def h11(spark, sf):
+    iv = v.frames(spark, sf).where("frame % 3 = 0").select("episode", "n", "frame", F.col("u").alias("start_u"), F.least(F.col("u") + 0.1, F.lit(1.0)).alias("end_u"))
+    return v.rounded(K.overlapping_coefficients(iv, K.geometry(v.knots(spark, sf)), EP, ["episode", "frame"]), 4)
+
+
+@query("h12_project_control_points")
+def h12(spark, sf):
+    """Control values that best follow the values, slopes and curvatures of sixteen-frame pieces of every episode."""
+    d = Wn.finite_differences(v.frames(spark, sf), EP, "frame", "n", "x", 1 / 15)
+    piece = d.withColumn("piece", F.floor(F.col("frame") / 16)).groupBy("episode", "piece").agg(
+        F.array_sort(F.collect_list(F.struct("frame", "x", "d1", "d2"))).alias("rows")).where(F.size("rows") == 16)
+    take = lambda c: F.transform("rows", lambda r: r[c])
+    samples = piece.select((F.col("episode") * 100000 + F.col("piece")).cast("long").alias("id"), F.array(*[F.lit(float(k)) for k in [0, 0, 0, 0, .25, .5, .75, 1, 1, 1, 1]]).alias("knots"),
+                           F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: i / 15.0).alias("phase"), take("x").alias("position"), take("d1").alias("velocity"), take("d2").alias("acceleration"))
+    out = fits.project_control_points(samples)
+    return v.rounded(out.select("id", F.size("coefficients").cast("long").alias("control_points"), "rmse", "condition"), 3)
+
+
+@query("h13_score_pairs", v.VEC + """,
+nxt AS (SELECT episode, frame, vec, lead(vec) OVER (PARTITION BY episode ORDER BY frame) AS b FROM vec_frames)""", """
+SELECT episode, frame, round(1 - list_dot_product(vec, b) / greatest(sqrt(list_dot_product(vec, vec)) * sqrt(list_dot_product(b, b)), 1e-12), 6) AS score FROM nxt WHERE b IS NOT NULL AND frame % 10 <> 4""")
+def h13(spark, sf):
+    pairs = Wn.shifted(v.vec_frames(spark, sf), EP, "frame", {"b": ("vec", 1)}).where("b is not null")
+    pairs = pairs.withColumn("b", F.when(F.col("frame") % 10 == 4, F.transform("b", lambda x: x * float("nan"))).otherwise(F.col("b")))
+
+    def cosine(batch):
+        a, b = np.stack(batch["vec"]), np.stack(batch["b"])
+        return 1 - np.sum(a * b, axis=1) / np.maximum(np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1), 1e-12)
+
+    return v.rounded(fits.score_pairs(pairs, cosine, ["vec", "b"], ["episode", "frame"], "episode LONG, frame LONG")[0])

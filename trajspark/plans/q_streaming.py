@@ -1 +1,120 @@
+"""Session family: batch twins with SQL, and the same operators run as streams over the events table."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from trajspark.plans import views as v
+from trajspark.plans.registry import query
+from trajspark.session import checkpoint_dir
+from trajspark.streaming import sessions as Ss
+
+SESSIONS = v.FRAMES + """,
+ss AS (SELECT episode AS session, frame AS seq, floor(x / 40)::BIGINT AS call_index, x AS value, event_type <> 'error' AS valid, event_type = 'signup' AS reset FROM frames),
+lives AS (SELECT *, sum(CASE WHEN reset THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq) AS life FROM ss),
+acc AS (SELECT *, coalesce(lag(call_index) OVER (PARTITION BY session, life ORDER BY seq) <> call_index, TRUE) AS accepted FROM lives),
+kept AS (SELECT *, row_number() OVER (PARTITION BY session, life ORDER BY seq) - 1 AS age,
+  lag(value, 1) OVER (PARTITION BY session, life ORDER BY seq) AS p1, lag(value, 2) OVER (PARTITION BY session, life ORDER BY seq) AS p2 FROM acc WHERE accepted)"""
+
+
+def session_columns(df):
+    return df.select(F.col("episode").alias("session"), F.col("frame").alias("seq"), F.floor(F.col("x") / 40).cast("long").alias("call_index"),
+                     F.col("x").alias("value"), (F.col("event_type") != "error").alias("valid"), (F.col("event_type") == "signup").alias("reset"))
+
+
+def sessions(spark, sf):
+    return session_columns(v.frames(spark, sf))
+
+
+@query("i1_session_history", SESSIONS, """
+SELECT session, seq, value AS h0, coalesce(p1, 0) AS h1, coalesce(p2, 0) AS h2, age >= 1 AS m1, age >= 2 AS m2 FROM kept""")
+def i1(spark, sf):
+    h = Ss.session_history(sessions(spark, sf), 3)
+    at = lambda c, i: F.get(c, F.lit(i))
+    return h.select("session", "seq", at("history", 2).alias("h0"), at("history", 1).alias("h1"), at("history", 0).alias("h2"), at("mask", 1).alias("m1"), at("mask", 0).alias("m2"))
+
+
+@query("i2_retry_suppression", SESSIONS, "SELECT session, seq, call_index, accepted FROM acc")
+def i2(spark, sf):
+    return Ss.suppress_retries(sessions(spark, sf)).select("session", "seq", "call_index", "accepted")
+
+
+FALLBACK = """
+SELECT session, seq, last_value(CASE WHEN valid THEN value END IGNORE NULLS) OVER w AS answer, CASE WHEN valid THEN 'fresh'
+  WHEN last_value(CASE WHEN valid THEN value END IGNORE NULLS) OVER w IS NOT NULL THEN 'last_valid_fallback' ELSE 'invalid' END AS source FROM lives
+WINDOW w AS (PARTITION BY session, life ORDER BY seq)"""
+
+
+@query("i4_last_valid_fallback", SESSIONS, FALLBACK)
+def i4(spark, sf):
+    return Ss.last_valid(sessions(spark, sf)).select("session", "seq", "answer", "source")
+
+
+def stream_of(spark, sf, convert=lambda df: df):
+    """The events file as a stream, in the order of its rows."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return convert(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+
+
+def run_stream(stream, mode: str = "append"):
+    """Drain a stream into a table of the shared checkpoint folder and read it back."""
+    spark = stream.sparkSession
+    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    sink = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/data").option(
+        "checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    sink.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/data")
+
+
+def _request_stream(spark, sf):
+    return stream_of(spark, sf).select(
+        F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.floor(F.col("value") / 40).cast("long").alias("call_index"), "value",
+        (F.col("event_type") != "error").alias("valid"), (F.col("event_type") == "signup").alias("reset"))
+
+
+@query("i3_session_stream", SESSIONS.replace("frame AS seq", "event_id AS seq"), """
+SELECT a.session, a.seq, a.accepted, (SELECT arg_max(k.value, k.seq) FROM kept k WHERE k.session = a.session AND k.life = a.life AND k.seq <= a.seq) AS newest,
+  least((SELECT count(*) FROM kept k WHERE k.session = a.session AND k.life = a.life AND k.seq <= a.seq), 4) AS filled,
+  f.answer, f.source FROM acc a JOIN (""" + FALLBACK.replace("SELECT session, seq,", "SELECT session, seq,", 1) + ") f ON f.session = a.session AND f.seq = a.seq")
+def i3(spark, sf):
+    """The stateful stream itself: history, retries, resets and fallback in one keyed state."""
+    out = run_stream(Ss.session_stream(_request_stream(spark, sf), 4))
+    return out.select("session", "seq", "accepted", F.element_at("history", -1).alias("newest"),
+                      F.size(F.filter("mask", lambda m: m)).cast("long").alias("filled"), "answer", "source")
+
+
+TELEMETRY = """
+SELECT epoch_us(date_trunc('day', ts)) // 1000000 AS window_start, event_type AS source, count(*) AS requests, round(avg(value), 6) AS mean_latency, max(value) AS max_latency FROM events GROUP BY 1, 2"""
+
+
+def _seconds(df):
+    return df.select(F.unix_seconds("window_start").alias("window_start"), "source", "requests", F.round("mean_latency", 6).alias("mean_latency"), "max_latency")
+
+
+def _instant(df):
+    return df.select(F.timestamp_micros((v.epoch_seconds(df, "ts") * 1e6).cast("long")).alias("ts"), "event_type", "value")
+
+
+@query("i5_telemetry_windows", None, TELEMETRY)
+def i5(spark, sf):
+    return _seconds(Ss.telemetry(_instant(v.table(spark, sf, "events")), "ts", "event_type", "value"))
+
+
+@query("i5_telemetry_stream", None, TELEMETRY + " HAVING epoch_us(date_trunc('day', ts)) // 1000000 < (SELECT epoch_us(date_trunc('day', max(ts))) // 1000000 FROM events)")
+def i5b(spark, sf):
+    """The same windows from a stream: a day is emitted once the watermark has passed it, so the last day stays open."""
+    return _seconds(run_stream(Ss.telemetry(_instant(stream_of(spark, sf)), "ts", "event_type", "value")))
+
+
+@query("i6_stateless_resolution", v.FRAMES + """,
+m AS (SELECT avg(x) AS mu, stddev_pop(x) AS sd FROM frames),
+q AS (SELECT user_id AS session, event_id AS seq, value, CASE WHEN event_type <> 'signup' THEN value / 400 END AS s, CASE WHEN event_type <> 'error' THEN value / 300 END AS p, CASE WHEN event_id % 3 <> 0 THEN value / 380 END AS fb FROM events)""", """
+SELECT session, seq, round((value - 50) / 40, 6) AS z, round(coalesce(p, fb), 6) AS end_u, CASE WHEN p IS NOT NULL THEN 'localizer_predicted_interval' WHEN fb IS NOT NULL THEN 'fixed_future_frames_fallback' ELSE 'none' END AS end_source,
+  coalesce(coalesce(p, fb) - s >= 0.0001, FALSE) AS valid FROM q""")
+def i6(spark, sf):
+    requests = stream_of(spark, sf).select(
+        F.col("user_id").alias("session"), F.col("event_id").alias("seq"), "value", F.when(F.col("event_type") != "signup", F.col("value") / 400).alias("start_u"),
+        F.when(F.col("event_type") != "error", F.col("value") / 300).alias("predicted_end"), F.when(F.col("event_id") % 3 != 0, F.col("value") / 380).alias("fallback_end"))
+    return v.rounded(run_stream(Ss.resolve_stream(requests, F.lit(50.0), F.lit(40.0), 1e-4)))

@@ -121,7 +121,7 @@ def coefficients(spark: SparkSession, sf: str) -> DataFrame:
     count = F.greatest(floor_div(F.col("n") - 2, KNOT_EVERY), F.lit(0)) + 4
     return f.select("episode", "frame", "n", "x", count.alias("c")).select(
         "episode", "x", F.explode(F.expr(
-            f"filter(array_distinct(array(0L, 1L, frame div {KNOT_EVERY} + 1, c - 1)), "
+            f"filter(array_distinct(array(0L, 1L, frame div {KNOT_EVERY} + 1, c - 2, c - 1)), "
             f"i -> least(greatest((i - 1) * {KNOT_EVERY}, 0L), n - 1) = frame and i < c)")).alias("i")
     ).select("episode", "i", F.col("x").alias("coef"))
 
