@@ -69,8 +69,9 @@ def run_stream(stream, mode: str = "append"):
 
 
 def _request_stream(spark, sf):
-    return stream_of(spark, sf).select(
-        F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.floor(F.col("value") / 40).cast("long").alias("call_index"), "value",
+    events = stream_of(spark, sf)
+    return events.select(
+        F.timestamp_micros((v.epoch_seconds(events, "ts") * 1e6).cast("long")).alias("ts"), F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.floor(F.col("value") / 40).cast("long").alias("call_index"), "value",
         (F.col("event_type") != "error").alias("valid"), (F.col("event_type") == "signup").alias("reset"))
 
 
@@ -80,7 +81,7 @@ SELECT a.session, a.seq, a.accepted, (SELECT arg_max(k.value, k.seq) FROM kept k
   f.answer, f.source FROM acc a JOIN (""" + FALLBACK.replace("SELECT session, seq,", "SELECT session, seq,", 1) + ") f ON f.session = a.session AND f.seq = a.seq")
 def i3(spark, sf):
     """The stateful stream itself: history, retries, resets and fallback in one keyed state."""
-    out = run_stream(Ss.session_stream(_request_stream(spark, sf), 4))
+    out = run_stream(Ss.session_stream(_request_stream(spark, sf), 4, ttl_seconds=400 * 86400))
     return out.select("session", "seq", "accepted", F.element_at("history", -1).alias("newest"),
                       F.size(F.filter("mask", lambda m: m)).cast("long").alias("filled"), "answer", "source")
 

@@ -41,10 +41,12 @@ class SessionState:
         return accepted, [0.0] * missing + self.history, [False] * missing + [True] * len(self.history), self.last_valid, source
 
 
-def session_stream(stream: DataFrame, length: int = 4, ttl_seconds: int = 3600) -> DataFrame:
-    """Session history, retry suppression, reset and fallback on a stream of (session, seq, call_index, value, valid, reset).
+def session_stream(stream: DataFrame, length: int = 4, ttl: str = "1 day", ttl_seconds: int = 86400) -> DataFrame:
+    """Session history, retry suppression, reset and fallback on a stream of (session, seq, ts, call_index, value, valid, reset).
 
-    Rows of a session are taken in ``seq`` order within a micro-batch; a session idle for ``ttl_seconds`` is forgotten.
+    Rows of a session are taken in ``seq`` order within a micro-batch, so limit the micro-batch at the source
+    (``maxFilesPerTrigger``, ``maxBytesPerTrigger``). A session is forgotten once the watermark, ``ttl`` behind the newest
+    event, is another ``ttl_seconds`` past its last event.
     """
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -52,16 +54,20 @@ def session_stream(stream: DataFrame, length: int = 4, ttl_seconds: int = 3600)
             return
         history, last_call, last_valid = state.get if state.exists else (None, None, None)
         session = SessionState(length, history, last_call, last_valid)
+        newest = 0
         for rows in _in_order(batches):
+            newest = int(rows["ms"].max())
             seen = [session.observe(int(r.call_index), float(r.value), bool(r.valid), bool(r.reset)) for r in rows.itertuples()]
             accepted, hist, mask, answer, source = zip(*seen)
             yield pd.DataFrame({"session": key[0], "seq": rows["seq"].to_numpy(), "call_index": rows["call_index"].to_numpy(), "accepted": accepted,
                                 "history": hist, "mask": mask, "answer": answer, "source": source})
         state.update((session.history, session.last_call, session.last_valid))
-        state.setTimeoutDuration(ttl_seconds * 1000)
+        state.setTimeoutTimestamp(max(newest + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
-    return stream.select("session", "seq", "call_index", "value", "valid", "reset").groupBy("session").applyInPandasWithState(
-        update, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = stream.withWatermark("ts", ttl).select(
+        "session", "seq", "ts", F.unix_millis("ts").alias("ms"), "call_index", "value", "valid", "reset")
+    return rows.groupBy("session").applyInPandasWithState(
+        update, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
