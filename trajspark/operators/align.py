@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, functions as F
 from trajspark.operators.blocks import floor_div
 from trajspark.session import cut_lineage
 
-TILE = 512
 CELLS = "ref LONG, target LONG, ref_frame LONG, target_frame LONG, cost DOUBLE, distance DOUBLE, total DOUBLE, first LONG, next_i LONG, next_j LONG"
 EDGES = "ref LONG, target LONG, ti LONG, tj LONG, bottom ARRAY<DOUBLE>, right ARRAY<DOUBLE>"
 VERTICAL, HORIZONTAL, DIAGONAL = 0, 1, 2
@@ -26,12 +25,13 @@ VERTICAL, HORIZONTAL, DIAGONAL = 0, 1, 2
 
 @dataclass(frozen=True)
 class Rule:
-    """Move penalties, tie order (first wins), accumulation type and distance settings."""
+    """Move penalties, tie order (first wins), accumulation type, distance settings and tile edge."""
     order: tuple[int, int, int] = (DIAGONAL, VERTICAL, HORIZONTAL)
     penalties: tuple[float, float, float] = (0.0, 0.0, 0.0)  # vertical, horizontal, diagonal
     single_precision: bool = False
     prior: float = 0.0
     ceiling: float | None = None
+    tile: int = 512
 
 
 def one_reference(vertical: float = 0.01, horizontal: float = 0.01, diagonal: float = 0.0, prior: float = 0.02) -> Rule:
@@ -45,8 +45,8 @@ def many_references() -> Rule:
 def distances(a: np.ndarray, b: np.ndarray, row: pd.Series, rule: Rule) -> np.ndarray:
     d = 1.0 - a @ b.T
     if rule.prior > 0:
-        pa = (row["ti"] * TILE + np.arange(len(a))) / max(row["rn"] - 1, 1)
-        pb = (row["tj"] * TILE + np.arange(len(b))) / max(row["tn"] - 1, 1)
+        pa = (row["ti"] * rule.tile + np.arange(len(a))) / max(row["rn"] - 1, 1)
+        pb = (row["tj"] * rule.tile + np.arange(len(b))) / max(row["tn"] - 1, 1)
         d = d + rule.prior * np.abs(pa[:, None] - pb[None, :])
     return np.clip(d, 0.0, rule.ceiling).astype(np.float32)
 
@@ -98,7 +98,7 @@ def _backward(rule: Rule):
         for batch in batches:
             for _, row in batch.iterrows():
                 d, cost, moves = _tile(row, rule)
-                i, j = int(row["at_i"]) - int(row["ti"]) * TILE, int(row["at_j"]) - int(row["tj"]) * TILE
+                i, j = int(row["at_i"]) - int(row["ti"]) * rule.tile, int(row["at_j"]) - int(row["tj"]) * rule.tile
                 total, cells = float(cost[i, j]), []
                 while i >= 0 and j >= 0:
                     cells.append((i, j, float(cost[i, j]), float(d[i, j])))
@@ -108,17 +108,17 @@ def _backward(rule: Rule):
                         break
                     i, j = i - (move != HORIZONTAL), j - (move != VERTICAL)
                 out = pd.DataFrame(cells, columns=["ref_frame", "target_frame", "cost", "distance"])
-                out["ref_frame"] += int(row["ti"]) * TILE
-                out["target_frame"] += int(row["tj"]) * TILE
+                out["ref_frame"] += int(row["ti"]) * rule.tile
+                out["target_frame"] += int(row["tj"]) * rule.tile
                 done = out["ref_frame"].iloc[-1] == 0 and out["target_frame"].iloc[-1] == 0
                 yield out.assign(ref=row["ref"], target=row["target"], total=total, first=[1] + [0] * (len(out) - 1),
-                                 next_i=-1 if done else i + int(row["ti"]) * TILE, next_j=-1 if done else j + int(row["tj"]) * TILE)
+                                 next_i=-1 if done else i + int(row["ti"]) * rule.tile, next_j=-1 if done else j + int(row["tj"]) * rule.tile)
     return run
 
 
-def vector_blocks(frames: DataFrame) -> DataFrame:
-    """Rows (episode, n, block, vectors) of at most TILE frames."""
-    cut = frames.withColumn("block", floor_div(F.col("frame"), TILE))
+def vector_blocks(frames: DataFrame, tile: int) -> DataFrame:
+    """Rows (episode, n, block, vectors) of at most ``tile`` frames."""
+    cut = frames.withColumn("block", floor_div(F.col("frame"), tile))
     packed = F.array_sort(F.collect_list(F.struct("frame", "vec")))
     return cut.groupBy("episode", "n", "block").agg(F.transform(packed, lambda s: s["vec"]).alias("vectors"))
 
@@ -141,17 +141,17 @@ def dtw_paths(pairs: DataFrame, refs: DataFrame, targets: DataFrame, rule: Rule)
 
     ``refs`` and ``targets`` are frames (episode, frame, n, vec) with unit vectors; ``cost`` accumulates along the path.
     """
-    rb, tb = vector_blocks(refs), vector_blocks(targets)
-    last = lambda n: floor_div(F.col(n) - 1, TILE)
+    rb, tb = vector_blocks(refs, rule.tile), vector_blocks(targets, rule.tile)
+    last = lambda n: floor_div(F.col(n) - 1, rule.tile)
     rn = refs.groupBy(F.col("episode").alias("ref")).agg(F.max("n").alias("_rn"))
     tn = targets.groupBy(F.col("episode").alias("target")).agg(F.max("n").alias("_tn"))
     sized = pairs.select("ref", "target").join(rn, "ref").join(tn, "target")
-    small = sized.where((F.col("_rn") <= TILE) & (F.col("_tn") <= TILE))
+    small = sized.where((F.col("_rn") <= rule.tile) & (F.col("_tn") <= rule.tile))
     start = lambda df: df.withColumns({"at_i": F.col("_rn") - 1, "at_j": F.col("_tn") - 1})
     no_edges = {c: F.lit(None).cast("array<double>") for c in ("top", "left", "corner")}
     zero = F.lit(0).cast("long")
     cells = _with_vectors(start(small).withColumns({"ti": zero, "tj": zero, **no_edges}), rb, tb).mapInPandas(_backward(rule), CELLS)
-    large = sized.where((F.col("_rn") > TILE) | (F.col("_tn") > TILE))
+    large = sized.where((F.col("_rn") > rule.tile) | (F.col("_tn") > rule.tile))
     grid = large.agg(F.max(last("_rn") + last("_tn")).alias("w")).first()["w"]  # one number
     if grid is not None:
         cells = cells.unionByName(_long_pairs(large, rb, tb, rule, int(grid)))
@@ -160,7 +160,7 @@ def dtw_paths(pairs: DataFrame, refs: DataFrame, targets: DataFrame, rule: Rule)
 
 
 def _long_pairs(large: DataFrame, rb: DataFrame, tb: DataFrame, rule: Rule, waves: int) -> DataFrame:
-    ti, tj = floor_div(F.col("_rn") - 1, TILE), floor_div(F.col("_tn") - 1, TILE)
+    ti, tj = floor_div(F.col("_rn") - 1, rule.tile), floor_div(F.col("_tn") - 1, rule.tile)
     edges = None
     for w in range(waves + 1):
         wave = large.withColumn("ti", F.explode(F.sequence(F.greatest(F.lit(0), F.lit(w) - tj), F.least(F.lit(w), ti)).cast("array<bigint>")))
@@ -175,7 +175,7 @@ def _long_pairs(large: DataFrame, rb: DataFrame, tb: DataFrame, rule: Rule, wave
     at = large.select("ref", "target", (F.col("_rn") - 1).alias("at_i"), (F.col("_tn") - 1).alias("at_j"))
     path = None
     while True:
-        here = at.withColumns({"ti": floor_div(F.col("at_i"), TILE), "tj": floor_div(F.col("at_j"), TILE)})
+        here = at.withColumns({"ti": floor_div(F.col("at_i"), rule.tile), "tj": floor_div(F.col("at_j"), rule.tile)})
         part = cut_lineage(_with_vectors(_with_edges(here, edges), rb, tb).mapInPandas(_backward(rule), CELLS))
         kept = part if path is None else part.withColumn("first", F.lit(0).cast("long"))
         path = kept if path is None else path.unionByName(kept)

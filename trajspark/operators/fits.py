@@ -254,8 +254,11 @@ def restrict(t: np.ndarray, c: np.ndarray, degree: int, start: float, end: float
     return local, np.asarray(out)
 
 
-def restrict_bsplines(splines: DataFrame, intervals: DataFrame, degree: int = 3) -> DataFrame:
-    """Exact local splines: ``splines`` hold (episode, knots, coefficients), ``intervals`` (episode, id, start_u, end_u)."""
+def restrict_bsplines(pieces: DataFrame, degree: int = 3) -> DataFrame:
+    """Exact local splines of (episode, id, start_u, end_u, knots, coefficients).
+
+    Knots and control values are those whose support meets the interval (``knots.interval_pieces``), not the whole spline.
+    """
     schema = "episode LONG, id LONG, valid BOOLEAN, knots ARRAY<DOUBLE>, local_knots ARRAY<DOUBLE>, coefficients ARRAY<ARRAY<DOUBLE>>"
 
     def run(batches):
@@ -269,7 +272,7 @@ def restrict_bsplines(splines: DataFrame, intervals: DataFrame, degree: int = 3)
                     rows.append((r.episode, r.id, True, got[0].tolist(), ((got[0] - r.start_u) / max(r.end_u - r.start_u, EPSILON)).tolist(), got[1].tolist()))
             yield pd.DataFrame(rows, columns=["episode", "id", "valid", "knots", "local_knots", "coefficients"])
 
-    return intervals.join(splines, "episode").select("episode", "id", "start_u", "end_u", "knots", "coefficients").mapInPandas(run, schema)
+    return pieces.select("episode", "id", "start_u", "end_u", "knots", "coefficients").mapInPandas(run, schema)
 
 
 def project_control_points(samples: DataFrame, degree: int = 3, eta_velocity: float = 0.1, eta_acceleration: float = 0.01, ridge: float = 1e-6) -> DataFrame:

@@ -104,47 +104,54 @@ def clamped_knots(spans: DataFrame, degree: int = 3) -> DataFrame:
     return inner.unionByName(ends)
 
 
-def _cubic(u: Column, t: dict[int, Column]) -> list[tuple[int, Column, Column, Column]]:
-    """(offset, value, first, second derivative) of the four cubic functions alive on the span [t0, t1)."""
-    def value(k: int, p: int) -> Column:
-        if p == 0:
-            return F.lit(1.0 if k == 0 else 0.0)
-        out = F.lit(0.0)
-        if -(p - 1) <= k <= 0:
-            out = out + (u - t[k]) / (t[k + p] - t[k]) * value(k, p - 1)
-        if -(p - 1) <= k + 1 <= 0:
-            out = out + (t[k + p + 1] - u) / (t[k + p + 1] - t[k + 1]) * value(k + 1, p - 1)
-        return out
+def _with_cubic(df: DataFrame, u: Column, t: dict[int, Column]) -> DataFrame:
+    """Columns v/d/e 0..3: value, first and second derivative of the four cubic functions alive on the span [t0, t1).
 
-    def slope(k: int, p: int, order: int) -> Column:
-        if order == 0:
-            return value(k, p)
+    One step per degree, so a degree's values are computed once and not expanded into every later term.
+    """
+    n = {(0, 0): F.lit(1.0)}
+    for p in (1, 2, 3):
+        step = {}
+        for k in range(-p, 1):
+            out = F.lit(0.0)
+            if (k, p - 1) in n:
+                out = out + (u - t[k]) / (t[k + p] - t[k]) * n[k, p - 1]
+            if (k + 1, p - 1) in n:
+                out = out + (t[k + p + 1] - u) / (t[k + p + 1] - t[k + 1]) * n[k + 1, p - 1]
+            step[f"_n{p}_{k + 3}"] = out
+        df = df.withColumns(step)
+        n.update({(k, p): F.col(f"_n{p}_{k + 3}") for k in range(-p, 1)})
+
+    def slope(k: int, p: int, lower: dict) -> Column:
         out = F.lit(0.0)
-        if -(p - 1) <= k <= 0:
-            out = out + p * slope(k, p - 1, order - 1) / (t[k + p] - t[k])
-        if -(p - 1) <= k + 1 <= 0:
-            out = out - p * slope(k + 1, p - 1, order - 1) / (t[k + p + 1] - t[k + 1])
+        if (k, p - 1) in lower:
+            out = out + p * lower[k, p - 1] / (t[k + p] - t[k])
+        if (k + 1, p - 1) in lower:
+            out = out - p * lower[k + 1, p - 1] / (t[k + p + 1] - t[k + 1])
         return out
 
-    return [(k, value(k, 3), slope(k, 3, 1), slope(k, 3, 2)) for k in (-3, -2, -1, 0)]
+    df = df.withColumns({**{f"_d2_{k + 3}": slope(k, 2, n) for k in (-2, -1, 0)}, **{f"_d{k + 3}": slope(k, 3, n) for k in (-3, -2, -1, 0)}})
+    bent = {(k, 2): F.col(f"_d2_{k + 3}") for k in (-2, -1, 0)}
+    return df.withColumns({f"_e{k + 3}": slope(k, 3, bent) for k in (-3, -2, -1, 0)})
 
 
 def cubic_spans(knots: DataFrame) -> DataFrame:
     """Positive spans with the six knots their cubic functions need."""
     local = shifted(knots, ["episode"], "i", {f"t{j}": ("knot", j) for j in (-2, -1, 1, 2, 3)})
     return local.where("t1 > knot").select(
-        "episode", "i", "knot", F.struct(F.col("t-2").alias("a"), F.col("t-1").alias("b"), F.col("t1").alias("d"),
+        "episode", "n", "i", "knot", F.struct(F.col("t-2").alias("a"), F.col("t-1").alias("b"), F.col("t1").alias("d"),
                                          F.col("t2").alias("e"), F.col("t3").alias("f")).alias("near"))
 
 
 def cubic_basis(points: DataFrame, knots: DataFrame, u: str) -> DataFrame:
     """Rows (point, i, basis, d1, d2) for the four basis functions alive at each point; u = 1 uses the last span."""
-    found = asof(points, cubic_spans(knots), ["episode"], u, "knot", ["i", "near"]).where("lower is not null")
-    t = {-2: F.col("lower.near.a"), -1: F.col("lower.near.b"), 0: F.col("lower.v"), 1: F.col("lower.near.d"),
-         2: F.col("lower.near.e"), 3: F.col("lower.near.f")}
-    rows = F.array(*[F.struct((F.col("lower.i") + k).alias("i"), v.alias("basis"), d1.alias("d1"), d2.alias("d2"))
-                     for k, v, d1, d2 in _cubic(F.col(u), t)])
-    return found.withColumn("_f", F.explode(rows)).select(*points.columns, "_f.*")
+    found = asof(points, cubic_spans(knots), ["episode"], u, "knot", ["i", "near"], size="n").where("lower is not null")
+    found = found.select(*points.columns, F.col("lower.i").alias("_i"), F.col("lower.v").alias("_t0"), *[
+        F.col(f"lower.near.{c}").alias(f"_t{c}") for c in "abdef"])
+    t = {-2: F.col("_ta"), -1: F.col("_tb"), 0: F.col("_t0"), 1: F.col("_td"), 2: F.col("_te"), 3: F.col("_tf")}
+    rows = F.array(*[F.struct((F.col("_i") + k - 3).alias("i"), F.col(f"_n3_{k}").alias("basis"), F.col(f"_d{k}").alias("d1"), F.col(f"_e{k}").alias("d2"))
+                     for k in range(4)])
+    return _with_cubic(found, F.col(u), t).select(*points.columns, F.explode(rows).alias("_f")).select(*points.columns, "_f.*")
 
 
 def evaluate(points: DataFrame, knots: DataFrame, coefficients: DataFrame, u: str, id_cols: list[str]) -> DataFrame:
@@ -204,15 +211,15 @@ def pchip_slopes(knots: DataFrame, n: str = "kn") -> DataFrame:
              .when(F.col("r") == 0, edge(h["c"], h["d"], m["c"], m["d"]))
              .when(F.col("r") == F.col(n) - 1, edge(h["b"], h["a"], m["b"], m["a"])).otherwise(inner))
     out = wide.withColumns({"slope": slope, "next_u": F.lead("u").over(w), "next_y": F.lead("y").over(w)})
-    out = core(out).select("episode", "r", "u", "y", "slope", "next_u", "next_y", n)
+    out = core(out).select("episode", "n", "r", "u", "y", "slope", "next_u", "next_y", n)
     return shifted(out, ["episode"], "r", {"next_slope": ("slope", 1)})
 
 
 def eval_pchip(points: DataFrame, slopes: DataFrame, u: str = "u") -> DataFrame:
     """Hermite value at each point from the piece it lies in."""
     pieces = slopes.where("next_u is not null").select(
-        "episode", F.col("u").alias("at"), F.struct("y", "slope", "next_u", "next_y", "next_slope").alias("p"))
-    found = asof(points, pieces, ["episode"], u, "at", ["p"])
+        "episode", "n", F.col("u").alias("at"), F.struct("y", "slope", "next_u", "next_y", "next_slope").alias("p"))
+    found = asof(points, pieces, ["episode"], u, "at", ["p"], size="n")
     h = F.col("lower.p.next_u") - F.col("lower.v")
     s = (F.col(u) - F.col("lower.v")) / h
     value = ((1 + 2 * s) * (1 - s) * (1 - s) * F.col("lower.p.y") + s * (1 - s) * (1 - s) * h * F.col("lower.p.slope")
@@ -242,3 +249,18 @@ def worst_free_frame(errors: DataFrame, taken: DataFrame, spacing: int) -> DataF
     blocked = taken.select("episode", F.explode(F.sequence(F.col("frame") - (spacing - 1), F.col("frame") + (spacing - 1))).alias("frame"))
     free = errors.where("frame > 0 and frame < n - 1").join(blocked, ["episode", "frame"], "left_anti")
     return free.groupBy("episode").agg(F.max(F.struct("error", "frame")).alias("b")).select("episode", "b.frame", "b.error")
+
+
+def interval_pieces(intervals: DataFrame, knots: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """The part of a cubic spline each interval (episode, id, start_u, end_u) needs: its overlapping functions and their knots."""
+    ahead = shifted(knots, ["episode"], "i", {f"k{j}": ("knot", j) for j in (1, 2, 3, 4)}).where("k4 is not null")
+    functions = ahead.join(coefficients, ["episode", "i"]).select(
+        "episode", "i", F.struct("i", "knot", "k1", "k2", "k3", "k4", "coef").alias("f"))
+    hits = overlapping_coefficients(intervals, geometry(knots), ["episode"], ["episode", "id", "start_u", "end_u"])
+    grouped = hits.select("episode", "id", "start_u", "end_u", "i").join(functions, ["episode", "i"]).groupBy(
+        "episode", "id", "start_u", "end_u").agg(F.array_sort(F.collect_list("f")).alias("f"))
+    last = F.element_at("f", -1)
+    return grouped.select(
+        "episode", "id", "start_u", "end_u",
+        F.concat(F.transform("f", lambda x: x["knot"]), F.array(*[last[f"k{j}"] for j in (1, 2, 3, 4)])).alias("knots"),
+        F.transform("f", lambda x: F.array(x["coef"])).alias("coefficients"))

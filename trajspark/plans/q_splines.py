@@ -128,19 +128,13 @@ def h9(spark, sf):
     return out.select("episode", "frame", "g", F.round("position", 5).alias("position"), F.round("velocity", 3).alias("velocity"), F.round("acceleration", 2).alias("acceleration"))
 
 
-def _splines(spark, sf):
-    """Knots and control values of every frame episode as arrays, one row per episode."""
-    k = v.knots(spark, sf).groupBy("episode").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "knot"))), lambda s: s["knot"]).alias("knots"))
-    c = v.coefficients(spark, sf).groupBy("episode").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "coef"))), lambda s: F.array(s["coef"])).alias("coefficients"))
-    return k.join(c, "episode")
-
-
 @query("h10_restrict_bspline", v.KNOTS + """,
 ivals AS (SELECT f.episode, f.frame, f.u AS start_u, CASE WHEN f.frame % 10 = 3 THEN f.u ELSE least(f.u + f.x / 500, 1) END AS end_u FROM frames f)""", """
 SELECT episode, frame, end_u > start_u + 1e-8 AS valid, CASE WHEN end_u > start_u + 1e-8 THEN 8 + (SELECT count(*) FROM knots k WHERE k.episode = i.episode AND k.knot > i.start_u AND k.knot < i.end_u) ELSE 0 END AS knots,
   CASE WHEN end_u > start_u + 1e-8 THEN 4 + (SELECT count(*) FROM knots k WHERE k.episode = i.episode AND k.knot > i.start_u AND k.knot < i.end_u) ELSE 0 END AS control_points FROM ivals i""")
 def h10(spark, sf):
-    local = fits.restrict_bsplines(_splines(spark, sf), intervals(spark, sf).withColumnRenamed("frame", "id"))
+    iv = intervals(spark, sf).withColumnRenamed("frame", "id")
+    local = fits.restrict_bsplines(K.interval_pieces(iv, v.knots(spark, sf), v.coefficients(spark, sf)))
     return local.select("episode", F.col("id").alias("frame"), "valid", F.size("knots").cast("long").alias("knots"), F.size("coefficients").cast("long").alias("control_points"))
 
 
