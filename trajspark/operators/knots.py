@@ -171,20 +171,25 @@ def evaluate_intervals(intervals: DataFrame, knots: DataFrame, coefficients: Dat
                       (F.col("acceleration") * F.col("_w") * F.col("_w")).alias("acceleration"))
 
 
-def overlapping_coefficients(intervals: DataFrame, geo: DataFrame, keys: list[str], id_cols: list[str]) -> DataFrame:
-    """Basis functions whose support overlaps each interval, with geometry in local time; the first one if none does.
+def overlap_index(intervals: DataFrame, knots: DataFrame, ids: list[str], degree: int = 3) -> DataFrame:
+    """Indices i of the basis functions whose support meets each interval; index 0 if none does.
 
-    Supports are ordered, so the overlap is the index range between two as-of look-ups instead of a range join.
+    Supports [knot_i, knot_i+4] are ordered, so the overlap is an index range between two as-of look-ups in the knots.
     """
-    lefts = geo.groupBy(*keys, "left").agg(F.max("i").alias("i"), F.max("n").alias("n"))
-    rights = geo.groupBy(*keys, "right").agg(F.max("i").alias("i"), F.max("n").alias("n"))
-    to = asof(intervals, lefts, keys, "end_u", "left", ["i"], size="n", below="_to", strict=True)
-    both = asof(to, rights, keys, "start_u", "right", ["i"], size="n", below="_from")
-    first, last = F.coalesce(F.col("_from.i") + 1, F.lit(0)), F.coalesce(F.col("_to.i"), F.lit(-1))
-    ranged = both.withColumn("i", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array(F.lit(0).cast("long")))))
+    steps = knots.groupBy("episode", "knot").agg(F.max("i").alias("i"), F.max("n").alias("n"))
+    found = asof_many(intervals, steps, ["episode"], "knot", ["i"], {"_to": ("end_u", True), "_from": ("start_u", False)}, ids, "n")
+    first = F.greatest(F.coalesce(F.col("_from.i") - degree, F.lit(0)), F.lit(0))
+    last = F.coalesce(F.col("_to.i"), F.lit(-1))
+    return found.withColumn("i", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(
+        F.array(F.lit(0).cast("long"))))).drop("_to", "_from")
+
+
+def overlapping_coefficients(intervals: DataFrame, knots: DataFrame, ids: list[str]) -> DataFrame:
+    """Overlapping basis functions of each interval with their geometry in local time."""
     width = F.greatest(F.col("end_u") - F.col("start_u"), F.lit(1e-6))
-    joined = ranged.drop("_to", "_from").join(geo.withColumnRenamed("width", "support").drop("n"), [*keys, "i"])
-    return joined.select(*id_cols, "i", *[((F.col(c) - F.col("start_u")) / width).alias(c) for c in ("left", "right", "midpoint", "greville")],
+    geo = geometry(knots).withColumnRenamed("width", "support").drop("n")
+    joined = overlap_index(intervals, knots, ids).join(geo, ["episode", "i"])
+    return joined.select("episode", *ids, "i", *[((F.col(c) - F.col("start_u")) / width).alias(c) for c in ("left", "right", "midpoint", "greville")],
                          (F.col("support") / width).alias("width"))
 
 
@@ -256,8 +261,8 @@ def interval_pieces(intervals: DataFrame, knots: DataFrame, coefficients: DataFr
     ahead = shifted(knots, ["episode"], "i", {f"k{j}": ("knot", j) for j in (1, 2, 3, 4)}).where("k4 is not null")
     functions = ahead.join(coefficients, ["episode", "i"]).select(
         "episode", "i", F.struct("i", "knot", "k1", "k2", "k3", "k4", "coef").alias("f"))
-    hits = overlapping_coefficients(intervals, geometry(knots), ["episode"], ["episode", "id", "start_u", "end_u"])
-    grouped = hits.select("episode", "id", "start_u", "end_u", "i").join(functions, ["episode", "i"]).groupBy(
+    hits = overlap_index(intervals, knots, ["id"]).select("episode", "id", "start_u", "end_u", "i")
+    grouped = hits.join(functions, ["episode", "i"]).groupBy(
         "episode", "id", "start_u", "end_u").agg(F.array_sort(F.collect_list("f")).alias("f"))
     last = F.element_at("f", -1)
     return grouped.select(

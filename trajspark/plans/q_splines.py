@@ -147,7 +147,7 @@ SELECT episode, frame, i, round((l - s) / greatest(e - s, 1e-6), 4) AS "left", r
   round((gr - s) / greatest(e - s, 1e-6), 4) AS greville, round((r - l) / greatest(e - s, 1e-6), 4) AS width FROM hit""")
 def h11(spark, sf):
     iv = v.frames(spark, sf).where("frame % 3 = 0").select("episode", "n", "frame", F.col("u").alias("start_u"), F.least(F.col("u") + 0.1, F.lit(1.0)).alias("end_u"))
-    return v.rounded(K.overlapping_coefficients(iv, K.geometry(v.knots(spark, sf)), EP, ["episode", "frame"]), 4)
+    return v.rounded(K.overlapping_coefficients(iv, v.knots(spark, sf), ["frame"]), 4)
 
 
 @query("h12_project_control_points")
