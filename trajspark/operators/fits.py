@@ -227,31 +227,29 @@ def fit_bspline(frames: DataFrame, moments: dict, limits: Limits, degree: int =
     return frames.groupBy("episode").applyInPandas(run, FITS)
 
 
-def blossom(t: np.ndarray, c: np.ndarray, degree: int, args: np.ndarray, span: int) -> np.ndarray:
-    """Polar form of the polynomial piece on [t_span, t_span+1) at ``degree`` arguments."""
-    d = c[span - degree:span + 1].copy()
+def blossom(t: np.ndarray, c: np.ndarray, degree: int, args: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Polar forms: row m is that of the piece on [t_span[m], t_span[m]+1) at the ``degree`` arguments args[m]."""
+    d = c[span[:, None] - degree + np.arange(degree + 1)]
     for r in range(1, degree + 1):
         for j in range(degree, r - 1, -1):
             lo, hi = t[j + span - degree], t[j + 1 + span - r]
-            a = (args[r - 1] - lo) / (hi - lo)
-            d[j] = (1 - a) * d[j - 1] + a * d[j]
-    return d[degree]
+            a = ((args[:, r - 1] - lo) / (hi - lo))[:, None]
+            d[:, j] = (1 - a) * d[:, j - 1] + a * d[:, j]
+    return d[:, degree]
 
 
 def restrict(t: np.ndarray, c: np.ndarray, degree: int, start: float, end: float) -> tuple[np.ndarray, np.ndarray] | None:
-    """Knots and control values of the same curve on [start, end]; every control value is one blossom."""
+    """Knots and control values of the same curve on [start, end]; every control value is one polar form."""
     if end <= start + EPSILON:
         return None
     inside = t[(t > start + EPSILON) & (t < end - EPSILON)]
     local = np.concatenate([np.full(degree + 1, start), inside, np.full(degree + 1, end)])
-    out = []
-    for i in range(len(local) - degree - 1):
-        args = local[i + 1:i + degree + 1]
-        at = np.flatnonzero(np.diff(local[i:i + degree + 2]) > EPSILON)[0] + i  # a positive span of this function
-        middle = 0.5 * (local[at] + local[at + 1])
-        span = int(np.searchsorted(t, middle, side="right") - 1)
-        out.append(blossom(t, c, degree, args, span))
-    return local, np.asarray(out)
+    count = len(local) - degree - 1
+    steps = np.where(np.diff(local) > EPSILON, np.arange(len(local) - 1), len(local))
+    at = np.minimum.accumulate(steps[::-1])[::-1][:count]  # first positive span of each function
+    span = np.searchsorted(t, 0.5 * (local[at] + local[at + 1]), side="right") - 1
+    args = local[np.arange(count)[:, None] + np.arange(1, degree + 1)]
+    return local, blossom(t, c, degree, args, span)
 
 
 def restrict_bsplines(pieces: DataFrame, degree: int = 3) -> DataFrame:
