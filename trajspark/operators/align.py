@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from trajspark.operators.blocks import floor_div
-from trajspark.session import cut_lineage
+from trajspark.session import cut_lineage, spread
 
 CELLS = "ref LONG, target LONG, ref_frame LONG, target_frame LONG, cost DOUBLE, distance DOUBLE, total DOUBLE, first LONG, next_i LONG, next_j LONG"
 EDGES = "ref LONG, target LONG, ti LONG, tj LONG, bottom ARRAY<DOUBLE>, right ARRAY<DOUBLE>"
@@ -126,7 +126,7 @@ def vector_blocks(frames: DataFrame, tile: int) -> DataFrame:
 def _with_vectors(tiles: DataFrame, refs: DataFrame, targets: DataFrame) -> DataFrame:
     a = refs.select(F.col("episode").alias("ref"), F.col("block").alias("ti"), F.col("n").alias("rn"), F.col("vectors").alias("a"))
     b = targets.select(F.col("episode").alias("target"), F.col("block").alias("tj"), F.col("n").alias("tn"), F.col("vectors").alias("b"))
-    return tiles.join(a, ["ref", "ti"]).join(b, ["target", "tj"])
+    return spread(tiles.join(a, ["ref", "ti"]).join(b, ["target", "tj"]), "ref", "target", "ti", "tj")
 
 
 def _with_edges(tiles: DataFrame, edges: DataFrame) -> DataFrame:

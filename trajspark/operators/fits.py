@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from trajspark.session import spread
+
 EPSILON = 1e-8
 FITS = ("episode LONG, status STRING, satisfied BOOLEAN, iterations LONG, frames LONG, knots LONG, max_severity DOUBLE, "
         "max_latent DOUBLE, max_cosine DOUBLE, max_state DOUBLE, limiting_error STRING, out_of_range_percent DOUBLE, "
@@ -177,7 +179,7 @@ def fit_interpolating(frames: DataFrame, moments: dict, limits: Limits, method:
                 continue
             return ep.row(status, rounds, len(k), severity, maxima, rebuilt, k, ep.u[k], ep.values["latent"][k])
 
-    return frames.groupBy("episode").applyInPandas(run, FITS)
+    return spread(frames, "episode").groupBy("episode").applyInPandas(run, FITS)
 
 
 def fit_bspline(frames: DataFrame, moments: dict, limits: Limits, degree: int = 3, initial: int = 8, most: int = 256,
@@ -224,7 +226,7 @@ def fit_bspline(frames: DataFrame, moments: dict, limits: Limits, degree: int =
         t, coef = fitted["latent"]
         return ep.row(status, rounds, len(inner), severity, maxima, rebuilt, inner, t, coef)
 
-    return frames.groupBy("episode").applyInPandas(run, FITS)
+    return spread(frames, "episode").groupBy("episode").applyInPandas(run, FITS)
 
 
 def blossom(t: np.ndarray, c: np.ndarray, degree: int, args: np.ndarray, span: np.ndarray) -> np.ndarray:
@@ -270,7 +272,8 @@ def restrict_bsplines(pieces: DataFrame, degree: int = 3) -> DataFrame:
                     rows.append((r.episode, r.id, True, got[0].tolist(), ((got[0] - r.start_u) / max(r.end_u - r.start_u, EPSILON)).tolist(), got[1].tolist()))
             yield pd.DataFrame(rows, columns=["episode", "id", "valid", "knots", "local_knots", "coefficients"])
 
-    return pieces.select("episode", "id", "start_u", "end_u", "knots", "coefficients").mapInPandas(run, schema)
+    rows = pieces.select("episode", "id", "start_u", "end_u", "knots", "coefficients")
+    return spread(rows, "episode", "id").mapInPandas(run, schema)
 
 
 def project_control_points(samples: DataFrame, degree: int = 3, eta_velocity: float = 0.1, eta_acceleration: float = 0.01, ridge: float = 1e-6) -> DataFrame:
@@ -294,7 +297,7 @@ def project_control_points(samples: DataFrame, degree: int = 3, eta_velocity: fl
                 rows.append((r.id, c.tolist(), float(np.sqrt(np.mean((parts[0] @ c - np.asarray(r.position)) ** 2))), float(sv.max() / max(sv.min(), 1e-12))))
             yield pd.DataFrame(rows, columns=["id", "coefficients", "rmse", "condition"])
 
-    return samples.mapInPandas(run, schema)
+    return spread(samples, "id").mapInPandas(run, schema)
 
 
 def score_pairs(pairs: DataFrame, scorer, columns: list[str], ids: list[str], schema: str) -> tuple[DataFrame, DataFrame]:

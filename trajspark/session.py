@@ -23,3 +23,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Store an iteration's result on reliable storage, so later iterations do not recompute it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Partitions for a compute-heavy Python step.
+
+    Adaptive execution merges shuffle partitions by bytes, which can leave hours of Python work in one task; a fixed
+    count keeps every core busy. A following ``groupBy`` on the same columns needs no further shuffle.
+    """
+    spark = df.sparkSession
+    count = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(count, *cols)
