@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions import scalars as Sc, vectors as V
 from trajspark.operators import aggregates as A, knots as K, windows as Wn
-from trajspark.operators.quantiles import distribution, family, quantiles, quantiles_long
+from trajspark.operators.quantiles import distribution, family
 from trajspark.operators.sampling import usage_balance
 from trajspark.plans import views as v
 from trajspark.plans.q_joins import (

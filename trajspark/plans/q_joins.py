@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from trajspark.functions import scalars as Sc, vectors as V
 from trajspark.operators import knots as K, matching as M, segments as S, windows as Wn
 from trajspark.operators.aggregates import moment_vector, vector_moments
-from trajspark.operators.asof import asof
 from trajspark.plans import views as v
 from trajspark.plans.registry import query
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trajspark.operators import sampling as Sp, sets as St, windows as Wn
+from trajspark.operators import sampling as Sp, sets as St
 from trajspark.plans import views as v
 from trajspark.plans.q_joins import manifests, MANIFESTS
 from trajspark.plans.registry import query

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from trajspark.functions import vectors as V
 from trajspark.operators import knots as K, segments as S, windows as Wn
 from trajspark.operators.blocks import floor_div, with_positions
-from trajspark.operators.quantiles import quantiles
 from trajspark.plans import views as v
 from trajspark.plans.registry import query
 

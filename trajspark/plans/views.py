@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trajspark.operators import matching, sampling, segments as seg
+from trajspark.operators import sampling, segments as seg
 from trajspark.operators.blocks import floor_div, with_positions
 from trajspark.operators.windows import frame_u
 
