@@ -13,20 +13,11 @@ from pyspark.sql import functions as F
 from trajspark.llm import text as X
 from trajspark.llm.common import key, parts
 
-_codec = pa.Codec("zstd", 1)
-
-
-def _unpack(z: pa.Array, size: pa.Array) -> pa.Array:
-    return pa.array([_codec.decompress(b, n, asbytes=True).decode() if n else "" for b, n in zip(z.to_pylist(), size.to_pylist())], pa.string())
-
-
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, b.num_rows, 512):
             part = b.slice(lo, 512)
-            raw = [(t or "").encode() for t in part.column("text").to_pylist()]
-            yield pa.record_batch([part.column("id"), part.column("doc_id"), pa.array([_codec.compress(t, asbytes=True) for t in raw], pa.binary()),
-                                   pa.array([len(t) for t in raw], pa.int64())], ["id", "doc_id", "z", "size"])
+            yield pa.record_batch([part.column("id"), part.column("doc_id"), *X.packed(part.column("text"))], ["id", "doc_id", "z", "size"])
 
 
 def _anchors(words: np.ndarray, row: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,13 +46,12 @@ def _anchor_rows(k: int, m: int):
                     continue
                 new = np.ones(len(row), bool)
                 new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1])
-                pairs = np.unique(np.rec.fromarrays([row[new], least[new]]))
-                yield pa.record_batch([pa.array(X.signed(pairs.f1.astype(np.uint64))), pa.array(ids[block.first + pairs.f0])], ["m", "id"])
+                yield pa.record_batch([pa.array(X.signed(least[new])), pa.array(ids[block.first + row[new]])], ["m", "id"])
     return run
 
 
-def _edge_rows(k: int, m: int, want: int):
-    """Edges (both hashes) of the windows whose anchor has the role ``want`` (1: may be a source, 2: may be a repeat) for the document."""
+def _edge_rows(k: int, m: int):
+    """Edges (both hashes) of the windows whose anchor is one of those listed for the document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
@@ -70,22 +60,23 @@ def _edge_rows(k: int, m: int, want: int):
                 lists = part.column("anchors")
                 flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-                for block in X.blocks(_unpack(part.column("z"), part.column("size"))):
+                for block in X.blocks(X.unpacked(part.column("z"), part.column("size"))):
                     words = block.word_hashes()
                     least, ok = _anchors(words, block.row, k, m)
                     if not len(least):
                         continue
-                    hit = np.zeros(len(least), bool)
-                    for r in range(block.rows):
-                        i, j = block.bounds[r], min(block.bounds[r + 1], len(least))
-                        mine = flat[at[block.first + r]:at[block.first + r + 1]]
-                        hit[i:j] = np.isin(least[i:j], mine)
-                    hit = np.flatnonzero(hit & ok)
+                    row = block.row[:len(least)]
+                    new = np.ones(len(least), bool)
+                    new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1])
+                    mine = slice(at[block.first], at[block.first + block.rows])
+                    owner = np.repeat(np.arange(block.rows), np.diff(at[block.first:block.first + block.rows + 1]))
+                    # one look-up for the block; an anchor that passes by chance only adds a candidate
+                    hit = np.isin(X.mix(least[new] + row[new].astype(np.uint64)), X.mix(flat[mine] + owner.astype(np.uint64)))
+                    hit = np.flatnonzero(hit[np.cumsum(new) - 1] & ok)
                     w, _ = X.grams(words, block.row, k)
                     c, _ = X.grams(block.word_hashes(1), block.row, k, 1)
-                    rows = np.unique(np.rec.fromarrays([block.row[hit], w[hit], (c[hit] >> np.uint64(32)).astype(np.uint32)]))
-                    yield pa.record_batch([pa.array(X.signed(rows.f1.astype(np.uint64))), pa.array(np.ascontiguousarray(rows.f2).view(np.int32)),
-                                           pa.array(ids[block.first + rows.f0])], ["w", "c", "id"])
+                    yield pa.record_batch([pa.array(X.signed(w[hit])), pa.array((c[hit] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                                           pa.array(ids[block.first + row[hit]])], ["w", "c", "id"])
     return run
 
 
@@ -100,14 +91,22 @@ def _cleaned_rows(k: int, with_text: bool):
                 hit_c = values.field("c").to_numpy(zero_copy_only=False).view(np.uint32)
                 hit_s = values.field("source").to_numpy(zero_copy_only=False)
                 at = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
-                for block in X.blocks(_unpack(part.column("z"), part.column("size"))):
+                copied = part.column("copied").to_pylist()
+                for block in X.blocks(X.unpacked(part.column("z"), part.column("size"))):
                     words = None
                     drop = np.zeros(len(block.start) + 1, np.int64)
                     spans: list[list[dict]] = [[] for _ in range(block.rows)]
                     for r in range(block.rows):
                         a, e = at[block.first + r], at[block.first + r + 1]
                         i, j = block.bounds[r], block.bounds[r + 1]
-                        if a == e or j - i < k:
+                        if j - i < k:
+                            continue
+                        if copied[block.first + r] is not None:
+                            drop[i] += 1
+                            drop[j] -= 1
+                            spans[r] = [{"start": 0, "words": int(j - i), "source": copied[block.first + r]}]
+                            continue
+                        if a == e:
                             continue
                         if words is None:
                             words, other = block.word_hashes(), block.word_hashes(1)
@@ -158,6 +157,8 @@ def repeated_spans(docs: DataFrame, k: int = 13, m: int = 4, with_text: bool = F
     A word goes when a window of ``k`` words over it also starts in a document with a smaller doc_id. Windows are the edges of the De
     Bruijn graph over (k-1)-word nodes.
 
+    Exact copies of a text under a smaller doc_id are repeated as a whole and need no windows. For the others:
+
     1. Every window has an anchor, the smallest hash of its ``m``-word runs; equal windows have equal anchors. Documents are counted per
        anchor. Only windows whose anchor is in several documents can repeat, and the smallest of these documents only as a source, the
        largest only as a repeat.
@@ -174,15 +175,19 @@ def repeated_spans(docs: DataFrame, k: int = 13, m: int = 4, with_text: bool = F
     texts = rows.mapInArrow(_packed, "id long, doc_id long, z binary, size long")
     anchors = rows.select("id", "text").mapInArrow(_anchor_rows(k, m), "m long, id long")
     shared = (anchors.groupBy("m").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"))
+    told = docs.select(key("doc_id").alias("id"), *[f(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(n) for f, n in ((F.xxhash64, "t0"), (F.hash, "t1"), (F.length, "t2"))])
+    groups = told.groupBy("t0", "t1", "t2").agg(F.min("id").alias("copied"), F.max("id").alias("high")).where("copied < high").drop("high")
+    plain = told.groupBy("id").agg(F.count("*").alias("n")).where("n = 1").select("id")
+    copies = told.join(groups, ["t0", "t1", "t2"]).where("id > copied").select("id", "copied").join(plain, "id")
     wanted = (anchors.join(shared, "m").groupBy("id")
               .agg(F.collect_list(F.when(F.col("id") < F.col("high"), F.col("m"))).alias("as_source"), F.collect_list(F.when(F.col("id") > F.col("low"), F.col("m"))).alias("as_repeat")))
-    near = texts.join(wanted, "id")
+    near = texts.join(wanted.join(copies, "id", "left_anti"), "id")
     edge = "w long, c int, id long"
-    sources = (near.where("size(as_source) > 0").select("id", "z", "size", F.col("as_source").alias("anchors")).mapInArrow(_edge_rows(k, m, 1), edge)
+    sources = (near.where("size(as_source) > 0").select("id", "z", "size", F.col("as_source").alias("anchors")).mapInArrow(_edge_rows(k, m), edge)
                .groupBy("w", "c").agg(F.min("id").alias("source")))
-    repeats = near.where("size(as_repeat) > 0").select("id", "z", "size", F.col("as_repeat").alias("anchors")).mapInArrow(_edge_rows(k, m, 2), edge)
+    repeats = near.where("size(as_repeat) > 0").select("id", "z", "size", F.col("as_repeat").alias("anchors")).mapInArrow(_edge_rows(k, m), edge)
     hits = repeats.join(sources, ["w", "c"]).where("source < id").groupBy("id").agg(F.collect_list(F.struct("w", "c", "source")).alias("hits"))
     shape = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,words:long,source:long>>"
     if with_text:
         shape += ", kept_text string, size long"
-    return texts.join(hits, "id", "left").select("doc_id", "z", "size", "hits").mapInArrow(_cleaned_rows(k, with_text), shape)
+    return texts.join(hits, "id", "left").join(copies, "id", "left").select("doc_id", "z", "size", "hits", "copied").mapInArrow(_cleaned_rows(k, with_text), shape)

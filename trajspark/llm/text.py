@@ -120,3 +120,27 @@ def joined(block: Block, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = block.data[np.minimum(source, max(len(block.data) - 1, 0))] if len(source) else np.zeros(0, np.uint8)
     out[to[1:] - 1] = 32
     return out, to[np.concatenate(([0], np.cumsum(np.bincount(block.row[keep], minlength=block.rows))))]
+
+
+def distinct(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of every row (``row`` ascends), and their bounds."""
+    at = np.searchsorted(row, np.arange(rows + 1))
+    h = h.copy()
+    for r in range(rows):
+        h[at[r]:at[r + 1]].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=rows)))) if rows else np.zeros(1, np.int64)
+
+
+_codec = pa.Codec("zstd", 1)
+
+
+def packed(column: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Texts compressed one by one, and their sizes in bytes: what a shuffle of whole texts carries."""
+    raw = [(t or "").encode() for t in column.to_pylist()]
+    return pa.array([_codec.compress(t, asbytes=True) for t in raw], pa.binary()), pa.array([len(t) for t in raw], pa.int64())
+
+
+def unpacked(z: pa.Array, size: pa.Array) -> pa.Array:
+    return pa.array([_codec.decompress(b, n, asbytes=True).decode() if n else "" for b, n in zip(z.to_pylist(), size.to_pylist())], pa.string())
