@@ -40,3 +40,53 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of repeated 13-word passages removed from every document."""
     from trajspark.llm.substrings import repeated_spans
     return repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
+OP5 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+t AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a AS node, b AS seen FROM t UNION SELECT r.node, t.b FROM r JOIN t ON t.a = r.seen),
+c AS (SELECT node, min(seen) AS first FROM r GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(first, w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(first, w.doc_id)) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
+"""
+
+
+@query("op5_minmax_near_dedup", OP5)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    from trajspark.llm.neardup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP3 = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  (('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source),
+o AS (SELECT *, source_size * 2.0::DOUBLE AS cap, (SELECT sum(source_size) FROM s)::DOUBLE * 1.5::DOUBLE AS total FROM s),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT min_by(level, cap / weight) FROM l WHERE level * weight <= cap) * weight, cap)) AS target FROM l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+q AS (SELECT *, floor(target + 0.5)::BIGINT - whole * source_size AS extra FROM p),
+v AS (SELECT *, (length(CASE WHEN size = 0 THEN '0' ELSE ltrim(bin(size), '0') END) // 2)::INTEGER AS level FROM d),
+g AS (SELECT source, level, sum(size)::BIGINT AS words FROM v GROUP BY ALL),
+h AS (SELECT g.*, (extra - coalesce(sum(words) OVER (PARTITION BY g.source ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+  / nullif(sum(words * pow(2.0, -level)) OVER (PARTITION BY g.source ORDER BY level ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS rate FROM g JOIN q ON g.source IS NOT DISTINCT FROM q.source),
+r AS (SELECT source, coalesce(min_by(coalesce(rate, 0), level) FILTER (coalesce(rate, 0) * pow(2.0, -level) <= 1), 0) AS rate FROM h GROUP BY source),
+x AS (SELECT v.*, source_size, target, whole, extra, least(1.0::DOUBLE, rate * pow(2.0, -v.level)) AS chance FROM v JOIN q ON v.source IS NOT DISTINCT FROM q.source JOIN r ON v.source IS NOT DISTINCT FROM r.source),
+y AS (SELECT *, CASE WHEN chance > 0 THEN u * (1 - chance) / (chance * (1 - u)) ELSE 'inf'::DOUBLE END AS odds FROM x),
+z AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds, u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM y)
+SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, extra - before)))::BIGINT AS taken FROM z
+"""
+
+
+@query("op3_pareto_mix", OP3)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    from trajspark.llm.mixing import mix_sizes
+    return mix_sizes(table(spark, sf_dir, "documents"))
