@@ -172,7 +172,7 @@ def repeated_spans(docs: DataFrame, k: int = 13, m: int = 4, with_text: bool = F
     """
     spark = docs.sparkSession
     rows = docs.select(key("doc_id").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = rows.mapInArrow(_packed, "id long, doc_id long, z binary, size long")
+    texts = rows.mapInArrow(_packed, "id long, doc_id long, z binary, size long").where("id is not null")
     anchors = rows.select("id", "text").mapInArrow(_anchor_rows(k, m), "m long, id long")
     shared = (anchors.groupBy("m").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"))
     told = docs.select(key("doc_id").alias("id"), *[f(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(n) for f, n in ((F.xxhash64, "t0"), (F.hash, "t1"), (F.length, "t2"))])
@@ -181,13 +181,15 @@ def repeated_spans(docs: DataFrame, k: int = 13, m: int = 4, with_text: bool = F
     copies = told.join(groups, ["t0", "t1", "t2"]).where("id > copied").select("id", "copied").join(plain, "id")
     wanted = (anchors.join(shared, "m").groupBy("id")
               .agg(F.collect_list(F.when(F.col("id") < F.col("high"), F.col("m"))).alias("as_source"), F.collect_list(F.when(F.col("id") > F.col("low"), F.col("m"))).alias("as_repeat")))
-    near = texts.join(wanted.join(copies, "id", "left_anti"), "id")
+    # one shuffle of the texts serves all passes: the plans below it are equal, with the same columns
+    tagged = texts.join(copies, "id", "left")
+    near = tagged.where("copied is null").join(wanted, "id")
     edge = "w long, c int, id long"
-    sources = (near.where("size(as_source) > 0").select("id", "z", "size", F.col("as_source").alias("anchors")).mapInArrow(_edge_rows(k, m), edge)
+    sources = (near.where("size(as_source) > 0").select("id", "doc_id", "z", "size", F.col("as_source").alias("anchors")).mapInArrow(_edge_rows(k, m), edge)
                .groupBy("w", "c").agg(F.min("id").alias("source")))
-    repeats = near.where("size(as_repeat) > 0").select("id", "z", "size", F.col("as_repeat").alias("anchors")).mapInArrow(_edge_rows(k, m), edge)
+    repeats = near.where("size(as_repeat) > 0").select("id", "doc_id", "z", "size", F.col("as_repeat").alias("anchors")).mapInArrow(_edge_rows(k, m), edge)
     hits = repeats.join(sources, ["w", "c"]).where("source < id").groupBy("id").agg(F.collect_list(F.struct("w", "c", "source")).alias("hits"))
     shape = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,words:long,source:long>>"
     if with_text:
         shape += ", kept_text string, size long"
-    return texts.join(hits, "id", "left").join(copies, "id", "left").select("doc_id", "z", "size", "hits", "copied").mapInArrow(_cleaned_rows(k, with_text), shape)
+    return tagged.join(hits, "id", "left").select("doc_id", "z", "size", "hits", "copied").mapInArrow(_cleaned_rows(k, with_text), shape)
