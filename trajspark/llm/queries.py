@@ -90,3 +90,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     from trajspark.llm.mixing import mix_sizes
     return mix_sizes(table(spark, sf_dir, "documents"))
+
+
+@query("op6_min_slack_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2,048 tokens."""
+    from trajspark.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the learned decision list."""
+    from trajspark.llm.quality import quality_rules
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
