@@ -104,3 +104,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the learned decision list."""
     from trajspark.llm.quality import quality_rules
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_multiset_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    from trajspark.llm.fingerprints import fingerprints
+    return fingerprints(table(spark, sf_dir, "documents"))
