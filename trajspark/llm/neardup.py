@@ -73,6 +73,44 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("node"), *X.packed(b.column("text"))], ["node", "z", "size"])
 
 
+def _shingle_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, 256):
+            part = b.slice(lo, 256)
+            for block in X.blocks(X.unpacked(part.column("z"), part.column("size"))):
+                h, at = shingle_sets(block)
+                yield pa.record_batch([part.column("node").slice(block.first, block.rows), pa.array(np.diff(at)), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(X.signed(h)))],
+                                      ["node", "n", "hs"])
+
+
+def _possible(texts: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different groups that may reach the threshold: the exact prefix filter over the nodes of ``groups`` (node, group).
+
+    Shingles are ordered by how few of these nodes have them. If two sets reach the threshold, then at the first shingle they share, at
+    places i of n and j of m, (100 + percent) * min(n - i, m - j) >= percent * (n + m). So a set needs to offer few of its rarest shingles
+    only, and the larger set looks for sizes its place allows; shingles that one node has match nothing. Near copies that differ in many
+    places begin with shingles of their own and offer none, so their pairs never arise. Pairs within a group are left out by joining the
+    groups of a shingle first.
+    """
+    lists = texts.join(groups.select("node"), "node").mapInArrow(_shingle_lists, "node long, n long, hs array<long>")
+    shingles = lists.select("node", "n", F.explode("hs").alias("h"))
+    common = shingles.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    ordered = shingles.join(common, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("hs"))
+    ordered = ordered.withColumn("own", F.col("n") - F.size("hs"))
+    reach = F.expr(f"cast(greatest(0, n - ceil({percent} * n / 100D) + 2 - own) as int)")
+    offers = ordered.select("node", "n", "own", F.posexplode(F.slice("hs", 1, reach)).alias("p", "x")).select("node", "n", (F.col("own") + F.col("p")).alias("i"), "x.h")
+    offers = cut(offers.join(groups, "node"))
+    step = "cast(floor(ln({}) / ln(1.05D)) as int)"
+    p, q = percent, 100 + percent
+    small = offers.where(f"{q} * (n - i) >= 2 * {p} * n").select("h", F.expr(step.format("n")).alias("s"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("group").alias("ga"))
+    large = offers.withColumn("lo", F.expr(f"ceil({p} * n / 100D)")).withColumn("hi", F.expr(f"least(n, floor({q} * (n - i) / {p}D) - n)")).where("lo <= hi")
+    large = large.select("h", F.explode(F.expr(f"sequence({step.format('lo')}, {step.format('hi')})")).alias("s"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("group").alias("gb"))
+    across = small.select("h", "s", "ga").distinct().join(large.select("h", "s", "gb").distinct(), ["h", "s"]).where("ga <> gb")
+    pairs = across.join(small, ["h", "s", "ga"]).join(large, ["h", "s", "gb"])
+    pairs = pairs.where(f"na <= nb and {p} * nb <= 100 * na and {q} * least(na - ia, nb - ib) >= {p} * (na + nb)")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _confirmed(percent: int):
     def sets(z, size) -> Iterator[np.ndarray]:
         for block in X.blocks(X.unpacked(z, size)):
@@ -98,7 +136,7 @@ def _confirmed(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 2) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id and kept.
 
     Two documents are linked when 100 * |intersection| >= percent * |union| for their sets of distinct 5-word shingles (words in lower
@@ -109,8 +147,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 3) -> Data
 
     * In each of ``rounds`` rounds every band has a centre (another one each round) and its members are compared with it, unless links found
       so far join them. A band with n members costs n comparisons, and a group of near copies is soon one component.
-    * Then all pairs of a band that lie in different components and whose sizes allow a link are compared. Nothing is left out; within a
-      component no pair is needed.
+    * Then all documents in bands that still hold several components are joined by an exact prefix filter (:func:`_possible`), across
+      components only. Nothing is left out; within a component no pair is needed.
 
     Links are confirmed on the full sets from the whole texts. Hot bands and centres are joined by plain equi-joins, which Spark can split.
 
@@ -145,21 +183,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 3) -> Data
         mixed = placed.groupBy("band").agg(F.min("group").alias("_l"), F.max("group").alias("_h")).where("_l < _h").select("band")
         open_ = placed.join(mixed, "band")
         if turn < rounds:
-            centre = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), "node", "n", "group")).alias("c")
+            # the first round has the same centre in all bands of a group of near copies, later ones have many
+            draw = F.xxhash64("node") if turn == 0 else F.xxhash64(F.lit(turn), "band", "node")
+            centre = F.min(F.struct(draw.alias("o"), "node", "n", "group")).alias("c")
             centres = open_.groupBy("band").agg(centre).select("band", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.group").alias("ga"))
             pairs = open_.join(centres, "band").where("ga <> group").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
+            pairs = pairs.where(fits).select("a", "b").distinct()
         else:
-            parts = open_.select("band", "group").distinct()
-            other = parts.select("band", F.col("group").alias("gb"))
-            across = parts.select("band", F.col("group").alias("ga")).join(other, "band").where("ga < gb")
-            left = across.join(open_.select("band", F.col("group").alias("ga"), F.col("node").alias("a"), F.col("n").alias("na")), ["band", "ga"])
-            right = open_.select("band", F.col("group").alias("gb"), F.col("node").alias("b"), F.col("n").alias("nb"))
-            pairs = left.join(right, ["band", "gb"])
-        pairs = cut(pairs.where(fits).select("a", "b").distinct())
+            pairs = _possible(texts, cut(open_.select("node", "group").distinct()), percent)
+        pairs = cut(pairs)
         if pairs.isEmpty():
-            if turn < rounds:
-                continue
-            break
+            continue
         links.append(confirmed(pairs))
         groups = components(reduce(DataFrame.union, links))
     own = nodes.select("d0", "d1", "node", "id")
