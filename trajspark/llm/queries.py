@@ -118,3 +118,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents."""
     from trajspark.llm.toxicity import toxicity
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    from trajspark.llm.langid import languages
+    return languages(table(spark, sf_dir, "documents"))
