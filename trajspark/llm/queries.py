@@ -125,3 +125,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     from trajspark.llm.langid import languages
     return languages(table(spark, sf_dir, "documents"))
+
+
+@query("op2_host_trust")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of all pages."""
+    from trajspark.llm.hosts import url_verdicts
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
+@query("op10_html_blocks")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    from trajspark.llm.html import extract
+    return extract(table(spark, sf_dir, "pages"))
