@@ -14,20 +14,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Store a result in the shared folder the cluster names, so that a lost executor or a later step recomputes nothing before it.
+def shared(spark: SparkSession) -> str:
+    """The folder all machines share: ``spark.checkpoint.dir`` of the session, or, where it is unset (tests on one machine), one below the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints").rstrip("/")
 
-    ``spark.checkpoint.dir`` is read from the session. Where it is unset (tests on one machine) the folder lies below the warehouse.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    folder = folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+
+def cut(df: DataFrame) -> DataFrame:
+    """Store a result in the shared folder, so that a lost executor or a later step recomputes nothing before it."""
+    context = df.sparkSession.sparkContext
+    folder = shared(df.sparkSession)
     if not (context.getCheckpointDir() or "").startswith(folder):
         context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
+def same_columns(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """``rows`` with a struct ``_doc`` of a document's columns and its new text, as the columns of ``docs``; n_chars follows the text."""
+    out = []
+    for f in docs.schema.fields:
+        value = F.col("_doc").getField(f.name)
+        if f.name == "text":
+            value = F.col(text)
+        elif f.name == "n_chars" and "text" in docs.columns:
+            value = F.length(text).cast(f.dataType)
+        out.append(value.alias(f.name))
+    return rows.select(*out)
+
+
 def key(c: str) -> Column:
     return F.coalesce(F.col(c).cast("long"), F.lit(NO_ID))
 

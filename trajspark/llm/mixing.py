@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import WORD, cut, key
+from trajspark.llm.common import WORD, cut, key, same_columns
 
 #: Places on the sampling order, in two steps: the first finds one of 1,024 ranges, the second one of 1,024 in it.
 FINE, COARSE = 2**20, 2**10
@@ -132,10 +132,11 @@ def mix_sizes(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5,
 def mixed_documents(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, the last one of a source cut to the words it needs; same columns."""
     _, plan = _planned(docs, seed, weights, share, most)
-    rows = _taken(_named(docs, seed), plan).where("_taken > 0")
+    rows = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.struct(*docs.columns).alias("_doc"))
+    rows = _taken(_named(rows, seed), plan).where("_taken > 0")
     copies = F.floor(F.col("_taken") / F.col("_row.size")).cast("int")
     rest = (F.col("_taken") % F.col("_row.size")).cast("int")
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies + F.when(rest > 0, 1).otherwise(0))))
     words = F.expr(r"array_remove(split(translate(text, '\t\n\u000b\f\r', '     '), ' '), '')")
     text = F.when(F.col("_copy") <= copies, F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.greatest(rest, F.lit(1))), " "))
-    return rows.select(*[text.alias(c) if c == "text" else rows[c] for c in docs.columns])
+    return same_columns(rows.withColumn("_text", text), docs, "_text")

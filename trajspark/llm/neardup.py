@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.llm import text as X
@@ -136,6 +136,12 @@ def _confirmed(percent: int):
     return run
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """Rank, id and text of every row, and a hash that tells rows of one id apart."""
+    rows = docs.select(key("doc_id").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("th", F.xxhash64("text"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 2) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id and kept.
 
@@ -156,8 +162,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 2) -> Data
     component whatever their ids; rows without doc_id rank behind all others, and a group of such rows only has component_id null (kept
     if doc_id is null as well). Extra columns are ignored; an empty table gives an empty result.
     """
-    rows = docs.select(key("doc_id").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("th", F.xxhash64("text"))
+    out = _members(docs, percent, rounds)
+    component = F.when(F.col("first") < F.lit(2**63 - 1), F.col("first")).alias("component_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 2) -> DataFrame:
+    """One row of ``docs`` per component, with all its columns: the one with the smallest doc_id; rows without a word all stay."""
+    members = cut(_members(docs, percent, rounds).select("id", "th", "n", "component"))
+    one = members.where("n > 0").groupBy("component").agg(F.min(F.struct("id", "th")).alias("x")).select("x.*", F.lit(True).alias("_one"))
+    stay = one.union(members.where("n = 0").select("id", "th", F.lit(False)).distinct())
+    rows = docs.select(key("doc_id").alias("_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_th"), F.struct(*docs.columns).alias("_doc"))
+    rows = rows.join(stay, (F.col("_id") == F.col("id")) & (F.col("_th") == F.col("th")))
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.lit(1))))
+    return rows.where("_k = 1 or not _one").select("_doc.*")
+
+
+def _members(docs: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """(id, doc_id, th, n, component, first) of every row; first is the smallest id of its component."""
+    rows = _named(docs)
     signed = cut(rows.mapInArrow(_signature_rows, "id long, doc_id long, th long, n long, d0 long, d1 long, bands array<long>"))
     best = F.min(F.struct("id", "th", "n", "bands")).alias("x")
     nodes = cut(signed.where("n > 0").groupBy("d0", "d1").agg(best).select("d0", "d1", F.col("d0").alias("node"), "x.*"))
@@ -197,12 +220,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 2) -> Data
         links.append(confirmed(pairs))
         groups = components(reduce(DataFrame.union, links))
     own = nodes.select("d0", "d1", "node", "id")
-    if groups is not None:
-        own = own.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        smallest = own.groupBy("component").agg(F.min("id").alias("first"))
-        own = own.join(smallest, "component")
+    if groups is None:
+        own = own.withColumn("component", F.col("node"))
     else:
-        own = own.withColumn("first", F.col("id"))
-    out = signed.join(own.select("d0", "d1", "first"), ["d0", "d1"], "left").withColumn("first", F.coalesce("first", "id"))
-    component = F.when(F.col("first") < F.lit(2**63 - 1), F.col("first")).alias("component_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        own = own.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = own.join(own.groupBy("component").agg(F.min("id").alias("first")), "component")
+    out = signed.join(own.select("d0", "d1", "component", "first"), ["d0", "d1"], "left")
+    return out.select("id", "doc_id", "th", "n", "component", F.coalesce("first", "id").alias("first"))

@@ -9,15 +9,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trajspark.llm import text as X
-from trajspark.llm.common import key, parts
+from trajspark.llm.common import key, same_columns
+
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, b.num_rows, 512):
             part = b.slice(lo, 512)
-            yield pa.record_batch([part.column("id"), part.column("doc_id"), *X.packed(part.column("text"))], ["id", "doc_id", "z", "size"])
+            keep = [c for c in part.schema.names if c != "text"]
+            yield pa.record_batch([*[part.column(c) for c in keep], *X.packed(part.column("text"))], [*keep, "z", "size"])
 
 
 def _anchors(words: np.ndarray, row: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +83,23 @@ def _edge_rows(k: int, m: int):
     return run
 
 
+def _remaining(block: X.Block, keep: np.ndarray) -> list[str]:
+    """Texts without their dropped words and the white space after these; the rest as it was."""
+    out = []
+    for r in range(block.rows):
+        i, j = block.bounds[r], block.bounds[r + 1]
+        at, end = block.offsets[r], block.offsets[r + 1]
+        gone = np.flatnonzero(~keep[i:j])
+        pieces = []
+        if len(gone):
+            for run in np.split(gone, np.flatnonzero(np.diff(gone) > 1) + 1):
+                pieces.append(block.data[at:block.start[i + run[0]]].tobytes())
+                at = block.start[i + run[-1] + 1] if i + run[-1] + 1 < j else end
+        pieces.append(block.data[at:end].tobytes())
+        out.append(b"".join(pieces).decode())
+    return out
+
+
 def _cleaned_rows(k: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,13 +164,19 @@ def _cleaned_rows(k: int, with_text: bool):
                             pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64())])))]
                     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans"]
                     if with_text:
-                        whole = part.column("size").slice(block.first, block.rows)
-                        cols += [pa.array([t.decode() for t in kept], pa.string()), whole]
-                        names += ["kept_text", "size"]
+                        cols = [part.column("doc").slice(block.first, block.rows), cols[1], cols[2], pa.array(_remaining(block, keep), pa.string())]
+                        names = ["doc", "n_words", "n_removed", "kept_text"]
                     yield pa.record_batch(cols, names)
     return run
 
 
+def without_repeats(docs: DataFrame, k: int = 13, m: int = 4) -> DataFrame:
+    """The rows of ``docs`` with their repeated words cut out of the text, with all their columns; texts of which no word is left go."""
+    rows = repeated_spans(docs, k, m, with_text=True).where("n_words = 0 or n_removed < n_words")
+    rows = rows.withColumn("_doc", F.col("doc")).withColumn("_text", F.when(~F.col("doc")["_none"], F.col("kept_text")))
+    return same_columns(rows, docs, "_text")
+
+
 def repeated_spans(docs: DataFrame, k: int = 13, m: int = 4, with_text: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, n_removed, kept_sha256 and the repeated spans (start word, words, source document).
 
@@ -170,9 +196,14 @@ def repeated_spans(docs: DataFrame, k: int = 13, m: int = 4, with_text: bool = F
     Ids: rows with equal doc_id do not count as sources of each other; null ranks behind all ids. Null and empty texts, and texts of fewer
     than ``k`` words, keep all they have. Extra columns are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    rows = docs.select(key("doc_id").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = rows.mapInArrow(_packed, "id long, doc_id long, z binary, size long").where("id is not null")
+    text = F.col("text").cast("string")
+    ids = [key("doc_id").alias("id"), F.col("doc_id").cast("long").alias("doc_id")]
+    rows = whole = docs.select(*ids, text.alias("text"))
+    if with_text:
+        others = F.struct(*[F.col(c) for c in docs.columns if c != "text"], text.isNull().alias("_none"))
+        whole = docs.select(*ids, others.alias("doc"), text.alias("text"))
+    packed = T.StructType([*[f for f in whole.schema.fields if f.name != "text"], T.StructField("z", T.BinaryType()), T.StructField("size", T.LongType())])
+    texts = whole.mapInArrow(_packed, packed).where("id is not null")
     anchors = rows.select("id", "text").mapInArrow(_anchor_rows(k, m), "m long, id long")
     shared = (anchors.groupBy("m").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"))
     told = docs.select(key("doc_id").alias("id"), *[f(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(n) for f, n in ((F.xxhash64, "t0"), (F.hash, "t1"), (F.length, "t2"))])
@@ -185,11 +216,11 @@ def repeated_spans(docs: DataFrame, k: int = 13, m: int = 4, with_text: bool = F
     tagged = texts.join(copies, "id", "left")
     near = tagged.where("copied is null").join(wanted, "id")
     edge = "w long, c int, id long"
-    sources = (near.where("size(as_source) > 0").select("id", "doc_id", "z", "size", F.col("as_source").alias("anchors")).mapInArrow(_edge_rows(k, m), edge)
+    sources = (near.where("size(as_source) > 0").select(*packed.names, F.col("as_source").alias("anchors")).mapInArrow(_edge_rows(k, m), edge)
                .groupBy("w", "c").agg(F.min("id").alias("source")))
-    repeats = near.where("size(as_repeat) > 0").select("id", "doc_id", "z", "size", F.col("as_repeat").alias("anchors")).mapInArrow(_edge_rows(k, m), edge)
+    repeats = near.where("size(as_repeat) > 0").select(*packed.names, F.col("as_repeat").alias("anchors")).mapInArrow(_edge_rows(k, m), edge)
     hits = repeats.join(sources, ["w", "c"]).where("source < id").groupBy("id").agg(F.collect_list(F.struct("w", "c", "source")).alias("hits"))
-    shape = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,words:long,source:long>>"
+    shape = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,words:long,source:long>>")
     if with_text:
-        shape += ", kept_text string, size long"
-    return tagged.join(hits, "id", "left").select("doc_id", "z", "size", "hits", "copied").mapInArrow(_cleaned_rows(k, with_text), shape)
+        shape = T.StructType([whole.schema["doc"], *shape.fields[1:3], T.StructField("kept_text", T.StringType())])
+    return tagged.join(hits, "id", "left").select(*packed.names, "hits", "copied").mapInArrow(_cleaned_rows(k, with_text), shape)

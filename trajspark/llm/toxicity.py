@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -240,6 +241,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TERMS
     return chosen, fit_logistic(np.array([r.x for r in table]), y)
 
 
+def _scores(x: np.ndarray, model) -> np.ndarray:
+    mean, scale, w = model
+    return 1 / (1 + np.exp(-np.clip((x - mean) / scale @ w[:-1] + w[-1], -30, 30)))
+
+
+def _scored_rows(terms: tuple[tuple[str, float], ...], model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _feature_rows(terms)(batches):
+            x = np.array(b.column("x").to_pylist()).reshape(b.num_rows, len(FEATURES))
+            yield pa.record_batch([b.column("doc_id"), pa.array(_scores(x, model)), pa.array(np.rint(np.expm1(x[:, 1])).astype(np.int64))], ["doc_id", "score", "hits"])
+    return run
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TERMS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted and hits (terms met outside quotations).
 
@@ -256,8 +270,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int =
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if model is None:
         return plain.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).cast("long").alias("hits"))
-    mean, scale, w = model
-    logit = sum((((F.get("x", F.lit(i)) - float(m)) * float(b / s) for i, (m, s, b) in enumerate(zip(mean, scale, w)))), F.lit(float(w[-1])))
-    scored = plain.mapInArrow(_feature_rows(chosen), "doc_id long, x array<double>")
-    scored = scored.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit)))))
-    return scored.select("doc_id", held, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.round(F.expm1(F.get("x", F.lit(1)))).cast("long").alias("hits"))
+    scored = plain.mapInArrow(_scored_rows(chosen, model), "doc_id long, score double, hits long")
+    return scored.select("doc_id", held, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "hits")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TERMS) -> DataFrame:
+    """The rows of ``docs`` whose score is below 0.5, with all their columns; without labels of both classes all of them."""
+    chosen, model = fit(docs, labels, rows, terms)
+    if model is None:
+        return docs
+    stems = frozenset(i for i, (t, _) in enumerate(chosen) if t.endswith("*"))
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        machine = automaton(chosen)
+        return pd.Series(_scores(np.array([features(t, machine, stems) for t in texts]).reshape(len(texts), len(FEATURES)), model))
+
+    return docs.where(score(F.col("text").cast("string")) < 0.5)
