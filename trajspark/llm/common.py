@@ -74,20 +74,22 @@ def components(edges: DataFrame) -> DataFrame:
     among them; the number of rounds grows with the logarithm of the longest path. Stars are found by aggregation, so a node with very
     many neighbours is combined before the shuffle. Each round is stored in the shared folder; only a count returns to the driver.
     """
-    links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:
+    def stored(df: DataFrame) -> tuple[DataFrame, tuple]:
+        df = cut(df)
+        mark = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        return df.coalesce(1 + mark[0] // 500_000), tuple(mark)  # few links need few tasks and files
+
+    links, before = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while before[0]:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        least = least.select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
-        large = (both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        down = large.where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
+        down = both.join(least, F.col("u") == F.col("k")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down, _ = stored(down.distinct())
         low = down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = down.join(low, F.col("u") == F.col("k"))
         turned = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        new = cut(turned.where("u <> v").distinct())
-        same = new.groupBy().agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        old = links.groupBy().agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        links = new
-        if (same.n, same.s) == (old.n, old.s):
-            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        links, now = stored(turned.where("u <> v").distinct())
+        if now == before:
+            break
+        before = now
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -142,7 +141,7 @@ def _named(docs: DataFrame) -> DataFrame:
     return rows.withColumn("th", F.xxhash64("text"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 1) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id and kept.
 
     Two documents are linked when 100 * |intersection| >= percent * |union| for their sets of distinct 5-word shingles (words in lower
@@ -151,8 +150,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 2) -> Data
     Documents with equal sets are one node (their set is summed to 128 bits), so groups of exact copies need no pairs. Each node gets the
     minimum and the maximum of its hashes under 40 permutations, cut into 20 bands. Nodes that share a band are candidates:
 
-    * In each of ``rounds`` rounds every band has a centre (another one each round) and its members are compared with it, unless links found
-      so far join them. A band with n members costs n comparisons, and a group of near copies is soon one component.
+    * In each of ``rounds`` rounds every band has a centre of its own and its members are compared with it, unless links found so far join
+      them. A band with n members costs n comparisons, and with the centres of twenty bands a group of near copies is soon one component.
     * Then all documents in bands that still hold several components are joined by an exact prefix filter (:func:`_possible`), across
       components only. Nothing is left out; within a component no pair is needed.
 
@@ -167,7 +166,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 2) -> Data
     return out.select("doc_id", F.col("n").alias("n_shingles"), component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def without_near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 2) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 1) -> DataFrame:
     """One row of ``docs`` per component, with all its columns: the one with the smallest doc_id; rows without a word all stay."""
     members = cut(_members(docs, percent, rounds).select("id", "th", "n", "component"))
     one = members.where("n > 0").groupBy("component").agg(F.min(F.struct("id", "th")).alias("x")).select("x.*", F.lit(True).alias("_one"))
@@ -197,7 +196,6 @@ def _members(docs: DataFrame, percent: int, rounds: int) -> DataFrame:
         both = pairs.join(b, "b").join(a, "a").select("a", "b", "za", "sa", "zb", "sb")
         return cut(both.mapInArrow(_confirmed(percent), "a long, b long"))
 
-    links: list[DataFrame] = []
     groups = None
     fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     for turn in range(rounds + 1):
@@ -206,19 +204,26 @@ def _members(docs: DataFrame, percent: int, rounds: int) -> DataFrame:
         mixed = placed.groupBy("band").agg(F.min("group").alias("_l"), F.max("group").alias("_h")).where("_l < _h").select("band")
         open_ = placed.join(mixed, "band")
         if turn < rounds:
-            # the first round has the same centre in all bands of a group of near copies, later ones have many
-            draw = F.xxhash64("node") if turn == 0 else F.xxhash64(F.lit(turn), "band", "node")
-            centre = F.min(F.struct(draw.alias("o"), "node", "n", "group")).alias("c")
+            # the bands of a group of near copies have centres of their own
+            centre = F.min(F.struct(F.xxhash64(F.lit(turn), "band", "node").alias("o"), "node", "n", "group")).alias("c")
             centres = open_.groupBy("band").agg(centre).select("band", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.group").alias("ga"))
-            pairs = open_.join(centres, "band").where("ga <> group").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
-            pairs = pairs.where(fits).select("a", "b").distinct()
+            pairs = open_.join(centres, "band").where("ga <> group").select(F.col("a").alias("x"), F.col("node").alias("y"), "na", F.col("n").alias("nb"))
+            pairs = pairs.where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         else:
             pairs = _possible(texts, cut(open_.select("node", "group").distinct()), percent)
         pairs = cut(pairs)
         if pairs.isEmpty():
             continue
-        links.append(confirmed(pairs))
-        groups = components(reduce(DataFrame.union, links))
+        links = confirmed(pairs)
+        if groups is None:
+            groups = components(links)
+        else:  # only the components found so far are joined further
+            names = groups.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+            links = links.join(names, F.col("a") == F.col("_n"), "left").select("b", F.coalesce("_c", "a").alias("a"))
+            links = links.join(names, F.col("b") == F.col("_n"), "left").select("a", F.coalesce("_c", "b").alias("b"))
+            more = components(links)
+            both = groups.join(more.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component"))
+            groups = cut(both.union(more.join(groups.select("node"), "node", "left_anti")))
     own = nodes.select("d0", "d1", "node", "id")
     if groups is None:
         own = own.withColumn("component", F.col("node"))
