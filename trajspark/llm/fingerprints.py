@@ -28,9 +28,8 @@ def vector(text: Column) -> tuple[Column, Column]:
         return F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: (s + of(h)).bitwiseAND(F.lit(_MASK)))
 
     sums = [total(lambda h, i=i: h[f"h{i}"]) for i in range(HASHES)]
-    lanes = [total(lambda h, i=i, j=j: F.shiftrightunsigned(h[f"h{i}"], j).bitwiseAND(F.lit(_LANES))) for i in range(HASHES) for j in range(PER_HASH)]
-    body = F.array(F.size("hashes").cast("long"), *sums, *lanes)
-    return hashes, body
+    lanes = [F.expr(f"transform(sequence(0, {PER_HASH - 1}), j -> aggregate(hashes, 0L, (s, h) -> (s + (shiftrightunsigned(h.h{i}, j) & {_LANES}L)) & {_MASK}L))") for i in range(HASHES)]
+    return hashes, F.concat(F.array(F.size("hashes").cast("long"), *sums), *lanes)
 
 
 def with_vector(df: DataFrame, text: Column, name: str) -> DataFrame:
@@ -68,35 +67,56 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(size > 0, F.greatest(F.lit(0.0), 2 * dot(x, na, y, nb) / size)).otherwise(F.lit(0.0))
 
 
-def following(ids: DataFrame) -> DataFrame:
-    """(id, next): the next smaller id, and for the smallest the largest; ``ids`` has distinct values of id.
+def ranges(rows: DataFrame, count: int) -> Column:
+    """The number of a row's range in the order of (id, th): ``count`` ranges of about equally many rows, found by binary search.
 
-    Ids are dealt by range, so each task orders one range; the ends of the ranges (one row per range) are ordered in one.
+    The bounds are quantiles of a sample by hash, about fifty rows a range; they only deal out work.
     """
-    spark = ids.sparkSession
-    ranges = cut(ids.repartitionByRange(parts(spark), F.col("id").desc()).select("id", F.spark_partition_id().alias("part")))
-    inside = ranges.withColumn("next", F.lead("id").over(Window.partitionBy("part").orderBy(F.col("id").desc())))
-    tops = ranges.groupBy("part").agg(F.max("id").alias("top"))
-    order = Window.orderBy(F.col("top").desc())
-    tops = tops.select("part", F.coalesce(F.lead("top").over(order), F.max("top").over(Window.partitionBy())).alias("after"))
-    return inside.join(tops, "part").select("id", F.coalesce("next", "after").alias("next"))
+    total = rows.count()
+    some = rows.where(F.pmod(F.xxhash64(F.lit("range"), "id", "th"), F.lit(max(1, total // (50 * count)))) == 0).select("id", "th")
+    sample = sorted((r.id, r.th) for r in some.collect())
+    bounds = sorted({sample[len(sample) * i // count] for i in range(1, count)}) if sample else []
+
+    def longs(values) -> Column:
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+    if not bounds:
+        return F.lit(0)
+    ids, ths = longs(b[0] for b in bounds), longs(b[1] for b in bounds)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+
+    def further(at: Column, step: Column) -> Column:
+        i, t = F.get(ids, at + step - 1), F.get(ths, at + step - 1)
+        return F.when((at + step <= len(bounds)) & ((i < F.col("id")) | ((i == F.col("id")) & (t <= F.col("th")))), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), further)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document in
-    descending doc_id (after the last: the first). Null texts count as empty. Rows without doc_id come first, as one document. Where
-    several rows share a doc_id, the next document is the one with the smallest text. Two empty texts have likeness 1, an empty and
-    another one 0. A single document is its own next. Extra columns are ignored; an empty table gives an empty result.
+    descending doc_id (after the last: the first). Rows are dealt out by ranges of the order in one shuffle of the texts, and the next
+    text is read by a window over each range; the first rows of the ranges, one each, are handed to the range before.
+
+    Null texts count as empty. Rows without doc_id come first; rows that share a doc_id follow each other by a hash of their texts. Two
+    empty texts have likeness 1, an empty and another one 0. A single row is its own next. Extra columns are ignored; an empty table gives
+    an empty result.
     """
     rows = docs.select(key("doc_id").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    after = following(rows.select("id").distinct())
-    left = with_vector(rows.withColumn("n_chars", F.length("text").cast("long")), F.col("text"), "v")
-    left = left.select("id", "doc_id", "n_chars", F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))").alias("head"), "v")
-    left = left.join(after, "id")
-    right = rows.groupBy("id").agg(F.min("text").alias("other")).withColumnRenamed("id", "next")
-    both = left.join(right, "next").withColumn("edited", F.concat("head", F.expr("substring(other, 1, cast(n_chars div 2 as int))")))
-    both = with_vector(with_vector(both, F.col("edited"), "ev"), F.col("other"), "ov")
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    part = ranges(rows, 4 * parts(docs.sparkSession))
+    dealt = with_vector(rows.withColumn("part", part), F.col("text"), "v")
+    order = [F.col("id").desc(), F.col("th").desc()]
+    inside = Window.partitionBy("part").orderBy(*order)
+    dealt = dealt.select("part", "doc_id", "text", "v", F.lead(F.struct("text", "v")).over(inside).alias("next"), F.row_number().over(inside).alias("place"))
+    tops = dealt.where("place = 1").select("part", F.struct("text", "v").alias("top"))
+    numbers = cut(tops.select("part"))
+    down = Window.orderBy(F.col("part").desc())
+    numbers = numbers.select("part", F.coalesce(F.lead("part").over(down), F.max("part").over(Window.partitionBy())).alias("after"))
+    first = numbers.join(tops.withColumnRenamed("part", "after"), "after").select("part", "top")
+    both = dealt.join(first, "part").select("doc_id", "text", "v", F.coalesce("next", "top").alias("next"), F.length("text").cast("long").alias("n_chars"))
+    edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))"), F.expr("substring(next.text, 1, cast(n_chars div 2 as int))"))
+    both = with_vector(both.withColumn("edited", edited), F.col("edited"), "ev")
     return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written(F.col("v")).alias("fingerprint"), written(F.col("ev")).alias("edited_fingerprint"),
-                       likeness(F.col("v"), F.col("ev")).alias("near_edited"), likeness(F.col("v"), F.col("ov")).alias("near_next"))
+                       likeness(F.col("v"), F.col("ev")).alias("near_edited"), likeness(F.col("v"), F.col("next.v")).alias("near_next"))
