@@ -31,7 +31,7 @@ def matching_rule(host: Column, path: Column, rules) -> Column:
     return out
 
 
-def host_scores(pages: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 30, every: int = 5, tolerance: float = 1e-9) -> DataFrame:
+def host_scores(pages: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 60, every: int = 5, tolerance: float = 1e-6) -> DataFrame:
     """(host, trust, distrust): personalised PageRank over links from trusted seeds, and over reversed links from blocked ones.
 
     ``pages`` has host and seed ('allow', 'block' or null) per page; a host is a seed by the share of its pages that a rule allows or
