@@ -65,5 +65,5 @@ def test_projection_recovers_control_values(spark):
     parts = [fits.basis_matrix(t, u, 3, o) @ c for o in (0, 1, 2)]
     df = spark.createDataFrame([(1, t.tolist(), u.tolist(), *[p.tolist() for p in parts])],
                                "id long, knots array<double>, phase array<double>, position array<double>, velocity array<double>, acceleration array<double>")
-    row = fits.project_control_points(df, ridge=1e-12).first()
+    row = fits.project_control_points(df, ["id"], ridge=1e-12).first()
     assert np.allclose(row.coefficients, c, atol=1e-5) and row.rmse < 1e-6

@@ -100,24 +100,38 @@ def to_global(rho: Column, start: Column, end: Column) -> Column:
     return start + rho * (end - start)
 
 
+def finite(x: Column) -> Column:
+    """The value, or null where it is NaN or infinite."""
+    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+
+
 def blend_interval(gt_start: Column, gt_end: Column, predicted: Column, alpha: float, min_width: float) -> Column:
     """Interval of the true width whose start moves from the true to the predicted one."""
-    usable = predicted.isNotNull() & ~F.isnan(predicted)
+    known = finite(predicted)
     width = F.greatest(gt_end - gt_start, F.lit(min_width))
-    mixed = F.when(usable, (1.0 - alpha) * gt_start + alpha * predicted).otherwise(gt_start)
+    mixed = F.coalesce((1.0 - alpha) * gt_start + alpha * known, gt_start)
     start = F.least(F.greatest(mixed, F.lit(0.0)), F.lit(1.0 - min_width))
     end = F.greatest(F.least(start + width, F.lit(1.0)), F.least(start + min_width, F.lit(1.0)))
     return F.struct(start.alias("start"), end.alias("end"))
 
 
+# Sources and reasons of a resolved interval, and reasons of an invalid matched one.
+END_SOURCES = {"predicted": "localizer_predicted_interval", "fallback": "fixed_future_frames_fallback", "none": "none"}
+END_REASONS = {"no_end": "predicted_interval_requested_but_localizer_has_no_valid_end_output", "degenerate": "degenerate_or_nonfinite_human_interval"}
+INVALID_REASONS = {
+    "no_frames": "missing_matched_start_and_end_frame", "no_start_frame": "missing_matched_start_frame", "no_end_frame": "missing_matched_end_frame",
+    "no_u": "missing_matched_start_and_end_u", "no_start_u": "missing_matched_start_u", "no_end_u": "missing_matched_end_u",
+    "degenerate": "degenerate_interval_end_u_le_start_u", "restriction": "local_spline_restriction_failed", "uncovered": "zero_frame_covered_interval", "other": "other_malformed_sample"}
+
+
 def resolve_end(start: Column, predicted_end: Column, fallback_end: Column, min_u: float) -> Column:
-    """End of an interval: the predicted one when known, else the fixed-future one; with validity and reason."""
+    """End of an interval: the predicted one when it is finite, else the fixed-future one; with validity and reason."""
+    start, predicted_end, fallback_end = finite(start), finite(predicted_end), finite(fallback_end)
     end = F.coalesce(predicted_end, fallback_end)
-    source = (F.when(predicted_end.isNotNull(), "localizer_predicted_interval")
-              .when(fallback_end.isNotNull(), "fixed_future_frames_fallback").otherwise("none"))
-    valid = F.coalesce(start.isNotNull() & end.isNotNull() & (end - start >= min_u), F.lit(False))
-    reason = F.when(end.isNull(), "predicted_interval_requested_but_localizer_has_no_valid_end_output").when(
-        ~valid, "degenerate_or_nonfinite_human_interval")
+    source = (F.when(predicted_end.isNotNull(), END_SOURCES["predicted"])
+              .when(fallback_end.isNotNull(), END_SOURCES["fallback"]).otherwise(END_SOURCES["none"]))
+    valid = F.coalesce(end - start >= min_u, F.lit(False))
+    reason = F.when(end.isNull(), END_REASONS["no_end"]).when(~valid, END_REASONS["degenerate"])
     return F.struct(end.alias("end"), source.alias("end_source"), reason.alias("reason"), valid.alias("valid"))
 
 
@@ -143,19 +157,17 @@ def git_blob_sha1(content: Column) -> Column:
 
 
 def invalid_reason(start_valid: Column, end_valid: Column, start_u: Column, end_u: Column, local_valid: Column, covered: Column) -> Column:
-    """Reason name of an invalid matched interval: the first broken condition."""
-    return (F.when(~start_valid & ~end_valid, "missing_matched_start_and_end_frame")
-            .when(~start_valid, "missing_matched_start_frame").when(~end_valid, "missing_matched_end_frame")
-            .when(start_u.isNull() & end_u.isNull(), "missing_matched_start_and_end_u")
-            .when(start_u.isNull(), "missing_matched_start_u").when(end_u.isNull(), "missing_matched_end_u")
-            .when(end_u <= start_u + EPSILON, "degenerate_interval_end_u_le_start_u")
-            .when(~local_valid, "local_spline_restriction_failed")
-            .when(covered <= 0, "zero_frame_covered_interval").otherwise("other_malformed_sample"))
+    """Reason name of an invalid matched interval: the first broken condition; a u that is not finite counts as missing."""
+    r, start_u, end_u = INVALID_REASONS, finite(start_u), finite(end_u)
+    return (F.when(~start_valid & ~end_valid, r["no_frames"]).when(~start_valid, r["no_start_frame"]).when(~end_valid, r["no_end_frame"])
+            .when(start_u.isNull() & end_u.isNull(), r["no_u"]).when(start_u.isNull(), r["no_start_u"]).when(end_u.isNull(), r["no_end_u"])
+            .when(end_u <= start_u + EPSILON, r["degenerate"]).when(~local_valid, r["restriction"])
+            .when(covered <= 0, r["uncovered"]).otherwise(r["other"]))
 
 
 def reason_code(start_valid: Column, end_valid: Column, start_u: Column, end_u: Column, covered: Column, knots: Column) -> Column:
     """Numeric variant for intervals of interpolated u; 0 is a valid interval."""
-    c = REASON_CODES
+    c, start_u, end_u = REASON_CODES, finite(start_u), finite(end_u)
     return (F.when(~start_valid | ~end_valid, c["missing_segment"])
             .when(start_u.isNull() | end_u.isNull(), c["missing_frame_u"])
             .when(end_u <= start_u + EPSILON, c["degenerate_interval"])

@@ -276,28 +276,29 @@ def restrict_bsplines(pieces: DataFrame, degree: int = 3) -> DataFrame:
     return spread(rows, "episode", "id").mapInPandas(run, schema)
 
 
-def project_control_points(samples: DataFrame, degree: int = 3, eta_velocity: float = 0.1, eta_acceleration: float = 0.01, ridge: float = 1e-6) -> DataFrame:
+def project_control_points(samples: DataFrame, ids: list[str], degree: int = 3, eta_velocity: float = 0.1, eta_acceleration: float = 0.01, ridge: float = 1e-6) -> DataFrame:
     """Ridge least squares for control values from positions, velocities and accelerations on a grid.
 
-    ``samples`` hold (id, knots, phase, position, velocity, acceleration) with one array entry per grid point.
+    ``samples`` hold the long columns ``ids`` and (knots, phase, position, velocity, acceleration) with one array entry per grid point. Rows
+    of a batch with equal knots and grids are solved together.
     """
-    schema = "id LONG, coefficients ARRAY<DOUBLE>, rmse DOUBLE, condition DOUBLE"
+    schema = ", ".join(f"{c} LONG" for c in ids) + ", coefficients ARRAY<DOUBLE>, rmse DOUBLE, condition DOUBLE"
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                t, u = np.asarray(r.knots), np.asarray(r.phase)
-                parts = [basis_matrix(t, u, degree, o) * s for o, s in ((0, 1.0), (1, eta_velocity ** 0.5), (2, eta_acceleration ** 0.5))]
-                goal = np.concatenate([np.asarray(r.position), eta_velocity ** 0.5 * np.asarray(r.velocity), eta_acceleration ** 0.5 * np.asarray(r.acceleration)])
-                a = np.concatenate(parts)
+            shape = [(tuple(t), tuple(u)) for t, u in zip(batch["knots"], batch["phase"])]
+            for grid, rows in batch.groupby(pd.Series(shape, index=batch.index), sort=False):
+                t, u = np.array(grid[0]), np.array(grid[1])
+                scale = (1.0, eta_velocity ** 0.5, eta_acceleration ** 0.5)
+                a = np.concatenate([basis_matrix(t, u, degree, o) * s for o, s in enumerate(scale)])
+                goal = np.concatenate([np.stack(rows[c]) * s for c, s in zip(("position", "velocity", "acceleration"), scale)], axis=1)
                 normal = a.T @ a + ridge * np.eye(a.shape[1])
-                c = np.linalg.solve(normal, a.T @ goal)
+                c = np.linalg.solve(normal, a.T @ goal.T).T
                 sv = np.linalg.svd(normal, compute_uv=False)
-                rows.append((r.id, c.tolist(), float(np.sqrt(np.mean((parts[0] @ c - np.asarray(r.position)) ** 2))), float(sv.max() / max(sv.min(), 1e-12))))
-            yield pd.DataFrame(rows, columns=["id", "coefficients", "rmse", "condition"])
+                rmse = np.sqrt(np.mean((c @ a[:len(u)].T - np.stack(rows["position"])) ** 2, axis=1))
+                yield rows[ids].assign(coefficients=list(c), rmse=rmse, condition=float(sv.max() / max(sv.min(), 1e-12)))
 
-    return spread(samples, "id").mapInPandas(run, schema)
+    return spread(samples, *ids).mapInPandas(run, schema)
 
 
 def score_pairs(pairs: DataFrame, scorer, columns: list[str], ids: list[str], schema: str) -> tuple[DataFrame, DataFrame]:

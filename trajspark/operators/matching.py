@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trajspark.functions.scalars import finite
 from trajspark.operators.asof import asof
 
 FLAT = 1e-6
@@ -60,11 +61,11 @@ def interpolated_u(probes: DataFrame, labels: DataFrame, keys: list[str], target
     """
     found = asof(probes, progress_points(labels, keys, ["u"]), keys, target, "progress", ["first", "last"], "size", above="upper", strict=True)
     t, low, up = F.col(target), F.col("lower"), F.col("upper")
-    qa, qb, ua, ub = F.col("lower.v"), F.col("upper.v"), F.col("lower.last.u"), F.col("upper.first.u")
+    qa, qb, ua, ub = F.col("lower.v"), F.col("upper.v"), finite(F.col("lower.last.u")), finite(F.col("upper.first.u"))
     alpha = (t - qa) / (qb - qa)
     none, below, above = low.isNull() & up.isNull(), low.isNull(), up.isNull()
     flat = F.abs(qb - qa) <= FLAT
-    near = ua if details else F.when(_nearer(t, low, up), F.col("lower.first.u")).otherwise(ub)
+    near = ua if details else F.when(_nearer(t, low, up), finite(F.col("lower.first.u"))).otherwise(ub)
     u = (F.when(none, None).when(below, ub).when(above, ua).when(ua.isNull() | ub.isNull(), None)
          .when(flat, near).otherwise((1.0 - alpha) * ua + alpha * ub))
     out = found.withColumn("matched_u", u).withColumn("valid", F.col("matched_u").isNotNull())

@@ -119,8 +119,12 @@ def mandatory_knots(df: DataFrame, keys: list[str], pos: str, n: str, sharpness:
 
 
 def stride_sample(df: DataFrame, pos: str, n: str, stride: int, most: int, fps: float) -> DataFrame:
-    """Every ``stride``-th frame up to ``most`` per episode, on a uniform clock; episodes left with one frame are dropped."""
+    """Every ``stride``-th frame up to ``most`` per episode, on a uniform clock.
+
+    An episode that keeps fewer than two frames has no clock: its frame stays, with a null u and the reason in ``problem``.
+    """
     taken = F.least(F.lit(most), F.floor((F.col(n) - 1) / stride) + 1)
     at = F.floor(F.col(pos) / stride).cast("long")
-    kept = df.where((F.col(pos) % stride == 0) & (at < most) & (taken >= 2))
-    return kept.withColumns({"pos": at, "source_frame": F.col(pos), "t": at / F.lit(fps), "u": at / (taken - 1)})
+    kept = df.where((F.col(pos) % stride == 0) & (at < most))
+    problem = F.when(taken < 2, "fewer than 2 frames are kept")
+    return kept.withColumns({"pos": at, "source_frame": F.col(pos), "t": at / F.lit(fps), "u": F.when(taken >= 2, at / F.greatest(taken - 1, F.lit(1))), "problem": problem})

@@ -299,9 +299,8 @@ def exact_intervals(spark, sf):
 
 
 @query("c20_segment_slices", v.LABELS, """
-SELECT s.episode, s.segment_id, f.frame, printf('%02d', s.segment_id) || '_' || s.label AS name FROM segments s JOIN frames f ON f.episode = s.episode AND f.frame >= s.start_frame AND f.frame < s.end_frame
-WHERE s.segment_id <> 2""")
+SELECT s.episode, s.segment_id, f.frame, printf('%02d', s.segment_id) || '_' || s.label AS name FROM segments s JOIN frames f ON f.episode = s.episode AND f.frame >= s.start_frame AND f.frame < s.end_frame""")
 def c20(spark, sf):
-    seg = v.segments(spark, sf).where("segment_id <> 2")
+    seg = v.segments(spark, sf)
     name = F.concat(F.format_string("%02d_", "segment_id"), Sc.sanitize_name(F.col("label")))
     return S.segment_slices(v.frames(spark, sf), seg, EP).select("episode", "segment_id", "frame", name.alias("name"))

@@ -157,21 +157,29 @@ def b14(spark, sf):
     return v.frames(spark, sf).select("episode", "frame", V.all_finite([scalar], [vec]).alias("finite"))
 
 
+def odd_values(x):
+    """Predictions as a model may give them: some are NaN or infinite."""
+    at = F.col("frame")
+    return F.when(at % 11 == 3, float("nan")).when(at % 13 == 5, float("inf")).when(at % 17 == 4, float("-inf")).otherwise(x)
+
+
 @query("b15_blend_interval", v.FRAMES + """,
-gt AS (SELECT f.episode, f.frame, f.u AS s, g.u AS e, CASE WHEN f.event_type <> 'error' THEN f.x / 300.0 END AS p FROM frames f
+gt AS (SELECT f.episode, f.frame, f.u AS s, g.u AS e, CASE WHEN f.event_type <> 'error' THEN CASE WHEN f.frame % 11 = 3 THEN 'nan'::DOUBLE WHEN f.frame % 13 = 5 THEN 'inf'::DOUBLE WHEN f.frame % 17 = 4 THEN '-inf'::DOUBLE ELSE f.x / 300.0 END END AS p FROM frames f
   JOIN frames g ON g.episode = f.episode AND g.frame = least(f.frame + 6, f.n - 1)),
-st AS (SELECT *, least(greatest(CASE WHEN p IS NULL THEN s ELSE 0.4 * s + 0.6 * p END, 0), 1 - 0.01) AS b FROM gt)""", """
+st AS (SELECT *, least(greatest(CASE WHEN p IS NULL OR NOT isfinite(p) THEN s ELSE 0.4 * s + 0.6 * p END, 0), 1 - 0.01) AS b FROM gt)""", """
 SELECT episode, frame, round(b, 6) AS start_u, round(greatest(least(b + greatest(e - s, 0.01), 1), least(b + 0.01, 1)), 6) AS end_u FROM st""")
 def b15(spark, sf):
     f = Wn.fixed_future(v.frames(spark, sf), EP, "frame", "n", ["u"], 6)
-    p = F.when(F.col("event_type") != "error", F.col("x") / 300.0)
+    p = F.when(F.col("event_type") != "error", odd_values(F.col("x") / 300.0))
     out = f.withColumn("b", Sc.blend_interval(F.col("u"), F.col("future_u"), p, 0.6, 0.01))
     return v.rounded(out.select("episode", "frame", F.col("b.start").alias("start_u"), F.col("b.end").alias("end_u")))
 
 
 RESOLVE = v.FRAMES + """,
-cand AS (SELECT f.episode, f.frame, CASE WHEN f.event_type <> 'signup' THEN f.u END AS s, CASE WHEN f.event_type <> 'error' THEN least(f.u + f.x / 400 - 0.05, 1) END AS p,
-  CASE WHEN f.frame % 3 <> 0 THEN g.u END AS fb FROM frames f JOIN frames g ON g.episode = f.episode AND g.frame = least(f.frame + 6, f.n - 1))"""
+given AS (SELECT f.episode, f.frame, CASE WHEN f.event_type <> 'signup' THEN CASE WHEN f.frame % 19 = 7 THEN 'nan'::DOUBLE ELSE f.u END END AS s,
+  CASE WHEN f.event_type <> 'error' THEN CASE WHEN f.frame % 11 = 3 THEN 'nan'::DOUBLE WHEN f.frame % 13 = 5 THEN 'inf'::DOUBLE WHEN f.frame % 17 = 4 THEN '-inf'::DOUBLE ELSE least(f.u + f.x / 400 - 0.05, 1) END END AS p,
+  CASE WHEN f.frame % 3 <> 0 THEN CASE WHEN f.frame % 23 = 1 THEN 'inf'::DOUBLE ELSE g.u END END AS fb FROM frames f JOIN frames g ON g.episode = f.episode AND g.frame = least(f.frame + 6, f.n - 1)),
+cand AS (SELECT episode, frame, CASE WHEN isfinite(s) THEN s END AS s, CASE WHEN isfinite(p) THEN p END AS p, CASE WHEN isfinite(fb) THEN fb END AS fb FROM given)"""
 RESOLVE_SELECT = """
 SELECT episode, frame, round(coalesce(p, fb), 6) AS end_u, CASE WHEN p IS NOT NULL THEN 'localizer_predicted_interval' WHEN fb IS NOT NULL THEN 'fixed_future_frames_fallback' ELSE 'none' END AS end_source,
   coalesce(coalesce(p, fb) - s >= 0.0001, FALSE) AS valid, CASE WHEN coalesce(p, fb) IS NULL THEN 'predicted_interval_requested_but_localizer_has_no_valid_end_output'
@@ -179,9 +187,9 @@ SELECT episode, frame, round(coalesce(p, fb), 6) AS end_u, CASE WHEN p IS NOT NU
 
 
 def resolve_columns(f):
-    s = F.when(F.col("event_type") != "signup", F.col("u"))
-    p = F.when(F.col("event_type") != "error", F.least(F.col("u") + F.col("x") / 400 - 0.05, F.lit(1.0)))
-    fb = F.when(F.col("frame") % 3 != 0, F.col("future_u"))
+    s = F.when(F.col("event_type") != "signup", F.when(F.col("frame") % 19 == 7, float("nan")).otherwise(F.col("u")))
+    p = F.when(F.col("event_type") != "error", odd_values(F.least(F.col("u") + F.col("x") / 400 - 0.05, F.lit(1.0))))
+    fb = F.when(F.col("frame") % 3 != 0, F.when(F.col("frame") % 23 == 1, float("inf")).otherwise(F.col("future_u")))
     out = f.withColumn("r", Sc.resolve_end(s, p, fb, 1e-4))
     return out.select("episode", "frame", F.round("r.end", 6).alias("end_u"), F.col("r.end_source").alias("end_source"),
                       F.col("r.valid").alias("valid"), F.col("r.reason").alias("reason"))
@@ -279,6 +287,6 @@ def b27(spark, sf):
 
 @query("b28_stride_sample", v.FRAMES, """
 SELECT episode, frame // 3 AS pos, frame AS source_frame, round((frame // 3) / 23.0, 6) AS t,
-  round((frame // 3)::DOUBLE / (least(20, (n - 1) // 3 + 1) - 1), 6) AS u FROM frames WHERE frame % 3 = 0 AND frame // 3 < 20 AND n > 3""")
+  round((frame // 3)::DOUBLE / nullif(least(20, (n - 1) // 3 + 1) - 1, 0), 6) AS u, CASE WHEN (n - 1) // 3 + 1 < 2 THEN 'fewer than 2 frames are kept' END AS problem FROM frames WHERE frame % 3 = 0 AND frame // 3 < 20""")
 def b28(spark, sf):
-    return v.rounded(Wn.stride_sample(v.frames(spark, sf), "frame", "n", 3, 20, 23.0).select("episode", "pos", "source_frame", "t", "u"))
+    return v.rounded(Wn.stride_sample(v.frames(spark, sf), "frame", "n", 3, 20, 23.0).select("episode", "pos", "source_frame", "t", "u", "problem"))

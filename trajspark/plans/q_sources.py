@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from trajspark.sources import episodes as Ep, npz, sinks
 from trajspark.plans import views as v
@@ -126,7 +128,11 @@ def a11(spark, sf):
 
 @query("a12_scan_files")
 def a12(spark, sf):
-    return Ep.scan_files(spark, sf)
+    """Files of the given tables with their size and, from reading them, their rows."""
+    rows = [v.table(spark, sf, t).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("rows")).withColumn("table", F.lit(t)) for t in ("documents", "events", "lineitem", "orders")]
+    counted = reduce(DataFrame.union, rows)
+    files = Ep.scan_files(spark, sf).withColumn("name", F.substring_index("path", "/", -1)).withColumn("table", F.regexp_extract("path", r"^([^./]+)\.parquet", 1))
+    return counted.join(files, ["table", "name"]).select("path", "size", "rows")
 
 
 @query("a13_inspect", None, """

@@ -41,7 +41,7 @@ def h4(spark, sf):
 @query("h5_fit_bspline")
 def h5(spark, sf):
     f = fit_frames(spark, sf)
-    out = fits.fit_bspline(f, moments_of(f, ["latent", "state"]), fits.Limits(latent=0.6, cosine=0.3, channels={"state": 1.0}), most=40, spacing=1)
+    out = fits.fit_bspline(f, moments_of(f, ["latent", "state"]), fits.Limits(latent=0.6, cosine=0.3, channels={"state": 1.0}), spacing=1)
     return v.rounded(out.select("episode", "status", "satisfied", "iterations", "frames", "knots", "max_severity", "limiting_error", "out_of_range_percent"))
 
 
@@ -115,7 +115,7 @@ def h8(spark, sf):
     return v.rounded(K.cubic_basis(bins, v.knots(spark, sf), "u").where("basis > 1e-9").select("episode", "bin", "i", "basis"))
 
 
-GRID = """SELECT f.episode, f.frame * 10 + g.g AS pid, f.u + g.g / 4.0 * (least(f.u + 0.2, 1) - f.u) AS u FROM frames f, range(5) g(g) WHERE f.frame % 7 = 0 AND f.frame < f.n - 1"""
+GRID = """SELECT f.episode, f.frame * 10 + g.g AS pid, f.u + g.g / 4.0 * (least(f.u + 0.2, 1) - f.u) AS u FROM frames f, range(5) g(g) WHERE f.frame < f.n - 1"""
 
 
 @query("h9_eval_interval", v.KNOTS + _basis_ctes(GRID), """
@@ -123,7 +123,7 @@ SELECT b.episode, b.pid // 10 AS frame, b.pid % 10 AS g, round(sum(b.n * c.coef)
   round(sum(b.e * c.coef) * greatest(least(max(f.u) + 0.2, 1) - max(f.u), 1e-6) ** 2, 2) AS acceleration
 FROM b3 b JOIN coefficients c ON c.episode = b.episode AND c.i = b.i JOIN frames f ON f.episode = b.episode AND f.frame = b.pid // 10 GROUP BY b.episode, b.pid""")
 def h9(spark, sf):
-    iv = v.frames(spark, sf).where("frame % 7 = 0 and frame < n - 1").select("episode", "n", "frame", F.col("u").alias("start_u"), F.least(F.col("u") + 0.2, F.lit(1.0)).alias("end_u"))
+    iv = v.frames(spark, sf).where("frame < n - 1").select("episode", "n", "frame", F.col("u").alias("start_u"), F.least(F.col("u") + 0.2, F.lit(1.0)).alias("end_u"))
     out = K.evaluate_intervals(iv, v.knots(spark, sf), v.coefficients(spark, sf), 5, ["episode", "frame"])
     return out.select("episode", "frame", "g", F.round("position", 5).alias("position"), F.round("velocity", 3).alias("velocity"), F.round("acceleration", 2).alias("acceleration"))
 
@@ -139,28 +139,33 @@ def h10(spark, sf):
 
 
 @query("h11_overlapping_coefficients", v.KNOTS + """,
-ivals AS (SELECT episode, frame, u AS s, least(u + 0.1, 1) AS e FROM frames WHERE frame % 3 = 0),
+ivals AS (SELECT episode, frame, u AS s, least(u + 0.1, 1) AS e FROM frames),
 geo AS (SELECT episode, i, knot AS l, lead(knot, 1) OVER w AS k1, lead(knot, 2) OVER w AS k2, lead(knot, 3) OVER w AS k3, lead(knot, 4) OVER w AS r FROM knots WINDOW w AS (PARTITION BY episode ORDER BY i)),
 hit AS (SELECT v.*, g.i, g.l, g.r, (g.k1 + g.k2 + g.k3) / 3 AS gr FROM ivals v JOIN geo g ON g.episode = v.episode AND g.r IS NOT NULL WHERE (g.r > v.s AND g.l < v.e)
   OR (g.i = 0 AND NOT EXISTS (SELECT 1 FROM geo q WHERE q.episode = v.episode AND q.r > v.s AND q.l < v.e)))""", """
 SELECT episode, frame, i, round((l - s) / greatest(e - s, 1e-6), 4) AS "left", round((r - s) / greatest(e - s, 1e-6), 4) AS "right", round((0.5 * (l + r) - s) / greatest(e - s, 1e-6), 4) AS midpoint,
   round((gr - s) / greatest(e - s, 1e-6), 4) AS greville, round((r - l) / greatest(e - s, 1e-6), 4) AS width FROM hit""")
 def h11(spark, sf):
-    iv = v.frames(spark, sf).where("frame % 3 = 0").select("episode", "n", "frame", F.col("u").alias("start_u"), F.least(F.col("u") + 0.1, F.lit(1.0)).alias("end_u"))
+    iv = v.frames(spark, sf).select("episode", "n", "frame", F.col("u").alias("start_u"), F.least(F.col("u") + 0.1, F.lit(1.0)).alias("end_u"))
     return v.rounded(K.overlapping_coefficients(iv, v.knots(spark, sf), ["frame"]), 4)
 
 
 @query("h12_project_control_points")
 def h12(spark, sf):
-    """Control values that best follow the values, slopes and curvatures of sixteen-frame pieces of every episode."""
-    d = Wn.finite_differences(v.frames(spark, sf), EP, "frame", "n", "x", 1 / 15)
-    piece = d.withColumn("piece", F.floor(F.col("frame") / 16)).groupBy("episode", "piece").agg(
-        F.array_sort(F.collect_list(F.struct("frame", "x", "d1", "d2"))).alias("rows")).where(F.size("rows") == 16)
-    take = lambda c: F.transform("rows", lambda r: r[c])
-    samples = piece.select((F.col("episode") * 100000 + F.col("piece")).cast("long").alias("id"), F.array(*[F.lit(float(k)) for k in [0, 0, 0, 0, .25, .5, .75, 1, 1, 1, 1]]).alias("knots"),
-                           F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: i / 15.0).alias("phase"), take("x").alias("position"), take("d1").alias("velocity"), take("d2").alias("acceleration"))
-    out = fits.project_control_points(samples)
-    return v.rounded(out.select("id", F.size("coefficients").cast("long").alias("control_points"), "rmse", "condition"), 3)
+    """Control values that best follow the values, slopes and curvatures of near-equal pieces of every episode, 16 to 31 frames each.
+
+    Shorter episodes are one piece. Slopes are per phase of the piece.
+    """
+    d = Wn.finite_differences(v.frames(spark, sf), EP, "frame", "n", "x", 1.0)
+    count = F.greatest(F.floor(F.col("n") / 16), F.lit(1))
+    number = F.floor(((F.col("frame") + 1) * count - 1) / F.col("n")).cast("long")  # the piece whose equal share holds the frame
+    piece = d.withColumn("piece", number).groupBy("episode", "piece").agg(F.array_sort(F.collect_list(F.struct("frame", "x", "d1", "d2"))).alias("rows"))
+    steps = F.greatest(F.size("rows") - 1, F.lit(1)).cast("double")
+    samples = piece.select("episode", "piece", F.array(*[F.lit(float(k)) for k in [0, 0, 0, 0, .25, .5, .75, 1, 1, 1, 1]]).alias("knots"),
+                           F.transform("rows", lambda r, i: i / steps).alias("phase"), F.transform("rows", lambda r: r["x"]).alias("position"),
+                           F.transform("rows", lambda r: r["d1"] * steps).alias("velocity"), F.transform("rows", lambda r: r["d2"] * steps * steps).alias("acceleration"), F.size("rows").cast("long").alias("frames"))
+    out = fits.project_control_points(samples, ["episode", "piece", "frames"])
+    return v.rounded(out.select("episode", "piece", "frames", F.size("coefficients").cast("long").alias("control_points"), "rmse", "condition"), 3)
 
 
 @query("h13_score_pairs", v.VEC + """,

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="trajspark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None or not current.startswith(configured) and configured not in current:
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    """The folder all machines share: ``spark.checkpoint.dir`` of the session, else one below ``spark.sql.warehouse.dir``.
+
+    Neither is made up here: a folder of one machine would hide what executors write from the driver and from each other.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not folder and not warehouse:
+        raise ValueError("set spark.checkpoint.dir (or spark.sql.warehouse.dir) to a folder that the driver and all executors share")
+    folder = (folder or f"{warehouse.rstrip('/')}/_checkpoints").rstrip("/")
+    if not plain(spark.sparkContext.getCheckpointDir() or "").startswith(plain(folder)):
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def plain(path: str) -> str:
+    """A path of the local file system without its scheme, which Spark writes in more than one way."""
+    return re.sub(r"^file:/+", "/", path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
