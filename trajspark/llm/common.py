@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trajspark.session import checkpoint_dir, cut_lineage
+
 #: Rows without an id rank behind all others.
 NO_ID = 2**63 - 1
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,17 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared(spark: SparkSession) -> str:
     """The folder all machines share: ``spark.checkpoint.dir`` of the session, or, where it is unset (tests on one machine), one below the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints").rstrip("/")
+    return checkpoint_dir(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Store a result in the shared folder, so that a lost executor or a later step recomputes nothing before it."""
-    context = df.sparkSession.sparkContext
-    folder = shared(df.sparkSession)
-    if not (context.getCheckpointDir() or "").startswith(folder):
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return cut_lineage(df)
 
 
 def same_columns(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
