@@ -9,6 +9,8 @@ from trajspark.session import checkpoint_dir, cut_lineage
 
 #: Rows without an id rank behind all others.
 NO_ID = 2**63 - 1
+#: Bytes of an Arrow batch that a Python step over texts gets; a longer row is a batch of its own.
+BATCH = 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -26,6 +28,11 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of about :data:`BATCH` bytes for this session: Python then holds little of long texts at a time, whatever their number of rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def same_columns(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """``rows`` with a struct ``_doc`` of a document's columns and its new text, as the columns of ``docs``; n_chars follows the text."""
     out = []

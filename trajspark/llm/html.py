@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.llm.blocks_table import LABELLED
+from trajspark.llm.common import small_batches
 
 FEATURES = ["words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_clutter", "in_article"]
 DEPTH, LEAST = 5, 2
@@ -192,5 +193,6 @@ def extract(pages: DataFrame) -> DataFrame:
     Null and empty html, and pages without a kept block, have an empty text. Malformed and cut-off markup is read as far as it goes.
     Repeated rows are read alike; extra columns are ignored.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_extracted(trained()), "page_id long, url string, text string, n_chars long")

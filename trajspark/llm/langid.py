@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.llm import text as X
-from trajspark.llm.common import cut
+from trajspark.llm.common import cut, small_batches
 
 #: Labelled rows the model is fitted on, hash buckets of subwords, and dimensions of their embeddings.
 ROWS, BUCKETS, WIDTH = 2000, 1 << 13, 16
@@ -128,6 +128,7 @@ def _predicted(langs: list[str], scores: np.ndarray, temperature: float, least:
 
 def fit(docs: DataFrame, rows: int = ROWS):
     """Languages, scores, temperature and rejection threshold from at most ``rows`` labelled rows (by hash of doc_id) not held out."""
+    small_batches(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").cast("string").alias("lang"), F.crc32(F.col("doc_id").cast("string")).alias("_c"))
     known = known.where("lang is not null and _c % 5 <> 0").groupBy("_id").agg(F.min("lang").alias("lang"), F.first("_c").alias("_c"))
     known = cut(known.orderBy(F.xxhash64("_id"), "_id").limit(rows))  # bounded by rows, so it can be broadcast

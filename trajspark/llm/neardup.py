@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.llm import text as X
-from trajspark.llm.common import components, cut, key
+from trajspark.llm.common import components, cut, key, small_batches
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -179,6 +179,7 @@ def without_near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 1)
 
 def _members(docs: DataFrame, percent: int, rounds: int) -> DataFrame:
     """(id, doc_id, th, n, component, first) of every row; first is the smallest id of its component."""
+    small_batches(docs.sparkSession)
     rows = _named(docs)
     signed = cut(rows.mapInArrow(_signature_rows, "id long, doc_id long, th long, n long, d0 long, d1 long, bands array<long>"))
     best = F.min(F.struct("id", "th", "n", "bands")).alias("x")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajspark.llm.common import cut, key, ranked
+from trajspark.llm.common import cut, key, ranked, small_batches
 
 #: The id that ends every document.
 END = 1
@@ -175,6 +175,7 @@ def pack(docs: DataFrame, size: int = 2048, vocabulary: str = "byte_bpe_50k.tikt
     ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(key("doc_id").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
     measured = cut(rows.mapInArrow(_measured(size, vocabulary), "id long, doc_id long, th long, n long, crcs array<long>, rest long")

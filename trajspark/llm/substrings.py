@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajspark.llm import text as X
-from trajspark.llm.common import key, same_columns
+from trajspark.llm.common import key, same_columns, small_batches
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,6 +196,7 @@ def repeated_spans(docs: DataFrame, k: int = 13, m: int = 4, with_text: bool = F
     Ids: rows with equal doc_id do not count as sources of each other; null ranks behind all ids. Null and empty texts, and texts of fewer
     than ``k`` words, keep all they have. Extra columns are ignored. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     ids = [key("doc_id").alias("id"), F.col("doc_id").cast("long").alias("doc_id")]
     rows = whole = docs.select(*ids, text.alias("text"))

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 #: A word is a run of characters other than these (space, tab, line feed, vertical tab, form feed, carriage return).
 WHITE = " \t\n\x0b\f\r"
 #: Bytes of text that one numpy block holds; a longer text is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _TABLE = _random.integers(0, 2**64, (2, 256), dtype=np.uint64)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import cut
+from trajspark.llm.common import cut, small_batches
 
 #: Labelled rows a classifier is fitted on, terms of the lexicon, and words on either side of a hit.
 ROWS, TERMS, WINDOW = 8000, 400, 5
@@ -101,7 +101,7 @@ class Automaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the best match of a word; an exact term or stem before a misspelled one."""
-        if len(self.words) > 200_000 or len(self.sets) > 50_000:
+        if len(self.words) > 50_000 or len(self.sets) > 10_000:
             self.reset()
         state, stem = self.start, None
         for c in word:
@@ -203,8 +203,8 @@ def _feature_rows(terms: tuple[tuple[str, float], ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(terms)
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
                 rows = [features(t.as_py(), machine, stems) for t in part.column("text")]
                 keep = [c for c in part.schema.names if c != "text"]
                 yield pa.record_batch([*[part.column(c) for c in keep], pa.array(rows, pa.list_(pa.float64()))], [*keep, "x"])
@@ -229,6 +229,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TERMS):
     """Lexicon and classifier from at most ``rows`` labelled rows (chosen by hash of doc_id) whose crc32(doc_id as text) mod 5 is not 0."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
     known = known.where(F.crc32(F.col("_id").cast("string")) % 5 != 0).groupBy("_id").agg(F.max("toxic").alias("toxic"))
     known = cut(known.orderBy(F.xxhash64("_id"), "_id").limit(rows))  # bounded by rows, so it can be broadcast
