@@ -58,6 +58,14 @@ def window_median_boundary(boundaries: DataFrame, path: DataFrame, mapping: Data
     return out.join(fallback, [*PAIR, "index"], "left").select(*boundaries.columns, value.cast("long").alias("vote"))
 
 
+def projected_votes(votes: DataFrame, min_gap: int = 1) -> DataFrame:
+    """The votes of every reference on their own made monotone within the target, before references are put together.
+
+    ``votes`` carry (target, ref, index, vote, target_n, parts).
+    """
+    return monotone_boundaries(votes, PAIR, "index", "vote", "target_n", "parts", min_gap).withColumn("vote", F.col("boundary")).drop("boundary")
+
+
 def boundary_similarity(boundaries: DataFrame, path: DataFrame, window: int) -> DataFrame:
     """Mean distance of the path cells next to a boundary (2 when there is none), with similarity and confidence."""
     near = around(boundaries, path.select(*PAIR, "ref_frame", "distance"), window, window - 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajspark.functions import vectors as V
+from trajspark.operators.blocks import floor_div, with_positions
 from trajspark.operators import align as Al, votes as Vo, windows as Wn
 from trajspark.operators.segments import segment_problems
 from trajspark.plans import views as v
@@ -20,32 +21,39 @@ def _unit(spark, sf, smooth: int = 3):
 
 
 def _vector_pairs(spark, sf):
-    """References 0-4 and targets 5-9, paired when their labels agree modulo 5 or differ by one."""
+    """References are the first half of the labels in the table, targets the rest; each target has the reference at its place and the one before."""
     labels = v.table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("e")).distinct()
-    refs = labels.where("e < 5").select(F.col("e").alias("ref"), F.explode(F.expr("array(e + 5, (e + 1) % 5 + 5)")).alias("target"))
-    return refs.join(labels.select(F.col("e").alias("target")), "target", "left_semi")
+    placed = with_positions(labels.withColumn("one", F.lit(1)), ["one"], floor_div(F.col("e"), 65536), ["e"], name="rk", total="m").withColumn("half", floor_div(F.col("m"), 2))
+    targets = placed.where("rk >= half and half > 0").select(F.col("e").alias("target"), F.explode(F.array_distinct(F.expr("array((rk - half) % half, (rk - half + half - 1) % half)"))).alias("rk"))
+    return targets.join(placed.where("rk < half").select(F.col("e").alias("ref"), "rk"), "rk").select("ref", "target")
 
 
-@query("c12_pair_distance", v.VEC + """,
+PAIRED = v.VEC + """,
+labs AS (SELECT episode AS e, row_number() OVER (ORDER BY episode) - 1 AS rk, count(*) OVER () // 2 AS half FROM (SELECT DISTINCT episode FROM vec_frames)),
+vpairs AS (SELECT DISTINCT r.e AS ref, t.e AS target FROM labs t JOIN labs r ON t.rk >= t.half AND r.rk < r.half AND r.rk IN ((t.rk - t.half) % t.half, (t.rk - 1) % t.half))"""
+
+
+@query("c12_pair_distance", PAIRED + """,
 unit AS (SELECT episode, frame, n, list_transform(vec, lambda x: x / greatest(sqrt(list_dot_product(vec, vec)), 1e-12)) AS vec FROM vec_frames)""", """
 SELECT r.episode AS ref, t.episode AS target, r.frame AS ref_frame, t.frame AS target_frame, round(least(greatest(1 - list_dot_product(r.vec, t.vec), 0), 2), 6) AS distance,
   round(greatest(1 - list_dot_product(r.vec, t.vec) + 0.02 * abs(r.frame / greatest(r.n - 1, 1)::DOUBLE - t.frame / greatest(t.n - 1, 1)::DOUBLE), 0), 6) AS prior_distance
-FROM unit r JOIN unit t ON r.episode < 5 AND (t.episode = r.episode + 5 OR t.episode = (r.episode + 1) % 5 + 5)""")
+FROM vpairs p JOIN unit r ON r.episode = p.ref JOIN unit t ON t.episode = p.target AND abs(t.frame - r.frame * t.n // r.n) <= 2""")
 def c12(spark, sf):
+    """Distances of every reference frame to the target frames within two of the same progress."""
     f = v.vec_frames(spark, sf).select("episode", "frame", "n", V.l2_normalize(F.col("vec")).alias("vec"))
-    return v.rounded(Al.pair_distances(_vector_pairs(spark, sf), f.where("episode < 5"), f.where("episode >= 5"), 0.02))
+    return v.rounded(Al.pair_distances(_vector_pairs(spark, sf), f, f, 0.02, 2))
 
 
 @query("h1_dtw_align")
 def h1(spark, sf):
     f = _unit(spark, sf)
-    return v.rounded(Al.dtw_paths(_vector_pairs(spark, sf), f.where("episode < 5"), f.where("episode >= 5"), Al.one_reference()))
+    return v.rounded(Al.dtw_paths(_vector_pairs(spark, sf), f, f, Al.one_reference()))
 
 
 @query("h2_dtw_costs")
 def h2(spark, sf):
     f = _unit(spark, sf)
-    return v.rounded(Al.pair_costs(Al.dtw_paths(_vector_pairs(spark, sf), f.where("episode < 5"), f.where("episode >= 5"), Al.many_references())))
+    return v.rounded(Al.pair_costs(Al.dtw_paths(_vector_pairs(spark, sf), f, f, Al.many_references())))
 
 
 def _vector_boundaries(spark, sf, pairs):
@@ -67,10 +75,11 @@ def h3(spark, sf):
     """Aligned references vote on the boundaries of every target; the fused segments are checked before they count."""
     f = _unit(spark, sf)
     pairs = _vector_pairs(spark, sf)
-    cells = cut_lineage(Al.dtw_paths(pairs, f.where("episode < 5"), f.where("episode >= 5"), Al.many_references()))  # used several times
+    cells = cut_lineage(Al.dtw_paths(pairs, f, f, Al.many_references()))  # used several times
     voted = Vo.window_median_boundary(_vector_boundaries(spark, sf, pairs), cells, Vo.frame_mapping(cells), 2)
+    voted = Vo.projected_votes(voted.withColumn("parts", F.lit(PARTS).cast("long")))
     costs = Al.pair_costs(cells).select("ref", "target", F.col("normalized_cost").alias("cost"))
-    votes = voted.join(costs, ["target", "ref"]).withColumns({"weight": Vo.reference_weight("cost", 0.25), "parts": F.lit(PARTS).cast("long")})
+    votes = voted.join(costs, ["target", "ref"]).withColumn("weight", Vo.reference_weight("cost", 0.25))
     scored = Vo.boundary_confidence(Vo.fuse_boundaries(votes, 2), 0.25)
     seg = Vo.transfer_segments(scored, F.concat(F.lit("seg_"), F.col("segment_id").cast("string")))
     checked = seg.withColumnsRenamed({"target": "episode"}).withColumns({"pos": F.col("segment_id"), "end_inclusive": F.col("end_frame") - 1})
@@ -79,27 +88,27 @@ def h3(spark, sf):
     return v.rounded(seg.join(bad, "target", "left_anti"))
 
 
-VOTED = v.EPISODES + f""",
-vp AS (SELECT t.episode AS target, r.episode AS ref, r.n AS rn, t.n AS tn, (t.episode * 7 + r.episode * 3) % 3 AS jit, ((t.episode * 31 + r.episode * 17) % 97) / 197.0::DOUBLE AS cost
-  FROM episodes t JOIN episodes r ON r.category = t.category WHERE t.dataset = 'robot' AND r.dataset = 'human' AND r.episode % 10 = 1),
-runs AS (SELECT p.*, i.i AS ref_frame, least(i.i * tn // rn + jit, tn - 1) AS lo, least(greatest(i.i * tn // rn + 1, (i.i + 1) * tn // rn) + jit, tn) AS hi
-  FROM vp p, LATERAL (SELECT unnest(range(p.rn)) AS i) i WHERE (i.i + p.target) % 6 <> 0),
+VOTED = v.REFERENCES + f""",
+vp AS (SELECT *, CASE WHEN (target + ref) % 5 = 1 THEN tn ELSE (target * 7 + ref * 3) % 3 END AS jit, CASE WHEN (target + ref) % 4 = 0 THEN least(tn, 3) ELSE tn END AS span,
+  ((target * 31 + ref * 17) % 97) / 197.0::DOUBLE AS cost FROM bound),
+runs AS (SELECT p.*, i.i AS ref_frame, least(i.i * span // rn + jit, tn - 1) AS lo, least(greatest(i.i * span // rn + 1, (i.i + 1) * span // rn) + jit, tn) AS hi
+  FROM vp p, LATERAL (SELECT unnest(range(p.rn)) AS i) i WHERE (target + ref) % 7 <> 3 OR (i.i + target) % 6 <> 0),
 path AS (SELECT target, ref, ref_frame, j.j AS target_frame, ((ref_frame * 13 + j.j * 7) % 50) / 40.0::DOUBLE AS distance FROM runs, LATERAL (SELECT unnest(range(lo, hi)) AS j) j),
 mapping AS (SELECT target, ref, ref_frame, min(target_frame) AS target_min, median(target_frame) AS target_median, max(target_frame) AS target_max, count(*) AS matches FROM path GROUP BY ALL),
 bnd AS (SELECT target, ref, k.k AS idx, k.k * (rn // {PARTS}) + least(k.k, rn % {PARTS}) AS b, rn, tn, cost FROM vp, range(1, {PARTS}) k(k))"""
 
 
 def _synthetic(spark, sf):
-    """Monotone frame paths between episodes of one category, with gaps, from episode lengths alone."""
-    eps = v.episodes(spark, sf)
-    t = eps.where("dataset = 'robot'").select(F.col("episode").alias("target"), F.col("n").alias("tn"), "category")
-    r = eps.where("dataset = 'human' and episode % 10 = 1").select(F.col("episode").alias("ref"), F.col("n").alias("rn"), "category")
-    pairs = t.join(r, "category").select(
-        "target", "ref", "rn", "tn", ((F.col("target") * 7 + F.col("ref") * 3) % 3).alias("jit"),
-        (((F.col("target") * 31 + F.col("ref") * 17) % 97) / 197.0).alias("cost"))
-    frames = v.frames(spark, sf).where("dataset = 'human' and episode % 10 = 1").select(F.col("episode").alias("ref"), F.col("frame").alias("ref_frame"))
-    placed = pairs.join(frames, "ref").where((F.col("ref_frame") + F.col("target")) % 6 != 0)
-    at = lambda i: F.expr(f"({i}) * tn div rn")
+    """Monotone frame paths between bound episodes from their lengths alone.
+
+    Some pairs have gaps, some map all frames to the first three or to the last, so that their boundaries collide.
+    """
+    pairs = cut_lineage(v.references(spark, sf).select(
+        "target", "ref", "rn", "tn", F.expr("CASE WHEN (target + ref) % 5 = 1 THEN tn ELSE (target * 7 + ref * 3) % 3 END").alias("jit"),
+        F.expr("CASE WHEN (target + ref) % 4 = 0 THEN least(tn, 3) ELSE tn END").alias("span"), (((F.col("target") * 31 + F.col("ref") * 17) % 97) / 197.0).alias("cost")))
+    frames = v.frames(spark, sf).where("dataset = 'human'").select(F.col("episode").alias("ref"), F.col("frame").alias("ref_frame"))
+    placed = pairs.join(frames, "ref").where("(target + ref) % 7 <> 3 or (ref_frame + target) % 6 <> 0")
+    at = lambda i: F.expr(f"({i}) * span div rn")
     lo = F.least(at("ref_frame") + F.col("jit"), F.col("tn") - 1)
     hi = F.least(F.greatest(at("ref_frame") + 1, at("ref_frame + 1")) + F.col("jit"), F.col("tn"))
     path = placed.withColumns({"lo": lo, "hi": hi}).where("hi > lo").withColumn("target_frame", F.explode(F.expr("sequence(lo, hi - 1)")))
@@ -125,18 +134,21 @@ def d17(spark, sf):
 
 
 def _votes_ctes(window: int) -> str:
+    """Votes of every reference, clipped one after the other so that each segment keeps a frame; written for PARTS = 4."""
     return f""",
 inside AS (SELECT b.target, b.ref, b.idx, median(p.target_frame) AS med FROM bnd b JOIN path p ON p.target = b.target AND p.ref = b.ref AND p.ref_frame BETWEEN b.b - {window} AND b.b + {window} GROUP BY ALL),
 far AS (SELECT b.target, b.ref, b.idx, arg_min(m.target_median, (abs(m.ref_frame - b.b), m.ref_frame)) AS near FROM bnd b JOIN mapping m ON m.target = b.target AND m.ref = b.ref GROUP BY ALL),
-votes AS (SELECT b.target, b.ref, b.idx, b.tn, b.cost, exp(-b.cost / 0.25) AS weight, coalesce(round_even(i.med, 0), round_even(f.near, 0), b.b)::BIGINT AS vote
-  FROM bnd b LEFT JOIN inside i ON i.target = b.target AND i.ref = b.ref AND i.idx = b.idx LEFT JOIN far f ON f.target = b.target AND f.ref = b.ref AND f.idx = b.idx)"""
+raw AS (SELECT b.target, b.ref, b.idx, b.tn, b.cost, coalesce(round_even(i.med, 0), round_even(f.near, 0), b.b)::BIGINT AS vote
+  FROM bnd b LEFT JOIN inside i ON i.target = b.target AND i.ref = b.ref AND i.idx = b.idx LEFT JOIN far f ON f.target = b.target AND f.ref = b.ref AND f.idx = b.idx),
+one AS (SELECT target, ref, max(tn) AS tn, max(vote) FILTER (WHERE idx = 1) AS v1, max(vote) FILTER (WHERE idx = 2) AS v2, max(vote) FILTER (WHERE idx = 3) AS v3 FROM raw GROUP BY target, ref),
+c1 AS (SELECT *, greatest(1, least(v1, tn - 3)) AS p1 FROM one), c2 AS (SELECT *, greatest(p1 + 1, least(v2, tn - 2)) AS p2 FROM c1), c3 AS (SELECT *, greatest(p2 + 1, least(v3, tn - 1)) AS p3 FROM c2),
+votes AS (SELECT r.target, r.ref, r.idx, r.tn, r.cost, exp(-r.cost / 0.25) AS weight, CASE r.idx WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END::BIGINT AS vote FROM raw r JOIN c3 USING (target, ref))"""
 
 
 def _votes(spark, sf, window: int):
     pairs, path, bounds = _synthetic(spark, sf)
-    voted = Vo.window_median_boundary(bounds, path, Vo.frame_mapping(path), window)
-    return voted.join(pairs.select("target", "ref", "cost"), ["target", "ref"]).withColumns({
-        "weight": Vo.reference_weight("cost", 0.25), "parts": F.lit(PARTS).cast("long")})
+    voted = Vo.projected_votes(Vo.window_median_boundary(bounds, path, Vo.frame_mapping(path), window).withColumn("parts", F.lit(PARTS).cast("long")))
+    return voted.join(pairs.select("target", "ref", "cost"), ["target", "ref"]).withColumn("weight", Vo.reference_weight("cost", 0.25))
 
 
 @query("d18_window_median_boundary", VOTED + _votes_ctes(0), 'SELECT target, ref, idx AS "index", vote FROM votes')

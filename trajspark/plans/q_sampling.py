@@ -11,15 +11,11 @@ from trajspark.plans.registry import query
 
 EP = v.EPISODE
 
-COSTS = v.EPISODES + """,
-costs AS (SELECT t.episode AS target, r.episode AS ref, ((t.episode * 31 + r.episode * 17) % 97) / 7.0 AS cost FROM episodes t JOIN episodes r ON r.category = t.category AND r.dataset = 'human' AND t.dataset = 'robot' AND r.episode % 10 < 4)"""
+COSTS = v.REFERENCES + ", costs AS (SELECT target, ref, ((target * 31 + ref * 17) % 97) / 7.0 AS cost FROM bound)"
 
 
 def costs(spark, sf):
-    eps = v.episodes(spark, sf)
-    t = eps.where("dataset = 'robot'").select(F.col("episode").alias("target"), "category")
-    r = eps.where("dataset = 'human' and episode % 10 < 4").select(F.col("episode").alias("ref"), "category")
-    return t.join(r, "category").select("target", "ref", (((F.col("target") * 31 + F.col("ref") * 17) % 97) / 7.0).alias("cost"))
+    return v.references(spark, sf).select("target", "ref", (((F.col("target") * 31 + F.col("ref") * 17) % 97) / 7.0).alias("cost"))
 
 
 @query("f1_top_k_references", COSTS, """

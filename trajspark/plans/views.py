@@ -14,6 +14,8 @@ from trajspark.operators.windows import frame_u
 
 SEGMENTS = 4
 SLOTS = 2
+#: References that every target is bound to.
+BOUND = 5
 KNOT_EVERY = 5
 EPISODE = ["episode"]
 
@@ -52,6 +54,16 @@ def episodes(spark: SparkSession, sf: str) -> DataFrame:
             .select("episode", "n", dataset_of().alias("dataset"), category_of().alias("category")))
 
 
+def references(spark: SparkSession, sf: str) -> DataFrame:
+    """(target, ref, rn, tn): every robot episode with :data:`BOUND` human episodes of its category, by rotation, so pairs grow with episodes."""
+    placed = with_positions(episodes(spark, sf), ["dataset", "category"], floor_div(F.col("episode"), 65536), ["episode"], name="rk", total="m")
+    r = placed.where("dataset = 'human'").select(F.col("episode").alias("ref"), F.col("n").alias("rn"), "category", F.col("rk").alias("place"))
+    sizes = r.groupBy("category").agg(F.count(F.lit(1)).alias("size"))
+    t = placed.where("dataset = 'robot'").select(F.col("episode").alias("target"), F.col("n").alias("tn"), "category", "rk").join(sizes, "category")
+    t = t.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(BOUND).cast("long"), F.col("size")) - 1)))
+    return t.withColumn("place", (F.col("rk") * BOUND + F.col("j")) % F.col("size")).join(r, ["category", "place"]).select("target", "ref", "rn", "tn")
+
+
 def state_frames(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     raw = li.select(F.col("l_orderkey").alias("episode"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
@@ -144,6 +156,11 @@ EPISODES = """
 episodes AS (SELECT user_id AS episode, count(*) AS n, CASE WHEN user_id % 2 = 1 THEN 'human' ELSE 'robot' END AS dataset,
     (user_id // 2) % 3 AS category FROM events GROUP BY user_id)"""
 
+REFERENCES = EPISODES + f""",
+placed AS (SELECT *, row_number() OVER (PARTITION BY dataset, category ORDER BY episode) - 1 AS rk, count(*) OVER (PARTITION BY dataset, category) AS m FROM episodes),
+bound AS (SELECT t.episode AS target, r.episode AS ref, r.n AS rn, t.n AS tn FROM placed t, range({BOUND}) j(j), placed r
+  WHERE t.dataset = 'robot' AND r.dataset = 'human' AND r.category = t.category AND j.j < r.m AND r.rk = (t.rk * {BOUND} + j.j) % r.m)"""
+
 STATE = """
 state_frames AS (SELECT l_orderkey AS episode, row_number() OVER (PARTITION BY l_orderkey
       ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS frame,
