@@ -150,8 +150,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 1) -> Data
     Documents with equal sets are one node (their set is summed to 128 bits), so groups of exact copies need no pairs. Each node gets the
     minimum and the maximum of its hashes under 40 permutations, cut into 20 bands. Nodes that share a band are candidates:
 
-    * In each of ``rounds`` rounds every band has a centre of its own and its members are compared with it, unless links found so far join
-      them. A band with n members costs n comparisons, and with the centres of twenty bands a group of near copies is soon one component.
+    * In each of ``rounds`` rounds every band has a centre and its members are compared with it, unless links found so far join them. A band
+      with n members costs n comparisons. The first centre is the member that shares most bands with most others: in a group of near copies
+      that is their original, and the group becomes one component.
     * Then all documents in bands that still hold several components are joined by an exact prefix filter (:func:`_possible`), across
       components only. Nothing is left out; within a component no pair is needed.
 
@@ -185,8 +186,11 @@ def _members(docs: DataFrame, percent: int, rounds: int) -> DataFrame:
     best = F.min(F.struct("id", "th", "n", "bands")).alias("x")
     nodes = cut(signed.where("n > 0").groupBy("d0", "d1").agg(best).select("d0", "d1", F.col("d0").alias("node"), "x.*"))
     spread = nodes.select("node", "n", F.explode("bands").alias("band"))
-    several = spread.groupBy("band").agg(F.min("node").alias("_l"), F.max("node").alias("_h")).where("_l < _h").select("band")
-    bands = cut(spread.join(several, "band"))
+    several = spread.groupBy("band").agg(F.min("node").alias("_l"), F.max("node").alias("_h"), F.count("*").alias("size")).where("_l < _h").select("band", "size")
+    sized = spread.join(several, "band")
+    # the original of a group of near copies shares more bands with more of them than any copy does
+    known = sized.groupBy("node").agg(F.sum("size").alias("shared"))
+    bands = cut(sized.drop("size").join(known, "node"))
     wanted = bands.select("node").distinct().join(nodes.select("node", "id", "th"), "node")
     texts = rows.select("id", "th", "text").join(wanted, ["id", "th"]).select("node", "text").dropDuplicates(["node"])
     texts = cut(texts.mapInArrow(_packed, "node long, z binary, size long"))
@@ -201,12 +205,13 @@ def _members(docs: DataFrame, percent: int, rounds: int) -> DataFrame:
     fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     for turn in range(rounds + 1):
         placed = bands.withColumn("group", F.col("node")) if groups is None else (
-            bands.join(groups, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("group")))
+            bands.join(groups, "node", "left").select("band", "node", "n", "shared", F.coalesce("component", "node").alias("group")))
         mixed = placed.groupBy("band").agg(F.min("group").alias("_l"), F.max("group").alias("_h")).where("_l < _h").select("band")
         open_ = placed.join(mixed, "band")
         if turn < rounds:
-            # the bands of a group of near copies have centres of their own
-            centre = F.min(F.struct(F.xxhash64(F.lit(turn), "band", "node").alias("o"), "node", "n", "group")).alias("c")
+            # first the node that shares most, in later rounds one at random in every band
+            draw = -F.col("shared") if turn == 0 else F.xxhash64(F.lit(turn), "band", "node")
+            centre = F.min(F.struct(draw.alias("o"), "node", "n", "group")).alias("c")
             centres = open_.groupBy("band").agg(centre).select("band", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.group").alias("ga"))
             pairs = open_.join(centres, "band").where("ga <> group").select(F.col("a").alias("x"), F.col("node").alias("y"), "na", F.col("n").alias("nb"))
             pairs = pairs.where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
