@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 from trajspark.llm import text as X
 from trajspark.llm.common import key, same_columns, small_batches
 
+#: What the windows of an anchor may be for a document.
+SOURCE, REPEAT = 1, 2
+TWO = np.uint64(2)
+
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
@@ -53,8 +57,8 @@ def _anchor_rows(k: int, m: int):
     return run
 
 
-def _edge_rows(k: int, m: int):
-    """Edges (both hashes) of the windows whose anchor is one of those listed for the document."""
+def _edge_rows(k: int, m: int, role: int):
+    """Edges (both hashes) of the windows whose anchor is listed for the document with this role, which is in the two lowest bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
@@ -63,6 +67,7 @@ def _edge_rows(k: int, m: int):
                 lists = part.column("anchors")
                 flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+                wanted = (flat & np.uint64(role)) > 0
                 for block in X.blocks(X.unpacked(part.column("z"), part.column("size"))):
                     words = block.word_hashes()
                     least, ok = _anchors(words, block.row, k, m)
@@ -74,7 +79,7 @@ def _edge_rows(k: int, m: int):
                     mine = slice(at[block.first], at[block.first + block.rows])
                     owner = np.repeat(np.arange(block.rows), np.diff(at[block.first:block.first + block.rows + 1]))
                     # one look-up for the block; an anchor that passes by chance only adds a candidate
-                    hit = np.isin(X.mix(least[new] + row[new].astype(np.uint64)), X.mix(flat[mine] + owner.astype(np.uint64)))
+                    hit = np.isin(X.mix((least[new] >> TWO) + row[new].astype(np.uint64)), X.mix((flat[mine] >> TWO) + owner.astype(np.uint64))[wanted[mine]])
                     hit = np.flatnonzero(hit[np.cumsum(new) - 1] & ok)
                     w, _ = X.grams(words, block.row, k)
                     c, _ = X.grams(block.word_hashes(1), block.row, k, 1)
@@ -211,15 +216,15 @@ def repeated_spans(docs: DataFrame, k: int = 13, m: int = 4, with_text: bool = F
     groups = told.groupBy("t0", "t1", "t2").agg(F.min("id").alias("copied"), F.max("id").alias("high")).where("copied < high").drop("high")
     plain = told.groupBy("id").agg(F.count("*").alias("n")).where("n = 1").select("id")
     copies = told.join(groups, ["t0", "t1", "t2"]).where("id > copied").select("id", "copied").join(plain, "id")
-    wanted = (anchors.join(shared, "m").groupBy("id")
-              .agg(F.collect_list(F.when(F.col("id") < F.col("high"), F.col("m"))).alias("as_source"), F.collect_list(F.when(F.col("id") > F.col("low"), F.col("m"))).alias("as_repeat")))
+    role = F.when(F.col("id") < F.col("high"), SOURCE).otherwise(0) + F.when(F.col("id") > F.col("low"), REPEAT).otherwise(0)
+    wanted = anchors.join(shared, "m").groupBy("id").agg(F.collect_list(F.col("m").bitwiseAND(F.lit(-4)) + role).alias("anchors"))
     # one shuffle of the texts serves all passes: the plans below it are equal, with the same columns
     tagged = texts.join(copies, "id", "left")
     near = tagged.where("copied is null").join(wanted, "id")
     edge = "w long, c int, id long"
-    sources = (near.where("size(as_source) > 0").select(*packed.names, F.col("as_source").alias("anchors")).mapInArrow(_edge_rows(k, m), edge)
-               .groupBy("w", "c").agg(F.min("id").alias("source")))
-    repeats = near.where("size(as_repeat) > 0").select(*packed.names, F.col("as_repeat").alias("anchors")).mapInArrow(_edge_rows(k, m), edge)
+    near = near.select(*packed.names, "anchors")
+    sources = near.mapInArrow(_edge_rows(k, m, SOURCE), edge).groupBy("w", "c").agg(F.min("id").alias("source"))
+    repeats = near.mapInArrow(_edge_rows(k, m, REPEAT), edge)
     hits = repeats.join(sources, ["w", "c"]).where("source < id").groupBy("id").agg(F.collect_list(F.struct("w", "c", "source")).alias("hits"))
     shape = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,words:long,source:long>>")
     if with_text:
