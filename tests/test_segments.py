@@ -3,6 +3,7 @@
 import random
 from math import floor
 
+import pytest
 from pyspark.sql import functions as F
 
 from trajspark.operators import sampling as Sp, segments as S, votes as Vo, windows as Wn
@@ -86,3 +87,32 @@ def test_top_k_equals_plain_ranking(spark):
     for k in range(3):
         best = sorted((c, i) for g, i, c in rows if g == k)[:5]
         assert [got[k, j] for j in range(1, 6)] == [i for _, i in best]
+
+
+def test_allocation_refuses_bad_fractions_and_short_totals(spark):
+    from trajspark.operators.sampling import largest_remainder
+    totals = spark.createDataFrame([(1, 10), (2, 11)], "k long, total long")
+    rows = largest_remainder(totals, "k", "total", [0.3, 0.3, 0.4]).orderBy("k", "stage").collect()
+    assert [r.allocated for r in rows] == [3, 3, 4, 3, 3, 5]
+    for bad in ([], [0.5, 0.4], [1.2, -0.2]):
+        with pytest.raises(ValueError):
+            largest_remainder(totals, "k", "total", bad)
+    with pytest.raises(Exception, match="too few steps"):
+        largest_remainder(spark.createDataFrame([(1, 2)], "k long, total long"), "k", "total", [0.3, 0.3, 0.4]).collect()
+
+
+def test_nonfinite_values_are_left_out(spark):
+    from pyspark.sql import functions as F
+
+    from trajspark.functions import scalars as Sc
+    nan, inf = float("nan"), float("inf")
+    rows = [(0.2, nan, 0.5), (0.2, inf, 0.5), (0.2, None, nan), (nan, 0.5, 0.6), (0.2, 0.4, -inf), (None, 0.4, 0.5)]
+    df = spark.createDataFrame(rows, "s double, p double, f double")
+    got = [r.r for r in df.select(Sc.resolve_end(F.col("s"), F.col("p"), F.col("f"), 1e-4).alias("r")).collect()]
+    assert [(r.end, r.valid) for r in got] == [(0.5, True), (0.5, True), (None, False), (0.5, False), (0.4, True), (0.4, False)]
+    assert [r.end_source[:3] for r in got] == ["fix", "fix", "non", "loc", "loc", "loc"]
+    blend = [r.b.start for r in df.select(Sc.blend_interval(F.lit(0.1), F.lit(0.3), F.col("p"), 0.5, 0.01).alias("b")).collect()]
+    assert blend == pytest.approx([0.1, 0.1, 0.1, 0.3, 0.25, 0.25])
+    yes = F.lit(True)
+    reasons = df.select(Sc.invalid_reason(yes, yes, F.col("s"), F.col("p"), yes, F.lit(1)).alias("r"), Sc.reason_code(yes, yes, F.col("s"), F.col("p"), F.lit(1), F.lit(8)).alias("c")).collect()
+    assert [r.r for r in reasons[:4]] == ["missing_matched_end_u"] * 3 + ["missing_matched_start_u"] and [r.c for r in reasons[:2]] == [Sc.REASON_CODES["missing_frame_u"]] * 2

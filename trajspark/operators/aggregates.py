@@ -135,10 +135,13 @@ def category_progress(df: DataFrame, dataset: str, category: str) -> DataFrame:
 
 
 def nonfinite_report(df: DataFrame, key: str, columns: list[str], examples: int = 3) -> DataFrame:
-    """Non-finite values per column, with the first offending keys."""
+    """Non-finite values per column, with the first ``examples`` offending keys."""
+    from trajspark.operators.sampling import first_n_per_group
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), V.is_finite(F.col(c)).alias("ok")) for c in columns]))
     bad = df.select(key, cells.alias("c")).where("not c.ok").groupBy(F.col("c.column").alias("column"), key).agg(F.count(F.lit(1)).alias("n"))
-    return bad.groupBy("column").agg(F.sum("n").alias("nonfinite"), F.count(F.lit(1)).alias("offending_keys"), F.min(key).alias("first_key"))
+    first = first_n_per_group(bad, ["column"], key, examples).groupBy("column").agg(F.array_sort(F.collect_list(key)).alias("first_keys"))
+    counts = bad.groupBy("column").agg(F.sum("n").alias("nonfinite"), F.count(F.lit(1)).alias("offending_keys"))
+    return counts.join(first, "column")
 
 
 def validity_ladder(df: DataFrame, keys: list[str], steps: list[tuple[str, Column]]) -> DataFrame:

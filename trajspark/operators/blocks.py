@@ -46,9 +46,9 @@ def with_positions(df: DataFrame, keys: list[str], block: Column, order: list, n
 
 def with_hash_rank(df: DataFrame, keys: list[str], seed: str, id_col: str, name: str = "rank",
                    total: str = "n") -> DataFrame:
-    """Rank rows of each group by md5(seed:id); the first three hex digits are the block."""
+    """Rank rows of each group by md5(seed:id); the first four hex digits are the block."""
     hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))))
-    block = F.conv(F.substring("_h", 1, 3), 16, 10).cast("long")
+    block = F.conv(F.substring("_h", 1, 4), 16, 10).cast("long")
     return with_positions(hashed, keys, block, ["_h", id_col], name, total=total).drop("_h")
 
 

@@ -53,7 +53,8 @@ def usage_balance(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: str) -> DataFrame:
-    return with_hash_rank(df, [], seed, id_col).where(F.col("rank") < n).drop("n")
+    """The ``n`` rows with the smallest md5(seed:id), found as partial top-n."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col).limit(n)
 
 
 def quota_sample(pool: DataFrame, done: DataFrame, keys: list[str], id_col: str, share: float, seed: str) -> DataFrame:
@@ -91,15 +92,21 @@ def stratified_split(df: DataFrame, keys: list[str], id_col: str, share: float,
 
 
 def largest_remainder(totals: DataFrame, key: str, total: str, fractions: list[float]) -> DataFrame:
-    """Shares of ``total`` per stage: floors, then one more by descending remainder, then fraction."""
+    """Shares of ``total`` per stage: floors, then one more by descending remainder, then fraction.
+
+    Fractions must be positive and sum to 1; a total that leaves a stage without a share is an error.
+    """
+    if not fractions or min(fractions) <= 0 or abs(sum(fractions) - 1.0) > 1e-6:
+        raise ValueError(f"stage fractions must be positive and sum to 1, got {fractions}")
     stages = F.array(*[F.struct(F.lit(i).cast("long").alias("stage"), F.lit(f).alias("fraction")) for i, f in enumerate(fractions)])
     rows = totals.select(key, total, F.explode(stages).alias("s")).select(key, total, "s.*")
     rows = rows.withColumn("_exact", F.col(total) * F.col("fraction")).withColumn("_floor", F.floor("_exact").cast("long"))
     w = W.partitionBy(key)
     order = w.orderBy((F.col("_exact") - F.col("_floor")).desc(), F.col("fraction").desc(), "stage")
     rows = rows.withColumns({"_left": F.col(total) - F.sum("_floor").over(w), "_at": F.row_number().over(order)})
-    return rows.select(key, total, "stage", "fraction",
-                       (F.col("_floor") + F.when(F.col("_at") <= F.col("_left"), 1).otherwise(0)).cast("long").alias("allocated"))
+    share = (F.col("_floor") + F.when(F.col("_at") <= F.col("_left"), 1).otherwise(0)).cast("long")
+    short = F.raise_error(F.concat(F.lit("too few steps for every stage: "), F.col(total).cast("string")))
+    return rows.select(key, total, "stage", "fraction", F.when(share > 0, share).otherwise(short.cast("long")).alias("allocated"))
 
 
 def stage_partition(windows: DataFrame, group: str, id_col: str, fractions: list[float], seed: str) -> DataFrame:

@@ -35,26 +35,26 @@ STATE_DIMS = v.STATE + ", dims AS (SELECT episode, unnest(state) AS x, generate_
 @query("d1_vector_moments", STATE_DIMS, """
 SELECT dim, count(*) AS count, round(avg(x), 6) AS mean, round(greatest(stddev_pop(x), 1e-6), 6) AS std FROM dims GROUP BY dim""")
 def d1(spark, sf):
-    return v.rounded(A.vector_moments(v.state_frames(spark, sf), [], "state"))
+    return v.rounded(A.vector_moments(v.state_rows(spark, sf), [], "state"))
 
 
 @query("d1_train_moments", STATE_DIMS, """
 SELECT dim, count(*) FILTER (WHERE episode % 5 <> 0) AS count, round(avg(x) FILTER (WHERE episode % 5 <> 0), 6) AS mean,
   round(greatest(stddev_pop(x) FILTER (WHERE episode % 5 <> 0), 1e-6), 6) AS std FROM dims GROUP BY dim""")
 def d1b(spark, sf):
-    return v.rounded(A.moments_with_fallback(v.state_frames(spark, sf), "state", F.col("episode") % 5 != 0))
+    return v.rounded(A.moments_with_fallback(v.state_rows(spark, sf), "state", F.col("episode") % 5 != 0))
 
 
 @query("d2_duration_distribution", v.FRAMES + ", eps AS (SELECT episode, max(t1 - t0) AS d FROM frames GROUP BY episode)",
        f"SELECT {_dist('d')}, {_p(family('fit'), 'd')} FROM eps")
 def d2(spark, sf):
-    eps = v.frames(spark, sf).groupBy("episode").agg(F.max(F.col("t1") - F.col("t0")).alias("d"))
+    eps = v.event_rows(spark, sf).groupBy("episode").agg((F.max("t") - F.min("t")).alias("d"))
     return v.rounded(distribution(eps, [], "d", family("fit")))
 
 
 @query("d2_value_distribution", v.FRAMES, f"SELECT category, {_dist('x')}, {_p(family('segments'), 'x')} FROM frames GROUP BY category")
 def d2b(spark, sf):
-    return v.rounded(distribution(v.frames(spark, sf), ["category"], "x", family("segments")))
+    return v.rounded(distribution(v.event_rows(spark, sf), ["category"], "x", family("segments")))
 
 
 @query("d2_knot_count_distribution", INTERVALS + """,
@@ -276,7 +276,7 @@ def d22(spark, sf):
 @query("d22_variance_floor", v.VEC + ", dims AS (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) AS d FROM vec_frames)", """
 SELECT round(avg(power(greatest(0.15 - s, 0), 2)), 8) AS variance_floor FROM (SELECT d, sqrt(var_pop(x) + 1e-4) AS s FROM dims GROUP BY d)""")
 def d22b(spark, sf):
-    return A.variance_floor(v.vec_frames(spark, sf), "vec", 0.15).select(F.round("variance_floor", 8).alias("variance_floor"))
+    return A.variance_floor(v.vec_rows(spark, sf), "vec", 0.15).select(F.round("variance_floor", 8).alias("variance_floor"))
 
 
 CATALOG = "c AS (SELECT o_orderstatus AS dataset, o_orderpriority AS category, o_orderkey % 3 <> 0 AS eligible, o_orderkey % 3 <> 0 AND o_orderkey % 4 = 1 AS sampled, o_orderkey % 3 <> 0 AND o_orderkey % 8 = 1 AS completed FROM orders)"
@@ -296,18 +296,18 @@ def d23(spark, sf):
 @query("d24_merge_summaries", v.FRAMES + ", part AS (SELECT category, episode % 4 AS worker, count(*) AS pairs, count(*) FILTER (WHERE event_type <> 'error') AS valid FROM frames GROUP BY ALL)", """
 SELECT category, sum(pairs)::BIGINT AS pairs, sum(valid)::BIGINT AS valid, sum(pairs - valid)::BIGINT AS nonfinite, count(*) AS workers FROM part GROUP BY category""")
 def d24(spark, sf):
-    partial = v.frames(spark, sf).groupBy("category", (F.col("episode") % 4).alias("worker")).agg(
+    partial = v.event_rows(spark, sf).groupBy("category", (F.col("episode") % 4).alias("worker")).agg(
         F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("event_type") != "error").alias("valid"))
     return A.merge_summaries(partial, ["category"], ["pairs", "valid"]).select(
         "category", "pairs", "valid", (F.col("pairs") - F.col("valid")).alias("nonfinite"), F.col("parts").alias("workers"))
 
 
 @query("d26_nonfinite_report", v.FRAMES + ", cells AS (SELECT episode, 'x' AS c FROM frames WHERE event_type = 'error' UNION ALL SELECT episode, 'u' FROM frames WHERE event_type = 'view' AND frame % 2 = 0)", """
-SELECT c AS "column", count(*) AS nonfinite, count(DISTINCT episode) AS offending_keys, min(episode) AS first_key FROM cells GROUP BY c""")
+SELECT c AS "column", count(*) AS nonfinite, count(DISTINCT episode) AS offending_keys, array_to_string(list_sort(list(DISTINCT episode))[1:3], ',') AS first_keys FROM cells GROUP BY c""")
 def d26(spark, sf):
     f = v.frames(spark, sf).select("episode", F.when(F.col("event_type") == "error", float("nan")).otherwise(F.col("x")).alias("x"),
                                    F.when((F.col("event_type") == "view") & (F.col("frame") % 2 == 0), float("inf")).otherwise(F.col("u")).alias("u"))
-    return A.nonfinite_report(f, "episode", ["x", "u"])
+    return A.nonfinite_report(f, "episode", ["x", "u"]).withColumn("first_keys", F.array_join(F.col("first_keys").cast("array<string>"), ","))
 
 
 @query("d27_interval_validity", PARTNERED + _interp_ctes("start", "s") + _interp_ctes("end", "e") + f""",
@@ -324,5 +324,5 @@ def d27(spark, sf):
 @query("d28_best_step", v.FRAMES, """
 SELECT category, arg_min(event_id, (x, event_id)) AS best_step, min(x) AS best_value FROM frames WHERE event_type <> 'error' GROUP BY category""")
 def d28(spark, sf):
-    log = v.frames(spark, sf).select("category", "event_id", F.when(F.col("event_type") == "error", float("nan")).otherwise(F.col("x")).alias("x"))
+    log = v.event_rows(spark, sf).select("category", "event_id", F.when(F.col("event_type") == "error", float("nan")).otherwise(F.col("x")).alias("x"))
     return A.best_step(log, ["category"], "event_id", "x")

@@ -124,7 +124,7 @@ mom AS (SELECT d, avg(x) AS mu, greatest(stddev_pop(x), 1e-6) AS sd FROM dims GR
 SELECT episode, frame, d AS dim, round((x - mu) / sd, 6) AS value FROM dims JOIN mom USING (d)""")
 def b10(spark, sf):
     s = v.state_frames(spark, sf)
-    mom = vector_moments(s, [], "state")
+    mom = vector_moments(v.state_rows(spark, sf), [], "state")
     z = s.withColumns({"mu": moment_vector(mom, "mean"), "sd": moment_vector(mom, "std")}).select("episode", "frame", F.posexplode(V.standardize(F.col("state"), F.col("mu"), F.col("sd"))).alias("dim", "value"))
     return v.rounded(z.withColumn("dim", F.col("dim").cast("long")))
 

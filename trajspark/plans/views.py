@@ -38,6 +38,21 @@ def category_of(episode: str = "episode") -> Column:
     return (floor_div(F.col(episode), 2) % 3).cast("long")
 
 
+def event_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames without positions: one scan, for what needs no order."""
+    ev = table(spark, sf, "events")
+    rows = ev.select(F.col("user_id").alias("episode"), "event_id", epoch_seconds(ev, "ts").alias("t"), F.col("value").alias("x"), "event_type")
+    return rows.select("*", dataset_of().alias("dataset"), category_of().alias("category"))
+
+
+def state_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("episode"), F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]).alias("state"))
+
+
+def vec_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("episode"), "vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+
+
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "events")
     raw = ev.select(F.col("user_id").alias("episode"), "event_id", epoch_seconds(ev, "ts").alias("t"),
