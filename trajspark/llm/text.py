@@ -133,7 +133,7 @@ def distinct(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.
     return h[new], np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=rows)))) if rows else np.zeros(1, np.int64)
 
 
-_codec = pa.Codec("zstd", 1)
+_codec = pa.Codec("zstd", 5)
 
 
 def packed(column: pa.Array) -> tuple[pa.Array, pa.Array]:
