@@ -254,12 +254,13 @@ def restrict(t: np.ndarray, c: np.ndarray, degree: int, start: float, end: float
     return local, blossom(t, c, degree, args, span)
 
 
-def restrict_bsplines(pieces: DataFrame, degree: int = 3) -> DataFrame:
-    """Exact local splines of (episode, id, start_u, end_u, knots, coefficients).
+def restrict_bsplines(pieces: DataFrame, degree: int = 3, at: tuple[float, ...] = ()) -> DataFrame:
+    """Exact local splines of (episode, id, start_u, end_u, knots, coefficients), and their first channel at the phases ``at``.
 
     Knots and control values are those whose support meets the interval (``knots.interval_pieces``), not the whole spline.
     """
-    schema = "episode LONG, id LONG, valid BOOLEAN, knots ARRAY<DOUBLE>, local_knots ARRAY<DOUBLE>, coefficients ARRAY<ARRAY<DOUBLE>>"
+    schema = "episode LONG, id LONG, valid BOOLEAN, knots ARRAY<DOUBLE>, local_knots ARRAY<DOUBLE>, coefficients ARRAY<ARRAY<DOUBLE>>, values ARRAY<DOUBLE>"
+    phases = np.array(at, float)
 
     def run(batches):
         for batch in batches:
@@ -267,10 +268,11 @@ def restrict_bsplines(pieces: DataFrame, degree: int = 3) -> DataFrame:
             for r in batch.itertuples():
                 got = restrict(np.asarray(r.knots), np.stack(r.coefficients), degree, r.start_u, r.end_u)
                 if got is None:
-                    rows.append((r.episode, r.id, False, [], [], []))
+                    rows.append((r.episode, r.id, False, [], [], [], []))
                 else:
-                    rows.append((r.episode, r.id, True, got[0].tolist(), ((got[0] - r.start_u) / max(r.end_u - r.start_u, EPSILON)).tolist(), got[1].tolist()))
-            yield pd.DataFrame(rows, columns=["episode", "id", "valid", "knots", "local_knots", "coefficients"])
+                    values = basis_matrix(got[0], r.start_u + phases * (r.end_u - r.start_u), degree) @ got[1][:, 0]
+                    rows.append((r.episode, r.id, True, got[0].tolist(), ((got[0] - r.start_u) / max(r.end_u - r.start_u, EPSILON)).tolist(), got[1].tolist(), values.tolist()))
+            yield pd.DataFrame(rows, columns=["episode", "id", "valid", "knots", "local_knots", "coefficients", "values"])
 
     rows = pieces.select("episode", "id", "start_u", "end_u", "knots", "coefficients")
     return spread(rows, "episode", "id").mapInPandas(run, schema)

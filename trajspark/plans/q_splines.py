@@ -128,14 +128,21 @@ def h9(spark, sf):
     return out.select("episode", "frame", "g", F.round("position", 5).alias("position"), F.round("velocity", 3).alias("velocity"), F.round("acceleration", 2).alias("acceleration"))
 
 
-@query("h10_restrict_bspline", v.KNOTS + """,
-ivals AS (SELECT f.episode, f.frame, f.u AS start_u, CASE WHEN f.frame % 10 = 3 THEN f.u ELSE least(f.u + f.x / 500, 1) END AS end_u FROM frames f)""", """
-SELECT episode, frame, end_u > start_u + 1e-8 AS valid, CASE WHEN end_u > start_u + 1e-8 THEN 8 + (SELECT count(*) FROM knots k WHERE k.episode = i.episode AND k.knot > i.start_u AND k.knot < i.end_u) ELSE 0 END AS knots,
-  CASE WHEN end_u > start_u + 1e-8 THEN 4 + (SELECT count(*) FROM knots k WHERE k.episode = i.episode AND k.knot > i.start_u AND k.knot < i.end_u) ELSE 0 END AS control_points FROM ivals i""")
+IVALS = "SELECT f.episode, f.frame, f.u AS start_u, CASE WHEN f.frame % 10 = 3 THEN f.u ELSE least(f.u + f.x / 500, 1) END AS end_u FROM frames f"
+
+
+@query("h10_restrict_bspline", v.KNOTS + f", ivals AS ({IVALS})" + _basis_ctes("SELECT episode, frame * 10 + g.g AS pid, start_u + g.g / 2.0 * (end_u - start_u) AS u FROM ivals, range(3) g(g) WHERE end_u > start_u + 1e-8") + """,
+val AS (SELECT b.episode, b.pid, sum(b.n * c.coef) AS y FROM b3 b JOIN coefficients c ON c.episode = b.episode AND c.i = b.i GROUP BY b.episode, b.pid),
+three AS (SELECT episode, pid // 10 AS frame, max(y) FILTER (WHERE pid % 10 = 0) AS y0, max(y) FILTER (WHERE pid % 10 = 1) AS y1, max(y) FILTER (WHERE pid % 10 = 2) AS y2 FROM val GROUP BY episode, pid // 10)""", """
+SELECT i.episode, i.frame, end_u > start_u + 1e-8 AS valid, CASE WHEN end_u > start_u + 1e-8 THEN 8 + (SELECT count(*) FROM knots k WHERE k.episode = i.episode AND k.knot > i.start_u AND k.knot < i.end_u) ELSE 0 END AS knots,
+  CASE WHEN end_u > start_u + 1e-8 THEN 4 + (SELECT count(*) FROM knots k WHERE k.episode = i.episode AND k.knot > i.start_u AND k.knot < i.end_u) ELSE 0 END AS control_points,
+  round(y0, 4) AS at_start, round(y1, 4) AS at_middle, round(y2, 4) AS at_end FROM ivals i LEFT JOIN three t ON t.episode = i.episode AND t.frame = i.frame""")
 def h10(spark, sf):
+    """Local splines, checked against the global one at both ends and in the middle of the interval."""
     iv = intervals(spark, sf).withColumnRenamed("frame", "id")
-    local = fits.restrict_bsplines(K.interval_pieces(iv, v.knots(spark, sf), v.coefficients(spark, sf)))
-    return local.select("episode", F.col("id").alias("frame"), "valid", F.size("knots").cast("long").alias("knots"), F.size("coefficients").cast("long").alias("control_points"))
+    local = fits.restrict_bsplines(K.interval_pieces(iv, v.knots(spark, sf), v.coefficients(spark, sf)), at=(0.0, 0.5, 1.0))
+    at = [F.round(F.get("values", F.lit(k)), 4).alias(n) for k, n in enumerate(("at_start", "at_middle", "at_end"))]
+    return local.select("episode", F.col("id").alias("frame"), "valid", F.size("knots").cast("long").alias("knots"), F.size("coefficients").cast("long").alias("control_points"), *at)
 
 
 @query("h11_overlapping_coefficients", v.KNOTS + """,
