@@ -67,3 +67,23 @@ def test_projection_recovers_control_values(spark):
                                "id long, knots array<double>, phase array<double>, position array<double>, velocity array<double>, acceleration array<double>")
     row = fits.project_control_points(df, ["id"], ridge=1e-12).first()
     assert np.allclose(row.coefficients, c, atol=1e-5) and row.rmse < 1e-6
+
+
+def test_interlacing_is_full_rank():
+    rng = np.random.default_rng(3)
+    seen = set()
+    for _ in range(200):
+        n = int(rng.integers(5, 14))
+        u = np.sort(rng.choice(np.arange(40), n, replace=False)) / 39.0
+        inner = u[0] + (u[-1] - u[0]) * np.sort(rng.random(int(rng.integers(0, n - 3))))
+        t = np.concatenate([np.full(4, u[0]), inner, np.full(4, u[-1])])
+        full = len(t) - 4 <= n and np.linalg.matrix_rank(fits.basis_matrix(t, u, 3)) == len(t) - 4
+        assert fits.interlaced(t, u, 3) == full
+        seen.add(bool(full))
+    assert seen == {True, False}
+
+
+def test_next_knot_takes_the_last_of_equals():
+    severity = np.array([9.0, 1, 5, 2, 5, 3, 9])
+    assert fits.next_knot(severity, [], 1) == 4 and fits.next_knot(severity, [4], 2) == 2 and fits.next_knot(severity, [2, 4], 3) is None
+    assert fits.even_indices(11, 3) == [3, 5, 7] and fits.even_indices(2, 3) == [] and fits.even_indices(5, 9) == [1, 2]

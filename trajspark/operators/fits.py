@@ -51,15 +51,24 @@ def clamped(u: np.ndarray, inner: list[int], degree: int) -> np.ndarray:
     return np.concatenate([np.full(degree + 1, u[0]), u[inner], np.full(degree + 1, u[-1])])
 
 
-def least_squares(u: np.ndarray, y: np.ndarray, inner: list[int], degree: int, end_weight: float) -> tuple[np.ndarray, np.ndarray]:
-    """Knots and control values of the weighted least-squares spline; raises when knots leave a span without data."""
-    t = clamped(u, inner, degree)
+def interlaced(t: np.ndarray, u: np.ndarray, degree: int) -> bool:
+    """Whether every basis function has a sample of its own inside its support, in order: then the fit has one solution."""
+    count, i = len(t) - degree - 1, 0
+    for j in range(count):
+        while i < len(u) and not (u[i] > t[j] or j == 0 and u[i] == t[0]):
+            i += 1
+        if i == len(u) or not (u[i] < t[j + degree + 1] or j == count - 1 and u[i] == t[-1]):
+            return False
+        i += 1
+    return True
+
+
+def least_squares(t: np.ndarray, u: np.ndarray, y: np.ndarray, degree: int, end_weight: float) -> np.ndarray:
+    """Control values of the weighted least-squares spline on the knots ``t``."""
     a = basis_matrix(t, u, degree)
-    if np.linalg.matrix_rank(a) < a.shape[1]:
-        raise np.linalg.LinAlgError("knots and samples do not interlace")
     w = np.ones(len(u))
     w[[0, -1]] = end_weight
-    return t, np.linalg.lstsq(a * w[:, None], y * w[:, None], rcond=None)[0]
+    return np.linalg.lstsq(a * w[:, None], y * w[:, None], rcond=None)[0]
 
 
 def pchip_slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -182,6 +191,19 @@ def fit_interpolating(frames: DataFrame, moments: dict, limits: Limits, method:
     return spread(frames, "episode").groupBy("episode").applyInPandas(run, FITS)
 
 
+def even_indices(n: int, count: int) -> list[int]:
+    """``count`` inner frames that part the frames 1 to n - 2 into equal shares, positions rounded down."""
+    return sorted({1 + i * (n - 3) // (count + 1) for i in range(1, count + 1)}) if n > 2 else []
+
+
+def next_knot(severity: np.ndarray, taken: list[int], spacing: int) -> int | None:
+    """The worst inner frame at least ``spacing`` away from all knots, the last one of equals; None when there is none."""
+    frames = np.arange(1, len(severity) - 1)
+    near = np.min(np.abs(frames[:, None] - np.array(taken)[None, :]), axis=1) if taken else np.full(len(frames), len(severity))
+    free = frames[near >= spacing]
+    return int(free[len(free) - 1 - np.argmax(severity[free][::-1])]) if len(free) else None
+
+
 def fit_bspline(frames: DataFrame, moments: dict, limits: Limits, degree: int = 3, initial: int = 8, most: int = 256,
                 spacing: int = 1, end_weight: float = 1000.0) -> DataFrame:
     """Clamped least-squares B-splines; each round adds one inner knot at the worst admissible frame."""
@@ -189,42 +211,32 @@ def fit_bspline(frames: DataFrame, moments: dict, limits: Limits, degree: int =
         ep = _Episode(pdf, limits, moments)
         n = len(ep.u)
         k = min(degree, n - 1)
-        room = max(0, n - k - 1)
-        limit, count = min(most, room), min(initial, room)
-        spots = np.linspace(1, n - 2, count + 2)[1:-1] if count and n > 2 else []
-        inner = sorted({int(round(s)) for s in spots if 0 < int(round(s)) < n - 1})[:limit]
-        rounds, found = 0, None
-        while True:
-            try:
-                fitted = {c: least_squares(ep.u, y, inner, k, end_weight) for c, y in ep.values.items()}
-            except np.linalg.LinAlgError:
-                if not inner:
-                    raise
-                inner, status = inner[:-1], "fit_failed_after_knot_removal"
-                if found is not None:
-                    break
-                continue
-            rebuilt = {c: basis_matrix(t, ep.u, k) @ coef for c, (t, coef) in fitted.items()}
+        limit = min(most, max(0, n - k - 1))
+        taken, kept, status, rounds = even_indices(n, min(initial, limit)), None, None, 0
+        while status is None:
+            t = clamped(ep.u, taken, k)
+            if not interlaced(t, ep.u, k):
+                if kept is None and taken:
+                    taken = taken[:-1]  # a start that the samples do not carry
+                    continue
+                if kept is None:
+                    raise np.linalg.LinAlgError("the samples carry no spline of this degree")
+                status = "fit_failed_after_knot_removal"
+                break
+            fitted = {c: least_squares(t, ep.u, y, k, end_weight) for c, y in ep.values.items()}
+            rebuilt = {c: basis_matrix(t, ep.u, k) @ coef for c, coef in fitted.items()}
             severity, maxima = ep.errors(rebuilt)
-            found = (inner, fitted, rebuilt, severity, maxima, ep.limiting)
+            kept = (taken, t, fitted, severity, maxima, rebuilt, ep.limiting)
             if severity.max() <= 1.0:
                 status = "epsilon_met"
-                break
-            if len(inner) >= limit:
+            elif len(taken) >= limit:
                 status = "maximum_internal_knots_reached"
-                break
-            free = np.ones(n, dtype=bool)
-            free[[0, -1]] = False
-            for at in inner:
-                free[max(0, at - spacing + 1):at + spacing] = False
-            if not free.any():
+            elif (at := next_knot(severity, taken, spacing)) is None:
                 status = "no_valid_knot_candidate"
-                break
-            inner = sorted([*inner, int(np.argmax(np.where(free, severity, -np.inf)))])
-            rounds += 1
-        inner, fitted, rebuilt, severity, maxima, ep.limiting = found
-        t, coef = fitted["latent"]
-        return ep.row(status, rounds, len(inner), severity, maxima, rebuilt, inner, t, coef)
+            else:
+                taken, rounds = sorted([*taken, at]), rounds + 1
+        inner, t, fitted, severity, maxima, rebuilt, ep.limiting = kept
+        return ep.row(status, rounds, len(inner), severity, maxima, rebuilt, inner, t, fitted["latent"])
 
     return spread(frames, "episode").groupBy("episode").applyInPandas(run, FITS)
 
