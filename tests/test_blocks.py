@@ -96,3 +96,10 @@ def test_quantiles_match_numpy(spark):
         assert r.quantile == pytest.approx(np.quantile(data[r.k], r.prob), rel=1e-12, abs=1e-12)
     empty = distribution(df.where("k < 0"), [], "x", [0.5]).collect()
     assert empty == [] or empty[0]["count"] == 0
+
+
+def test_explode_range_crosses_blocks(spark):
+    from trajspark.operators.blocks import explode_range
+    df = spark.createDataFrame([("a", 3, 25), ("b", -7, -7), ("c", 9, 10)], "k string, lo long, hi long")
+    got = sorted((r.k, r.i) for r in explode_range(df, ["k"], "lo", "hi", "i", 10).collect())
+    assert got == [("a", i) for i in range(3, 26)] + [("b", -7), ("c", 9), ("c", 10)]

@@ -44,6 +44,16 @@ def with_positions(df: DataFrame, keys: list[str], block: Column, order: list, n
             .drop("_off", "_rn", "_blk"))
 
 
+def explode_range(df: DataFrame, keys: list[str], low: str, high: str, name: str, size: int = POSITION_BLOCK) -> DataFrame:
+    """Every integer from ``low`` to ``high`` of a row: block numbers first, dealt out over the tasks, then the values of each block.
+
+    No task or row holds a whole range.
+    """
+    blocks = df.withColumn("_blk", F.explode(F.sequence(floor_div(F.col(low), size), floor_div(F.col(high), size)))).repartition(*keys, "_blk")
+    first, last = F.greatest(F.col(low), F.col("_blk") * size), F.least(F.col(high), F.col("_blk") * size + size - 1)
+    return blocks.withColumn(name, F.explode(F.sequence(first, last))).drop("_blk")
+
+
 def with_hash_rank(df: DataFrame, keys: list[str], seed: str, id_col: str, name: str = "rank",
                    total: str = "n") -> DataFrame:
     """Rank rows of each group by md5(seed:id); the first four hex digits are the block."""

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trajspark.operators.blocks import explode_range
+
 
 def three_way(left: DataFrame, right: DataFrame, names: tuple[str, str, str]) -> DataFrame:
     """Rows only left, only right and in both, from one full outer join."""
@@ -30,7 +32,7 @@ def select_from(chosen: DataFrame, available: DataFrame, excluded: DataFrame, ke
 def hull(df: DataFrame, keys: list[str], index: str) -> DataFrame:
     """Every index from the smallest to the largest of each group."""
     ends = df.groupBy(*keys).agg(F.min(index).alias("_lo"), F.max(index).alias("_hi"))
-    return ends.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias(index))
+    return explode_range(ends, keys, "_lo", "_hi", index).select(*keys, index)
 
 
 def missing_names(required: list[str], present: Column) -> Column:

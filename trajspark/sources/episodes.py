@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from trajspark.functions.scalars import episode_index
+from trajspark.operators.blocks import explode_range
 
 ANNOTATION = T.StructType([
     T.StructField("episode", T.LongType()), T.StructField("category_id", T.StringType()), T.StructField("template_status", T.StringType()),
@@ -94,7 +95,7 @@ def resolve_pools(groups: DataFrame, references: DataFrame, candidates: dict[str
         ranked = part if ranked is None else ranked.unionByName(part)
     best = ranked.join(groups.select(key), key, "left_semi").groupBy(key).agg(F.min("rank").alias("rank"))
     chosen = ranked.join(best, [key, "rank"])
-    pool = chosen.select(key, "origin", F.explode(F.sequence("start", "end")).alias("episode")).distinct()
+    pool = explode_range(chosen, [key], "start", "end", "episode").select(key, "origin", "episode").distinct()
     return pool.join(references.select(key, "episode"), [key, "episode"], "left_anti")
 
 
