@@ -242,6 +242,8 @@ def test_blocks_and_tree():
     assert html.main_text("plain text only") == "plain text only" and html.main_text("a < b &am; c &#x41;") == "a < b &am; c A"
     assert html.main_text("<article><p>" + "word " * 50_000) == ("word " * 50_000).strip()
     assert html.main_text("<article><header><h1>In</h1></header><p>it</p><footer>out</footer></article>") == "In\nit"
+    assert html.main_text('<article><p hidden>a</p><p class="byline">b</p><ol class="commentlist"><li>c</li></ol><div role="complementary">d</div><p class="post-header">e</p></article>') == "a\nb\ne"
+    assert html.main_text("<head><title>t</title><p>no end of head") == "no end of head"
     table = __import__("numpy").array(html.LABELLED, float)
     assert all((html.judge(html.trained(), r[:-1]) >= 0.5) == bool(r[-1]) for r in table)
 

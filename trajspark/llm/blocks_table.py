@@ -21,6 +21,11 @@ LABELLED = [
     (2, 0.0, 20, 0.2, 45, 0.0, 0, 0, 1), (120, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (15, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (28, 0.25, 40, 0.0, 5, 1.0, 0, 0, 1),
     (1, 0.0, 33, 0.0, 27, 0.0, 0, 0, 1), (6, 0.0, 0, 0.0, 30, 0.0, 0, 0, 1), (18, 0.0, 9, 0.0, 1, 1.0, 0, 0, 1), (5, 0.0, 16, 0.0, 0, 0.0, 0, 0, 1),
     (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (12, 0.0, 3, 0.0, 14, 0.0, 0, 0, 1), (7, 0.0, 12, 0.0, 9, 0.0, 0, 0, 1), (9, 0.0, 7, 0.0, 0, 0.0, 0, 0, 1),
+    # headings and short paragraphs next to link lists
+    (4, 0.0, 2, 1.0, 18, 0.0, 0, 0, 1), (3, 0.0, 1, 1.0, 40, 0.0, 0, 0, 1), (2, 0.0, 1, 1.0, 30, 0.1, 0, 0, 1), (1, 0.0, 3, 1.0, 2, 0.0, 0, 0, 1), (4, 0.0, 6, 1.0, 1, 1.0, 0, 0, 1),
+    (3, 0.0, 2, 0.9, 55, 0.0, 0, 0, 1), (2, 0.0, 25, 0.0, 2, 1.0, 0, 0, 1), (5, 0.0, 1, 1.0, 6, 0.0, 0, 0, 1), (3, 0.2, 4, 1.0, 33, 0.0, 0, 0, 1),
+    # text with much of it linked, between text
+    (30, 0.5, 40, 0.0, 22, 0.0, 0, 0, 1), (16, 0.5, 28, 0.0, 31, 0.1, 0, 0, 1), (9, 0.55, 35, 0.0, 40, 0.0, 0, 0, 1), (4, 1.0, 35, 0.0, 40, 0.0, 0, 0, 1), (11, 0.65, 24, 0.2, 52, 0.1, 0, 0, 1),
     # and their link lists
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0), (2, 1.0, 1, 1.0, 3, 1.0, 0, 0, 0), (3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0), (4, 1.0, 3, 1.0, 8, 0.0, 0, 0, 0),
     (6, 1.0, 50, 0.0, 5, 1.0, 0, 0, 0), (5, 1.0, 6, 1.0, 0, 0.0, 0, 0, 0), (9, 0.8, 1, 1.0, 2, 1.0, 0, 0, 0), (7, 0.7, 9, 0.8, 4, 1.0, 0, 0, 0),

@@ -16,7 +16,7 @@ from trajspark.llm.blocks_table import LABELLED
 from trajspark.llm.common import small_batches
 
 FEATURES = ["words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_clutter", "in_article"]
-DEPTH, LEAST = 5, 2
+DEPTH, LEAST = 7, 1
 
 # Element names by what they mean for the text around them.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup "
@@ -26,15 +26,15 @@ RAW = "script|style|noscript|template|textarea|svg|iframe|object|title|canvas|au
 CLUTTER = frozenset("nav footer aside form menu dialog button select search fieldset".split())
 ARTICLE = frozenset("article main".split())
 # Words of class, id and role names that mark clutter.
-HINTS = frozenset("ad ads advert adverts advertisement advertising alert aside banner breadcrumb breadcrumbs byline comment comments consent contentinfo cookie cookies disclaimer disqus dropdown "
+HINTS = frozenset("ad ads advert adverts advertisement advertising alert alertdialog aside banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disclaimer disqus dropdown "
                   "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup promo promoted promotion "
-                  "recommended related respond responses reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe taboola tags toolbar topbar tracking widget widgets".split())
+                  "recommended related respond responses reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar topbar tracking widget widgets".split())
 WHOLE = frozenset("html body article main".split())
+STEMS = tuple("adbanner adbox adsense adslot adunit advert breadcrumb commentarea commentbox commentform commentlist commentsection commentthread cookie footer mainnav newsletter sidebar sitenav sponsor topnav".split())
 # With these, a name that says header means the head of the article.
 OWN = frozenset("article post entry story content main body".split())
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*?(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|\baria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
 def kind_of(name: str, attributes: str, inside: bool) -> int:
@@ -44,10 +44,9 @@ def kind_of(name: str, attributes: str, inside: bool) -> int:
     if name == "header":
         return 0 if inside else 1
     if name not in WHOLE and attributes:
-        if HIDDEN.search(attributes):
-            return 1
         for value in NAMED.findall(attributes):
-            hints = HINTS.intersection(words := re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
+            words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
+            hints = {w for w in words if w in HINTS or w.startswith(STEMS)}
             if hints - {"header"} or hints and not (inside or re.match("h[1-6]$", name) or OWN.intersection(words)):
                 return 1
     if name in ARTICLE or name == "div" and re.search(r"\b(?:role\s*=\s*[\"']?main|itemprop\s*=\s*[\"']?articleBody)\b", attributes):
