@@ -325,6 +325,6 @@ def score_pairs(pairs: DataFrame, scorer, columns: list[str], ids: list[str], sc
             yield batch[ids].assign(score=np.asarray(scorer(batch[columns]), dtype=float))
 
     scored = pairs.select(*ids, *[c for c in columns if c not in ids]).mapInPandas(run, schema + ", score DOUBLE")
-    finite = ~F.isnan("score") & (F.abs("score") < float("inf"))
+    finite = F.coalesce(~F.isnan("score") & (F.abs("score") < float("inf")), F.lit(False))  # pandas hands NaN over as null
     counts = scored.groupBy("episode").agg(F.count(F.lit(1)).alias("scored"), F.count_if(finite).alias("finite"), F.count_if(~finite).alias("nonfinite"))
     return scored.where(finite), counts

@@ -179,6 +179,18 @@ def h12(spark, sf):
 nxt AS (SELECT episode, frame, vec, lead(vec) OVER (PARTITION BY episode ORDER BY frame) AS b FROM vec_frames)""", """
 SELECT episode, frame, round(1 - list_dot_product(vec, b) / greatest(sqrt(list_dot_product(vec, vec)) * sqrt(list_dot_product(b, b)), 1e-12), 6) AS score FROM nxt WHERE b IS NOT NULL AND frame % 10 <> 4""")
 def h13(spark, sf):
+    return v.rounded(_scored_pairs(spark, sf)[0])
+
+
+@query("h13_score_counts", v.VEC + """,
+nxt AS (SELECT episode, frame, lead(vec) OVER (PARTITION BY episode ORDER BY frame) AS b FROM vec_frames)""", """
+SELECT episode, count(*) AS scored, count(*) FILTER (WHERE frame % 10 <> 4) AS finite, count(*) FILTER (WHERE frame % 10 = 4) AS nonfinite FROM nxt WHERE b IS NOT NULL GROUP BY episode""")
+def h13b(spark, sf):
+    """How many pairs of an episode were scored, and how many scores are finite."""
+    return _scored_pairs(spark, sf)[1]
+
+
+def _scored_pairs(spark, sf):
     pairs = Wn.shifted(v.vec_frames(spark, sf), EP, "frame", {"b": ("vec", 1)}).where("b is not null")
     pairs = pairs.withColumn("b", F.when(F.col("frame") % 10 == 4, F.transform("b", lambda x: x * float("nan"))).otherwise(F.col("b")))
 
@@ -186,4 +198,4 @@ def h13(spark, sf):
         a, b = np.stack(batch["vec"]), np.stack(batch["b"])
         return 1 - np.sum(a * b, axis=1) / np.maximum(np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1), 1e-12)
 
-    return v.rounded(fits.score_pairs(pairs, cosine, ["vec", "b"], ["episode", "frame"], "episode LONG, frame LONG")[0])
+    return fits.score_pairs(pairs, cosine, ["vec", "b"], ["episode", "frame"], "episode LONG, frame LONG")
