@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trajspark.functions import vectors as V
-from trajspark.operators.asof import asof
 from trajspark.operators.quantiles import quantiles, quantiles_long
 
 
@@ -34,15 +33,14 @@ def moments_with_fallback(df: DataFrame, vec: str, train: Column) -> DataFrame:
 
 
 def percentile_exemplars(df: DataFrame, value: str, probs: list[float], id_cols: list[str]) -> DataFrame:
-    """For every quantile the first row closest to it."""
-    one = df.withColumn("_all", F.lit(1))
-    targets = quantiles_long(one, ["_all"], value, probs)
-    rows = one.groupBy("_all", value).agg(F.min(F.struct(*id_cols)).alias("first"))
-    found = asof(targets, rows, ["_all"], "quantile", value, ["first"], above="upper")
-    gap = lambda side: F.abs(F.col(f"{side}.v") - F.col("quantile"))
-    lower = F.col("upper").isNull() | (gap("lower") < gap("upper")) | ((gap("lower") == gap("upper")) & (F.col("lower.first") <= F.col("upper.first")))
-    best = F.when(lower, F.col("lower")).otherwise(F.col("upper"))
-    return found.withColumn("_b", best).select("prob", "quantile", F.col("_b.v").alias(value), "_b.first.*")
+    """For every quantile the row closest to it, of equals the one with the smallest ids: one aggregate over all rows for the few quantiles."""
+    targets = quantiles_long(df.withColumn("_all", F.lit(1)), ["_all"], value, probs)
+    listed = targets.agg(F.sort_array(F.collect_list(F.struct("prob", "quantile"))).alias("q")).scalar()  # one entry per quantile
+    known = df.where(F.col(value).isNotNull()).withColumn("_q", listed)
+    gap = lambda i: F.abs(F.col(value) - F.get("_q", F.lit(i))["quantile"])
+    nearest = [F.min(F.struct(gap(i).alias("gap"), *id_cols, value, F.get("_q", F.lit(i)).alias("q"))) for i in range(len(probs))]
+    best = known.agg(F.array(*nearest).alias("b")).select(F.explode("b").alias("b")).where("b is not null")
+    return best.select("b.q.prob", "b.q.quantile", f"b.{value}", *[f"b.{c}" for c in id_cols])
 
 
 def reason_counts(df: DataFrame, reason: str, tail: Column) -> DataFrame:
