@@ -9,6 +9,8 @@ from trajspark.llm.common import WORD, cut, key, same_columns
 
 #: Places on the sampling order, in two steps: the first finds one of 1,024 ranges, the second one of 1,024 in it.
 FINE, COARSE = 2**20, 2**10
+#: Sources whose plan is broadcast (some 200 bytes each); more are joined by a shuffle, in which Spark can split a hot source.
+FEW = 100_000
 
 
 def _named(docs: DataFrame, seed: str) -> DataFrame:
@@ -110,7 +112,8 @@ def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def _planned(docs: DataFrame, seed: str, weights: tuple[int, ...], share: float, most: float) -> tuple[DataFrame, DataFrame]:
     rows = cut(_named(docs.select("doc_id", "text", F.col("source").cast("string").alias("source")), seed).select("doc_id", "source", "_row"))
     sizes = cut(rows.groupBy("source").agg(F.sum("_row.size").alias("source_size")))
-    return rows, sample_plan(rows, source_targets(sizes, weights, share, most))
+    plan = sample_plan(rows, source_targets(sizes, weights, share, most))
+    return rows, F.broadcast(plan) if plan.count() <= FEW else plan
 
 
 def mix_sizes(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
