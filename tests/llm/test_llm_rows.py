@@ -81,6 +81,13 @@ def test_toxicity_special_rows(spark):
     assert toxicity.toxicity(brute.docs(spark, []), known).count() == 0 and toxicity.without_toxic(brute.docs(spark, []), known).count() == 0
 
 
+def test_misspellings_at_any_table_size(spark):
+    train = [(i, f"some long words {('moron', 'worthless')[i % 4 // 2]} n{i}" if i % 2 else f"some long words boron n{i}") for i in range(100, 160)]
+    others = [(1, "some long words mor0n"), (2, "some long words worthl3ss"), (3, "some long words w0rthl3ss"), (4, "some long words boron"), (5, "some long words")]
+    got = toxicity.toxicity(brute.docs(spark, others + train), labels(spark, [(i, 1, i % 2, "z") for i, _ in train])).collect()
+    assert {r.doc_id: (r.hits, r.predicted) for r in got if r.doc_id < 100} == {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (0, 0), 5: (0, 0)}
+
+
 # --- url filters
 
 def page_rows(spark, rows):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -18,9 +19,13 @@ from trajspark.llm.common import cut, small_batches
 ROWS, TERMS, WINDOW = 8000, 400, 5
 #: Lengths of word beginnings that may become terms (stems), and of words for one and two edits.
 STEMS, ONE_EDIT, TWO_EDITS = range(4, 9), 5, 9
-#: Misspellings are looked for where a term is this much (as a logarithm) more frequent in toxic texts: its like is then rare in clean ones.
-TRUSTED = 6.5
+#: A term is this much (as a logarithm) more frequent in toxic texts. Any such term may be misspelled, whatever the size of the table.
+TRUSTED = math.log(8.0)
+#: Texts that a term's own ratio counts for where its misspellings are judged.
+PRIOR = 5
 FEATURES = ["log_words", "hits", "weight", "weight_share", "top_weight", "distinct", "near_hits", "misspelled", "quoted", "addressed", "stem_hits", "stem_share"]
+#: What the model sees: misspellings are too rare in labelled texts for a weight of their own, and the weights of the hits tell them apart already.
+MODELLED = [i for i, f in enumerate(FEATURES) if f != "misspelled"]
 # Marks around a word, quotation marks, and words that address someone or report speech.
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„‘’«»…–—¡¿"
 QUOTES = "\"“”„«»"
@@ -42,9 +47,9 @@ class Automaton:
         self.ends: list[tuple[int, int] | None] = [None]  # term and edits allowed
         self.stems: list[int | None] = [None]
         self.reach = [0]  # most edits allowed below a node
-        for i, (term, weight) in enumerate(terms.items()):
+        for i, term in enumerate(terms):
             stem, node = term.endswith("*"), 0
-            edits = 0 if stem or weight < TRUSTED else 2 if len(term) >= TWO_EDITS else 1 if len(term) >= ONE_EDIT else 0
+            edits = 0 if stem else 2 if len(term) >= TWO_EDITS else 1 if len(term) >= ONE_EDIT else 0
             for c in term.rstrip("*"):
                 self.reach[node] = max(self.reach[node], edits)
                 if c not in self.children[node]:
@@ -122,7 +127,14 @@ def automaton(terms: tuple[tuple[str, float], ...]) -> Automaton:
     return Automaton(dict(terms))
 
 
-def features(text: str | None, machine: Automaton, stems: frozenset[int]) -> list[float]:
+class Spelling(NamedTuple):
+    """Words that are no misspelling although they look like one, and the weights of (term, edits) where they are not the term's own."""
+
+    ordinary: frozenset[str] = frozenset()
+    weights: dict[tuple[int, int], float] = {}
+
+
+def features(text: str | None, machine: Automaton, stems: frozenset[int], spelling: Spelling = Spelling()) -> list[float]:
     raw = (text or "").split()
     n = len(raw)
     hits: list[tuple[int, int, int]] = []
@@ -131,12 +143,12 @@ def features(text: str | None, machine: Automaton, stems: frozenset[int]) -> lis
         w = w.lower().strip(MARKS)
         got = known[w] if w in known else machine.match(w)
         known = machine.words
-        if got is not None:
+        if got is not None and not (got[1] and (w in spelling.ordinary or spelling.weights.get(got, TRUSTED) < TRUSTED)):
             hits.append((i, *got))
     weight = top = quoted = addressed = near = wrong = stem_hits = 0.0
     last = -10**9
     for i, term, edits in hits:
-        w = machine.weights[term]
+        w = spelling.weights.get((term, edits), machine.weights[term])
         around = raw[max(0, i - WINDOW):i + WINDOW + 1]
         before, after = raw[max(0, i - WINDOW):i], raw[i:i + WINDOW + 1]
         opens, closes = any(x[0] in QUOTES for x in [*before, raw[i]]), any(x[-1] in QUOTES or x.rstrip(".,;:!?")[-1:] in QUOTES for x in after if x)
@@ -144,7 +156,7 @@ def features(text: str | None, machine: Automaton, stems: frozenset[int]) -> lis
             quoted += 1
             continue
         addressed += any(x.lower().strip(MARKS) in ADDRESS for x in around)
-        weight, top = weight + w / (1 + edits), max(top, w / (1 + edits))
+        weight, top = weight + w, max(top, w)
         near += i - last <= 2 * WINDOW
         wrong += edits > 0
         stem_hits += term in stems
@@ -184,7 +196,7 @@ def lexicon(sample: DataFrame, terms: int = TERMS) -> dict[str, float]:
     if total is None or not total.p or not total.q:
         return {}
     ratio = F.log((F.col("p") + 0.5) / F.lit(total.p + 1.0)) - F.log((F.col("q") + 0.5) / F.lit(total.q + 1.0))
-    found = counts.where("term <> ''").withColumn("r", ratio).where((F.col("r") >= math.log(8.0)) & (F.col("docs") >= 0.02 * total.docs)).orderBy(F.desc(F.col("docs") * F.col("r")), "term").limit(4 * terms).collect()
+    found = counts.where("term <> ''").withColumn("r", ratio).where((F.col("r") >= TRUSTED) & (F.col("docs") >= 0.02 * total.docs)).orderBy(F.desc(F.col("docs") * F.col("r")), "term").limit(4 * terms).collect()
     ratios, support = {r.term: round(float(r.r), 6) for r in found}, {r.term: r.p for r in found}
 
     def heads(term: str) -> list[str]:
@@ -197,7 +209,47 @@ def lexicon(sample: DataFrame, terms: int = TERMS) -> dict[str, float]:
     return {t: ratios[t] for t in sorted(kept[:terms])}
 
 
-def _feature_rows(terms: tuple[tuple[str, float], ...]):
+def _forms(terms: tuple[tuple[str, float], ...]):
+    """(form, term, edits, toxic) of every text: its distinct words that match a term with edits."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton(terms)
+        for b in batches:
+            for text, toxic in zip(b.column("text"), b.column("toxic").to_pylist()):
+                words = {w.strip(MARKS) for w in (text.as_py() or "").lower().split()}
+                forms = [(w, *got) for w in words if (got := machine.match(w)) is not None and got[1]]
+                yield pa.record_batch([pa.array([f[0] for f in forms], pa.string()), *[pa.array([f[k] for f in forms], pa.int32()) for k in (1, 2)], pa.array([toxic] * len(forms), pa.int32())], ["form", "term", "edits", "toxic"])
+    return run
+
+
+def misspellings(sample: DataFrame, terms: tuple[tuple[str, float], ...]) -> tuple[Spelling, Spelling, Spelling]:
+    """What the sample's texts tell of words that match with edits: for texts without a label, and for clean and toxic ones of the sample.
+
+    A word that clean texts have is ordinary unless toxic ones have it eight times as often. The other forms of a term are counted per number of
+    edits; their logarithmic ratio starts from the term's own, which counts as much as PRIOR texts, and never exceeds it. The last two leave
+    out the text itself, so that the model meets words as it will in other texts.
+    """
+    total = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    toxic, clean = total.get(1, 0) + 1, total.get(0, 0) + 1
+    counts = sample.mapInArrow(_forms(terms), "form string, term int, edits int, toxic int").groupBy("form", "term", "edits").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q")).collect()
+
+    def common(own_p: int, own_q: int) -> frozenset[str]:
+        return frozenset(r.form for r in counts if r.q > own_q and math.log((max(r.p - own_p, 0) + 0.5) / toxic) - math.log((r.q - own_q + 0.5) / clean) < TRUSTED)
+
+    words, in_clean, in_toxic = common(0, 0), common(0, 1), common(1, 0)
+    seen: dict[tuple[int, int], list[int]] = {}
+    for r in counts:
+        both = seen.setdefault((r.term, r.edits), [0, 0])
+        both[0] += r.p * (r.form not in in_toxic)
+        both[1] += r.q * (r.form not in in_clean)
+    weights = {}
+    for (term, edits), (p, q) in seen.items():
+        w = terms[term][1]
+        share = toxic * math.exp(w) / (toxic * math.exp(w) + clean)
+        weights[term, edits] = min(w, math.log((p + PRIOR * share) / toxic) - math.log((q + PRIOR * (1 - share)) / clean))
+    return Spelling(words, weights), Spelling(in_clean, weights), Spelling(in_toxic, weights)
+
+
+def _feature_rows(terms: tuple[tuple[str, float], ...], spelling: Spelling, by_label: tuple[Spelling, Spelling] | None = None):
     stems = frozenset(i for i, (t, _) in enumerate(terms) if t.endswith("*"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +257,8 @@ def _feature_rows(terms: tuple[tuple[str, float], ...]):
         for b in batches:
             for lo in range(0, b.num_rows, 200):
                 part = b.slice(lo, 200)
-                rows = [features(t.as_py(), machine, stems) for t in part.column("text")]
+                known = [by_label[k] for k in part.column("toxic").to_pylist()] if by_label else [spelling] * part.num_rows
+                rows = [features(t.as_py(), machine, stems, k) for t, k in zip(part.column("text"), known)]
                 keep = [c for c in part.schema.names if c != "text"]
                 yield pa.record_batch([*[part.column(c) for c in keep], pa.array(rows, pa.list_(pa.float64()))], [*keep, "x"])
     return run
@@ -235,21 +288,22 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TERMS
     known = cut(known.orderBy(F.xxhash64("_id"), "_id").limit(rows))  # bounded by rows, so it can be broadcast
     sample = cut(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", "toxic"))
     chosen = tuple(lexicon(sample, terms).items())
-    table = sample.mapInArrow(_feature_rows(chosen), "toxic int, x array<double>").collect() if chosen else []
+    spelling, *by_label = misspellings(sample, chosen) if chosen else [Spelling()] * 3
+    table = sample.mapInArrow(_feature_rows(chosen, spelling, tuple(by_label)), "toxic int, x array<double>").collect() if chosen else []
     y = np.array([r.toxic for r in table], float)
     if not len(y) or y.min() == y.max():
-        return (), None
-    return chosen, fit_logistic(np.array([r.x for r in table]), y)
+        return (), spelling, None
+    return chosen, spelling, fit_logistic(np.array([r.x for r in table])[:, MODELLED], y)
 
 
 def _scores(x: np.ndarray, model) -> np.ndarray:
     mean, scale, w = model
-    return 1 / (1 + np.exp(-np.clip((x - mean) / scale @ w[:-1] + w[-1], -30, 30)))
+    return 1 / (1 + np.exp(-np.clip((x[:, MODELLED] - mean) / scale @ w[:-1] + w[-1], -30, 30)))
 
 
-def _scored_rows(terms: tuple[tuple[str, float], ...], model):
+def _scored_rows(terms: tuple[tuple[str, float], ...], spelling: Spelling, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _feature_rows(terms)(batches):
+        for b in _feature_rows(terms, spelling)(batches):
             x = np.array(b.column("x").to_pylist()).reshape(b.num_rows, len(FEATURES))
             yield pa.record_batch([b.column("doc_id"), pa.array(_scores(x, model)), pa.array(np.rint(np.expm1(x[:, 1])).astype(np.int64))], ["doc_id", "score", "hits"])
     return run
@@ -266,18 +320,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int =
     get the score of a text without hits. Rows without doc_id are scored and count as held out. Without labels of both classes every score
     is 0. Repeated rows are scored alike; extra columns are ignored.
     """
-    chosen, model = fit(docs, labels, rows, terms)
+    chosen, spelling, model = fit(docs, labels, rows, terms)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True)).alias("held_out")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if model is None:
         return plain.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).cast("long").alias("hits"))
-    scored = plain.mapInArrow(_scored_rows(chosen, model), "doc_id long, score double, hits long")
+    scored = plain.mapInArrow(_scored_rows(chosen, spelling, model), "doc_id long, score double, hits long")
     return scored.select("doc_id", held, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "hits")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TERMS) -> DataFrame:
     """The rows of ``docs`` whose score is below 0.5, with all their columns; without labels of both classes all of them."""
-    chosen, model = fit(docs, labels, rows, terms)
+    chosen, spelling, model = fit(docs, labels, rows, terms)
     if model is None:
         return docs
     stems = frozenset(i for i, (t, _) in enumerate(chosen) if t.endswith("*"))
@@ -285,6 +339,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: i
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         machine = automaton(chosen)
-        return pd.Series(_scores(np.array([features(t, machine, stems) for t in texts]).reshape(len(texts), len(FEATURES)), model))
+        return pd.Series(_scores(np.array([features(t, machine, stems, spelling) for t in texts]).reshape(len(texts), len(FEATURES)), model))
 
     return docs.where(score(F.col("text").cast("string")) < 0.5)
