@@ -88,6 +88,16 @@ def test_misspellings_at_any_table_size(spark):
     assert {r.doc_id: (r.hits, r.predicted) for r in got if r.doc_id < 100} == {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (0, 0), 5: (0, 0)}
 
 
+def test_words_covered_by_a_stem_are_met_misspelled(spark):
+    forms = ["idiot", "idiots", "idiotic"]
+    sample = spark.createDataFrame([(f"some long words {forms[i // 2 % 3]}" if i % 2 else "some long words", i % 2) for i in range(120)], "text string, toxic int")
+    terms = toxicity.lexicon(sample)
+    assert any(t.endswith("*") for t in terms) and set(forms) <= set(terms)
+    machine = toxicity.Automaton(terms)
+    assert all(machine.match(w)[1] == 1 for w in ("idi0t", "idi0ts", "idixtic", "ixiot")) and all(machine.match(w)[1] == 0 for w in [*forms, "idiotically"])
+    assert toxicity.features("an idiotic one", machine, frozenset())[toxicity.FEATURES.index("hits")] == pytest.approx(__import__("math").log(2))
+
+
 # --- url filters
 
 def page_rows(spark, rows):

@@ -105,7 +105,7 @@ class Automaton:
         return to
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """(term, edits) of the best match of a word; an exact term or stem before a misspelled one."""
+        """(term, edits) of the best match of a word: the better of an exact term and a stem, before a misspelled one."""
         if len(self.words) > 50_000 or len(self.sets) > 10_000:
             self.reset()
         state, stem = self.start, None
@@ -117,7 +117,7 @@ class Automaton:
             if self.results[state][1] is not None:
                 stem = self.results[state][1]
         end = self.results[state][0] if self.sets[state] else None
-        found = end if end and (end[1] == 0 or stem is None) else (stem, 0) if stem is not None else None
+        found = end if stem is None or end and end[1] == 0 and self.weights[end[0]] >= self.weights[stem] else (stem, 0)
         self.words[word] = found
         return found
 
@@ -187,7 +187,8 @@ def lexicon(sample: DataFrame, terms: int = TERMS) -> dict[str, float]:
     """Terms that are much more frequent in toxic texts, with the logarithm of how much more; counted over all texts of the sample.
 
     A term is in four toxic texts and 2% of them or more and eight times as frequent there, counts smoothed. A stem is left out where one longer term has
-    most of its occurrences, and words that a chosen stem covers with about the same ratio are. At most ``terms``, by support and ratio, reach the driver.
+    most of its occurrences, and so is a longer stem that a chosen one covers with about the same ratio. At most ``terms`` are chosen, by support and ratio, and
+    whole words that their stems cover come with them, as only whole words are met misspelled.
     """
     counts = sample.mapInArrow(_terms, "term string, toxic int, n long").groupBy("term").agg(
         F.sum(F.col("toxic").cast("long")).alias("docs"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("q"))
@@ -205,8 +206,10 @@ def lexicon(sample: DataFrame, terms: int = TERMS) -> dict[str, float]:
     told = {s for t in ratios for s in heads(t) if support[t] >= 0.8 * support[s]}  # a longer term says the same
     kept = [r.term for r in found if r.term not in told]
     stems = {t for t in kept if t.endswith("*")}
-    kept = [t for t in kept if not any(s in stems and ratios[t] <= ratios[s] + 0.7 for s in heads(t))]
-    return {t: ratios[t] for t in sorted(kept[:terms])}
+    covered = {t for t in kept if any(s in stems and ratios[t] <= ratios[s] + 0.7 for s in heads(t))}
+    chosen = set([t for t in kept if t not in covered][:terms])
+    words = {t for t in covered if not t.endswith("*") and not chosen.isdisjoint(heads(t))}
+    return {t: ratios[t] for t in sorted(chosen | words)}
 
 
 def _forms(terms: tuple[tuple[str, float], ...]):
