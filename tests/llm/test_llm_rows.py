@@ -265,6 +265,23 @@ def test_blocks_and_tree():
     assert all((html.judge(html.trained(), r[:-1]) >= 0.5) == bool(r[-1]) for r in table)
 
 
+def test_articles_in_marked_wrappers():
+    body = "<h1>Head</h1><p>some text of it</p><aside>Side</aside><p>more</p>"
+    want = "Head\nsome text of it\nmore"
+    for before, after in [("<div class='site has-sidebar'>", "</div>"), ("<div class='no-comments'>", "</div>"), ("<div id='page' class='with-widgets'>", "</div>"), ("<div class='withoutSidebar'>", "</div>")]:
+        assert html.main_text(before + body + after) == want, before
+    for tag in ("article", "main", "div role=main", "div itemprop='articleBody'"):
+        article = f"<{tag}>{body}</{tag.split()[0]}>"
+        for before, after in [("<div id='page' class='with-widgets cookie-bar'>", "<p>Cookies</p></div>"), ("<form><input>", "</form>"), ("<form><div class='search'><b>Find</b></div><nav>Menu</nav>", "<footer>end</footer></form>"), ("<div class=sidebar>Left", ""), ("<nav>Menu", "")]:
+            assert html.main_text(before + article + after) == want, (before, tag)
+    main = f"<article>{body}</article>"
+    for around in ("<section class='comments'>{}</section>", "<aside>{}</aside>", "<div class='related'>{}</div>", "<footer>{}</footer>"):
+        assert html.main_text(main + around.format("<article><p>not this one</p></article>")) == want, around
+    assert html.main_text("<form><nav>Menu</nav><p>text without an article</p></form>") == "text without an article"
+    assert html.main_text("<form class='comment-form'><nav>Menu</nav><p>Say</p></form>") == "" and html.main_text("<article><p>a</p><form><footer>x</footer><p>Say</p></form></article>") == "a"
+    assert html.main_text("<form><p>Your name</p></form><p>text</p>") == "text"
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", ""), (3, "w", "<p>caf\u00e9 𝒳")]
     got = html.extract(page_rows(spark, rows)).collect()

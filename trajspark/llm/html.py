@@ -31,12 +31,25 @@ HINTS = frozenset("ad ads advert adverts advertisement advertising alert alertdi
                   "recommended related respond responses reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar topbar tracking widget widgets".split())
 WHOLE = frozenset("html body article main".split())
 STEMS = tuple("adbanner adbox adsense adslot adunit advert breadcrumb commentarea commentbox commentform commentlist commentsection commentthread cookie footer mainnav newsletter sidebar sitenav sponsor topnav".split())
+# A name that begins so says what a page has or lacks, not what its element is.
+QUALIFIED = re.compile(r"(?<![\w-])(?:has|have|no|with|without)(?:[-_]+\w[\w-]*|(?=[A-Z])\w[\w-]*)")
 # With these, a name that says header means the head of the article.
 OWN = frozenset("article post entry story content main body".split())
+# An article in these is none of its own; one after another article is not either, in wrappers whose names have these words.
+HOLDS = frozenset("aside footer dialog".split())
+BESIDE = frozenset("comment comments complementary disqus outbrain recommended related replies reply respond responses sidebar sponsored taboola widget widgets".split())
+# A form with these in it is around the page.
+PAGE = frozenset("nav header footer".split())
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*?(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 
+def names_of(attributes: str) -> Iterator[list[str]]:
+    """The words of each class, id and role name, without those that a has, no or with qualifies."""
+    for value in NAMED.findall(attributes):
+        yield re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", QUALIFIED.sub("", value)).lower())
+
+
 def kind_of(name: str, attributes: str, inside: bool) -> int:
     """1: clutter, 2: article, 0: neither; ``inside``: in an article already."""
     if name in CLUTTER:
@@ -44,8 +57,7 @@ def kind_of(name: str, attributes: str, inside: bool) -> int:
     if name == "header":
         return 0 if inside else 1
     if name not in WHOLE and attributes:
-        for value in NAMED.findall(attributes):
-            words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
+        for words in names_of(attributes):
             hints = {w for w in words if w in HINTS or w.startswith(STEMS)}
             if hints - {"header"} or hints and not (inside or re.match("h[1-6]$", name) or OWN.intersection(words)):
                 return 1
@@ -55,10 +67,15 @@ def kind_of(name: str, attributes: str, inside: bool) -> int:
 
 
 def text_blocks(page: str) -> list[tuple[str, list[float]]]:
-    """The text blocks of a page in order, with words, link density, in clutter, in article."""
+    """The text blocks of a page in order, with words, link density, in clutter, in article.
+
+    An article that opens in clutter ends the mark for its own content, but for those in asides and the like, comments and teasers. A form
+    whose names do not say clutter, with an article or the navigation, header or footer of the page in it, is none.
+    """
     out: list[tuple[str, list[float]]] = []
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int, int, bool, int]] = []  # name, kind, marks around an article that ended them, holds articles, blocks before (of a form that may be around the page)
     clutter = article = links = at = 0
+    seen = False  # an article
     parts: list[str] = []
     linked: list[str] = []
 
@@ -68,14 +85,14 @@ def text_blocks(page: str) -> list[tuple[str, list[float]]]:
             if text:
                 words = len(text.split())
                 share = len(" ".join(unescape("".join(linked)).split()).split()) / words
-                out.append((text, [float(words), min(1.0, share), float(clutter > 0), float(article > 0)]))
+                out.append((text, [float(words), min(1.0, share), float(clutter), float(article > 0)]))
             parts.clear()
             linked.clear()
 
     def leave() -> str:
         nonlocal clutter, article, links
-        name, kind = stack.pop()
-        clutter -= kind == 1
+        name, kind, marks, *_ = stack.pop()
+        clutter += marks - (kind == 1)
         article -= kind == 2
         links -= name == "a"
         return name
@@ -95,7 +112,7 @@ def text_blocks(page: str) -> list[tuple[str, list[float]]]:
         if m[2]:
             if name in BLOCKS:
                 flush()
-            if any(n == name for n, _ in stack):
+            if any(x[0] == name for x in stack):
                 while leave() != name:
                     pass
             continue
@@ -106,13 +123,29 @@ def text_blocks(page: str) -> list[tuple[str, list[float]]]:
             flush()
             while stack and (stack[-1][0] == "p" or name == stack[-1][0] and name in ("li", "dd", "dt", "td", "th", "tr", "option")):
                 leave()
-            if name not in ("p",) and stack and stack[-1][0] in ("b", "i", "em", "strong", "span", "font", "u") and any(n == "p" for n, _ in stack):
+            if name not in ("p",) and stack and stack[-1][0] in ("b", "i", "em", "strong", "span", "font", "u") and any(x[0] == "p" for x in stack):
                 while leave() != "p":
                     pass
         if name in VOID or m[4].endswith("/"):
             continue
         kind = kind_of(name, m[4], article > 0)
-        stack.append((name, kind))
+        if clutter and (kind == 2 or name in PAGE and not article):
+            for i, (n, k, _, _, before) in enumerate(stack):
+                if k == 1 and before >= 0:
+                    stack[i] = (n, 0, 0, False, -1)
+                    clutter -= 1
+                    for _, f in out[before:]:
+                        f[2] -= 1
+        marks, holds = 0, False
+        if kind == 2:
+            own = set().union(*names_of(m[4])) if name == "article" else set()
+            inner = next((i for i in range(len(stack), 0, -1) if stack[i - 1][2]), 0)
+            if clutter and (name != "article" or (own & OWN or not own & HINTS) and not any(x[3] for x in stack[inner:])):
+                marks, clutter = clutter, 0
+            seen = seen or clutter == 0 and (name == "article" or "articleBody" in m[4])
+        elif kind == 1:
+            holds = name in HOLDS or seen and not BESIDE.isdisjoint(set().union(*names_of(m[4])))
+        stack.append((name, kind, marks, holds, len(out) if name == "form" and kind_of("div", m[4], article > 0) != 1 else -1))
         clutter += kind == 1
         article += kind == 2
         links += name == "a"
@@ -120,7 +153,7 @@ def text_blocks(page: str) -> list[tuple[str, list[float]]]:
         rest = page[at:]
         add(rest if not re.match(r"<[/a-zA-Z!?]", rest) else "")
     flush()
-    return out
+    return [(text, [*f[:2], float(f[2] > 0), f[3]]) for text, f in out]
 
 
 def features(blocks: list[tuple[str, list[float]]]) -> np.ndarray:
