@@ -175,7 +175,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in (text.as_py() or "").lower().split():
                 w = w.strip(MARKS)
                 counts[""] += 1
-                if len(w) >= 4:
+                if w:
                     counts[w] = counts.get(w, 0) + 1
                     for k in STEMS:
                         if k < len(w):
@@ -186,18 +186,22 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lexicon(sample: DataFrame, terms: int = TERMS) -> dict[str, float]:
     """Terms that are much more frequent in toxic texts, with the logarithm of how much more; counted over all texts of the sample.
 
-    A term is in four toxic texts and 2% of them or more and eight times as frequent there, counts smoothed. A stem is left out where one longer term has
+    A term is in four toxic texts or more and eight times as frequent there, counts smoothed. One in less than 2% of the toxic texts is asked for
+    significance besides: by Chernoff's bound fewer than one such term is expected by chance among all that are counted. A stem is left out where one longer term has
     most of its occurrences, and so is a longer stem that a chosen one covers with about the same ratio. At most ``terms`` are chosen, by support and ratio, and
     whole words that their stems cover come with them, as only whole words are met misspelled.
     """
     counts = sample.mapInArrow(_terms, "term string, toxic int, n long").groupBy("term").agg(
-        F.sum(F.col("toxic").cast("long")).alias("docs"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("q"))
+        F.sum(F.col("toxic").cast("long")).alias("docs"), F.sum(1 - F.col("toxic").cast("long")).alias("clean"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("q"))
     counts = cut(counts.where("term = '' or docs >= 4"))
     total = counts.where("term = ''").first()
     if total is None or not total.p or not total.q:
         return {}
     ratio = F.log((F.col("p") + 0.5) / F.lit(total.p + 1.0)) - F.log((F.col("q") + 0.5) / F.lit(total.q + 1.0))
-    found = counts.where("term <> ''").withColumn("r", ratio).where((F.col("r") >= TRUSTED) & (F.col("docs") >= 0.02 * total.docs)).orderBy(F.desc(F.col("docs") * F.col("r")), "term").limit(4 * terms).collect()
+    share, part = total.docs / (total.docs + total.clean), F.col("docs") / (F.col("docs") + F.col("clean"))
+    surprise = F.col("docs") * F.log(part / F.lit(share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - part) / F.lit(1 - share))).otherwise(0.0)
+    told_apart = (F.col("docs") >= 0.02 * total.docs) | (part > share) & (surprise > math.log(counts.count()))
+    found = counts.where("term <> ''").withColumn("r", ratio).where((F.col("r") >= TRUSTED) & told_apart).orderBy(F.desc(F.col("docs") * F.col("r")), "term").limit(4 * terms).collect()
     ratios, support = {r.term: round(float(r.r), 6) for r in found}, {r.term: r.p for r in found}
 
     def heads(term: str) -> list[str]:
