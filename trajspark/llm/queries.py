@@ -139,3 +139,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     from trajspark.llm.html import extract
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op12_sentencepiece")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded texts of all documents."""
+    from trajspark.llm.pieces import piece_digests
+    return piece_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, after the planted repetitions."""
+    from trajspark.llm.runs import run_digests
+    return run_digests(table(spark, sf_dir, "documents"))
