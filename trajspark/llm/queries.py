@@ -153,3 +153,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in all documents, after the planted repetitions."""
     from trajspark.llm.runs import run_digests
     return run_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of all conversations after the damage, and their cheapest repair."""
+    from trajspark.llm.conversations import repair_digests
+    return repair_digests(table(spark, sf_dir, "conversations"))
