@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -18,10 +19,10 @@ SPACE = "▁"
 #: Units (a word with the blanks before it) longer than this are encoded anew each time.
 LONG = 64
 #: Units and pairs of pieces that a worker remembers; when there are more it starts afresh.
-UNITS, PAIRS = 1 << 18, 1 << 20
+UNITS, PAIRS = 1 << 19, 1 << 20
 #: The last token of a prefix that ends in a character no piece has.
 UNKNOWN = -1
-_models: dict[str, Pieces] = {}
+_models: dict[str, Coder] = {}
 
 
 class Pieces:
@@ -55,12 +56,14 @@ class Pieces:
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         #: No piece has a blank after another character, so nothing is merged across such a place; nor across a line feed where no piece has one.
+        self.by_line = False
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             self.units = re.compile(r"(?s).+")
         elif any("\n" in p for p in self.id):
             self.units = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         else:
-            self.units = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+            self.units, self.by_line = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n"), True
+        self.pairs = {p[i:i + 2] for p in self.id for i in range(len(p) - 1)}
         self._halves: dict[str, tuple[str, str] | None] = {}
         self._spines: dict[tuple[int, bool], list[tuple[str, float]]] = {}
         self._pairs: dict[int, bool] = {}
@@ -192,66 +195,90 @@ class Pieces:
 
 
 class _Units(dict):
-    """Decimal ids of a unit, each with a comma before it."""
+    """Ids of units as little-endian 32-bit numbers. ``word``: keys are words that follow a blank, or a line feed and the word after it, else escaped text."""
 
-    def __init__(self, pieces: Pieces):
+    def __init__(self, pieces: Pieces, word: bool):
         super().__init__()
-        self.pieces = pieces
+        self.pieces, self.word = pieces, word
 
     def __missing__(self, unit: str) -> bytes:
-        out = "".join(f",{i}" for i in self.pieces.unit_ids(unit)).encode()
+        text = SPACE + unit if self.word and unit[0] != "\n" else unit
+        k, least = len(unit), max(1, len(unit) - 4)
+        while k > least and unit[k - 2:k] not in self.pieces.pairs:  # no piece has the last two characters side by side: marks behind a word
+            k -= 1
+        out = self.get(unit[:k]) if k < len(unit) else None
+        cut = len(text) - len(unit) + k
+        if out is None:
+            out = np.array(self.pieces.unit_ids(text[:cut]), "<u4").tobytes()
+            self.keep(unit[:k], out)
+        if k < len(unit):
+            out += np.array(self.pieces.unit_ids(text[cut:]), "<u4").tobytes()
+            self.keep(unit, out)
+        return out
+
+    def keep(self, unit: str, ids: bytes) -> None:
         if len(unit) <= LONG:
             if len(self) >= UNITS:
                 self.clear()
-            self[unit] = out
-        return out
+            self[unit] = ids
 
 
-class _Texts(dict):
-    """UTF-8 text of such ids."""
+class _Strings:
+    """A byte string for every id, to put together those of many ids at once."""
 
-    def __init__(self, pieces: Pieces):
-        super().__init__()
-        self.pieces = pieces
+    def __init__(self, of_id: list[bytes]):
+        self.data = np.frombuffer(b"".join(of_id), np.uint8)
+        self.size = np.array([len(x) for x in of_id])
+        self.start = np.concatenate(([0], np.cumsum(self.size)[:-1]))
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        size = self.size[ids]
+        to = np.cumsum(size)
+        return self.data[np.repeat(self.start[ids] - to + size, size) + np.arange(to[-1] if len(to) else 0)]
 
-    def __missing__(self, ids: bytes) -> bytes:
-        out = self.pieces.raw([int(i) for i in ids[1:].split(b",")]).encode()
-        if len(ids) <= 6 * LONG:
-            if len(self) >= UNITS:
-                self.clear()
-            self[ids] = out
-        return out
 
+class Coder:
+    """A model with what a worker remembers of it."""
 
-def model(vocabulary: str) -> tuple[Pieces, _Units, _Texts]:
-    """The model of a file of ``public_tokenizers``, once per worker, with what it remembers."""
+    def __init__(self, path: str):
+        self.pieces = Pieces(path)
+        self.words, self.units = _Units(self.pieces, True), _Units(self.pieces, False)
+        self.decimal = _Strings([b"%d," % i for i in range(self.pieces.size)])
+        self.plain = _Strings([bytes([self.pieces.of_byte[i]]) if i in self.pieces.of_byte else p.replace(SPACE, " ").encode() if i in self.pieces.normal else b"" for i, p in enumerate(self.pieces.piece)])
+
+    def parts(self, text: str) -> tuple[list[str], _Units]:
+        """Units of a text and what knows their ids. Where single blanks part words, cutting at blanks does what the pattern does."""
+        if self.pieces.by_line and SPACE not in text and "  " not in text and " \n" not in text and text[:1] not in ("", " ", "\n") and text[-1] != " ":
+            return text.replace("\n", " \n").split(" "), self.words
+        return self.pieces.units.findall(self.pieces.escaped(text)), self.units
+
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the text decoded from them."""
+        parts, known = self.parts(text)
+        count, listed, decoded = 0, sha256(), sha256()
+        for k in range(0, len(parts), 1 << 14):
+            ids = np.frombuffer(b"".join(map(known.__getitem__, parts[k:k + (1 << 14)])), "<u4")
+            if k:
+                listed.update(b",")
+            listed.update(self.decimal.joined(ids)[:-1])
+            decoded.update(self.plain.joined(ids)[not k:])  # the first piece begins with the blank that encoding put there
+            count += len(ids)
+        return count, listed.hexdigest(), decoded.hexdigest()
+
+
+def coder(vocabulary: str) -> Coder:
+    """The model of a file of ``public_tokenizers``, once per worker."""
     if vocabulary not in _models:
         import public_tokenizers
-        pieces = Pieces(public_tokenizers.path(vocabulary))
-        _models[vocabulary] = pieces, _Units(pieces), _Texts(pieces)
+        _models[vocabulary] = Coder(public_tokenizers.path(vocabulary))
     return _models[vocabulary]
 
 
-def digests(text: str, vocabulary: str) -> tuple[int, str, str]:
-    """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the text decoded from them."""
-    pieces, units, texts = model(vocabulary)
-    count, ids, decoded, first = 0, sha256(), sha256(), True
-    parts = list(map(units.__getitem__, pieces.units.findall(pieces.escaped(text))))
-    for k in range(0, len(parts), 1 << 16):
-        some = parts[k:k + (1 << 16)]
-        listed, plain = b"".join(some), b"".join(map(texts.__getitem__, some))
-        count += listed.count(b",")
-        ids.update(listed[first:])
-        decoded.update(plain[first:])  # the first unit begins with the blank that encoding put there
-        first = False
-    return count, ids.hexdigest(), decoded.hexdigest()
-
-
 def _digested(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             column = pc.fill_null(b.column("text").cast(pa.string()), "")
-            rows = [digests(t.as_py(), vocabulary) for t in column]
+            rows = [coder(vocabulary).digests(t.as_py()) for t in column]
             n, ids, decoded = zip(*rows) if rows else ((), (), ())
             yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                                   ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -260,7 +287,7 @@ def _digested(vocabulary: str):
 
 def _encoded(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = model(vocabulary)[0]
+        pieces = coder(vocabulary).pieces
         for b in batches:
             ids = [pieces.encode(t.as_py() or "") for t in b.column("text")]
             yield pa.record_batch([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -269,7 +296,7 @@ def _encoded(vocabulary: str):
 
 def _decoded(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = model(vocabulary)[0]
+        pieces = coder(vocabulary).pieces
         for b in batches:
             text = [pieces.decode(i.as_py() or []) for i in b.column("ids")]
             yield pa.record_batch([b.column("doc_id"), pa.array(text, pa.string())], ["doc_id", "text"])
