@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from fractions import Fraction
 from hashlib import sha256
+from zlib import crc32
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, id string, th int, rank double, text_ string, hits array<int>, node long, _doc long, score double"
@@ -90,3 +91,84 @@ def base_counts(text):
     covered = {j for i in range(len(w) - 4) if windows[tuple(w[i:i + 5])] > 1 for j in range(i, i + 5)}
     n, rep = len(w), len(covered)
     return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), rep, n < 10 or 100 * rep > 20 * n
+
+
+def damage(rows):
+    """Conversations of (conv_id, turn, role, text) after the planted faults, by conv_id."""
+    out = {}
+    for conv, turn, role, text in rows:
+        k = crc32(":".join(" " if v is None else str(v) for v in (conv, turn)).encode()) % 20
+        own = out.setdefault(conv, [])
+        role, text = ("user" if k == 4 else " " if role is None else role), " " if text is None else text
+        text = "" if k == 1 else re.sub("[.!?]", "", text) if k == 2 else text
+        own += [(turn, role, text)] * (0 if k == 0 else 2 if k == 3 else 1)
+    return out
+
+
+def repair(rows):
+    """Counts, cheapest cost, audit and digest of a conversation of (turn, role, text): the best (cost, audit) of every state after every row."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+    turns = [r[0] for r in rows if r[0] is not None]
+    seen, faults = set(), []
+    for _, role, text in rows:
+        solid = re.findall(r"[^\x20\x09-\x0D]", text)
+        faults.append("blank" if not solid else "duplicate" if (role, text) in seen else "truncated" if solid[-1] not in ".!?" else "")
+        seen.add((role, text))
+    after, name = {"": "u", "s": "u", "u": "a", "a": "u"}, {"u": "user", "a": "assistant"}
+
+    def relax(states, k, v):
+        if k not in states or v[:2] < states[k][:2]:
+            states[k] = v
+
+    def inserted(states):
+        for _ in range(4):
+            for k, (c, a, o) in list(states.items()):
+                relax(states, after[k], (c + 2, a + "I", (*o, (name[after[k]], ""))))
+        return states
+
+    best = {"": (0, "", ())}
+    for (_, role, text), fault in zip(rows, faults):
+        new = {}
+        for k, (c, a, o) in inserted(best).items():
+            relax(new, k, (c + 3, a + "D", o))
+            if fault not in ("blank", "duplicate"):
+                c += fault == "truncated"
+                if role[:1] == after[k] or (k == "" and role[:1] == "s"):
+                    relax(new, role[:1], (c, a + "K", (*o, (role, text))))
+                relax(new, after[k], (c + 2, a + "R", (*o, (name[after[k]], text))))
+        best = new
+    cost, audit, out = min((v for k, v in inserted(best).items() if k in ("", "a")), key=lambda v: v[:2])
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    return (max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit,
+            sha256("\n".join(f"{r}:{t}" for r, t in out).encode()).hexdigest())
+
+
+def runs(w):
+    """(start, length, period) of the runs of a list of words, every lag over all words."""
+    seen = {}
+    for q in range(1, len(w) // 4 + 1):
+        i = 0
+        while i + q < len(w):
+            start = i
+            while i + q < len(w) and w[i] == w[i + q]:
+                i += 1
+            if i + q - start >= max(6, 4 * q):
+                seen.setdefault((start, i + q), q)
+            i += i == start
+    return sorted((s, e - s, q) for (s, e), q in seen.items())
+
+
+def run_digest(doc_id, text):
+    """The row of the runs query for a document."""
+    w = words(text)
+    n, h = len(w), 1 if doc_id is None else crc32(str(doc_id).encode())
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    found = runs(w)
+    gone = {i for s, m, q in found for i in range(s + q, s + m)}
+    s, m, q = min(found, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
+    return (doc_id, len(found), s, m, q, None if s is None else 1000 * m // q, sha256("".join(f"{a},{b},{c}\n" for a, b, c in found).encode()).hexdigest(),
+            sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest())
