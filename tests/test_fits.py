@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from trajspark.operators import fits
+from trajspark.operators import adaptive, fits
 
 
 def _curve(spark):
@@ -19,19 +19,89 @@ MOMENTS = {"latent": (np.zeros(4), np.ones(4)), "state": (np.zeros(4), np.ones(4
 
 @pytest.mark.parametrize("method", ["pchip", "cubic"])
 def test_interpolating_fit(spark, method):
-    for r in fits.fit_interpolating(_curve(spark), MOMENTS, fits.Limits(0.05, 0.05, {"state": 0.05}), method).collect():
+    for r in fits.fit_interpolating(_curve(spark), MOMENTS, adaptive.Limits(0.05, 0.05, {"state": 0.05}), method).collect():
         assert r.status == "epsilon_met" and r.max_severity <= 1 and r.knots <= 40
         assert 0 in r.knot_frames and 39 in r.knot_frames
 
 
 def test_bspline_fit(spark):
-    for r in fits.fit_bspline(_curve(spark), MOMENTS, fits.Limits(0.01, 0.05, {"state": 0.05}), initial=0).collect():
-        assert r.satisfied and len(r.knot_u) == len(r.coefficients) + 4
+    for r in adaptive.fit_bspline(_curve(spark), MOMENTS, adaptive.Limits(0.01, 0.05, {"state": 0.05}), initial=0).collect():
+        assert r.satisfied and len(r.knot_u) == len(r.coefficients["latent"]) + 4 == len(r.coefficients["state"]) + 4
         assert min(r.knot_u) == 0.0 and max(r.knot_u) == 1.0
-    stopped = fits.fit_bspline(_curve(spark), MOMENTS, fits.Limits(1e-9, 1e-9, {"state": 1e-9}), initial=2, most=3).collect()
+    stopped = adaptive.fit_bspline(_curve(spark), MOMENTS, adaptive.Limits(1e-9, 1e-9, {"state": 1e-9}), initial=2, most=3).collect()
     assert {r.status for r in stopped} == {"maximum_internal_knots_reached"} and {r.knots for r in stopped} == {3}
 
 
+def _dense_fit(t, u, latent, state, limits, degree=3, initial=8, most=256, spacing=1, end_weight=1000.0):
+    """The same greedy fit with dense least squares over all frames in every round."""
+    n, y = len(u), np.concatenate([latent, state], axis=1)
+    limit = min(most, max(0, n - degree - 1))
+    taken, w = adaptive.even_indices(n, min(initial, limit)), np.ones(n)
+    w[[0, -1]] = end_weight
+    rounds = 0
+    while True:
+        a = fits.basis_matrix(np.concatenate([np.full(degree + 1, u[0]), u[taken], np.full(degree + 1, u[-1])]), u, degree)
+        c = np.linalg.lstsq(a * w[:, None], y * w[:, None], rcond=None)[0]
+        gap, m = a @ c - y, latent.shape[1]
+        back = latent + gap[:, :m]
+        cosine = 1 - np.sum(latent * back, axis=1) / (np.linalg.norm(latent, axis=1) * np.linalg.norm(back, axis=1))
+        severity = np.max([np.sqrt((gap[:, :m] ** 2).mean(axis=1)) / limits.latent, cosine / limits.cosine, np.sqrt((gap[:, m:] ** 2).mean(axis=1)) / limits.channels["state"]], axis=0)
+        free = [f for f in range(1, n - 1) if all(abs(f - k) >= spacing for k in taken)]
+        if severity.max() <= 1:
+            return "epsilon_met", rounds, taken, severity, c
+        if len(taken) >= limit:
+            return "maximum_internal_knots_reached", rounds, taken, severity, c
+        if not free:
+            return "no_valid_knot_candidate", rounds, taken, severity, c
+        taken, rounds = sorted([*taken, max(free, key=lambda f: (severity[f], f))]), rounds + 1
+
+
+@pytest.mark.parametrize("size", [1024, 16])
+def test_bspline_fit_in_blocks_against_dense_least_squares(spark, size):
+    rng, rows, made = np.random.default_rng(7), [], {}
+    for e, n in enumerate((75, 40, 2, 3, 9, 16, 17)):
+        latent, state = np.cumsum(rng.normal(size=(n, 5)), axis=0), rng.normal(size=(n, 2))
+        t = np.cumsum(rng.random(n) + 0.1)
+        u = (t - t[0]) / (t[-1] - t[0])
+        made[e] = t, u, latent, state
+        rows += [(e, i, float(t[i]), float(u[i]), latent[i].tolist(), state[i].tolist()) for i in range(n)]
+    df = spark.createDataFrame(rows, "episode long, frame long, t double, u double, latent array<double>, state array<double>")
+    limits, moments = adaptive.Limits(0.5, 0.3, {"state": 1.2}), {"latent": (np.zeros(5), np.ones(5)), "state": (np.zeros(2), np.ones(2))}
+    for spacing in (1, 3) if size > 16 else (3,):
+        got = adaptive.fit_bspline(df, moments, limits, spacing=spacing, initial=3, size=size)
+        got = spark.createDataFrame(got.collect(), got.schema)
+        errors = {}
+        for r in adaptive.fit_errors(df, got, moments, limits, size).collect():
+            errors.setdefault(r.episode, {})[r.frame] = r.severity
+        assert got.count() == len(made)
+        for r in got.collect():
+            t, u, latent, state = made[r.episode]
+            if len(u) < 5:
+                continue
+            status, rounds, taken, severity, c = _dense_fit(t, u, latent, state, limits, spacing=spacing, initial=3)
+            assert (r.status, r.iterations, list(r.knot_frames)) == (status, rounds, taken)
+            assert np.allclose(np.concatenate([r.coefficients["latent"], r.coefficients["state"]], axis=1), c, atol=1e-6)
+            assert np.allclose([errors[r.episode][i] for i in range(len(u))], severity, atol=1e-6) and abs(r.max_severity - severity.max()) < 1e-6
+        left = adaptive.normal_residuals(df, got, moments, limits, adaptive.Rule(), size)
+        assert left.selectExpr("max(abs(residual))").first()[0] < 1e-4
+
+
+def test_banded_elimination_and_a_singular_system():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 32, 33, 150):
+        a = np.zeros((n, n))
+        for _ in range(3 * n):
+            i = rng.integers(0, max(1, n - 3))
+            v = rng.normal(size=min(4, n))
+            a[i:i + len(v), i:i + len(v)] += np.outer(v, v)
+        a += np.eye(n)
+        bands = np.array([[a[i, i + d] if i + d < n else 0.0 for d in range(4)] for i in range(n)])
+        b = rng.normal(size=(n, 3))
+        assert np.allclose(adaptive.solve_banded(bands, b), np.linalg.solve(a, b))
+    with pytest.raises(np.linalg.LinAlgError):
+        adaptive.solve_banded(np.array([[1.0, 2.0], [1.0, 0.0]]), np.ones((2, 1)))
+
+
 def test_basis_sums_to_one_and_matches_differences():
     t = np.array([0, 0, 0, 0, .2, .5, .9, 1, 1, 1, 1.0])
     u = np.linspace(0, 1, 101)
@@ -78,12 +148,14 @@ def test_interlacing_is_full_rank():
         inner = u[0] + (u[-1] - u[0]) * np.sort(rng.random(int(rng.integers(0, n - 3))))
         t = np.concatenate([np.full(4, u[0]), inner, np.full(4, u[-1])])
         full = len(t) - 4 <= n and np.linalg.matrix_rank(fits.basis_matrix(t, u, 3)) == len(t) - 4
-        assert fits.interlaced(t, u, 3) == full
+        assert adaptive.interlaced(t, np.searchsorted(u, t, "right"), np.searchsorted(u, t, "left"), n, 3) == full
         seen.add(bool(full))
     assert seen == {True, False}
 
 
-def test_next_knot_takes_the_last_of_equals():
+def test_worst_frame_takes_the_last_of_equals_away_from_knots():
     severity = np.array([9.0, 1, 5, 2, 5, 3, 9])
-    assert fits.next_knot(severity, [], 1) == 4 and fits.next_knot(severity, [4], 2) == 2 and fits.next_knot(severity, [2, 4], 3) is None
-    assert fits.even_indices(11, 3) == [3, 5, 7] and fits.even_indices(2, 3) == [] and fits.even_indices(5, 9) == [1, 2]
+    pick = lambda taken, spacing: adaptive.worst(severity, adaptive.free_frames(0, 7, 7, taken, spacing))
+    assert pick([], 1) == 4 and pick([4], 2) == 2 and pick([2, 4], 3) is None
+    assert list(adaptive.free_frames(4, 3, 7, [3], 2)) == [False, True, False]
+    assert adaptive.even_indices(11, 3) == [3, 5, 7] and adaptive.even_indices(2, 3) == [] and adaptive.even_indices(5, 9) == [1, 2]

@@ -1,4 +1,4 @@
-"""Adaptive spline fits per episode, exact restriction of B-splines and control-point projection.
+"""Interpolating spline fits per episode, exact restriction of B-splines and control-point projection.
 
 The numerical kernels are small numpy functions called once per group. Episodes are grouped by key; one group is one
 episode (or one interval), so the work spreads over the cluster by episode. Everything before and after the fit (moments,
@@ -7,12 +7,11 @@ errors per frame, roll-ups) is ordinary DataFrame work.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from trajspark.operators.adaptive import Limits
 from trajspark.session import spread
 
 EPSILON = 1e-8
@@ -21,14 +20,6 @@ FITS = ("episode LONG, status STRING, satisfied BOOLEAN, iterations LONG, frames
         "knot_frames ARRAY<LONG>, knot_u ARRAY<DOUBLE>, coefficients ARRAY<ARRAY<DOUBLE>>, severity ARRAY<DOUBLE>")
 
 
-@dataclass(frozen=True)
-class Limits:
-    """Error limits of a fit; ``state`` (and any further channel) is measured like the latent vector."""
-    latent: float = 0.2
-    cosine: float = 0.1
-    channels: dict[str, float] = field(default_factory=lambda: {"state": 1.0})
-
-
 def basis_matrix(knots: np.ndarray, u: np.ndarray, degree: int, order: int = 0) -> np.ndarray:
     """Values (or derivatives of ``order``) of all B-splines at u; the right end belongs to the last positive span."""
     t = np.asarray(knots, dtype=np.float64)
@@ -47,30 +38,6 @@ def basis_matrix(knots: np.ndarray, u: np.ndarray, degree: int, order: int = 0)
     return low
 
 
-def clamped(u: np.ndarray, inner: list[int], degree: int) -> np.ndarray:
-    return np.concatenate([np.full(degree + 1, u[0]), u[inner], np.full(degree + 1, u[-1])])
-
-
-def interlaced(t: np.ndarray, u: np.ndarray, degree: int) -> bool:
-    """Whether every basis function has a sample of its own inside its support, in order: then the fit has one solution."""
-    count, i = len(t) - degree - 1, 0
-    for j in range(count):
-        while i < len(u) and not (u[i] > t[j] or j == 0 and u[i] == t[0]):
-            i += 1
-        if i == len(u) or not (u[i] < t[j + degree + 1] or j == count - 1 and u[i] == t[-1]):
-            return False
-        i += 1
-    return True
-
-
-def least_squares(t: np.ndarray, u: np.ndarray, y: np.ndarray, degree: int, end_weight: float) -> np.ndarray:
-    """Control values of the weighted least-squares spline on the knots ``t``."""
-    a = basis_matrix(t, u, degree)
-    w = np.ones(len(u))
-    w[[0, -1]] = end_weight
-    return np.linalg.lstsq(a * w[:, None], y * w[:, None], rcond=None)[0]
-
-
 def pchip_slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     h, m = np.diff(x)[:, None], np.diff(y, axis=0) / np.diff(x)[:, None]
     if len(x) == 2:
@@ -191,56 +158,6 @@ def fit_interpolating(frames: DataFrame, moments: dict, limits: Limits, method:
     return spread(frames, "episode").groupBy("episode").applyInPandas(run, FITS)
 
 
-def even_indices(n: int, count: int) -> list[int]:
-    """``count`` inner frames that part the frames 1 to n - 2 into equal shares, positions rounded down."""
-    return sorted({1 + i * (n - 3) // (count + 1) for i in range(1, count + 1)}) if n > 2 else []
-
-
-def next_knot(severity: np.ndarray, taken: list[int], spacing: int) -> int | None:
-    """The worst inner frame at least ``spacing`` away from all knots, the last one of equals; None when there is none."""
-    frames = np.arange(1, len(severity) - 1)
-    near = np.min(np.abs(frames[:, None] - np.array(taken)[None, :]), axis=1) if taken else np.full(len(frames), len(severity))
-    free = frames[near >= spacing]
-    return int(free[len(free) - 1 - np.argmax(severity[free][::-1])]) if len(free) else None
-
-
-def fit_bspline(frames: DataFrame, moments: dict, limits: Limits, degree: int = 3, initial: int = 8, most: int = 256,
-                spacing: int = 1, end_weight: float = 1000.0) -> DataFrame:
-    """Clamped least-squares B-splines; each round adds one inner knot at the worst admissible frame."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ep = _Episode(pdf, limits, moments)
-        n = len(ep.u)
-        k = min(degree, n - 1)
-        limit = min(most, max(0, n - k - 1))
-        taken, kept, status, rounds = even_indices(n, min(initial, limit)), None, None, 0
-        while status is None:
-            t = clamped(ep.u, taken, k)
-            if not interlaced(t, ep.u, k):
-                if kept is None and taken:
-                    taken = taken[:-1]  # a start that the samples do not carry
-                    continue
-                if kept is None:
-                    raise np.linalg.LinAlgError("the samples carry no spline of this degree")
-                status = "fit_failed_after_knot_removal"
-                break
-            fitted = {c: least_squares(t, ep.u, y, k, end_weight) for c, y in ep.values.items()}
-            rebuilt = {c: basis_matrix(t, ep.u, k) @ coef for c, coef in fitted.items()}
-            severity, maxima = ep.errors(rebuilt)
-            kept = (taken, t, fitted, severity, maxima, rebuilt, ep.limiting)
-            if severity.max() <= 1.0:
-                status = "epsilon_met"
-            elif len(taken) >= limit:
-                status = "maximum_internal_knots_reached"
-            elif (at := next_knot(severity, taken, spacing)) is None:
-                status = "no_valid_knot_candidate"
-            else:
-                taken, rounds = sorted([*taken, at]), rounds + 1
-        inner, t, fitted, severity, maxima, rebuilt, ep.limiting = kept
-        return ep.row(status, rounds, len(inner), severity, maxima, rebuilt, inner, t, fitted["latent"])
-
-    return spread(frames, "episode").groupBy("episode").applyInPandas(run, FITS)
-
-
 def blossom(t: np.ndarray, c: np.ndarray, degree: int, args: np.ndarray, span: np.ndarray) -> np.ndarray:
     """Polar forms: row m is that of the piece on [t_span[m], t_span[m]+1) at the ``degree`` arguments args[m]."""
     d = c[span[:, None] - degree + np.arange(degree + 1)]

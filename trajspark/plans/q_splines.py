@@ -6,11 +6,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from trajspark.functions import vectors as V
-from trajspark.operators import fits, knots as K, windows as Wn
+from trajspark.operators import adaptive, fits, knots as K, windows as Wn
 from trajspark.operators.aggregates import vector_moments
 from trajspark.plans import views as v
 from trajspark.plans.q_joins import intervals
 from trajspark.plans.registry import query
+from trajspark.session import cut_lineage
 
 EP = v.EPISODE
 
@@ -34,17 +35,44 @@ def moments_of(frames, columns):
 @query("h4_fit_interpolating_spline")
 def h4(spark, sf):
     f = fit_frames(spark, sf)
-    out = fits.fit_interpolating(f, moments_of(f, ["latent", "state"]), fits.Limits(latent=0.6, cosine=0.2, channels={"state": 1.0}))
+    out = fits.fit_interpolating(f, moments_of(f, ["latent", "state"]), adaptive.Limits(latent=0.6, cosine=0.2, channels={"state": 1.0}))
     return v.rounded(out.select("episode", "status", "satisfied", "iterations", "frames", "knots", "max_severity", "limiting_error", "out_of_range_percent"))
 
 
+BSPLINE = adaptive.Limits(latent=0.6, cosine=0.3, channels={"state": 1.0})
+
+
+def bspline_fits(spark, sf):
+    f = fit_frames(spark, sf)
+    m = moments_of(f, BSPLINE.names)
+    return f, m, adaptive.fit_bspline(f, m, BSPLINE)
+
+
 @query("h5_fit_bspline")
 def h5(spark, sf):
-    f = fit_frames(spark, sf)
-    out = fits.fit_bspline(f, moments_of(f, ["latent", "state"]), fits.Limits(latent=0.6, cosine=0.3, channels={"state": 1.0}), spacing=1)
+    _, _, out = bspline_fits(spark, sf)
     return v.rounded(out.select("episode", "status", "satisfied", "iterations", "frames", "knots", "max_severity", "limiting_error", "out_of_range_percent"))
 
 
+@query("h5_bspline_invariants", """
+SELECT label::BIGINT AS episode, count(*) AS frames, true AS ends_met, true AS knots_increase, true AS limits_decide, true AS all_channels, true AS least_squares FROM embeddings GROUP BY 1""")
+def h5_invariants(spark, sf):
+    """What every fit must satisfy: normal equations of all channels without a residual, ends reproduced, knots in order, status by the limits."""
+    f, m, fits = bspline_fits(spark, sf)
+    fits = cut_lineage(fits)  # read three times
+    residual = adaptive.normal_residuals(f, fits, m, BSPLINE, adaptive.Rule()).groupBy("episode").agg(F.max(F.abs("residual")).alias("residual"))
+    errors = adaptive.fit_errors(f, fits, m, BSPLINE)
+    last = fits.select("episode", (F.col("frames") - 1).alias("last"), "max_severity")
+    seen = errors.join(last, "episode").groupBy("episode").agg(
+        F.max(F.when(F.col("frame").isin(0) | (F.col("frame") == F.col("last")), F.greatest("latent", "state"))).alias("end"), F.max(F.abs(F.col("severity"))).alias("worst"))
+    inner = F.size("knot_frames")
+    return fits.join(residual, "episode").join(seen, "episode").select(
+        "episode", "frames", (F.col("end") < 1e-3).alias("ends_met"), F.expr("forall(sequence(1, size(knot_u) - 1), i -> knot_u[i] >= knot_u[i - 1])").alias("knots_increase"),
+        ((F.abs(F.col("worst") - F.col("max_severity")) < 1e-9) & (F.col("satisfied") == (F.col("max_severity") <= 1)) & (F.col("satisfied") == (F.col("status") == "epsilon_met"))).alias("limits_decide"),
+        ((F.size(F.col("coefficients")["latent"]) == inner + F.col("degree") + 1) & (F.size(F.col("coefficients")["state"]) == inner + F.col("degree") + 1)).alias("all_channels"),
+        (F.col("residual") < 1e-3).alias("least_squares"))
+
+
 @query("f10_worst_error_picks", v.VEC + f""",
 z AS (SELECT episode, frame, n, sqrt(list_dot_product(vec, vec)) AS e FROM vec_frames),
 r AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY e DESC, frame DESC) AS rk FROM z WHERE frame > 0 AND frame < n - 1 AND frame % 5 <> 0 AND frame % 5 <> 1 AND frame % 5 <> 4)""", """
