@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ DEPTH, LEAST = 7, 1
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup "
                    "hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|svg|iframe|object|title|canvas|audio|video|map"
+RAW = frozenset("script style noscript template textarea svg iframe object title canvas audio video map".split())
 CLUTTER = frozenset("nav footer aside form menu dialog button select search fieldset".split())
 ARTICLE = frozenset("article main".split())
 # Words of class, id and role names that mark clutter.
@@ -40,7 +42,8 @@ HOLDS = frozenset("aside footer dialog".split())
 BESIDE = frozenset("comment comments complementary disqus outbrain recommended related replies reply respond responses sidebar sponsored taboola widget widgets".split())
 # A form with these in it is around the page.
 PAGE = frozenset("nav header footer".split())
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*?(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+STOP = re.compile("[>\"']")
 NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 
@@ -66,6 +69,56 @@ def kind_of(name: str, attributes: str, inside: bool) -> int:
     return 0
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of the tags of a page; comments, declarations and whole elements like scripts have no name.
+
+    The page is gone over once: what is scanned is consumed, or nothing can be found after it any more. A quotation mark without a partner is
+    an ordinary character; a tag that never ends is text, and so is what follows.
+    """
+    at = page.find("<")
+    lonely = {'"': False, "'": False}  # no further mark of this kind
+    while at >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = end + 3 if end >= 0 else len(page)
+            yield at, end, "", "", ""
+        elif page[at + 1:at + 2] in ("!", "?"):
+            end = page.find(">", at) + 1 or len(page)
+            yield at, end, "", "", ""
+        else:
+            slash = "/" if page.startswith("/", at + 1) else ""
+            named = NAME.match(page, at + 1 + len(slash))
+            if named is None:
+                at = page.find("<", at + 1)
+                continue
+            name, end = named[0].lower(), named.end()
+            if name in RAW and not slash:
+                end = page.find(">", end) + 1
+                if not end:
+                    return
+                if page[end - 2] != "/":
+                    close = CLOSE[name].search(page, end)
+                    end = close.end() if close else len(page)
+                yield at, end, "", "", ""
+            else:
+                while True:
+                    stop = STOP.search(page, end)
+                    if stop is None:
+                        return
+                    end = stop.end()
+                    if stop[0] == ">":
+                        break
+                    if not lonely[stop[0]]:
+                        partner = page.find(stop[0], end)
+                        lonely[stop[0]] = partner < 0
+                        end = partner + 1 or end
+                yield at, end, slash, name, page[named.end():end - 1]
+        at = page.find("<", end)
+
+
+CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+
+
 def text_blocks(page: str) -> list[tuple[str, list[float]]]:
     """The text blocks of a page in order, with words, link density, in clutter, in article.
 
@@ -73,7 +126,12 @@ def text_blocks(page: str) -> list[tuple[str, list[float]]]:
     whose names do not say clutter, with an article or the navigation, header or footer of the page in it, is none.
     """
     out: list[tuple[str, list[float]]] = []
-    stack: list[tuple[str, int, int, bool, int]] = []  # name, kind, marks around an article that ended them, holds articles, blocks before (of a form that may be around the page)
+    stack: list[tuple[str, int, int]] = []  # name, kind, marks around an article that ended them
+    open_names: Counter[str] = Counter()
+    ended: list[int] = []  # places in the stack of articles that ended marks,
+    holders: list[int] = []  # of elements that hold articles of their own,
+    forms: list[tuple[int, int]] = []  # of forms that may be around the page, with the number of blocks before
+    freed: list[tuple[int, int]] = []  # blocks from .. to lose a mark
     clutter = article = links = at = 0
     seen = False  # an article
     parts: list[str] = []
@@ -91,10 +149,16 @@ def text_blocks(page: str) -> list[tuple[str, list[float]]]:
 
     def leave() -> str:
         nonlocal clutter, article, links
-        name, kind, marks, *_ = stack.pop()
+        name, kind, marks = stack.pop()
+        open_names[name] -= 1
         clutter += marks - (kind == 1)
         article -= kind == 2
         links -= name == "a"
+        for places in (ended, holders):
+            while places and places[-1] >= len(stack):
+                places.pop()
+        while forms and forms[-1][0] >= len(stack):
+            forms.pop()
         return name
 
     def add(text: str) -> None:
@@ -102,17 +166,16 @@ def text_blocks(page: str) -> list[tuple[str, list[float]]]:
         if links:
             linked.append(text)
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            add(page[at:m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
+    for start, end, slash, name, attributes in tokens(page):
+        if start > at:
+            add(page[at:start])
+        at = end
         if not name:
             continue
-        if m[2]:
+        if slash:
             if name in BLOCKS:
                 flush()
-            if any(x[0] == name for x in stack):
+            if open_names[name]:
                 while leave() != name:
                     pass
             continue
@@ -123,29 +186,37 @@ def text_blocks(page: str) -> list[tuple[str, list[float]]]:
             flush()
             while stack and (stack[-1][0] == "p" or name == stack[-1][0] and name in ("li", "dd", "dt", "td", "th", "tr", "option")):
                 leave()
-            if name not in ("p",) and stack and stack[-1][0] in ("b", "i", "em", "strong", "span", "font", "u") and any(x[0] == "p" for x in stack):
+            if name not in ("p",) and stack and stack[-1][0] in ("b", "i", "em", "strong", "span", "font", "u") and open_names["p"]:
                 while leave() != "p":
                     pass
-        if name in VOID or m[4].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
-        kind = kind_of(name, m[4], article > 0)
+        kind = kind_of(name, attributes, article > 0)
         if clutter and (kind == 2 or name in PAGE and not article):
-            for i, (n, k, _, _, before) in enumerate(stack):
-                if k == 1 and before >= 0:
-                    stack[i] = (n, 0, 0, False, -1)
-                    clutter -= 1
-                    for _, f in out[before:]:
-                        f[2] -= 1
+            for place, before in forms:
+                stack[place] = (stack[place][0], 0, 0)
+                clutter -= 1
+                freed.append((before, len(out)))
+            if forms:
+                holders = [h for h in holders if h not in {place for place, _ in forms}]
+                forms.clear()
         marks, holds = 0, False
         if kind == 2:
-            own = set().union(*names_of(m[4])) if name == "article" else set()
-            inner = next((i for i in range(len(stack), 0, -1) if stack[i - 1][2]), 0)
-            if clutter and (name != "article" or (own & OWN or not own & HINTS) and not any(x[3] for x in stack[inner:])):
+            own = set().union(*names_of(attributes)) if name == "article" else set()
+            inner = ended[-1] + 1 if ended else 0
+            if clutter and (name != "article" or (own & OWN or not own & HINTS) and not (holders and holders[-1] >= inner)):
                 marks, clutter = clutter, 0
-            seen = seen or clutter == 0 and (name == "article" or "articleBody" in m[4])
+            seen = seen or clutter == 0 and (name == "article" or "articleBody" in attributes)
         elif kind == 1:
-            holds = name in HOLDS or seen and not BESIDE.isdisjoint(set().union(*names_of(m[4])))
-        stack.append((name, kind, marks, holds, len(out) if name == "form" and kind_of("div", m[4], article > 0) != 1 else -1))
+            holds = name in HOLDS or seen and not BESIDE.isdisjoint(set().union(*names_of(attributes)))
+        if marks:
+            ended.append(len(stack))
+        if holds:
+            holders.append(len(stack))
+        if kind == 1 and name == "form" and kind_of("div", attributes, article > 0) != 1:
+            forms.append((len(stack), len(out)))
+        stack.append((name, kind, marks))
+        open_names[name] += 1
         clutter += kind == 1
         article += kind == 2
         links += name == "a"
@@ -153,7 +224,12 @@ def text_blocks(page: str) -> list[tuple[str, list[float]]]:
         rest = page[at:]
         add(rest if not re.match(r"<[/a-zA-Z!?]", rest) else "")
     flush()
-    return [(text, [*f[:2], float(f[2] > 0), f[3]]) for text, f in out]
+    fewer = [0] * (len(out) + 1)
+    for a, b in freed:
+        fewer[a] += 1
+        fewer[b] -= 1
+    fewer = list(accumulate(fewer))
+    return [(text, [*f[:2], float(f[2] > fewer[k]), f[3]]) for k, (text, f) in enumerate(out)]
 
 
 def features(blocks: list[tuple[str, list[float]]]) -> np.ndarray:
