@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -19,6 +20,8 @@ END = 1
 ROWS = 100_000
 #: Documents whose remainder is cut are joined by broadcast up to this many; beyond it by a shuffle.
 FEW = 50_000
+#: A run of white space, letters, digits or other marks as long as this: ``tiktoken`` fails on it or takes the square of its time.
+LONG_RUN = re.compile(r"(?<!\s)\s{20000}|(?<![^\W\d_])[^\W\d_]{20000}|(?<!\d)\d{20000}|(?<![^\s\w])[^\s\w]{20000}|(?<!_)_{20000}")
 _encodings: dict = {}
 
 
@@ -35,9 +38,23 @@ def encoding(vocabulary: str):
     return _encodings[vocabulary]
 
 
+def tokenizer(vocabulary: str):
+    """The ``tokenizers`` file itself, for texts whose runs the other library's pattern cannot take."""
+    name = vocabulary.rsplit(".", 1)[0] + ".json"
+    if name not in _encodings:
+        import public_tokenizers
+        from tokenizers import Tokenizer
+        _encodings[name] = Tokenizer.from_file(public_tokenizers.path(name))
+    return _encodings[name]
+
+
 def token_ids(text: str | None, vocabulary: str) -> np.ndarray:
     """A document's ids as little-endian unsigned 32-bit numbers, its end id included."""
-    ids = encoding(vocabulary).encode(text or "", allowed_special="all")
+    text = text or ""
+    if len(text) >= 20_000 and LONG_RUN.search(text):
+        ids = tokenizer(vocabulary).encode(text, add_special_tokens=False).ids
+    else:
+        ids = encoding(vocabulary).encode(text, allowed_special="all")
     ids.append(END)
     return np.array(ids, "<u4")
 
