@@ -11,7 +11,7 @@ from trajspark.llm.common import cut
 
 #: (verdict, host, beginning of the path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
+HREF = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,13 +31,14 @@ def matching_rule(host: Column, path: Column, rules) -> Column:
     return out
 
 
-def host_scores(pages: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 60, every: int = 5, tolerance: float = 1e-6) -> DataFrame:
+def host_scores(pages: DataFrame, links: DataFrame, damping: float = 0.85, every: int = 5, tolerance: float = 1e-3) -> DataFrame:
     """(host, trust, distrust): personalised PageRank over links from trusted seeds, and over reversed links from blocked ones.
 
     ``pages`` has host and seed ('allow', 'block' or null) per page; a host is a seed by the share of its pages that a rule allows or
     blocks. ``links`` has src, dst and weight; a host passes trust on over its links by their weights, and distrust back to those that link
     to it. Both walks restart at their seeds, and what reaches a host without links restarts there too. Messages are summed before and after
-    the shuffle; the result is stored every few rounds, and two sums decide when it has settled. The tables have one row per host or pair of
+    the shuffle; the result is stored every few rounds. A round shrinks what is still to come by ``damping``; the walk ends when the moves of all
+    hosts together are below ``tolerance`` of a host's fair share (one over the number of hosts). The tables have one row per host or pair of
     hosts.
     """
     seeds = pages.groupBy("host").agg((F.sum(F.when(F.col("seed") == "allow", 1).otherwise(0)) / F.count("*")).alias("a"), (F.sum(F.when(F.col("seed") == "block", 1).otherwise(0)) / F.count("*")).alias("b"))
@@ -54,9 +55,10 @@ def host_scores(pages: DataFrame, links: DataFrame, damping: float = 0.85, round
     state = cut(walks.withColumn("rank", F.col("seed")))
     has = steps.select("kind", F.col("src").alias("host"), F.lit(1.0).alias("linked")).distinct()
     state = cut(state.join(has, ["kind", "host"], "left").select("kind", "host", "seed", "rank", F.coalesce("linked", F.lit(0.0)).alias("linked")))
-    if steps.isEmpty():
-        rounds = 0
-    for turn in range(1, rounds + 1):
+    least = tolerance * (1 - damping) / max(seeds.count(), 1)
+    turn, moved = 0, 0.0 if steps.isEmpty() else 1.0
+    while moved >= least:
+        turn += 1
         sent = state.select("kind", F.col("host").alias("src"), "rank").join(steps, ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
         kept = state.groupBy("kind").agg(F.sum(F.col("rank") * (1 - F.col("linked"))).alias("loose"))
         new = state.join(sent, ["kind", "host"], "left").join(F.broadcast(kept), "kind")  # two rows, one per walk
@@ -65,11 +67,7 @@ def host_scores(pages: DataFrame, links: DataFrame, damping: float = 0.85, round
         if turn % every == 0:
             state = cut(state)
             moved = state.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0
-            state = state.drop("before")
-            if moved < tolerance:
-                break
-        else:
-            state = state.drop("before")
+        state = state.drop("before")
     return state.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"))
 
 
