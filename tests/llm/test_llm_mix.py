@@ -191,3 +191,12 @@ def test_pipeline_of_odd_and_no_documents(spark, tmp_path):
         spark.createDataFrame([], schema).write.parquet(str(folder / "labels.parquet"))
         out = corpus_pipeline.run(spark, str(folder))
         assert out.count() >= len(rows) / 3
+
+
+@pytest.mark.parametrize("run", [" " * 1_000_000, "\n" * 5_000_000, "a" + "\t" * 1_000_000 + "b", " " * 999_999, "x" * 1_000_000, "!?" * 300_000, "7" * 20_000, "q" * 19_999 + " " + "q" * 19_999], ids=["blanks", "line feeds", "tabs", "no-break", "word", "marks", "digits", "below"])
+def test_ids_of_very_long_runs(run):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    from trajspark.llm import packing
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(run, add_special_tokens=False).ids
+    assert packing.token_ids(run, "byte_bpe_50k.tiktoken").tolist() == [*want, 1]

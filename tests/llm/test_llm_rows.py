@@ -149,6 +149,15 @@ def test_trust_spreads_over_links(spark):
     assert {h: r.verdict for h, r in got.items()} == {"good.example.net": "allow", "friend.io": "allow", "cousin.io": "allow", "bad.example.com": "block", "farm.io": "block", "ring.io": "block", "lone.io": "allow"}
 
 
+def test_a_long_chain_of_hosts_settles(spark):
+    n = 80
+    pages = [(0, "http://h0.example.com/de/", ""), *[(i, f"http://h{i}.io/", f'<a href="http://{f"h{i - 1}.io" if i > 1 else "h0.example.com"}/">x</a>') for i in range(1, n)]]
+    got = {r.host: r.distrust for r in hosts.url_verdicts(page_rows(spark, pages)).collect()}
+    names = ["h0.example.com", *[f"h{i}.io" for i in range(1, n)]]
+    want = brute_walk({h: float(h == names[0]) for h in names}, {(a, b): 1 for a, b in zip(names, names[1:])})
+    assert all(abs(got[h] - want[h]) < 1e-3 / n for h in names) and got[names[70]] > 0
+
+
 # --- language
 
 def test_languages_on_held_out_rows(spark):
@@ -265,6 +274,25 @@ def test_blocks_and_tree():
     assert all((html.judge(html.trained(), r[:-1]) >= 0.5) == bool(r[-1]) for r in table)
 
 
+@pytest.mark.parametrize("pattern", ["<script ", "<a '", '<a ">" ', "<b>", "<div></span>", "<", "<div class=ad><article>", "<form><p>x<article>", '<a "><b \'>', "<ul><li>a<b>", "<?", "<!-"])
+def test_malformed_pages_take_linear_time(pattern):
+    import time
+    took = []
+    for size in (40_000, 400_000):
+        page = pattern * (size // len(pattern)) + "'"
+        start = time.process_time()
+        html.main_text(page)
+        took.append(time.process_time() - start)
+    assert took[1] < 30 * took[0] + 0.5
+    assert html.main_text("<article><p>text</p></article>" + pattern * 2000).startswith("text")
+
+
+def test_tags_of_odd_markup():
+    assert [(t[2], t[3], t[4]) for t in html.tokens("<p title='a>b'>x</p ><IMG src=a/><!-- <p> --><style>p > q</style><map-x id=\"1\"><svg/>< p><title>no end <p>")] == [
+        ("", "p", " title='a>b'"), ("/", "p", " "), ("", "img", " src=a/"), ("", "", ""), ("", "", ""), ("", "map-x", ' id="1"'), ("", "", ""), ("", "", "")]
+    assert html.main_text("<p title=it's>one</p><p>two</p>") == "one\ntwo"
+
+
 def test_articles_in_marked_wrappers():
     body = "<h1>Head</h1><p>some text of it</p><aside>Side</aside><p>more</p>"
     want = "Head\nsome text of it\nmore"
