@@ -5,9 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from trajspark.operators.blocks import POSITION_BLOCK, floor_div
+from trajspark.session import cut_lineage
 
 
 ROWS_PER_BUCKET = 4096
+#: Equal shares into which the values of a large key group are cut, and the rank error of a cut as a part of the group.
+SHARES, ACCURACY = 1024, 20_000
+#: Cut points of so many large groups (8 KB each) are broadcast; of more they are joined by a shuffle.
+FEW_GROUPS = 2048
+
+
+def cut_points(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, cuts): the values that part each key group into :data:`SHARES` shares of equal size, from mergeable sketches."""
+    grid = [i / SHARES for i in range(1, SHARES)]
+    return values.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys).agg(F.percentile_approx(value, grid, ACCURACY).alias("cuts"))
+
+
+def share_of(df: DataFrame, value: str, cuts: str, name: str, at_most: bool) -> DataFrame:
+    """Number of cut points below the value (or, with ``at_most``, not above it), by a binary search with one projection a step."""
+    df = df.withColumn(name, F.lit(0))
+    step = SHARES // 2
+    while step:
+        probe = F.try_element_at(F.col(cuts), F.col(name) + step)  # null beyond the last cut
+        over = (probe <= F.col(value)) if at_most else (probe < F.col(value))
+        df = df.withColumn(name, F.when(over, F.col(name) + step).otherwise(F.col(name)))
+        step //= 2
+    return df
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], on: str, right_on: str, payload: list[str], size: str | None = None,
@@ -25,11 +48,13 @@ def asof_many(left: DataFrame, right: DataFrame, keys: list[str], right_on: str,
     """Several as-of look-ups (output name -> value column, strict) of the same left rows in one pass.
 
     A key group is cut into value buckets of about 4,096 rows, so ordinary groups are one bucket and a large one spreads
-    over many tasks. The last right row of a bucket is copied into the buckets up to the next filled one (and the first
-    row backwards), so a window inside (keys, bucket) always sees the neighbour it needs.
+    over many tasks. Cut points lie at equal counts of the group's values on both sides, so clustered values spread too; probes of
+    one value that fill several buckets are dealt out over them. The last right row of a bucket is copied into the buckets up to the
+    next filled one (and the first row backwards), so a window inside (keys, bucket) always sees the neighbour it needs. Group sizes
+    are looked at first: where no group is larger than a bucket nothing is cut.
 
     The right side must be unique on (keys, right_on); rows come back as structs of ``v`` and ``payload``. With ``size``
-    both sides carry the row count of the key group and values lie in [0, 1]; without it counts and range are measured.
+    both sides carry the row count of the key group; without it counts are measured.
     More than one probe needs ``ids``, the unique columns of the left side besides ``keys``.
     """
     left_cols = [c for c in left.columns if c not in keys]
@@ -41,29 +66,44 @@ def asof_many(left: DataFrame, right: DataFrame, keys: list[str], right_on: str,
                      for i, (c, strict) in enumerate(probes.values())])
     asked = left.select(*keys, kept.alias("_l"), *([F.col(size).alias("_n")] if size else []), F.explode(tags).alias("_q")).select(
         "*", F.col("_q.v").alias("_v"), F.col("_q.tag").alias("_tag"), F.col("_q.side").alias("_at")).drop("_q")
-    if size:
-        share, count = F.col("_v"), F.ceil(F.col("_n") / ROWS_PER_BUCKET)
-    else:
-        sizes = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.col(right_on).cast("double")).alias("_min"),
-                                         F.max(F.col(right_on).cast("double")).alias("_max"))
+    if not size:
+        sizes = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         points, asked = points.join(sizes, keys), asked.join(sizes, keys, "left")
-        count = F.ceil(F.col("_n") / ROWS_PER_BUCKET)
-        share = F.when(F.col("_max") > F.col("_min"), (F.col("_v") - F.col("_min")) / (F.col("_max") - F.col("_min"))).otherwise(F.lit(0.0))
-    bucket = F.least(F.greatest(F.floor(share * count), F.lit(0)), count - 1)
-    rows = points.select(*keys, bucket.alias("_b"), count.alias("_nb"), "_v", "_r")
-    order = W.partitionBy(*keys).orderBy("_b")
-    ends = rows.where("_nb > 1").groupBy(*keys, "_b").agg(
-        F.max_by("_r", "_v").alias("_hi"), F.min_by("_r", "_v").alias("_lo"), F.first("_nb").alias("_nb"))
-    ends = ends.withColumns({"_to": F.coalesce(F.lead("_b").over(order), F.col("_nb") - 1), "_from": F.coalesce(F.lag("_b").over(order), F.lit(0))})
-    spread = F.when(F.col("_to") > F.col("_b"), F.transform(F.expr("sequence(_b + 1, _to)"), lambda b: F.struct(b.alias("b"), F.col("_hi").alias("r"))))
-    if above:
-        back = F.when(F.col("_from") < F.col("_b"), F.transform(F.expr("sequence(_from, _b - 1)"), lambda b: F.struct(b.alias("b"), F.col("_lo").alias("r"))))
-        empty = F.expr("filter(array(struct(_b as b, _lo as r)), x -> false)")
-        spread = F.concat(F.coalesce(spread, empty), F.coalesce(back, empty))
-    copies = ends.select(*keys, F.explode(spread).alias("_c")).select(*keys, F.col("_c.b").alias("_b"), F.col("_c.r").alias("_r"))
-    placed = rows.select(*keys, "_b", "_v", "_r").unionByName(copies.withColumn("_v", F.col("_r.v").cast("double")))
+    largest = (right.agg(F.max(size)) if size else sizes.agg(F.max("_n"))).first()[0] or 0
+    if largest <= ROWS_PER_BUCKET:
+        points, asked = points.withColumn("_b", F.lit(0)), asked.withColumn("_b", F.when(F.col("_v").isNotNull() & F.col("_n").isNotNull(), 0))
+        rows, copies = points.withColumn("_nb", F.lit(1)), None
+    else:
+        large = F.col("_n") > ROWS_PER_BUCKET
+        cuts = cut_points(points.where(large).select(*keys, "_v").union(asked.where(large).select(*keys, "_v")), keys, "_v")
+        cuts = cut_lineage(cuts)
+        if cuts.count() <= FEW_GROUPS:
+            cuts = F.broadcast(cuts)
+        count = F.least(F.ceil(F.col("_n") / ROWS_PER_BUCKET), F.lit(SHARES)).cast("int")
+        scaled = lambda c: F.floor(F.col(c) * F.col("_nb") / SHARES).cast("int")
+        points = share_of(points.join(cuts, keys, "left").withColumn("_nb", count), "_v", "cuts", "_lo", False)
+        rows = points.withColumn("_b", scaled("_lo"))
+        asked = share_of(asked.join(cuts, keys, "left").withColumn("_nb", count), "_v", "cuts", "_lo", False)
+        asked = share_of(asked, "_v", "cuts", "_up", True)
+        first, last = scaled("_lo"), scaled("_up")
+        # a strict probe needs the row below its value, which only the first of the buckets of that value is sure to have
+        dealt = F.when(F.col("_at") > 0, first).otherwise(first + F.pmod(F.xxhash64("_l"), last - first + 1).cast("int"))
+        asked = asked.withColumn("_b", F.when(F.col("_v").isNotNull() & F.col("_n").isNotNull(), dealt))
+        order = W.partitionBy(*keys).orderBy("_b")
+        ends = rows.where("_nb > 1").groupBy(*keys, "_b").agg(
+            F.max_by("_r", "_v").alias("_hi"), F.min_by("_r", "_v").alias("_lo"), F.first("_nb").alias("_nb"))
+        ends = ends.withColumns({"_to": F.coalesce(F.lead("_b").over(order), F.col("_nb") - 1), "_from": F.coalesce(F.lag("_b").over(order), F.lit(0))})
+        spread = F.when(F.col("_to") > F.col("_b"), F.transform(F.expr("sequence(_b + 1, _to)"), lambda b: F.struct(b.alias("b"), F.col("_hi").alias("r"))))
+        if above:
+            back = F.when(F.col("_from") < F.col("_b"), F.transform(F.expr("sequence(_from, _b - 1)"), lambda b: F.struct(b.alias("b"), F.col("_lo").alias("r"))))
+            empty = F.expr("filter(array(struct(_b as b, _lo as r)), x -> false)")
+            spread = F.concat(F.coalesce(spread, empty), F.coalesce(back, empty))
+        copies = ends.select(*keys, F.explode(spread).alias("_c")).select(*keys, F.col("_c.b").alias("_b"), F.col("_c.r").alias("_r"))
+    placed = rows.select(*keys, "_b", "_v", "_r")
+    if copies is not None:
+        placed = placed.unionByName(copies.withColumn("_v", F.col("_r.v").cast("double")))
     nowhere = -1 - F.pmod(F.xxhash64("_l"), F.lit(1024))  # no value or no right rows: any bucket will do
-    asked = asked.select(*keys, F.coalesce(bucket, nowhere).alias("_b"), "_v", "_l", "_tag", "_at")
+    asked = asked.select(*keys, F.coalesce("_b", nowhere).alias("_b"), "_v", "_l", "_tag", "_at")
     both = (placed.withColumns({"_l": F.lit(None).cast(asked.schema["_l"].dataType), "_tag": F.lit(-1), "_at": F.lit(0)})
             .unionByName(asked.withColumn("_r", F.lit(None).cast(points.schema["_r"].dataType))))
     inside = W.partitionBy(*keys, "_b")
