@@ -94,6 +94,10 @@ def test_quantiles_match_numpy(spark):
     probs = [0.0, 0.01, 0.5, 0.999, 1.0]
     for r in quantiles_long(df, ["k"], "x", probs).collect():
         assert r.quantile == pytest.approx(np.quantile(data[r.k], r.prob), rel=1e-12, abs=1e-12)
+    bad = spark.createDataFrame([(1, float("inf")), (1, 1.0), (1, 2.0), (1, None), (1, float("nan")), (2, float("-inf")), (2, float("nan")), (3, None)], "k long, x double")
+    got = {r.k: r.asDict() for r in distribution(bad, ["k"], "x", [0.0, 0.5, 1.0], "odd").collect()}
+    assert got[1] == {"k": 1, "count": 2, "odd": 2, "mean": 1.5, "min": 1.0, "max": 2.0, "p0": 1.0, "p50": 1.5, "p100": 2.0}
+    assert all((got[k]["count"], got[k]["odd"], got[k]["mean"], got[k]["p50"]) == (0, n, None, None) for k, n in ((2, 2), (3, 0)))
     empty = distribution(df.where("k < 0"), [], "x", [0.5]).collect()
     assert empty == [] or empty[0]["count"] == 0
 

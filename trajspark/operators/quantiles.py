@@ -21,9 +21,15 @@ def _name(p: float) -> str:
     return "p" + f"{p * 100:.6f}".rstrip("0").rstrip(".").replace(".", "_")
 
 
+def is_finite(value: str) -> Column:
+    """Neither null nor NaN nor infinite."""
+    v = F.col(value).cast("double")
+    return F.coalesce(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False))
+
+
 def quantiles_long(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
-    """Rows (keys, prob, quantile)."""
-    counted = (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    """Rows (keys, prob, quantile) of the finite values."""
+    counted = (df.where(is_finite(value))
                .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
                .withColumn("_b", _log_bucket(F.col("_v"))))
     group = W.partitionBy(*keys)
@@ -49,14 +55,17 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], pr
         F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(prefix + _name(p)) for p in probs])
 
 
-def distribution(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
-    """Count, mean, min, max and quantiles of the non-null values per group."""
+def distribution(df: DataFrame, keys: list[str], value: str, probs: list[float], nonfinite: str | None = None) -> DataFrame:
+    """Count, mean, min, max and quantiles of the finite values per group; ``nonfinite`` names a column that counts NaN and infinite values.
+
+    Nulls are in neither count. A group without finite values keeps its row, with a count of 0.
+    """
     if not keys:
-        return distribution(df.withColumn("_all", F.lit(1)), ["_all"], value, probs).drop("_all")
-    basic = df.groupBy(*keys).agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
-    q = quantiles(df, keys, value, probs)
-    return basic.join(q, keys, "left")
+        return distribution(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, nonfinite).drop("_all")
+    x = F.when(is_finite(value), F.col(value))
+    more = [(F.count(value) - F.count(x)).alias(nonfinite)] if nonfinite else []
+    basic = df.groupBy(*keys).agg(F.count(x).alias("count"), *more, F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return basic.join(quantiles(df, keys, value, probs), keys, "left")
 
 
 # Percentile families of the report jobs, in percent.

@@ -57,6 +57,19 @@ def d2b(spark, sf):
     return v.rounded(distribution(v.event_rows(spark, sf), ["category"], "x", family("segments")))
 
 
+BROKEN = """, broken AS (SELECT category, CASE WHEN event_id % 7 = 0 THEN 'nan'::DOUBLE WHEN event_id % 11 = 0 THEN 'inf'::DOUBLE WHEN event_id % 13 = 0 THEN '-inf'::DOUBLE WHEN event_id % 17 = 0 THEN NULL ELSE x END AS x FROM frames),
+fine AS (SELECT * FROM broken WHERE isfinite(x))"""
+
+
+@query("d2_nonfinite_distribution", v.FRAMES + BROKEN, f"""
+SELECT b.category, b.nonfinite, f.* EXCLUDE (category) FROM (SELECT category, count(x) FILTER (WHERE NOT isfinite(x)) AS nonfinite FROM broken GROUP BY category) b
+JOIN (SELECT category, {_dist('x')}, {_p(family('segments'), 'x')} FROM fine GROUP BY category) f ON f.category = b.category""")
+def d2e(spark, sf):
+    """Values of which some are missing, NaN or infinite: the finite ones are summarised, the others counted."""
+    x = F.expr("CASE WHEN event_id % 7 = 0 THEN double('NaN') WHEN event_id % 11 = 0 THEN double('Infinity') WHEN event_id % 13 = 0 THEN double('-Infinity') WHEN event_id % 17 = 0 THEN NULL ELSE x END")
+    return v.rounded(distribution(v.event_rows(spark, sf).withColumn("x", x), ["category"], "x", family("segments"), "nonfinite"))
+
+
 @query("d2_knot_count_distribution", INTERVALS + """,
 cnt AS (SELECT 8 + (SELECT count(*) FROM knots k WHERE k.episode = i.episode AND k.knot > i.start_u AND k.knot < i.end_u)::DOUBLE AS c FROM ivals i WHERE end_u > start_u + 1e-8)""",
        f"SELECT {_dist('c')}, {_p(family('knots'), 'c')} FROM cnt")
