@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trajspark.functions import vectors as V
-from trajspark.operators.quantiles import quantiles, quantiles_long
+from trajspark.operators.quantiles import column_name, is_finite, quantiles, quantiles_long
 
 
 def vector_moments(df: DataFrame, keys: list[str], vec: str, floor: float = 1e-6) -> DataFrame:
@@ -167,6 +167,28 @@ def variance_floor(df: DataFrame, vec: str, floor: float) -> DataFrame:
     return dims.agg(F.avg(F.pow(F.greatest(F.lit(floor) - F.col("s"), F.lit(0.0)), F.lit(2))).alias("variance_floor"))
 
 
+#: Size of the quantile sketches of partial summaries, and the rank error (share of the rows) that their merged quantiles keep with near certainty.
+SKETCH, RANK_ERROR = 2048, 0.01
+
+
+def partial_summaries(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, count, nonfinite, total, min, max, sketch) of a part of the rows: a few numbers and a quantile sketch of bounded size, to be stored and merged."""
+    x = F.when(is_finite(value), F.col(value).cast("double"))
+    return df.groupBy(*keys).agg(F.count(x).alias("count"), (F.count(value) - F.count(x)).alias("nonfinite"), F.sum(x).alias("total"), F.min(x).alias("min"), F.max(x).alias("max"),
+                                 F.kll_sketch_agg_double(x, SKETCH).alias("sketch"))
+
+
+def merge_partial_summaries(partials: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """One summary per group from summaries of any parts of its rows: exact counts, mean and extremes, quantiles within :data:`RANK_ERROR` by rank.
+
+    Sketches are merged as they arrive, before and after the shuffle; no row of the data is read again. Groups without finite values have null quantiles.
+    """
+    merged = partials.groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in ("count", "nonfinite")], (F.sum("total") / F.sum("count")).alias("mean"), F.min("min").alias("min"), F.max("max").alias("max"),
+                                         F.kll_merge_agg_double("sketch", SKETCH).alias("_sketch"), F.count(F.lit(1)).alias("parts"))
+    quantile = lambda p: F.when(F.col("count") > 0, F.kll_sketch_get_quantile_double("_sketch", F.lit(float(p))))
+    return merged.select(*keys, "count", "nonfinite", "mean", "min", "max", "parts", *[quantile(p).alias(column_name(p)) for p in probs])
+
+
 def merge_summaries(partial: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Sum partial summaries of independent runs."""
     return partial.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns], F.count(F.lit(1)).alias("parts"))

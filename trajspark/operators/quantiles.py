@@ -17,7 +17,8 @@ def _log_bucket(v: Column) -> Column:
     return F.when(v > 0, scale).when(v < 0, -scale).otherwise(F.lit(0)).cast("long")
 
 
-def _name(p: float) -> str:
+def column_name(p: float) -> str:
+    """Column of a probability: p50, p99_9, ..."""
     return "p" + f"{p * 100:.6f}".rstrip("0").rstrip(".").replace(".", "_")
 
 
@@ -52,7 +53,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], pr
     """One row per group with a column per probability (p50, p99_9, ...)."""
     long = quantiles_long(df, keys, value, probs)
     return long.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(prefix + _name(p)) for p in probs])
+        F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(prefix + column_name(p)) for p in probs])
 
 
 def distribution(df: DataFrame, keys: list[str], value: str, probs: list[float], nonfinite: str | None = None) -> DataFrame:

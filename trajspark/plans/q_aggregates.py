@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions import scalars as Sc, vectors as V
 from trajspark.operators import aggregates as A, knots as K, windows as Wn
-from trajspark.operators.quantiles import distribution, family
+from trajspark.operators.quantiles import column_name, distribution, family, quantiles
 from trajspark.operators.sampling import usage_balance
 from trajspark.plans import views as v
 from trajspark.plans.q_joins import (
@@ -61,13 +61,15 @@ BROKEN = """, broken AS (SELECT category, CASE WHEN event_id % 7 = 0 THEN 'nan':
 fine AS (SELECT * FROM broken WHERE isfinite(x))"""
 
 
+BROKEN_X = "CASE WHEN event_id % 7 = 0 THEN double('NaN') WHEN event_id % 11 = 0 THEN double('Infinity') WHEN event_id % 13 = 0 THEN double('-Infinity') WHEN event_id % 17 = 0 THEN NULL ELSE x END"
+
+
 @query("d2_nonfinite_distribution", v.FRAMES + BROKEN, f"""
 SELECT b.category, b.nonfinite, f.* EXCLUDE (category) FROM (SELECT category, count(x) FILTER (WHERE NOT isfinite(x)) AS nonfinite FROM broken GROUP BY category) b
 JOIN (SELECT category, {_dist('x')}, {_p(family('segments'), 'x')} FROM fine GROUP BY category) f ON f.category = b.category""")
 def d2e(spark, sf):
     """Values of which some are missing, NaN or infinite: the finite ones are summarised, the others counted."""
-    x = F.expr("CASE WHEN event_id % 7 = 0 THEN double('NaN') WHEN event_id % 11 = 0 THEN double('Infinity') WHEN event_id % 13 = 0 THEN double('-Infinity') WHEN event_id % 17 = 0 THEN NULL ELSE x END")
-    return v.rounded(distribution(v.event_rows(spark, sf).withColumn("x", x), ["category"], "x", family("segments"), "nonfinite"))
+    return v.rounded(distribution(v.event_rows(spark, sf).withColumn("x", F.expr(BROKEN_X)), ["category"], "x", family("segments"), "nonfinite"))
 
 
 @query("d2_knot_count_distribution", INTERVALS + """,
@@ -315,6 +317,22 @@ def d24(spark, sf):
         "category", "pairs", "valid", (F.col("pairs") - F.col("valid")).alias("nonfinite"), F.col("parts").alias("workers"))
 
 
+@query("d24_merge_percentiles", v.FRAMES + BROKEN, f"""
+SELECT b.category, count(b.x) FILTER (WHERE isfinite(b.x)) AS count, count(b.x) FILTER (WHERE NOT isfinite(b.x)) AS nonfinite, round(avg(b.x) FILTER (WHERE isfinite(b.x)), 6) AS mean,
+  round(min(b.x) FILTER (WHERE isfinite(b.x)), 6) AS min, round(max(b.x) FILTER (WHERE isfinite(b.x)), 6) AS max, (SELECT count(DISTINCT episode % 4) FROM frames f WHERE f.category = b.category) AS parts,
+  true AS p5_in_bounds, true AS p50_in_bounds, true AS p95_in_bounds, true AS p99_in_bounds FROM broken b GROUP BY b.category""")
+def d24b(spark, sf):
+    """Summaries of four workers merged with their percentiles; each percentile must lie between the exact ones at a rank error below and above."""
+    rows = v.event_rows(spark, sf).withColumn("x", F.expr(BROKEN_X))
+    parts = A.partial_summaries(rows.withColumn("worker", F.col("episode") % 4), ["category", "worker"], "x")
+    merged = A.merge_partial_summaries(parts, ["category"], [0.05, 0.5, 0.95, 0.99])
+    at = [min(1.0, max(0.0, p + d * A.RANK_ERROR)) for p in (0.05, 0.5, 0.95, 0.99) for d in (-1, 1)]
+    exact = quantiles(rows, ["category"], "x", at, "at_")
+    names = ["at_" + column_name(p) for p in at]
+    inside = [F.col(c).between(F.col(lo) - 1e-9, F.col(hi) + 1e-9).alias(f"{c}_in_bounds") for c, lo, hi in zip(("p5", "p50", "p95", "p99"), names[::2], names[1::2])]
+    return v.rounded(merged.join(exact, "category").select("category", "count", "nonfinite", "mean", "min", "max", "parts", *inside))
+
+
 @query("d26_nonfinite_report", v.FRAMES + ", cells AS (SELECT episode, 'x' AS c FROM frames WHERE event_type = 'error' UNION ALL SELECT episode, 'u' FROM frames WHERE event_type = 'view' AND frame % 2 = 0)", """
 SELECT c AS "column", count(*) AS nonfinite, count(DISTINCT episode) AS offending_keys, array_to_string(list_sort(list(DISTINCT episode))[1:3], ',') AS first_keys FROM cells GROUP BY c""")
 def d26(spark, sf):
