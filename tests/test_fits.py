@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from trajspark.operators import adaptive, fits
+from trajspark.operators import adaptive, fits, interpolating
 
 
 def _curve(spark):
@@ -19,9 +19,49 @@ MOMENTS = {"latent": (np.zeros(4), np.ones(4)), "state": (np.zeros(4), np.ones(4
 
 @pytest.mark.parametrize("method", ["pchip", "cubic"])
 def test_interpolating_fit(spark, method):
-    for r in fits.fit_interpolating(_curve(spark), MOMENTS, adaptive.Limits(0.05, 0.05, {"state": 0.05}), method).collect():
+    pieces = interpolating.fit_interpolating(_curve(spark), MOMENTS, adaptive.Limits(0.05, 0.05, {"state": 0.05}), method)
+    for r in interpolating.summaries(pieces).collect():
         assert r.status == "epsilon_met" and r.max_severity <= 1 and r.knots <= 40
-        assert 0 in r.knot_frames and 39 in r.knot_frames
+    knots = interpolating.curve_knots(pieces).collect()
+    assert {(e, f) for e in (0, 1) for f in (0, 39)} <= {(r.episode, r.frame) for r in knots} and set(knots[0].value) == {"latent", "state"}
+
+
+@pytest.mark.parametrize("method", ["pchip", "cubic"])
+def test_interpolating_fit_over_many_blocks(spark, method):
+    """Blocks of 36 frames give what one block gives: knots, values, slopes, errors and status."""
+    rng, rows = np.random.default_rng(8), []
+    for e, n in enumerate((130, 37, 20)):
+        latent, state = np.cumsum(rng.normal(size=(n, 4)), axis=0), rng.normal(size=(n, 2))
+        t = np.cumsum(rng.random(n) + 0.1)
+        rows += [(e, i, float(t[i]), i / (n - 1), latent[i].tolist(), state[i].tolist()) for i in range(n)]
+    df = spark.createDataFrame(rows, "episode long, frame long, t double, u double, latent array<double>, state array<double>")
+    moments = {"latent": (np.zeros(4), np.ones(4)), "state": (np.zeros(2), np.ones(2))}
+    for limits, most, per_round in ((adaptive.Limits(0.8, 0.5, {"state": 1.6}), 60, 30),):
+        out = []
+        for size in (1024, 36):
+            pieces = interpolating.fit_interpolating(df, moments, limits, method, quantile=0.95, most=most, per_round=per_round, size=size)
+            pieces = spark.createDataFrame(pieces.collect(), pieces.schema)
+            out.append((sorted(interpolating.summaries(pieces).collect()), sorted(interpolating.curve_knots(pieces).collect(), key=lambda r: (r.episode, r.frame))))
+        (a, ka), (b, kb) = out
+        assert [(r.episode, r.status, r.iterations, r.frames, r.knots, r.limiting_error) for r in a] == [(r.episode, r.status, r.iterations, r.frames, r.knots, r.limiting_error) for r in b]
+        assert np.allclose([r.max_severity for r in a], [r.max_severity for r in b]) and np.allclose([r.out_of_range_percent for r in a], [r.out_of_range_percent for r in b])
+        assert [(r.episode, r.frame) for r in ka] == [(r.episode, r.frame) for r in kb]
+        for c in ("latent", "state"):
+            assert np.allclose([r.value[c] for r in ka], [r.value[c] for r in kb]) and np.allclose([r.slope[c] for r in ka], [r.slope[c] for r in kb], atol=1e-8)
+    assert max(r.iterations for r in a) >= 1
+
+
+def test_cyclic_reduction_and_natural_slopes():
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 5, 8, 33):
+        x, y = np.cumsum(rng.random(n) + 0.1), rng.normal(size=(n, 3))
+        a, b, c, d = interpolating.natural_rows(x, y)
+        dense = np.diag(b) + np.diag(a[1:], -1) + np.diag(c[:-1], 1)
+        s = interpolating.natural_slopes(x, y)
+        assert np.allclose(dense @ s, d)
+        h, m = np.diff(x)[:, None], np.diff(y, axis=0) / np.diff(x)[:, None]
+        left, right = (6 * m - 4 * s[:-1] - 2 * s[1:]) / h, (4 * s[1:] + 2 * s[:-1] - 6 * m) / h  # second derivatives at both ends of the pieces
+        assert np.allclose(left[0], 0) and np.allclose(right[-1], 0) and np.allclose(left[1:], right[:-1])
 
 
 def test_bspline_fit(spark):

@@ -1,8 +1,6 @@
-"""Interpolating spline fits per episode, exact restriction of B-splines and control-point projection.
+"""Exact restriction of B-splines, control-point projection and scoring of pairs.
 
-The numerical kernels are small numpy functions called once per group. Episodes are grouped by key; one group is one
-episode (or one interval), so the work spreads over the cluster by episode. Everything before and after the fit (moments,
-errors per frame, roll-ups) is ordinary DataFrame work.
+The numerical kernels are small numpy functions called per interval or batch. Everything around them is ordinary DataFrame work.
 """
 
 from __future__ import annotations
@@ -11,13 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from trajspark.operators.adaptive import Limits
 from trajspark.session import spread
 
 EPSILON = 1e-8
-FITS = ("episode LONG, status STRING, satisfied BOOLEAN, iterations LONG, frames LONG, knots LONG, max_severity DOUBLE, "
-        "max_latent DOUBLE, max_cosine DOUBLE, max_state DOUBLE, limiting_error STRING, out_of_range_percent DOUBLE, "
-        "knot_frames ARRAY<LONG>, knot_u ARRAY<DOUBLE>, coefficients ARRAY<ARRAY<DOUBLE>>, severity ARRAY<DOUBLE>")
 
 
 def basis_matrix(knots: np.ndarray, u: np.ndarray, degree: int, order: int = 0) -> np.ndarray:
@@ -38,126 +32,6 @@ def basis_matrix(knots: np.ndarray, u: np.ndarray, degree: int, order: int = 0)
     return low
 
 
-def pchip_slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    h, m = np.diff(x)[:, None], np.diff(y, axis=0) / np.diff(x)[:, None]
-    if len(x) == 2:
-        return np.repeat(m, 2, axis=0)
-    out = np.zeros_like(y)
-    w1, w2 = 2 * h[1:] + h[:-1], h[1:] + 2 * h[:-1]
-    same = np.sign(m[:-1]) * np.sign(m[1:]) > 0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        out[1:-1] = np.where(same, (w1 + w2) / (w1 / m[:-1] + w2 / m[1:]), 0.0)
-
-    def edge(h0, h1, m0, m1):
-        d = ((2 * h0 + h1) * m0 - h0 * m1) / (h0 + h1)
-        d = np.where(np.sign(d) != np.sign(m0), 0.0, d)
-        return np.where((np.sign(m0) != np.sign(m1)) & (np.abs(d) > 3 * np.abs(m0)), 3 * m0, d)
-
-    out[0], out[-1] = edge(h[0], h[1], m[0], m[1]), edge(h[-1], h[-2], m[-1], m[-2])
-    return out
-
-
-def natural_slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Knot slopes of the natural cubic spline."""
-    n, h = len(x), np.diff(x)
-    m = np.diff(y, axis=0) / h[:, None]
-    if n == 2:
-        return np.repeat(m, 2, axis=0)
-    a, b = np.zeros((n, n)), np.zeros_like(y)
-    a[0, :2], a[-1, -2:], b[0], b[-1] = (2, 1), (1, 2), 3 * m[0], 3 * m[-1]
-    for i in range(1, n - 1):
-        a[i, i - 1:i + 2] = h[i], 2 * (h[i] + h[i - 1]), h[i - 1]
-        b[i] = 3 * (h[i] * m[i - 1] + h[i - 1] * m[i])
-    return np.linalg.solve(a, b)
-
-
-def hermite(x: np.ndarray, y: np.ndarray, slopes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, len(x) - 2)
-    h = (x[k + 1] - x[k])[:, None]
-    s = (at - x[k])[:, None] / h
-    return ((1 + 2 * s) * (1 - s) ** 2 * y[k] + s * (1 - s) ** 2 * h * slopes[k]
-            + s * s * (3 - 2 * s) * y[k + 1] + s * s * (s - 1) * h * slopes[k + 1])
-
-
-class _Episode:
-    """One episode during a fit: standardised channels and the error of a reconstruction."""
-
-    def __init__(self, pdf: pd.DataFrame, limits: Limits, moments: dict[str, tuple[np.ndarray, np.ndarray]]):
-        pdf = pdf.sort_values("frame")
-        self.key, self.t, self.u, self.limits = int(pdf["episode"].iloc[0]), pdf["t"].to_numpy(float), pdf["u"].to_numpy(float), limits
-        if len(pdf) < 2 or np.any(np.diff(self.t) <= 0):
-            raise ValueError(f"episode {self.key} needs two frames and increasing timestamps")
-        self.raw = np.stack(pdf["latent"].to_numpy()).astype(float)
-        self.mean, self.std = moments["latent"]
-        self.values = {"latent": (self.raw - self.mean) / self.std}
-        for c in limits.channels:
-            mu, sd = moments[c]
-            self.values[c] = (np.stack(pdf[c].to_numpy()).astype(float) - mu) / sd
-
-    def errors(self, rebuilt: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, float]]:
-        ratios, maxima = {}, {}
-        for c, y in self.values.items():
-            rmse = np.sqrt(np.mean((rebuilt[c] - y) ** 2, axis=1))
-            ratios[c], maxima[c] = rmse / max(self.limits.latent if c == "latent" else self.limits.channels[c], 1e-12), float(rmse.max())
-            if c == "latent":
-                back = rebuilt[c] * self.std + self.mean
-                na, nb = np.linalg.norm(self.raw, axis=1), np.linalg.norm(back, axis=1)
-                similarity = np.where((na <= 1e-12) & (nb <= 1e-12), 1.0, np.sum(self.raw * back, axis=1) / np.maximum(na * nb, 1e-12))
-                distance = np.clip(1 - similarity, 0, 2)
-                ratios["cosine"], maxima["cosine"] = distance / max(self.limits.cosine, 1e-12), float(distance.max())
-        self.limiting = max(ratios, key=lambda c: ratios[c].max())
-        return np.max(list(ratios.values()), axis=0), maxima
-
-    def row(self, status, iterations, knots, severity, maxima, rebuilt, frames, u, coefficients) -> pd.DataFrame:
-        y = self.values["latent"]
-        outside = (rebuilt["latent"] < y.min(axis=0)) | (rebuilt["latent"] > y.max(axis=0))
-        return pd.DataFrame({
-            "episode": [self.key], "status": [status], "satisfied": [status == "epsilon_met"], "iterations": [iterations], "frames": [len(self.u)],
-            "knots": [knots], "max_severity": [float(severity.max())], "max_latent": [maxima["latent"]], "max_cosine": [maxima["cosine"]],
-            "max_state": [maxima.get("state", 0.0)], "limiting_error": [self.limiting], "out_of_range_percent": [100.0 * float(outside.mean())],
-            "knot_frames": [np.asarray(frames, dtype=np.int64)], "knot_u": [np.asarray(u, dtype=float)],
-            "coefficients": [[list(map(float, c)) for c in coefficients]], "severity": [severity.astype(float)]})
-
-
-def fit_interpolating(frames: DataFrame, moments: dict, limits: Limits, method: str = "pchip", quantile: float = 0.9,
-                      gap: int = 12, most: int = 512, per_round: int = 4) -> DataFrame:
-    """Interpolating splines through adaptively chosen frames.
-
-    Starts from both ends, every ``gap`` frames and both sides of the sharpest transitions; each round adds the worst
-    frames until every error is within its limit, ``most`` knots are used or no frame is left.
-    """
-    slopes = {"pchip": pchip_slopes, "cubic": natural_slopes}[method]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ep = _Episode(pdf, limits, moments)
-        n = len(ep.t)
-        jumps = np.max([np.sqrt(np.mean(np.diff(y, axis=0) ** 2, axis=1)) for y in ep.values.values()], axis=0)
-        sharp = np.flatnonzero(jumps >= np.quantile(jumps, quantile))
-        chosen = np.zeros(n, dtype=bool)
-        chosen[::gap] = chosen[-1] = True
-        chosen[sharp] = chosen[sharp + 1] = True
-        allowed, rounds = min(n, most), 0
-        while True:
-            k = np.flatnonzero(chosen)
-            rebuilt = {c: hermite(ep.t[k], y[k], slopes(ep.t[k], y[k]), ep.t) for c, y in ep.values.items()}
-            severity, maxima = ep.errors(rebuilt)
-            if severity.max() <= 1.0:
-                status = "epsilon_met"
-            elif len(k) >= allowed:
-                status = "maximum_knots_reached"
-            elif chosen.all():
-                status = "no_new_knots"
-            else:
-                open_frames = np.where(chosen, -np.inf, severity)
-                worst = np.argsort(open_frames, kind="stable")[::-1]
-                chosen[worst[:min(per_round, allowed - len(k), int((~chosen).sum()))]] = True
-                rounds += 1
-                continue
-            return ep.row(status, rounds, len(k), severity, maxima, rebuilt, k, ep.u[k], ep.values["latent"][k])
-
-    return spread(frames, "episode").groupBy("episode").applyInPandas(run, FITS)
-
-
 def blossom(t: np.ndarray, c: np.ndarray, degree: int, args: np.ndarray, span: np.ndarray) -> np.ndarray:
     """Polar forms: row m is that of the piece on [t_span[m], t_span[m]+1) at the ``degree`` arguments args[m]."""
     d = c[span[:, None] - degree + np.arange(degree + 1)]

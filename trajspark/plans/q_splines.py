@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from trajspark.functions import vectors as V
-from trajspark.operators import adaptive, fits, knots as K, windows as Wn
+from trajspark.operators import adaptive, fits, interpolating, knots as K, windows as Wn
 from trajspark.operators.aggregates import vector_moments
 from trajspark.plans import views as v
 from trajspark.plans.q_joins import intervals
@@ -32,11 +32,49 @@ def moments_of(frames, columns):
     return out
 
 
+INTERPOLATING = adaptive.Limits(latent=0.6, cosine=0.2, channels={"state": 1.0})
+
+
+def interpolating_fits(spark, sf, method="pchip"):
+    f = fit_frames(spark, sf)
+    return f, interpolating.fit_interpolating(f, moments_of(f, INTERPOLATING.names), INTERPOLATING, method)
+
+
 @query("h4_fit_interpolating_spline")
 def h4(spark, sf):
-    f = fit_frames(spark, sf)
-    out = fits.fit_interpolating(f, moments_of(f, ["latent", "state"]), adaptive.Limits(latent=0.6, cosine=0.2, channels={"state": 1.0}))
-    return v.rounded(out.select("episode", "status", "satisfied", "iterations", "frames", "knots", "max_severity", "limiting_error", "out_of_range_percent"))
+    _, out = interpolating_fits(spark, sf)
+    return v.rounded(interpolating.summaries(out).select("episode", "status", "satisfied", "iterations", "frames", "knots", "max_severity", "limiting_error", "out_of_range_percent"))
+
+
+@query("h4_interpolating_invariants", """
+SELECT method, label::BIGINT AS episode, count(*) AS frames, true AS ends_are_knots, true AS gaps_kept, true AS through_frames, true AS limits_decide, true AS slopes_fit
+FROM embeddings, (VALUES ('pchip'), ('cubic')) m(method) GROUP BY ALL""")
+def h4_invariants(spark, sf):
+    """What every fit must satisfy: knots at both ends and every twelve frames, values of the frames there in all channels, status by the limits, and
+    slopes of the kind asked for: none against the data (pchip), equations of the natural spline without a residual (cubic)."""
+    out = []
+    for method in interpolating.SLOPES:
+        f, pieces = interpolating_fits(spark, sf, method)
+        pieces = cut_lineage(pieces)  # read twice
+        moments = moments_of(f, INTERPOLATING.names)
+        mean, std = ({c: m[i].tolist() for c, m in moments.items()} for i in (0, 1))
+        knots = interpolating.curve_knots(pieces).withColumns({f"{k}_{c}": F.col(k)[c] for k in ("value", "slope") for c in INTERPOLATING.names}).drop("value", "slope", "u", "t")
+        knots = knots.join(f, ["episode", "frame"])
+        apart = F.lit(0.0)
+        for c in INTERPOLATING.names:
+            expected = F.zip_with(F.zip_with(F.col(c), F.array(*map(F.lit, mean[c])), lambda a, b: a - b), F.array(*map(F.lit, std[c])), lambda a, b: a / b)
+            apart = F.greatest(apart, F.array_max(F.zip_with(F.col(f"value_{c}"), expected, lambda a, b: F.abs(a - b))))
+        w = W.partitionBy("episode").orderBy("frame")  # a given episode has some 200 frames
+        y, s = F.col("value_latent")[0], F.col("slope_latent")[0]
+        hp, hn, mp, mn = F.col("t") - F.lag("t").over(w), F.lead("t").over(w) - F.col("t"), (y - F.lag(y).over(w)) / (F.col("t") - F.lag("t").over(w)), (F.lead(y).over(w) - y) / (F.lead("t").over(w) - F.col("t"))
+        natural = F.abs(hn * F.lag(s).over(w) + 2 * (hp + hn) * s + hp * F.lead(s).over(w) - 3 * (hn * mp + hp * mn)) < 1e-6
+        fits_data = natural if method == "cubic" else (s * mp >= 0) & (s * mn >= 0) & ((mp * mn > 0) | (s == 0))
+        checked = knots.select("episode", "frame", apart.alias("apart"), (F.col("frame") - F.lag("frame").over(w)).alias("gap"), F.coalesce(fits_data, F.lit(True)).alias("fits"))
+        checked = checked.groupBy("episode").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.max("gap").alias("gap"), F.max("apart").alias("apart"), F.min("fits").alias("slopes_fit"), F.count(F.lit(1)).alias("c"))
+        out.append(interpolating.summaries(pieces).join(checked, "episode").select(
+            F.lit(method).alias("method"), "episode", "frames", ((F.col("first") == 0) & (F.col("last") == F.col("frames") - 1)).alias("ends_are_knots"), (F.col("gap") <= 12).alias("gaps_kept"), (F.col("apart") < 1e-9).alias("through_frames"),
+            ((F.col("satisfied") == (F.col("max_severity") <= 1)) & (F.col("c") == F.col("knots")) & (F.col("satisfied") | (F.col("knots") == F.col("frames")) | (F.col("knots") >= 512))).alias("limits_decide"), "slopes_fit"))
+    return out[0].union(out[1])
 
 
 BSPLINE = adaptive.Limits(latent=0.6, cosine=0.3, channels={"state": 1.0})
