@@ -116,3 +116,75 @@ def test_nonfinite_values_are_left_out(spark):
     yes = F.lit(True)
     reasons = df.select(Sc.invalid_reason(yes, yes, F.col("s"), F.col("p"), yes, F.lit(1)).alias("r"), Sc.reason_code(yes, yes, F.col("s"), F.col("p"), F.lit(1), F.lit(8)).alias("c")).collect()
     assert [r.r for r in reasons[:4]] == ["missing_matched_end_u"] * 3 + ["missing_matched_start_u"] and [r.c for r in reasons[:2]] == [Sc.REASON_CODES["missing_frame_u"]] * 2
+
+
+def _walk(start, end, turns):
+    """Progress of a segment, frame by frame."""
+    slope = 1.0 / (end - start - 1) if end - start > 1 else 0.0
+    value, sign, out = 0.0, 1, [0.0]
+    for f in range(start, end - 1):
+        sign = -sign if f in turns else sign
+        value = min(max(value + sign * slope, 0.0), 1.0)
+        out.append(value)
+    return out
+
+
+def test_toggled_progress_over_blocks_of_turns(spark):
+    import random
+    from trajspark.operators import segments as S
+    rng = random.Random(4)
+    spans = [(1, 0, 0, 300), (1, 1, 300, 301), (1, 2, 301, 340), (2, 0, 5, 90), (3, 0, 0, 2)]
+    turns = {(e, s): sorted({rng.randrange(a - 3, b + 3) for _ in range((b - a) // 2 if (e, s) != (1, 2) else 0)}) for e, s, a, b in spans}
+    frames = spark.createDataFrame([(e, f) for e, _, a, b in spans for f in range(a, b)], "episode long, frame long")
+    segments = spark.createDataFrame([(e, s, a, b, b - a) for e, s, a, b in spans], "episode long, segment_id long, start_frame long, end_frame long, num_frames long")
+    rows = spark.createDataFrame([(e, s, f) for (e, s), fs in turns.items() for f in fs + fs[:1]], "episode long, segment_id long, frame long")
+    for size in (4096, 16):
+        got = {(r.episode, r.segment_id, r.frame): r.progress for r in S.toggled_progress(frames, segments, rows, size).collect()}
+        assert len(got) == sum(b - a for _, _, a, b in spans)
+        for e, s, a, b in spans:
+            want = _walk(a, b, set(turns[e, s]))
+            assert all(abs(got[e, s, a + k] - w) < 2e-6 for k, w in enumerate(want))
+
+
+def test_a_million_turns(spark):
+    """Turns at two of every three frames of one segment: the walk goes round in three frames, up by one in all."""
+    from pyspark.sql import functions as F
+    from trajspark.operators import segments as S
+    n = 1_500_001
+    turns = spark.range(n).where("id % 3 <> 2").select(F.lit(1).cast("long").alias("episode"), F.lit(0).cast("long").alias("segment_id"), F.col("id").alias("frame"))
+    segments = spark.createDataFrame([(1, 0, 0, n, n)], "episode long, segment_id long, start_frame long, end_frame long, num_frames long")
+    probes = spark.createDataFrame([(1, f) for f in (0, 1, 2, 3, 299_999, 300_000, 1_499_999, 1_500_000)], "episode long, frame long")
+    got = {r.frame: r.progress for r in S.toggled_progress(probes, segments, turns).collect()}
+    value, want = 0, {0: 0}
+    sign = 1
+    for f in range(n - 1):
+        sign = -sign if f % 3 != 2 else sign
+        value = min(max(value + sign, 0), n - 1)
+        if f + 1 in got:
+            want[f + 1] = value
+    assert all(abs(got[f] - w / (n - 1)) < 1e-5 for f, w in want.items()) and len(got) == 8
+
+
+def test_greedy_picks_against_one_by_one(spark):
+    import random
+    from trajspark.operators import knots as K
+    rng = random.Random(6)
+    series = {1: [rng.randrange(9) / 4 for _ in range(150)], 2: [float(i) for i in range(70)], 3: [float(-i) for i in range(40)], 4: [1.0] * 30, 5: [0.0, float("inf"), 2.0, float("nan"), 1.0, 5.0, 0.5, 0.1]}
+    taken = {1: [10, 11, 60], 2: [], 3: [5], 4: [], 5: []}
+    df = spark.createDataFrame([(e, i, len(x), v) for e, x in series.items() for i, v in enumerate(x)], "episode long, frame long, n long, error double")
+    knots = spark.createDataFrame([(e, k) for e, ks in taken.items() for k in ks], "episode long, frame long")
+    for spacing, size in ((1, 4096), (3, 16), (4, 4096)):
+        want = {}
+        for e, x in series.items():
+            near, k = list(taken[e]), 0
+            while True:
+                free = [i for i in range(1, len(x) - 1) if x[i] == x[i] and all(abs(i - t) >= spacing for t in near)]
+                if not free:
+                    break
+                best = max(free, key=lambda i: (x[i], i))
+                near.append(best)
+                want[e, best] = k
+                k += 1
+        got = {(r.episode, r.frame): r.pick for r in K.greedy_picks(df, knots, spacing, size=size).collect()}
+        assert got == want
+    assert K.greedy_picks(df, knots, 3, most=2).where("pick >= 2").count() == 0

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trajspark.operators.asof import asof, asof_many, count_between
-from trajspark.operators.blocks import core, halo, running
+from trajspark.operators.blocks import WINDOW_BLOCK, core, halo, running, with_positions
+from trajspark.operators.quantiles import value_bucket
 from trajspark.operators.windows import shifted
+from trajspark.session import cut_lineage
 
 EPSILON = 1e-8
 
@@ -249,11 +253,63 @@ def inner_knot_ranks(unique_knots: DataFrame) -> DataFrame:
     return unique_knots.withColumn("cum", F.least(F.col("r"), F.col("kn") - 2))
 
 
-def worst_free_frame(errors: DataFrame, taken: DataFrame, spacing: int) -> DataFrame:
-    """Per episode the inner frame with the largest error at least ``spacing`` frames from every taken one (the later one on ties)."""
-    blocked = taken.select("episode", F.explode(F.sequence(F.col("frame") - (spacing - 1), F.col("frame") + (spacing - 1))).alias("frame"))
-    free = errors.where("frame > 0 and frame < n - 1").join(blocked, ["episode", "frame"], "left_anti")
-    return free.groupBy("episode").agg(F.max(F.struct("error", "frame")).alias("b")).select("episode", "b.frame", "b.error")
+PICKS = "episode LONG, frame LONG, error DOUBLE, picked BOOLEAN"
+
+
+def greedy_picks(errors: DataFrame, taken: DataFrame, spacing: int, most: int | None = None, size: int = WINDOW_BLOCK) -> DataFrame:
+    """(episode, frame, error, pick) of ``errors`` (episode, frame, n, error): inner frames taken worst first (the later of equals), each at least
+    ``spacing`` frames from those taken before and from ``taken``; ``most`` of an episode, or all. Frames with a null or NaN error are no candidates.
+
+    The order of the picks is that of their errors, so whether a frame is picked depends only on worse frames near it: the worst of its
+    neighbourhood is picked, its neighbours are out, and what is left is judged again. A block settles all it can by itself; rounds are
+    needed only where a decision waits for the block beside it.
+    """
+    if spacing < 1:
+        raise ValueError("spacing is at least one frame")
+    reach = spacing - 1
+    blocked = taken.select("episode", F.explode(F.sequence(F.col("frame") - reach, F.col("frame") + reach)).alias("frame")).distinct()
+    free = errors.where("frame > 0 and frame < n - 1 and error is not null and not isnan(error)").join(blocked, ["episode", "frame"], "left_anti")
+    open_ = free.select("episode", F.col("frame").cast("long").alias("frame"), F.col("error").cast("double").alias("error"), F.lit(None).cast("boolean").alias("picked"))
+
+    def settled(t: pa.Table) -> pa.Table:
+        frame, error = t.column("frame").to_numpy(), t.column("error").to_numpy()
+        core = t.column("_core").to_numpy(zero_copy_only=False)
+        order = np.lexsort((frame, error))
+        place = np.full(int(frame.max() - frame.min()) + 1 + 2 * reach, -1)
+        at = frame - frame.min() + reach
+        place[at[order]] = np.arange(len(frame))  # the rank of every open frame, -1 elsewhere
+        pick = np.zeros(len(frame), bool)
+        live = np.ones(len(frame), bool)
+        while True:
+            near = np.lib.stride_tricks.sliding_window_view(place, 2 * reach + 1).max(axis=1)
+            rank = place[at]
+            won = live & core & (rank == near[at - reach])
+            if not won.any():
+                break
+            pick |= won
+            for k in at[won]:
+                place[k - reach:k + reach + 1] = -1
+            live = place[at] >= 0
+        keep = core & (live | pick)
+        return pa.table({"episode": t.column("episode").filter(pa.array(keep)), "frame": frame[keep], "error": error[keep], "picked": pa.array(np.where(pick, True, None)[keep], pa.bool_())})
+
+    done, moved = None, open_
+    while True:
+        blocks, _ = halo(moved.where("picked is null").drop("picked"), ["episode"], "frame", reach, reach, max(size, reach + 1))
+        now = cut_lineage(blocks.groupBy("episode", "_blk").applyInArrow(settled, PICKS))
+        picked = now.where("picked")
+        done = picked if done is None else done.union(picked)
+        left = now.where("picked is null")
+        if left.isEmpty():
+            break
+        near = picked.select("episode", F.explode(F.sequence(F.col("frame") - reach, F.col("frame") + reach)).alias("frame"))
+        moved = left.join(near, ["episode", "frame"], "left_anti")  # picks of the block beside
+    order = [F.col("error").desc(), F.col("frame").desc()]
+    endless = F.abs(F.col("error")) == float("inf")
+    level = F.when(endless, F.signum("error").cast("long") * 2**62).otherwise(value_bucket(F.when(~endless, F.col("error"))))
+    ranked = with_positions(done.select("episode", "frame", "error"), ["episode"], -level, order, "pick")
+    ranked = ranked.select("episode", "frame", "error", "pick")
+    return ranked.where(F.col("pick") < most) if most is not None else ranked
 
 
 def interval_pieces(intervals: DataFrame, knots: DataFrame, coefficients: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 BUCKETS_PER_OCTAVE = 4096
 
 
-def _log_bucket(v: Column) -> Column:
+def value_bucket(v: Column) -> Column:
+    """A bucket number that grows with a finite value, by its logarithm."""
     scale = F.floor((F.log2(F.abs(v)) + 1100) * BUCKETS_PER_OCTAVE) + 1
     return F.when(v > 0, scale).when(v < 0, -scale).otherwise(F.lit(0)).cast("long")
 
@@ -32,7 +33,7 @@ def quantiles_long(df: DataFrame, keys: list[str], value: str, probs: list[float
     """Rows (keys, prob, quantile) of the finite values."""
     counted = (df.where(is_finite(value))
                .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-               .withColumn("_b", _log_bucket(F.col("_v"))))
+               .withColumn("_b", value_bucket(F.col("_v"))))
     group = W.partitionBy(*keys)
     below = F.coalesce(F.sum("_n").over(group.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     wanted = F.transform(F.array(*[F.lit(float(p)) for p in probs]),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trajspark.operators.asof import band_join
-from trajspark.operators.blocks import floor_div
+from trajspark.operators.blocks import WINDOW_BLOCK, floor_div, with_positions
 
 
 def _equal_bounds(n: Column, k: Column, parts: int) -> Column:
@@ -96,33 +98,65 @@ def segments_from_boundaries(boundaries: DataFrame, keys: list[str], edge_confid
         F.greatest(F.lit(0), F.col("end_frame") - F.col("boundary")).cast("long").alias("num_frames"), mean.alias("confidence"))
 
 
-def toggled_progress(frames: DataFrame, segments: DataFrame, toggles: Column) -> DataFrame:
-    """Progress that moves by 1/(n-1) per frame, clamped to [0, 1], turning round after every toggle frame.
+def clamped_walk(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every prefix of a walk that is clamped to [0, 1] after each step, as offset, low and high: it takes v to min(max(v + offset, low), high).
 
-    The walk between two turns is monotone, so only the annotated turns are folded in order; frames follow in closed form.
+    Such maps are closed under composition, so prefixes are composed by doubling.
     """
-    n, start = F.col("num_frames"), F.col("start_frame")
-    last = F.col("end_frame") - 1
-    turns = F.array_sort(F.array_distinct(F.filter(toggles, lambda f: (f >= start) & (f < last))))
-    clamp = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
-    piece = lambda at, value, sign: F.struct(at.cast("long").alias("at"), value.alias("value"), sign.cast("int").alias("sign"))
-
-    def turn(acc: Column, f: Column) -> Column:
-        cur = F.element_at(acc, -1)
-        return F.concat(acc, F.array(piece(
-            f, clamp(cur["value"] + cur["sign"] * (f - cur["at"]) * F.col("slope")), -cur["sign"])))
-
-    walked = (segments.withColumns({"slope": F.when(n > 1, 1.0 / (n - 1)).otherwise(0.0), "_turns": turns})
-              .withColumn("_pieces", F.aggregate("_turns", F.array(piece(start, F.lit(0.0), F.lit(1))), turn)))
-    pieces = walked.select(
-        "episode", "segment_id", "slope", last.alias("_last"), F.posexplode("_pieces").alias("_i", "_p"),
-        F.size("_pieces").alias("_k"), F.col("_pieces").alias("_all")).select(
-        "episode", "segment_id", "slope", F.col("_p.at").alias("at"), F.col("_p.value").alias("value"), F.col("_p.sign").alias("sign"),
-        F.when(F.col("_i") == 0, F.col("_p.at")).otherwise(F.col("_p.at") + 1).alias("piece_from"),
-        F.when(F.col("_i") + 1 == F.col("_k"), F.col("_last")).otherwise(F.expr("_all[_i + 1].at")).alias("piece_to"))
-    placed = band_join(frames.select("episode", "frame"), pieces, ["episode"], "frame", "piece_from", "piece_to")
-    value = clamp(F.col("value") + F.col("sign") * (F.col("frame") - F.col("at")) * F.col("slope"))
-    return placed.select("episode", "segment_id", "frame", F.round(value, 6).alias("progress"))
+    offset, low, high, reach = steps.astype(float), np.zeros(len(steps)), np.ones(len(steps)), 1
+    while reach < len(steps):
+        then = lambda v: np.minimum(np.maximum(v[:-reach] + offset[reach:], low[reach:]), high[reach:])  # noqa: B023, E731
+        low[reach:], high[reach:], offset[reach:] = then(low), then(high), offset[:-reach] + offset[reach:]
+        reach *= 2
+    return offset, low, high
+
+
+def toggled_progress(frames: DataFrame, segments: DataFrame, turns: DataFrame, size: int = WINDOW_BLOCK) -> DataFrame:
+    """Progress that moves by 1/(n-1) per frame, clamped to [0, 1], turning round after every turn (episode, segment_id, frame).
+
+    From turn to turn the walk is a clamped step, and clamped steps compose: the turns of a block of ``size`` frames are composed in one call,
+    the blocks of a segment by one row each; what a block starts with then gives the value at each of its turns. Frames follow in closed form.
+    Repeated turns count once; turns outside the segment and on its last frame do nothing.
+    """
+    key = ["episode", "segment_id"]
+    n = F.col("num_frames")
+    bounds = segments.select(*key, F.col("start_frame").alias("_start"), (F.col("end_frame") - 1).alias("_last"), F.when(n > 1, 1.0 / (n - 1)).otherwise(0.0).alias("slope"))
+    at = turns.select(*key, F.col("frame").cast("long").alias("at")).distinct().join(bounds, key).where("at >= _start and at < _last")
+    placed = with_positions(at, key, floor_div(F.col("at"), size), ["at"], "i").withColumn("_blk", floor_div(F.col("at"), size))
+    order = W.partitionBy(*key).orderBy("_blk")  # one row per block
+    index = placed.groupBy(*key, "_blk").agg(F.min("at").alias("_first"), F.max("at").alias("_final")).select(
+        *key, "_blk", F.lag("_final").over(order).alias("_before"), F.lead("_first").over(order).alias("_after"))
+    rows = placed.join(index, [*key, "_blk"]).select(*key, "_blk", "i", "at", F.coalesce("_before", "_start").alias("_before"), "_after", "slope")
+
+    def walked(t: pa.Table) -> pa.Table:
+        t = t.sort_by("at")
+        c = {k: t.column(k).to_numpy() for k in ("i", "at", "_before", "slope")}
+        offset, low, high = clamped_walk(np.where(c["i"] % 2 == 0, 1, -1) * np.diff(c["at"], prepend=c["_before"][0]) * c["slope"])
+        after = pa.concat_arrays([t.column("at").combine_chunks()[1:], t.column("_after").combine_chunks()[:1]])
+        return pa.table({**{k: t.column(k) for k in (*key, "_blk", "i", "at")}, "next_at": after, "offset": offset, "low": low, "high": high})
+
+    def entered(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_blk")
+        offset, low, high = (t.column(k).to_numpy() for k in ("offset", "low", "high"))
+        value, out = 0.0, []
+        for k in range(t.num_rows):
+            out.append(value)
+            value = min(max(value + offset[k], low[k]), high[k])
+        return pa.table({**{k: t.column(k) for k in (*key, "_blk")}, "entry": pa.array(out, pa.float64())})
+
+    kinds = "episode long, segment_id long, _blk long"
+    steps = rows.groupBy(*key, "_blk").applyInArrow(walked, f"{kinds}, i long, at long, next_at long, offset double, low double, high double")
+    ends = steps.groupBy(*key, "_blk").agg(*[F.max_by(c, "i").alias(c) for c in ("offset", "low", "high")])
+    entries = ends.groupBy(*key).applyInArrow(entered, f"{kinds}, entry double")
+    value = F.least(F.greatest(F.col("entry") + F.col("offset"), F.col("low")), F.col("high"))
+    turned = steps.join(entries, [*key, "_blk"]).join(bounds, key).select(
+        *key, "slope", "at", value.alias("value"), F.when(F.col("i") % 2 == 0, -1).otherwise(1).alias("sign"), (F.col("at") + 1).alias("piece_from"), F.coalesce("next_at", "_last").alias("piece_to"))
+    first = at.groupBy(*key).agg(F.min("at").alias("_turn"))
+    start = bounds.join(first, key, "left").select(
+        *key, "slope", F.col("_start").alias("at"), F.lit(0.0).alias("value"), F.lit(1).alias("sign"), F.col("_start").alias("piece_from"), F.coalesce("_turn", "_last").alias("piece_to"))
+    placed = band_join(frames.select("episode", "frame"), start.union(turned), ["episode"], "frame", "piece_from", "piece_to")
+    progress = F.least(F.greatest(F.col("value") + F.col("sign") * (F.col("frame") - F.col("at")) * F.col("slope"), F.lit(0.0)), F.lit(1.0))
+    return placed.select("episode", "segment_id", "frame", F.round(progress, 6).alias("progress"))
 
 
 def control_point_progress(frames: DataFrame, segments: DataFrame, points: DataFrame) -> DataFrame:

@@ -111,15 +111,18 @@ def h5_invariants(spark, sf):
         (F.col("residual") < 1e-3).alias("least_squares"))
 
 
-@query("f10_worst_error_picks", v.VEC + f""",
+@query("f10_worst_error_picks", v.VEC + """,
 z AS (SELECT episode, frame, n, sqrt(list_dot_product(vec, vec)) AS e FROM vec_frames),
-r AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY e DESC, frame DESC) AS rk FROM z WHERE frame > 0 AND frame < n - 1 AND frame % 5 <> 0 AND frame % 5 <> 1 AND frame % 5 <> 4)""", """
-SELECT episode, frame, round(e, 6) AS error FROM r WHERE rk = 1""")
+g AS (SELECT episode, [f.frame FOR f IN list({'frame': frame}) IF f.frame % 20 = 0] AS taken, NULL::BIGINT AS frame, NULL::DOUBLE AS error, -1::BIGINT AS pick FROM z GROUP BY episode
+  UNION ALL
+  SELECT g.episode, list_append(any_value(g.taken), max_by(z.frame, {'e': z.e, 'frame': z.frame})), max_by(z.frame, {'e': z.e, 'frame': z.frame}), max(z.e), g.pick + 1 FROM g JOIN z ON z.episode = g.episode
+  WHERE z.frame > 0 AND z.frame < z.n - 1 AND len(list_filter(g.taken, lambda t: abs(t - z.frame) < 3)) = 0 GROUP BY g.episode, g.pick)""", """
+SELECT episode, frame, round(error, 6) AS error, pick FROM g WHERE pick >= 0""", recursive=True)
 def f10(spark, sf):
-    """One greedy step: the worst inner frame at least two frames away from the knots at every fifth frame."""
+    """All greedy picks of the worst inner frames, three frames apart from one another and from the knots at every twentieth frame."""
     f = v.vec_frames(spark, sf).withColumn("error", V.norm(F.col("vec")))
-    taken = f.where("frame % 5 = 0").select("episode", "frame")
-    return v.rounded(K.worst_free_frame(f.select("episode", "frame", "n", "error"), taken, 2))
+    taken = f.where("frame % 20 = 0").select("episode", "frame")
+    return v.rounded(K.greedy_picks(f.select("episode", "frame", "n", "error"), taken, 3))
 
 
 PCHIP = v.KNOTS + """,

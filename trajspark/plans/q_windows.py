@@ -170,8 +170,9 @@ walk AS (SELECT episode, segment_id, start_frame AS frame, 0.0::DOUBLE AS value,
   WHERE w.frame + 1 < w.end_frame)""", "SELECT episode, segment_id, frame, round(value, 6) AS progress FROM walk", recursive=True)
 def e11(spark, sf):
     n, start = F.col("num_frames"), F.col("start_frame")
-    toggles = F.array(start + floor_div(n, 3), start + floor_div(2 * n, 3))
-    return S.toggled_progress(v.frames(spark, sf), v.segments(spark, sf), toggles)
+    segments = v.segments(spark, sf)
+    turns = segments.select("episode", "segment_id", F.explode(F.array(start + floor_div(n, 3), start + floor_div(2 * n, 3))).alias("frame"))
+    return S.toggled_progress(v.frames(spark, sf), segments, turns)
 
 
 @query("e12_control_point_progress", v.LABELS + """,
