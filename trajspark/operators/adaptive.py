@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from trajspark.operators.blocks import floor_div
-from trajspark.session import cut_lineage, spread
+from trajspark.session import cut_lineage, dealt
 
 #: Frames of a block.
 BLOCK = 1024
@@ -399,7 +399,7 @@ def fit_bspline(frames: DataFrame, moments: dict, limits: Limits, degree: int =
         for b in batches:
             yield table([fit_one_block(f, b.column("episode")[i].as_py(), n, rule, limits) for i, n, f in _read(b, limits, moments)], FITS)
 
-    short = spread(blocks.where(F.col("n") <= size), "episode").mapInArrow(whole, ddl(FITS))
+    short = dealt(blocks.where(F.col("n") <= size), "episode", "blk").mapInArrow(whole, ddl(FITS))
     longest = frames.agg(F.max("frame")).first()[0]
     if longest is None or longest < size:
         return short

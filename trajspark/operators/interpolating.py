@@ -18,7 +18,7 @@ from pyspark.storagelevel import StorageLevel
 
 from trajspark.operators.adaptive import BLOCK, NUMBERS, Frames, Limits, _read, ddl, frame_blocks, table
 from trajspark.operators.quantiles import quantiles_long
-from trajspark.session import cut_lineage, spread
+from trajspark.session import cut_lineage, dealt
 
 SLOPES = ("pchip", "cubic")
 VECTORS = pa.map_(pa.string(), pa.list_(pa.float64()))
@@ -162,7 +162,7 @@ def fit_interpolating(frames: DataFrame, moments: dict, limits: Limits, method:
         for b in batches:
             yield table([fit_one_block(f, b.column("episode")[i].as_py(), n, limits, method, quantile, gap, most, per_round) for i, n, f in _read(b, limits, moments)], PIECES)
 
-    short = spread(blocks.where(F.col("n") <= size), "episode").mapInArrow(whole, ddl(PIECES))
+    short = dealt(blocks.where(F.col("n") <= size), "episode", "blk").mapInArrow(whole, ddl(PIECES))
     longest = frames.agg(F.max("frame")).first()[0]
     if longest is None or longest < size:
         return short

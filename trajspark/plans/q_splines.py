@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Window as W, functions as F
 
@@ -25,11 +27,9 @@ def fit_frames(spark, sf):
 
 def moments_of(frames, columns):
     """Normalisation vectors for the task functions: one short row per channel."""
-    out = {}
-    for c in columns:
-        row = vector_moments(frames, [], c).agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "std"))).alias("m")).first()["m"]
-        out[c] = (np.array([r["mean"] for r in row]), np.array([r["std"] for r in row]))
-    return out
+    parts = [vector_moments(frames, [], c).select(F.lit(c).alias("channel"), F.struct("dim", "mean", "std").alias("m")) for c in columns]
+    rows = reduce(lambda a, b: a.union(b), parts).groupBy("channel").agg(F.array_sort(F.collect_list("m")).alias("m")).collect()
+    return {r["channel"]: (np.array([x["mean"] for x in r["m"]]), np.array([x["std"] for x in r["m"]])) for r in rows}
 
 
 INTERPOLATING = adaptive.Limits(latent=0.6, cosine=0.2, channels={"state": 1.0})
