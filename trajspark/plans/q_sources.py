@@ -126,13 +126,16 @@ def a11(spark, sf):
     return v.rounded(rows.select("vec_id", "pos", "start_offset", "end_offset", F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total")))
 
 
-@query("a12_scan_files")
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("a12_scan_files", None, " UNION ALL ".join(f"SELECT '{t}.parquet' AS path, count(*) AS rows, true AS has_bytes FROM {t}" for t in TABLES))
 def a12(spark, sf):
-    """Files of the given tables with their size and, from reading them, their rows."""
-    rows = [v.table(spark, sf, t).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("rows")).withColumn("table", F.lit(t)) for t in ("documents", "events", "lineitem", "orders")]
+    """All files of the given tables: whether they hold bytes and, from reading them, their rows."""
+    rows = [v.table(spark, sf, t).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("rows")).withColumn("table", F.lit(t)) for t in TABLES]
     counted = reduce(DataFrame.union, rows)
     files = Ep.scan_files(spark, sf).withColumn("name", F.substring_index("path", "/", -1)).withColumn("table", F.regexp_extract("path", r"^([^./]+)\.parquet", 1))
-    return counted.join(files, ["table", "name"]).select("path", "size", "rows")
+    return counted.join(files, ["table", "name"]).select("path", "rows", (F.col("size") > 0).alias("has_bytes"))
 
 
 @query("a13_inspect", None, """
