@@ -44,13 +44,41 @@ def c12(spark, sf):
     return v.rounded(Al.pair_distances(_vector_pairs(spark, sf), f, f, 0.02, 2))
 
 
-@query("h1_dtw_align")
+def _warped(kind, order, vertical, horizontal, diagonal, prior, ceiling):
+    """Time warping in SQL: costs along anti-diagonals as lists by reference frame, then the path back from the last cell; ``order`` breaks ties."""
+    came = {"D": f"coalesce(b.dd[b.i + b.j - 1][b.i] + {diagonal}::{kind}, 'inf')", "V": f"coalesce(b.dd[b.i + b.j][b.i] + {vertical}::{kind}, 'inf')", "H": f"coalesce(b.dd[b.i + b.j][b.i + 1] + {horizontal}::{kind}, 'inf')"}
+    first, second, third = (came[c] for c in order)
+    move = f"CASE WHEN {first} <= {second} AND {first} <= {third} THEN '{order[0]}' WHEN {second} <= {third} THEN '{order[1]}' ELSE '{order[2]}' END"
+    phase = f"{prior} * abs(r.frame / greatest(r.n - 1, 1)::DOUBLE - t.frame / greatest(t.n - 1, 1)::DOUBLE)"
+    return PAIRED + f""",
+smooth AS (SELECT a.episode, a.frame, a.n, list_transform(generate_series(1, len(a.vec)), lambda k: (p.vec[k] + a.vec[k] + q.vec[k]) / 3) AS vec FROM vec_frames a
+  JOIN vec_frames p ON p.episode = a.episode AND p.frame = greatest(a.frame - 1, 0) JOIN vec_frames q ON q.episode = a.episode AND q.frame = least(a.frame + 1, a.n - 1)),
+unit AS (SELECT episode, frame, n, list_transform(vec, lambda x: x / greatest(sqrt(list_dot_product(vec, vec)), 1e-12)) AS vec FROM smooth),
+cells AS (SELECT p.ref, p.target, r.n AS rn, t.n AS tn, r.frame AS i, t.frame AS j, least(greatest(1 - list_dot_product(r.vec, t.vec) + {phase}, 0), {ceiling})::FLOAT::{kind} AS d
+  FROM vpairs p JOIN unit r ON r.episode = p.ref JOIN unit t ON t.episode = p.target),
+lines AS (SELECT ref, target, rn, tn, i, list(d ORDER BY j) AS line FROM cells GROUP BY ALL),
+grid AS (SELECT ref, target, rn, tn, list(line ORDER BY i) AS dm FROM lines GROUP BY ALL),
+walk AS (SELECT ref, target, rn, tn, dm, 0::BIGINT AS k, list_transform(range(rn), lambda i: NULL::{kind}) AS before, list_transform(range(rn), lambda i: CASE WHEN i = 0 THEN dm[1][1] END) AS line FROM grid
+  UNION ALL
+  SELECT ref, target, rn, tn, dm, k + 1, line, list_transform(range(rn), lambda i: CASE WHEN k + 1 - i BETWEEN 0 AND tn - 1
+    THEN dm[i + 1][k + 2 - i] + least(before[i] + {diagonal}::{kind}, line[i] + {vertical}::{kind}, line[i + 1] + {horizontal}::{kind}) END) FROM walk WHERE k + 1 <= rn + tn - 2),
+done AS (SELECT ref, target, any_value(rn) AS rn, any_value(tn) AS tn, any_value(dm) AS dm, list(line ORDER BY k) AS dd FROM walk GROUP BY ref, target),
+back AS (SELECT ref, target, rn - 1 AS i, tn - 1 AS j, dd FROM done
+  UNION ALL
+  SELECT ref, target, i - (move <> 'H')::BIGINT, j - (move <> 'V')::BIGINT, dd FROM (SELECT b.*, {move} AS move FROM back b WHERE b.i > 0 OR b.j > 0)),
+warped AS (SELECT b.ref, b.target, b.i AS ref_frame, b.j AS target_frame, b.dd[b.i + b.j + 1][b.i + 1]::DOUBLE AS cost, d.dm[b.i + 1][b.j + 1]::DOUBLE AS distance, d.dd[d.rn + d.tn - 1][d.rn]::DOUBLE AS total
+  FROM back b JOIN done d ON d.ref = b.ref AND d.target = b.target)"""
+
+
+@query("h1_dtw_align", _warped("DOUBLE", "DVH", 0.01, 0.01, 0.0, 0.02, "'inf'"), """
+SELECT ref, target, ref_frame, target_frame, round(cost, 6) AS cost, round(distance, 6) AS distance, round(total, 6) AS total FROM warped""", recursive=True)
 def h1(spark, sf):
     f = _unit(spark, sf)
     return v.rounded(Al.dtw_paths(_vector_pairs(spark, sf), f, f, Al.one_reference()))
 
 
-@query("h2_dtw_costs")
+@query("h2_dtw_costs", _warped("FLOAT", "VHD", 0.0, 0.0, 0.0, 0.0, 2), """
+SELECT ref, target, round(max(total), 6) AS accumulated_cost, count(*) AS path_length, round(max(total) / count(*), 6) AS normalized_cost FROM warped GROUP BY ref, target""", recursive=True)
 def h2(spark, sf):
     f = _unit(spark, sf)
     return v.rounded(Al.pair_costs(Al.dtw_paths(_vector_pairs(spark, sf), f, f, Al.many_references())))
