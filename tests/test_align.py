@@ -62,3 +62,18 @@ def test_paths_match_brute_force(spark, tile, rule):
             cells = sorted((c.ref_frame, c.target_frame) for c in got[r, t])
             assert cells == sorted(path)
             assert got[r, t][0].total == pytest.approx(total, rel=1e-5)
+
+
+def test_transfer_from_one_reference(spark):
+    """A path of two target frames per reference frame: boundaries, provenance and confidence; a target too short for its segments ends the job."""
+    from pyspark.errors import PySparkException
+    from trajspark.operators import votes as Vo
+    cells = spark.createDataFrame([(1, 0, i, 2 * i, 0.1 * (i % 3)) for i in range(10)], "target long, ref long, ref_frame long, target_frame long, distance double")
+    bounds = spark.createDataFrame([(1, 0, 1, 5, 10, 20, 3), (1, 0, 2, 6, 10, 20, 3)], "target long, ref long, index long, ref_boundary long, ref_n long, target_n long, parts long")
+    got = sorted(Vo.transfer_one_reference(bounds, cells, 2, 3).collect(), key=lambda r: r.segment_id)
+    assert [(r.start_frame, r.end_frame, r.num_frames, r.ref_start, r.ref_end, r.raw_boundary, r.method) for r in got] == [
+        (0, 9, 9, 0, 5, None, None), (9, 12, 3, 5, 6, 9, "two_sided_median"), (12, 20, 8, 6, 10, 11, "two_sided_median")]
+    near = [1 - sum(0.1 * (i % 3) for i in range(b - 2, b + 2)) / 8 for b in (5, 6)]
+    assert [r.confidence for r in got] == pytest.approx([near[0], sum(near) / 2, near[1]])
+    with pytest.raises(PySparkException):
+        Vo.transfer_one_reference(bounds, cells, 2, 7).collect()

@@ -190,16 +190,24 @@ def pair_costs(cells: DataFrame) -> DataFrame:
     return per.withColumn("normalized_cost", F.col("accumulated_cost") / F.greatest(F.lit(1), F.col("path_length")))
 
 
-def pair_distances(pairs: DataFrame, refs: DataFrame, targets: DataFrame, prior: float = 0.0, reach: int = 2) -> DataFrame:
-    """Distances of every reference frame to the target frames within ``reach`` of the same progress, with an optional phase term."""
+def cell_distances(cells: DataFrame, refs: DataFrame, targets: DataFrame, prior: float = 0.0) -> DataFrame:
+    """Cosine distance of given cells (ref, target, ref_frame, target_frame), plain and with a phase term."""
     from trajspark.functions import vectors as V
     a = refs.select(F.col("episode").alias("ref"), F.col("frame").alias("ref_frame"), F.col("n").alias("rn"), F.col("vec").alias("a"))
     b = targets.select(F.col("episode").alias("target"), F.col("frame").alias("target_frame"), F.col("n").alias("tn"), F.col("vec").alias("b"))
+    both = cells.select("ref", "target", "ref_frame", "target_frame").join(a, ["ref", "ref_frame"]).join(b, ["target", "target_frame"])
     phase = F.abs(F.col("ref_frame") / F.greatest(F.col("rn") - 1, F.lit(1)) - F.col("target_frame") / F.greatest(F.col("tn") - 1, F.lit(1)))
     d = 1.0 - V.dot(F.col("a"), F.col("b"))
+    return both.select("ref", "target", "ref_frame", "target_frame", V.clip(d, 0.0, 2.0).alias("distance"), F.greatest(d + prior * phase, F.lit(0.0)).alias("prior_distance"))
+
+
+def pair_distances(pairs: DataFrame, refs: DataFrame, targets: DataFrame, prior: float = 0.0, reach: int = 2, path: DataFrame | None = None) -> DataFrame:
+    """Distances of every reference frame to the target frames within ``reach`` of the same progress, and of the cells of an alignment ``path``."""
     sizes = targets.groupBy(F.col("episode").alias("target")).agg(F.max("n").alias("_tn"))
+    frames = refs.select(F.col("episode").alias("ref"), F.col("frame").alias("ref_frame"), F.col("n").alias("rn"))
     at = floor_div(F.col("ref_frame") * F.col("_tn"), F.col("rn"))
-    near = pairs.join(sizes, "target").join(a, "ref").withColumn("target_frame", F.explode(F.sequence(at - reach, at + reach)))
-    both = near.join(b, ["target", "target_frame"])
-    return both.select("ref", "target", "ref_frame", "target_frame", V.clip(d, 0.0, 2.0).alias("distance"),
-                       F.greatest(d + prior * phase, F.lit(0.0)).alias("prior_distance"))
+    near = pairs.join(sizes, "target").join(frames, "ref").withColumn("target_frame", F.explode(F.sequence(at - reach, at + reach)))
+    cells = near.select("ref", "target", "ref_frame", "target_frame")
+    if path is not None:
+        cells = cells.union(path.select("ref", "target", "ref_frame", "target_frame")).distinct()
+    return cell_distances(cells, refs, targets, prior)

@@ -123,5 +123,28 @@ def transfer_segments(scored: DataFrame, labels: Column) -> DataFrame:
     return segments_from_boundaries(inner.unionByName(outer), ["target"]).withColumn("label", labels)
 
 
+def transfer_one_reference(boundaries: DataFrame, cells: DataFrame, window: int, min_segment: int = 1) -> DataFrame:
+    """Segments of every target from one reference: boundaries between the matches left and right of each reference boundary, made contiguous, with
+    the similarity of the path around them and where each segment comes from.
+
+    ``boundaries`` carry (target, ref, index, ref_boundary, ref_n, target_n, parts) and are the inner ones; ``cells`` are the path with the plain
+    cosine ``distance``. A target that is too short for its segments ends the job. Output: target, ref, segment_id, start_frame, end_frame,
+    num_frames, confidence (mean of the inner boundaries beside it, 1 without any), ref_start, ref_end, method and raw_boundary of its start.
+    """
+    two = two_sided_boundary(boundaries, frame_mapping(cells), window)
+    placed = monotone_boundaries(two, PAIR, "index", "raw_boundary", "target_n", "parts", min_segment, strict=True)
+    scored = placed.join(boundary_similarity(boundaries, cells, window).select(*PAIR, "index", "confidence"), [*PAIR, "index"])
+    own = ["index", "boundary", "confidence", "ref_boundary", "method", "raw_boundary"]
+    inner = scored.select(*PAIR, F.struct(*[F.col(c).cast("long").alias(c) if c in ("index", "boundary", "ref_boundary", "raw_boundary") else c for c in own]).alias("b"))
+    void = {"confidence": "double", "method": "string", "raw_boundary": "long"}
+    edge = lambda i, b, r: F.struct(*[F.lit(None).cast(void[c]).alias(c) if c in void else {"index": i, "boundary": b, "ref_boundary": r}[c].cast("long").alias(c) for c in own])
+    ends = scored.groupBy(*PAIR).agg(*[F.max(c).alias(c) for c in ("target_n", "ref_n", "parts")])
+    outer = ends.select(*PAIR, F.explode(F.array(edge(F.lit(0), F.lit(0), F.lit(0)), edge(F.col("parts"), F.col("target_n"), F.col("ref_n")))).alias("b"))
+    rows = inner.union(outer).select(*PAIR, "b.*")
+    w = W.partitionBy(*PAIR).orderBy("index")  # a few boundaries
+    source = rows.select(*PAIR, F.col("index").alias("segment_id"), F.col("ref_boundary").alias("ref_start"), F.lead("ref_boundary").over(w).alias("ref_end"), "method", "raw_boundary")
+    return segments_from_boundaries(rows, PAIR, None).join(source, [*PAIR, "segment_id"])
+
+
 def reference_weight(cost: str, temperature: float) -> Column:
     return F.exp(-F.col(cost) / max(temperature, 1e-6))

@@ -33,17 +33,6 @@ labs AS (SELECT episode AS e, row_number() OVER (ORDER BY episode) - 1 AS rk, co
 vpairs AS (SELECT DISTINCT r.e AS ref, t.e AS target FROM labs t JOIN labs r ON t.rk >= t.half AND r.rk < r.half AND r.rk IN ((t.rk - t.half) % t.half, (t.rk - 1) % t.half))"""
 
 
-@query("c12_pair_distance", PAIRED + """,
-unit AS (SELECT episode, frame, n, list_transform(vec, lambda x: x / greatest(sqrt(list_dot_product(vec, vec)), 1e-12)) AS vec FROM vec_frames)""", """
-SELECT r.episode AS ref, t.episode AS target, r.frame AS ref_frame, t.frame AS target_frame, round(least(greatest(1 - list_dot_product(r.vec, t.vec), 0), 2), 6) AS distance,
-  round(greatest(1 - list_dot_product(r.vec, t.vec) + 0.02 * abs(r.frame / greatest(r.n - 1, 1)::DOUBLE - t.frame / greatest(t.n - 1, 1)::DOUBLE), 0), 6) AS prior_distance
-FROM vpairs p JOIN unit r ON r.episode = p.ref JOIN unit t ON t.episode = p.target AND abs(t.frame - r.frame * t.n // r.n) <= 2""")
-def c12(spark, sf):
-    """Distances of every reference frame to the target frames within two of the same progress."""
-    f = v.vec_frames(spark, sf).select("episode", "frame", "n", V.l2_normalize(F.col("vec")).alias("vec"))
-    return v.rounded(Al.pair_distances(_vector_pairs(spark, sf), f, f, 0.02, 2))
-
-
 def _warped(kind, order, vertical, horizontal, diagonal, prior, ceiling):
     """Time warping in SQL: costs along anti-diagonals as lists by reference frame, then the path back from the last cell; ``order`` breaks ties."""
     came = {"D": f"coalesce(b.dd[b.i + b.j - 1][b.i] + {diagonal}::{kind}, 'inf')", "V": f"coalesce(b.dd[b.i + b.j][b.i] + {vertical}::{kind}, 'inf')", "H": f"coalesce(b.dd[b.i + b.j][b.i + 1] + {horizontal}::{kind}, 'inf')"}
@@ -70,7 +59,24 @@ warped AS (SELECT b.ref, b.target, b.i AS ref_frame, b.j AS target_frame, b.dd[b
   FROM back b JOIN done d ON d.ref = b.ref AND d.target = b.target)"""
 
 
-@query("h1_dtw_align", _warped("DOUBLE", "DVH", 0.01, 0.01, 0.0, 0.02, "'inf'"), """
+ONE = _warped("DOUBLE", "DVH", 0.01, 0.01, 0.0, 0.02, "'inf'")
+
+
+@query("c12_pair_distance", ONE + """,
+plain AS (SELECT episode, frame, n, list_transform(vec, lambda x: x / greatest(sqrt(list_dot_product(vec, vec)), 1e-12)) AS vec FROM vec_frames),
+wanted AS (SELECT r.episode AS ref, t.episode AS target, r.frame AS ref_frame, t.frame AS target_frame FROM vpairs p JOIN plain r ON r.episode = p.ref JOIN plain t ON t.episode = p.target AND abs(t.frame - r.frame * t.n // r.n) <= 2
+  UNION SELECT ref, target, ref_frame, target_frame FROM warped)""", """
+SELECT w.*, round(least(greatest(1 - list_dot_product(r.vec, t.vec), 0), 2), 6) AS distance,
+  round(greatest(1 - list_dot_product(r.vec, t.vec) + 0.02 * abs(r.frame / greatest(r.n - 1, 1)::DOUBLE - t.frame / greatest(t.n - 1, 1)::DOUBLE), 0), 6) AS prior_distance
+FROM wanted w JOIN plain r ON r.episode = w.ref AND r.frame = w.ref_frame JOIN plain t ON t.episode = w.target AND t.frame = w.target_frame""", recursive=True)
+def c12(spark, sf):
+    """Distances of every reference frame to the target frames within two of the same progress, and of the cells of the alignment path."""
+    f = v.vec_frames(spark, sf).select("episode", "frame", "n", V.l2_normalize(F.col("vec")).alias("vec"))
+    pairs, smooth = _vector_pairs(spark, sf), _unit(spark, sf)
+    return v.rounded(Al.pair_distances(pairs, f, f, 0.02, 2, Al.dtw_paths(pairs, smooth, smooth, Al.one_reference())))
+
+
+@query("h1_dtw_align", ONE, """
 SELECT ref, target, ref_frame, target_frame, round(cost, 6) AS cost, round(distance, 6) AS distance, round(total, 6) AS total FROM warped""", recursive=True)
 def h1(spark, sf):
     f = _unit(spark, sf)
@@ -98,6 +104,38 @@ def _boundaries(sized):
     return out.select("target", "ref", "index", start.cast("long").alias("ref_boundary"), "ref_n", "target_n")
 
 
+@query("h3_one_reference_transfer", ONE + f""",
+pick AS (SELECT target, min(ref) AS ref FROM vpairs GROUP BY target),
+pth AS (SELECT w.ref, w.target, w.ref_frame, w.target_frame, least(greatest(1 - list_dot_product(r.vec, t.vec), 0), 2) AS distance FROM warped w JOIN pick p ON p.target = w.target AND p.ref = w.ref
+  JOIN unit r ON r.episode = w.ref AND r.frame = w.ref_frame JOIN unit t ON t.episode = w.target AND t.frame = w.target_frame),
+bnd AS (SELECT d.target, d.ref, k.k AS idx, k.k * (d.rn // {PARTS}) + least(k.k, d.rn % {PARTS}) AS b, d.rn, d.tn FROM done d JOIN pick p ON p.target = d.target AND p.ref = d.ref, range(1, {PARTS}) k(k)),
+mp AS (SELECT target, ref, ref_frame, (min(target_frame) + max(target_frame)) / 2 AS m FROM pth GROUP BY ALL),
+near AS (SELECT b.target, b.idx, median(m.m) FILTER (WHERE m.ref_frame < b.b) AS l, median(m.m) FILTER (WHERE m.ref_frame >= b.b AND m.ref_frame < b.b + 2) AS r, median(m.m) AS c
+  FROM bnd b JOIN mp m ON m.target = b.target AND m.ref_frame BETWEEN b.b - 2 AND b.b + 2 GROUP BY ALL),
+sim AS (SELECT b.target, b.idx, avg(p.distance) AS d FROM bnd b LEFT JOIN pth p ON p.target = b.target AND p.ref_frame BETWEEN b.b - 2 AND b.b + 1 GROUP BY ALL),
+raw AS (SELECT b.*, least(greatest(floor(CASE WHEN l IS NOT NULL AND r IS NOT NULL THEN (l + r) / 2 WHEN c IS NOT NULL THEN c ELSE b.b * b.tn / b.rn::DOUBLE END + 0.5), 1), b.tn - 1)::BIGINT AS raw_boundary,
+  CASE WHEN l IS NOT NULL AND r IS NOT NULL THEN 'two_sided_median' WHEN c IS NOT NULL THEN 'symmetric_median_fallback' ELSE 'duration_ratio_fallback' END AS method,
+  least(greatest(1 - coalesce(s.d, 2) / 2, 0), 1) AS conf FROM bnd b LEFT JOIN near n ON n.target = b.target AND n.idx = b.idx LEFT JOIN sim s ON s.target = b.target AND s.idx = b.idx),
+p1 AS (SELECT target, ref, rn, tn, max(raw_boundary) FILTER (WHERE idx = 1) AS r1, max(raw_boundary) FILTER (WHERE idx = 2) AS r2, max(raw_boundary) FILTER (WHERE idx = 3) AS r3 FROM raw GROUP BY ALL),
+p2 AS (SELECT *, greatest(2, least(r1, tn - 6)) AS b1 FROM p1), p3 AS (SELECT *, greatest(b1 + 2, least(r2, tn - 4)) AS b2 FROM p2), p4 AS (SELECT *, greatest(b2 + 2, least(r3, tn - 2)) AS b3 FROM p3),
+ends AS (SELECT target, ref, 0::BIGINT AS idx, 0::BIGINT AS bound, 0::BIGINT AS rb, NULL::DOUBLE AS conf, NULL::VARCHAR AS method, NULL::BIGINT AS raw_boundary FROM p4 UNION ALL SELECT target, ref, {PARTS}, tn, rn, NULL, NULL, NULL FROM p4
+  UNION ALL SELECT r.target, r.ref, r.idx, CASE r.idx WHEN 1 THEN b1 WHEN 2 THEN b2 ELSE b3 END, r.b, r.conf, r.method, r.raw_boundary FROM raw r JOIN p4 ON p4.target = r.target),
+seg AS (SELECT *, lead(bound) OVER w AS nb, lead(rb) OVER w AS nr, lead(conf) OVER w AS nc FROM ends WINDOW w AS (PARTITION BY target ORDER BY idx))""", """
+SELECT target, ref, idx AS segment_id, bound AS start_frame, nb AS end_frame, nb - bound AS num_frames, round(coalesce((conf + nc) / 2, conf, nc, 1), 6) AS confidence, rb AS ref_start, nr AS ref_end, method, raw_boundary, true AS valid
+FROM seg WHERE nb IS NOT NULL""", recursive=True)
+def h3_one(spark, sf):
+    """Labels of one reference brought to every target in one job: alignment, boundaries from both sides, contiguous segments of two frames at least,
+    similarity along the path, and the checks of the result."""
+    f = _unit(spark, sf)
+    pairs = _vector_pairs(spark, sf).groupBy("target").agg(F.min("ref").alias("ref"))
+    cells = Al.cell_distances(Al.dtw_paths(pairs, f, f, Al.one_reference()), f, f)
+    bounds = _vector_boundaries(spark, sf, pairs).withColumn("parts", F.lit(PARTS).cast("long"))
+    seg = cut_lineage(Vo.transfer_one_reference(bounds, cells, 2, 2))  # used twice
+    checked = seg.withColumnsRenamed({"target": "episode"}).withColumns({"pos": F.col("segment_id"), "end_inclusive": F.col("end_frame") - 1})
+    bad = segment_problems(checked, bounds.groupBy(F.col("target").alias("episode")).agg(F.max("target_n").alias("length"))).select(F.col("episode").alias("target"), F.lit(False).alias("ok")).distinct()
+    return v.rounded(seg.join(bad, "target", "left").withColumn("valid", F.coalesce("ok", F.lit(True))).drop("ok"))
+
+
 @query("h3_transfer_labels")
 def h3(spark, sf):
     """Aligned references vote on the boundaries of every target; the fused segments are checked before they count."""
