@@ -60,6 +60,28 @@ def test_writers(spark, tmp_path):
     assert {(r.id, r.extra) for r in spark.read.parquet(out).collect()} == {(1, 9), (2, 6)}
 
 
+def test_committed_episodes_survive_a_failed_run(spark, tmp_path):
+    out = str(tmp_path / "episodes")
+    rows = lambda *ids: spark.createDataFrame([(i, i * 2) for i in ids], "id long, x long")
+    ids = lambda: sorted(r.id for r in sinks.read_committed(spark, out).collect())
+    with pytest.raises(ValueError):
+        sinks.read_committed(spark, out)
+    assert sinks.commit_episodes(rows(1, 2), out) == 1 and ids() == [1, 2]
+    with pytest.raises(ValueError):
+        sinks.commit_episodes(rows(9), out)
+    broken = spark.range(100, numPartitions=4).select("id", F.when(F.col("id") == 99, F.raise_error(F.lit("a task fails")).cast("long")).otherwise(F.col("id")).alias("x"))
+    for mode in ("overwrite", "append"):
+        with pytest.raises(Exception, match="a task fails"):
+            sinks.commit_episodes(broken, out, mode)
+        assert ids() == [1, 2]
+    assert sinks.commit_episodes(rows(3).withColumn("y", F.lit(1)), out, "append") == 2 and ids() == [1, 2, 3]
+    assert sinks.commit_episodes(rows(7), out, "overwrite") == 3 and ids() == [7]
+    (tmp_path / "episodes" / "commits" / "0000000004").mkdir()  # another writer has taken the next number
+    with pytest.raises(Exception, match="exist"):
+        sinks.commit_episodes(rows(8), out, "overwrite")
+    assert ids() == [7]
+
+
 def test_file_list(spark, tmp_path):
     for name in ("a.txt", "sub/b.txt", ".cache/c.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True)

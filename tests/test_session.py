@@ -31,6 +31,12 @@ def test_folder_is_configured_or_an_error():
     assert session.checkpoint_dir(Settings({"spark.sql.warehouse.dir": "hdfs:/w"})) == "hdfs:/w/_checkpoints"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Settings())
+    local = {"spark.sql.warehouse.dir": "file:/w"}
+    assert session.checkpoint_dir(Settings({**local, "spark.master": "local[8]"})) == "file:/w/_checkpoints"
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="local folder"):
+            session.checkpoint_dir(Settings({**local, "spark.master": master}))
+        assert session.checkpoint_dir(Settings({**local, "spark.master": master, "spark.checkpoint.dir": "file:/shared"})) == "file:/shared"
 
 
 def test_checkpoints_lie_in_the_folder(spark):

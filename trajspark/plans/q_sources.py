@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from trajspark.sources import episodes as Ep, npz, sinks
 from trajspark.plans import views as v
 from trajspark.plans.registry import query
+from trajspark.session import checkpoint_dir
 
 
 @query("a1_read_frames", None, "SELECT conv_id, turn, role, NULL::BIGINT AS episode_index, 'conversations.parquet' AS file_name FROM conversations")
@@ -107,6 +109,19 @@ def a9(spark, sf):
     return plan.groupBy("status").agg(F.count(F.lit(1)).alias("episodes"))
 
 
+@query("a9_commit_episodes", None, """
+SELECT l_returnflag, count(*) AS frames, count(DISTINCT l_orderkey) AS episodes, round(sum(l_quantity), 6) AS quantity FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY l_returnflag""")
+def a9_commit(spark, sf):
+    """Episodes written in three commits (a run, one that replaces it, one that adds to it) and read back."""
+    path = f"{checkpoint_dir(spark)}/episodes-{uuid.uuid4().hex}"
+    li = v.table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", F.col("l_quantity").cast("double").alias("l_quantity"))
+    sinks.commit_episodes(li.where("l_orderkey % 3 = 0"), path)
+    sinks.commit_episodes(li.where("l_orderkey % 3 = 1"), path, "overwrite")
+    sinks.commit_episodes(li.where("l_orderkey % 3 = 2"), path, "append")
+    back = sinks.read_committed(spark, path)
+    return v.rounded(back.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("frames"), F.count_distinct("l_orderkey").alias("episodes"), F.sum("l_quantity").alias("quantity")))
+
+
 @query("a10_run_summary", v.FRAMES, """
 SELECT CASE WHEN grouping(episode) = 0 THEN 'episode' WHEN grouping(category) = 0 THEN 'category' ELSE 'total' END AS level, category, episode, count(*) AS frames,
   count(*) FILTER (WHERE event_type <> 'error') AS valid, count(*) FILTER (WHERE x > 100) AS high FROM frames GROUP BY GROUPING SETS ((), (category), (category, episode))""")

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all machines share: ``spark.checkpoint.dir`` of the session, else one below ``spark.sql.warehouse.dir``.
 
-    Neither is made up here: a folder of one machine would hide what executors write from the driver and from each other.
+    A local warehouse counts only on a local master. Neither is made up here: a folder of one machine would hide what executors write from the driver and from each other.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
     if not folder and not warehouse:
         raise ValueError("set spark.checkpoint.dir (or spark.sql.warehouse.dir) to a folder that the driver and all executors share")
+    if not folder and not re.match(r"local(\[|$)", spark.conf.get("spark.master", None) or "local") and re.match(r"file:|/", warehouse):
+        raise ValueError("set spark.checkpoint.dir: the warehouse is a local folder, which the machines of a cluster do not share")
     folder = (folder or f"{warehouse.rstrip('/')}/_checkpoints").rstrip("/")
     if not plain(spark.sparkContext.getCheckpointDir() or "").startswith(plain(folder)):
         spark.sparkContext.setCheckpointDir(folder)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
@@ -39,6 +42,47 @@ def write_episodes(df: DataFrame, path: str, overwrite: bool, partitions: list[s
     writer.parquet(path)
 
 
+def committed_runs(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """Number of the last commit of an output and the folders that make it up; (0, []) where nothing is committed."""
+    try:
+        commits = spark.read.schema("number LONG, run STRING").json(f"{path}/commits/*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0, []
+    last = commits.agg(F.max("number")).first()[0]
+    return (last, sorted(r.run for r in commits.where(F.col("number") == last).collect())) if last else (0, [])  # a row per kept run
+
+
+def commit_episodes(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
+    """Write episodes so that readers see all of a run or none of it; the number of the commit.
+
+    Rows are staged in a folder of their own by Spark's writer. Only when that has ended is a new commit written, a small table that names the
+    folders of the output: the new one (``overwrite``), or all so far and the new one (``append``). A run that fails, or is stopped, leaves the
+    last commit and its files as they are; of two writers with the same next number, one gets an error. ``errorifexists`` refuses a filled output.
+    """
+    spark = df.sparkSession
+    if mode not in ("errorifexists", "overwrite", "append"):
+        raise ValueError(f"unknown mode {mode}")
+    number, runs = committed_runs(spark, path)
+    if runs and mode == "errorifexists":
+        raise ValueError(f"{path} has committed episodes")
+    run = uuid.uuid4().hex
+    df.write.parquet(f"{path}/data/{run}")
+    kept = [run] if mode == "overwrite" else [*runs, run]
+    rows = spark.createDataFrame([(number + 1, r) for r in kept], "number LONG, run STRING")
+    rows.coalesce(1).write.mode("errorifexists").json(f"{path}/commits/{number + 1:010d}")
+    return number + 1
+
+
+def read_committed(spark: SparkSession, path: str) -> DataFrame:
+    """The episodes of the last commit of :func:`commit_episodes`; columns by name over all its runs."""
+    _, runs = committed_runs(spark, path)
+    if not runs:
+        raise ValueError(f"{path} has no committed episodes")
+    return spark.read.option("mergeSchema", "true").parquet(*[f"{path}/data/{r}" for r in runs])
+
+
 def run_summary(df: DataFrame, category: str, episode: str, counts: dict[str, Column]) -> DataFrame:
     """Counts overall, per category and per episode."""
     level = F.when(F.grouping(episode) == 0, "episode").when(F.grouping(category) == 0, "category").otherwise("total")
