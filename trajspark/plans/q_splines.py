@@ -46,7 +46,7 @@ def h4(spark, sf):
     return v.rounded(interpolating.summaries(out).select("episode", "status", "satisfied", "iterations", "frames", "knots", "max_severity", "limiting_error", "out_of_range_percent"))
 
 
-@query("h4_interpolating_invariants", """
+@query("h4_interpolating_invariants", None, """
 SELECT method, label::BIGINT AS episode, count(*) AS frames, true AS ends_are_knots, true AS gaps_kept, true AS through_frames, true AS limits_decide, true AS slopes_fit
 FROM embeddings, (VALUES ('pchip'), ('cubic')) m(method) GROUP BY ALL""")
 def h4_invariants(spark, sf):
@@ -92,7 +92,7 @@ def h5(spark, sf):
     return v.rounded(out.select("episode", "status", "satisfied", "iterations", "frames", "knots", "max_severity", "limiting_error", "out_of_range_percent"))
 
 
-@query("h5_bspline_invariants", """
+@query("h5_bspline_invariants", None, """
 SELECT label::BIGINT AS episode, count(*) AS frames, true AS ends_met, true AS knots_increase, true AS limits_decide, true AS all_channels, true AS least_squares FROM embeddings GROUP BY 1""")
 def h5_invariants(spark, sf):
     """What every fit must satisfy: normal equations of all channels without a residual, ends reproduced, knots in order, status by the limits."""
