@@ -106,6 +106,25 @@ def project_control_points(samples: DataFrame, ids: list[str], degree: int = 3,
     return spread(samples, *ids).mapInPandas(run, schema)
 
 
+def projection_residuals(solved: DataFrame, ids: list[str], degree: int = 3, eta_velocity: float = 0.1, eta_acceleration: float = 0.01, ridge: float = 1e-6) -> DataFrame:
+    """(ids, residual, rmse_gap): what the ridge equations of :func:`project_control_points` leave at given ``coefficients``, as a share of their right
+    side, and how far ``rmse`` is from the error of the positions. ``solved`` has the samples and the results."""
+    schema = ", ".join(f"{c} LONG" for c in ids) + ", residual DOUBLE, rmse_gap DOUBLE"
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for t, u, c, rmse, *goals in zip(*[batch[k] for k in ("knots", "phase", "coefficients", "rmse", "position", "velocity", "acceleration")]):
+                bases = [basis_matrix(t, np.asarray(u), degree, o) for o in range(3)]
+                weights = (1.0, eta_velocity, eta_acceleration)
+                right = sum(w * b.T @ g for w, b, g in zip(weights, bases, goals))
+                left = sum(w * b.T @ (b @ c) for w, b in zip(weights, bases)) + ridge * np.asarray(c)
+                out.append((float(np.abs(left - right).max() / max(np.abs(right).max(), 1e-12)), float(abs(np.sqrt(np.mean((bases[0] @ c - goals[0]) ** 2)) - rmse))))
+            yield batch[ids].assign(residual=[x[0] for x in out], rmse_gap=[x[1] for x in out])
+
+    return solved.select(*ids, "knots", "phase", "position", "velocity", "acceleration", "coefficients", "rmse").mapInPandas(run, schema)
+
+
 def score_pairs(pairs: DataFrame, scorer, columns: list[str], ids: list[str], schema: str) -> tuple[DataFrame, DataFrame]:
     """Batch-score valid pairs with a function of a pandas frame; (finite rows, counts per episode).
 

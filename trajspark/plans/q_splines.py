@@ -226,24 +226,36 @@ def h11(spark, sf):
     return v.rounded(K.overlapping_coefficients(iv, v.knots(spark, sf), ["frame"]), 4)
 
 
-@query("h12_project_control_points")
-def h12(spark, sf):
-    """Control values that best follow the values, slopes and curvatures of near-equal pieces of every episode, 16 to 31 frames each.
-
-    Shorter episodes are one piece. Slopes are per phase of the piece.
-    """
+def projection_samples(spark, sf):
+    """Values, slopes and curvatures of near-equal pieces of every episode, 16 to 31 frames each; shorter episodes are one piece. Slopes are per phase of the piece."""
     d = Wn.finite_differences(v.frames(spark, sf), EP, "frame", "n", "x", 1.0)
     count = F.greatest(F.floor(F.col("n") / 16), F.lit(1))
     number = F.floor(((F.col("frame") + 1) * count - 1) / F.col("n")).cast("long")  # the piece whose equal share holds the frame
     piece = d.withColumn("piece", number).groupBy("episode", "piece").agg(F.array_sort(F.collect_list(F.struct("frame", "x", "d1", "d2"))).alias("rows"))
     steps = F.greatest(F.size("rows") - 1, F.lit(1)).cast("double")
-    samples = piece.select("episode", "piece", F.array(*[F.lit(float(k)) for k in [0, 0, 0, 0, .25, .5, .75, 1, 1, 1, 1]]).alias("knots"),
+    return piece.select("episode", "piece", F.array(*[F.lit(float(k)) for k in [0, 0, 0, 0, .25, .5, .75, 1, 1, 1, 1]]).alias("knots"),
                            F.transform("rows", lambda r, i: i / steps).alias("phase"), F.transform("rows", lambda r: r["x"]).alias("position"),
                            F.transform("rows", lambda r: r["d1"] * steps).alias("velocity"), F.transform("rows", lambda r: r["d2"] * steps * steps).alias("acceleration"), F.size("rows").cast("long").alias("frames"))
-    out = fits.project_control_points(samples, ["episode", "piece", "frames"])
+
+
+@query("h12_project_control_points")
+def h12(spark, sf):
+    """Control values that best follow the values, slopes and curvatures of the pieces."""
+    out = fits.project_control_points(projection_samples(spark, sf), ["episode", "piece", "frames"])
     return v.rounded(out.select("episode", "piece", "frames", F.size("coefficients").cast("long").alias("control_points"), "rmse", "condition"), 3)
 
 
+@query("h12_projection_invariants", v.FRAMES + """,
+p AS (SELECT episode, ((frame + 1) * greatest(n // 16, 1) - 1) // n AS piece FROM frames)""", """
+SELECT episode, piece, count(*) AS frames, true AS solves_equations, true AS error_agrees FROM p GROUP BY ALL""")
+def h12_invariants(spark, sf):
+    """What every projection must satisfy: no residual of its ridge equations, and the error of its positions."""
+    ids = ["episode", "piece", "frames"]
+    samples = projection_samples(spark, sf)
+    left = fits.projection_residuals(samples.join(fits.project_control_points(samples, ids), ids), ids)
+    return left.select(*ids, (F.col("residual") < 1e-6).alias("solves_equations"), (F.col("rmse_gap") < 1e-9).alias("error_agrees"))
+
+
 @query("h13_score_pairs", v.VEC + """,
 nxt AS (SELECT episode, frame, vec, lead(vec) OVER (PARTITION BY episode ORDER BY frame) AS b FROM vec_frames)""", """
 SELECT episode, frame, round(1 - list_dot_product(vec, b) / greatest(sqrt(list_dot_product(vec, vec)) * sqrt(list_dot_product(b, b)), 1e-12), 6) AS score FROM nxt WHERE b IS NOT NULL AND frame % 10 <> 4""")
