@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -159,24 +160,27 @@ def dtw_paths(pairs: DataFrame, refs: DataFrame, targets: DataFrame, rule: Rule)
     return cells.drop("total", "first", "next_i", "next_j").join(totals, ["ref", "target"])
 
 
+def _after(tiles: DataFrame, edges: list[DataFrame], waves: list[int]) -> DataFrame:
+    """Tiles of some waves with their neighbours' edges, which the two waves before each of them hold; no other wave is read."""
+    near = [edges[w] for w in sorted({v - k for v in waves for k in (1, 2)}) if 0 <= w < len(edges)]
+    if not near:
+        return tiles.withColumns({c: F.lit(None).cast("array<double>") for c in ("top", "left", "corner")})
+    return _with_edges(tiles, reduce(DataFrame.unionByName, near))
+
+
 def _long_pairs(large: DataFrame, rb: DataFrame, tb: DataFrame, rule: Rule, waves: int) -> DataFrame:
     ti, tj = floor_div(F.col("_rn") - 1, rule.tile), floor_div(F.col("_tn") - 1, rule.tile)
-    edges = None
+    edges: list[DataFrame] = []  # by wave
     for w in range(waves + 1):
         wave = large.withColumn("ti", F.explode(F.sequence(F.greatest(F.lit(0), F.lit(w) - tj), F.least(F.lit(w), ti)).cast("array<bigint>")))
         wave = wave.where(F.lit(w) <= ti + tj).withColumn("tj", F.lit(w) - F.col("ti"))
-        if edges is None:
-            none = {c: F.lit(None).cast("array<double>") for c in ("top", "left", "corner")}
-            ready = wave.withColumns(none)
-        else:
-            ready = _with_edges(wave, edges.where(F.col("ti") + F.col("tj") >= w - 2))
-        done = cut_lineage(_with_vectors(ready, rb, tb).mapInPandas(_forward(rule), EDGES))
-        edges = done if edges is None else edges.unionByName(done)
+        edges.append(cut_lineage(_with_vectors(_after(wave, edges, [w]), rb, tb).mapInPandas(_forward(rule), EDGES)))
     at = large.select("ref", "target", (F.col("_rn") - 1).alias("at_i"), (F.col("_tn") - 1).alias("at_j"))
     path = None
     while True:
         here = at.withColumns({"ti": floor_div(F.col("at_i"), rule.tile), "tj": floor_div(F.col("at_j"), rule.tile)})
-        part = cut_lineage(_with_vectors(_with_edges(here, edges), rb, tb).mapInPandas(_backward(rule), CELLS))
+        now = [r.w for r in here.select((F.col("ti") + F.col("tj")).alias("w")).distinct().collect()]  # wave numbers
+        part = cut_lineage(_with_vectors(_after(here, edges, now), rb, tb).mapInPandas(_backward(rule), CELLS))
         kept = part if path is None else part.withColumn("first", F.lit(0).cast("long"))
         path = kept if path is None else path.unionByName(kept)
         at = part.where("first = 1 and next_i >= 0").select("ref", "target", F.col("next_i").alias("at_i"), F.col("next_j").alias("at_j"))
