@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions import vectors as V
 from trajspark.operators.blocks import floor_div, with_positions
-from trajspark.operators import align as Al, votes as Vo, windows as Wn
+from trajspark.operators import align as Al, nearest as Nr, votes as Vo, windows as Wn
 from trajspark.operators.segments import segment_problems
 from trajspark.plans import views as v
 from trajspark.plans.registry import query
@@ -20,11 +20,11 @@ def _unit(spark, sf, smooth: int = 3):
     return f.select("episode", "frame", "n", V.l2_normalize(F.col("m")).alias("vec"))
 
 
-def _vector_pairs(spark, sf):
-    """References are the first half of the labels in the table, targets the rest; each target has the reference at its place and the one before."""
+def _vector_pairs(spark, sf, around: int = 2):
+    """References are the first half of the labels in the table, targets the rest; each target has the reference at its place and those before, ``around`` in all."""
     labels = v.table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("e")).distinct()
     placed = with_positions(labels.withColumn("one", F.lit(1)), ["one"], floor_div(F.col("e"), 65536), ["e"], name="rk", total="m").withColumn("half", floor_div(F.col("m"), 2))
-    targets = placed.where("rk >= half and half > 0").select(F.col("e").alias("target"), F.explode(F.array_distinct(F.expr("array((rk - half) % half, (rk - half + half - 1) % half)"))).alias("rk"))
+    targets = placed.where("rk >= half and half > 0").select(F.col("e").alias("target"), F.explode(F.array_distinct(F.expr(f"transform(sequence(0, {around - 1}), j -> (rk - half + {around} * half - j) % half)"))).alias("rk"))
     return targets.join(placed.where("rk < half").select(F.col("e").alias("ref"), "rk"), "rk").select("ref", "target")
 
 
@@ -33,13 +33,13 @@ labs AS (SELECT episode AS e, row_number() OVER (ORDER BY episode) - 1 AS rk, co
 vpairs AS (SELECT DISTINCT r.e AS ref, t.e AS target FROM labs t JOIN labs r ON t.rk >= t.half AND r.rk < r.half AND r.rk IN ((t.rk - t.half) % t.half, (t.rk - 1) % t.half))"""
 
 
-def _warped(kind, order, vertical, horizontal, diagonal, prior, ceiling):
+def _warped(kind, order, vertical, horizontal, diagonal, prior, ceiling, paired=PAIRED):
     """Time warping in SQL: costs along anti-diagonals as lists by reference frame, then the path back from the last cell; ``order`` breaks ties."""
     came = {"D": f"coalesce(b.dd[b.i + b.j - 1][b.i] + {diagonal}::{kind}, 'inf')", "V": f"coalesce(b.dd[b.i + b.j][b.i] + {vertical}::{kind}, 'inf')", "H": f"coalesce(b.dd[b.i + b.j][b.i + 1] + {horizontal}::{kind}, 'inf')"}
     first, second, third = (came[c] for c in order)
     move = f"CASE WHEN {first} <= {second} AND {first} <= {third} THEN '{order[0]}' WHEN {second} <= {third} THEN '{order[1]}' ELSE '{order[2]}' END"
     phase = f"{prior} * abs(r.frame / greatest(r.n - 1, 1)::DOUBLE - t.frame / greatest(t.n - 1, 1)::DOUBLE)"
-    return PAIRED + f""",
+    return paired + f""",
 smooth AS (SELECT a.episode, a.frame, a.n, list_transform(generate_series(1, len(a.vec)), lambda k: (p.vec[k] + a.vec[k] + q.vec[k]) / 3) AS vec FROM vec_frames a
   JOIN vec_frames p ON p.episode = a.episode AND p.frame = greatest(a.frame - 1, 0) JOIN vec_frames q ON q.episode = a.episode AND q.frame = least(a.frame + 1, a.n - 1)),
 unit AS (SELECT episode, frame, n, list_transform(vec, lambda x: x / greatest(sqrt(list_dot_product(vec, vec)), 1e-12)) AS vec FROM smooth),
@@ -90,6 +90,20 @@ def h2(spark, sf):
     return v.rounded(Al.pair_costs(Al.dtw_paths(_vector_pairs(spark, sf), f, f, Al.many_references())))
 
 
+AROUND = 8
+ROTATED = PAIRED.replace("((t.rk - t.half) % t.half, (t.rk - 1) % t.half)", "(" + ", ".join(f"(t.rk - t.half + {AROUND} * t.half - {j}) % t.half" for j in range(AROUND)) + ")")
+
+
+@query("f1_nearest_references", _warped("FLOAT", "VHD", 0.0, 0.0, 0.0, 0.0, 2, ROTATED) + """,
+costs AS (SELECT target, ref, max(total) AS accumulated_cost, count(*) AS path_length, max(total) / count(*) AS cost FROM warped GROUP BY target, ref)""", """
+SELECT target, ref, rk, round(cost, 6) AS normalized_cost, round(accumulated_cost, 6) AS accumulated_cost, path_length, n_pairs
+FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY cost, ref) AS rk, count(*) OVER (PARTITION BY target) AS n_pairs FROM costs) WHERE rk <= 2""", recursive=True)
+def f1_nearest(spark, sf):
+    """The two references of least warping cost among eight per target; the SQL warps all of them."""
+    f = _unit(spark, sf)
+    return v.rounded(Nr.nearest_references(_vector_pairs(spark, sf, AROUND), f, f, Al.many_references(), 2).drop("n_warped"))
+
+
 def _vector_boundaries(spark, sf, pairs):
     """Inner boundaries of equal segments of every reference, next to the lengths of both episodes."""
     n = v.table(spark, sf, "embeddings").groupBy(F.col("label").cast("long").alias("e")).agg(F.count(F.lit(1)).alias("n"))
