@@ -107,3 +107,10 @@ def test_explode_range_crosses_blocks(spark):
     df = spark.createDataFrame([("a", 3, 25), ("b", -7, -7), ("c", 9, 10)], "k string, lo long, hi long")
     got = sorted((r.k, r.i) for r in explode_range(df, ["k"], "lo", "hi", "i", 10).collect())
     assert got == [("a", i) for i in range(3, 26)] + [("b", -7), ("c", 9), ("c", 10)]
+
+
+def test_windows_wider_than_a_block(spark):
+    rows = spark.range(300).select(F.lit(1).alias("k"), F.col("id").alias("pos"))
+    cut, window = blocks.halo(rows, ["k"], "pos", 40, 25, size=16)
+    got = {r.pos: r.s for r in blocks.core(cut.withColumn("s", F.sum("pos").over(window.rowsBetween(-40, 25)))).collect()}
+    assert got == {i: sum(range(max(0, i - 40), min(299, i + 25) + 1)) for i in range(300)}

@@ -67,10 +67,9 @@ def halo(df: DataFrame, keys: list[str], pos: str, before: int, after: int,
     """Blocks of ``size`` positions, each with copies of the neighbours its windows reach.
 
     Returns the frame with ``_blk`` and ``_core`` and the window to use; keep ``_core`` rows afterwards
-    (``core``). A row is copied only when it lies within ``before``/``after`` of a block edge.
+    (``core``). A row is copied only when it lies within ``before``/``after`` of a block edge; wider windows get larger blocks.
     """
-    if before >= size or after >= size:
-        raise ValueError(f"window reach {before}/{after} must be below the block size {size}")
+    size = max(size, before + after + 1)
     first = F.greatest(floor_div(F.col(pos) - after, size), F.lit(0))
     last = floor_div(F.col(pos) + before, size)
     out = (df.withColumn("_blk", F.explode(F.sequence(first, last)))
