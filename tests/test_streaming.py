@@ -1,8 +1,11 @@
 """The stateful stream equals its batch twins, also when a session spans several micro-batches."""
 
 import datetime as dt
+import random
 
-from trajspark.streaming import sessions as Ss
+from pyspark.sql import functions as F
+
+from trajspark.streaming import bounded as Bs, sessions as Ss
 
 ROWS = [  # session, seq, call, value, valid, reset
     (1, 0, 5, 1.0, False, False), (1, 1, 5, 2.0, True, False), (1, 2, 6, 3.0, False, False), (1, 3, 6, 4.0, True, True), (1, 4, 7, 5.0, False, False),
@@ -43,3 +46,50 @@ def test_idle_session_is_forgotten(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     out = {(r.session, r.seq): r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert out[1, 1].source == "invalid" and out[1, 1].history == [0.0, 2.0]
+
+
+def _bounded(spark, tmp_path, steps, most, **options):
+    """Each step is the file of one micro-batch; rows are (session, seq, call, value, valid, reset, day)."""
+    base = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    for i, rows in enumerate(steps):
+        part = spark.createDataFrame([(*r, base + dt.timedelta(days=day)) for *r, day in rows], SCHEMA + ", ts timestamp")
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, Bs.ROCKS)
+    try:
+        stream = spark.readStream.schema(SCHEMA + ", ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+        Bs.bounded_session_stream(stream, 3, most, shard=F.col("session") % 2, **options).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return {(r.session, r.seq): r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+
+def test_least_recently_used_session_leaves_a_full_shard(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.randrange(14), seq, rng.randrange(3), float(seq), rng.random() < 0.5, rng.random() < 0.1, 0) for seq in range(400)]
+    out = _bounded(spark, tmp_path, [rows[:150], rows[150:160], rows[160:]], 4)
+    assert len(out) == len(rows)
+    shards, pushed = ({}, {}), 0
+    for name, seq, call, value, valid, reset, _ in rows:
+        live = shards[name % 2]
+        state = live.pop(name, None)
+        if state is None:
+            state = Ss.SessionState(3)
+            if len(live) == 4:
+                live.pop(next(iter(live)))
+                pushed += 1
+        live[name] = state
+        accepted, history, mask, answer, source = state.observe(call, value, valid, reset)
+        got = out[name, seq]
+        assert (got.accepted, got.history, got.mask, got.answer, got.source) == (accepted, history, mask, answer, source)
+    assert pushed > 50
+
+
+def test_bounded_sessions_idle_and_late(spark, tmp_path):
+    steps = [[(2, 0, 0, 1.0, True, False, 0)], [(4, 1, 0, 1.0, True, False, 20)], [(4, 2, 1, 1.0, True, False, 21)], [(2, 3, 1, 2.0, False, False, 22)], [(6, 4, 1, 2.0, True, False, 3)]]
+    out = _bounded(spark, tmp_path, steps, 4)
+    assert out[2, 3].source == "invalid" and out[2, 3].history == [0.0, 0.0, 2.0]  # forgotten when idle for a day
+    assert (6, 4) not in out  # later than the watermark
+    assert out[4, 2].history == [0.0, 1.0, 1.0]

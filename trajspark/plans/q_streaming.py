@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trajspark.plans import views as v
 from trajspark.plans.registry import query
 from trajspark.session import checkpoint_dir
-from trajspark.streaming import sessions as Ss
+from trajspark.streaming import bounded as Bs, sessions as Ss
 
 SESSIONS = v.FRAMES + """,
 ss AS (SELECT episode AS session, frame AS seq, floor(x / 40)::BIGINT AS call_index, x AS value, event_type <> 'error' AS valid, event_type = 'signup' AS reset FROM frames),
@@ -92,17 +92,42 @@ def _request_stream(spark, sf):
         (F.col("event_type") != "error").alias("valid"), (F.col("event_type") == "signup").alias("reset"))
 
 
-@query("i3_session_stream", SESSIONS.replace("frame AS seq", "event_id AS seq"), """
+NEWEST = """
 SELECT a.session, a.seq, a.accepted, (SELECT arg_max(k.value, k.seq) FROM kept k WHERE k.session = a.session AND k.life = a.life AND k.seq <= a.seq) AS newest,
   least((SELECT count(*) FROM kept k WHERE k.session = a.session AND k.life = a.life AND k.seq <= a.seq), 4) AS filled,
-  f.answer, f.source FROM acc a JOIN (""" + FALLBACK.replace("SELECT session, seq,", "SELECT session, seq,", 1) + ") f ON f.session = a.session AND f.seq = a.seq")
+  f.answer, f.source FROM acc a JOIN (""" + FALLBACK + ") f ON f.session = a.session AND f.seq = a.seq"
+
+
+@query("i3_session_stream", SESSIONS.replace("frame AS seq", "event_id AS seq"), NEWEST)
 def i3(spark, sf):
     """The stateful stream itself: history, retries, resets and fallback in one keyed state."""
-    out = run_stream(Ss.session_stream(_request_stream(spark, sf), 4, ttl_seconds=400 * 86400))
+    return _newest(run_stream(Ss.session_stream(_request_stream(spark, sf), 4, ttl_seconds=400 * 86400)))
+
+
+def _newest(out):
     return out.select("session", "seq", "accepted", F.element_at("history", -1).alias("newest"),
                       F.size(F.filter("mask", lambda m: m)).cast("long").alias("filled"), "answer", "source")
 
 
+MOST, SHARDS = 24, 4
+FORGOTTEN = SESSIONS.replace("frame AS seq", "event_id AS seq").replace("lives AS (", f"""used AS (SELECT *, session % {SHARDS} AS shard, lag(seq) OVER (PARTITION BY session ORDER BY seq) AS prev FROM ss),
+gone AS (SELECT u.session, u.seq FROM used u JOIN used o ON o.shard = u.shard AND o.seq > u.prev AND o.seq < u.seq AND coalesce(o.prev, -1) < u.prev GROUP BY ALL HAVING count(*) >= {MOST}),
+marked AS (SELECT ss.* REPLACE (reset OR g.seq IS NOT NULL AS reset) FROM ss LEFT JOIN gone g ON g.session = ss.session AND g.seq = ss.seq),
+lives AS (""").replace("AS life FROM ss)", "AS life FROM marked)")
+
+
+@query("i3_bounded_sessions", FORGOTTEN, NEWEST)
+def i3_bounded(spark, sf):
+    """The stream with at most 24 live sessions a shard: a session that 24 others have pushed out starts anew. In SQL: as many others since its last request."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, Bs.ROCKS)
+    try:
+        return _newest(run_stream(Bs.bounded_session_stream(_request_stream(spark, sf), 4, MOST, shard=F.col("session") % SHARDS, ttl_seconds=400 * 86400)))
+    finally:
+        spark.conf.set(provider, before)
+
+
 TELEMETRY = """
 SELECT epoch_us(date_trunc('day', ts)) // 1000000 AS window_start, event_type AS source, count(*) AS requests, round(avg(value), 6) AS mean_latency, max(value) AS max_latency FROM events GROUP BY 1, 2"""
 

@@ -1,8 +1,8 @@
 """Per-session stream operators and their batch twins.
 
 A session keeps its last ``length`` accepted observations, drops a repeated call, starts over on a reset and answers an
-invalid result with its last valid one. State lives in keyed state with a time-to-live per session, which replaces a global
-least-recently-used limit.
+invalid result with its last valid one. State lives in keyed state with a time-to-live per session; :mod:`bounded` adds a least-recently-used
+limit per shard.
 """
 
 from __future__ import annotations
@@ -64,12 +64,16 @@ def session_stream(stream: DataFrame, length: int = 4, ttl: str = "1 day", ttl_s
         state.update((session.history, session.last_call, session.last_valid))
         state.setTimeoutTimestamp(max(newest + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
-    rows = stream.withWatermark("ts", ttl).select(
-        "session", "seq", "ts", F.unix_millis("ts").alias("ms"), "call_index", "value", "valid", "reset")
-    return rows.groupBy("session").applyInPandasWithState(
+    return plain_rows(stream, ttl).groupBy("session").applyInPandasWithState(
         update, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def plain_rows(stream: DataFrame, ttl: str) -> DataFrame:
+    """The columns that keyed state takes, with a watermark and event times in milliseconds."""
+    return stream.withWatermark("ts", ttl).select(
+        "session", "seq", "ts", F.unix_millis("ts").alias("ms"), "call_index", "value", "valid", "reset")
+
+
 def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows = pd.concat(list(batches), ignore_index=True).sort_values("seq")
     if len(rows):
