@@ -310,6 +310,45 @@ def test_articles_in_marked_wrappers():
     assert html.main_text("<form><p>Your name</p></form><p>text</p>") == "text"
 
 
+LINE = "Words of a paragraph that goes on for a while and says what the page is about. "
+
+
+@pytest.mark.parametrize("name", ["sidebar-layout", "widget-page", "site ads", "search results"])
+def test_names_of_wrappers_around_the_page_decide_nothing(name):
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(8)) + "</ul>"
+    inner = f"<nav>Menu of the site</nav>{menu}<h1>A title</h1><p>{LINE * 3}</p><p>{LINE * 2}</p><p>{LINE * 12}</p>"
+    small = "<div class='comment'><p>I liked this one.</p></div><div class='cookie-notice'>We set cookies.</div><footer>Imprint</footer>"
+    want = "\n".join(["A title", *(" ".join((LINE * n).split()) for n in (3, 2, 12))])
+    page = f"<body><div class='{name}'>{inner}{small}</div></body>"
+    assert html.main_text(page) == want
+    blocks = html.text_blocks(page)
+    rows = html.features(blocks)
+    kept = [html.judge(html.trained(), r) >= 0.5 for r in rows]
+    assert sum(k for k, r in zip(kept, rows) if r[6] > 0) == 4  # marked and kept
+    mixed = rows.copy()
+    mixed[:, [1, 3, 5]] = rows[::-1][:, [1, 3, 5]]
+    assert [html.judge(html.trained(), r) >= 0.5 for r in mixed] != kept  # densities decide
+    unmarked = page.replace(f" class='{name}'", "")
+    assert html.main_text(unmarked) == want  # unmarked link lists leave by density
+    # a part of the page is clutter by its name, also where it is most of the page
+    article = f"<article><p>{LINE}</p></article>"
+    assert html.main_text(article + f"<div class='comments'>{inner}</div>") == LINE.strip()
+    assert html.main_text(f"<main><p>{LINE}</p><div class='{name}'><p>{LINE * 40}</p></div></main>") == LINE.strip()
+    assert html.main_text(f"<p>{LINE * 3}</p><div class='comments'><p>{LINE * 9}</p><p>{LINE}</p></div>") == (LINE * 3).strip()
+    assert html.main_text("<div class='cookie-notice'><p>We set cookies.</p></div>") == ""
+
+
+def test_marks_in_linear_time():
+    import time
+    for pattern in ("<div class=ad>", "<form><nav>", "<form>" + "<div class=ad>" * 9, "<div class=ad><article>x", "<p>x<div class=ad>y</div>"):
+        took = []
+        for n in (4_000, 40_000):
+            start = time.perf_counter()
+            html.main_text("text " + pattern * n)
+            took.append(time.perf_counter() - start)
+        assert took[1] < 40 * max(took[0], 0.02), (pattern, took)
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", ""), (3, "w", "<p>caf\u00e9 𝒳")]
     got = html.extract(page_rows(spark, rows)).collect()

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from trajspark.llm.blocks_table import LABELLED
 from trajspark.llm.common import small_batches
 
-FEATURES = ["words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_clutter", "in_article"]
-DEPTH, LEAST = 7, 1
+FEATURES = ["words", "link_density", "words_before", "density_before", "words_after", "density_after", "marked", "in_article", "beside_article"]
+DEPTH, LEAST = 8, 1
+FAINT = 0.01
+MARKS = (1, 3)
 
 # Element names by what they mean for the text around them.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup "
@@ -54,7 +56,7 @@ def names_of(attributes: str) -> Iterator[list[str]]:
 
 
 def kind_of(name: str, attributes: str, inside: bool) -> int:
-    """1: clutter, 2: article, 0: neither; ``inside``: in an article already."""
+    """1: clutter, 2: article, 3: clutter by a name only, 0: none; ``inside``: in an article already."""
     if name in CLUTTER:
         return 1
     if name == "header":
@@ -63,7 +65,7 @@ def kind_of(name: str, attributes: str, inside: bool) -> int:
         for words in names_of(attributes):
             hints = {w for w in words if w in HINTS or w.startswith(STEMS)}
             if hints - {"header"} or hints and not (inside or re.match("h[1-6]$", name) or OWN.intersection(words)):
-                return 1
+                return 3
     if name in ARTICLE or name == "div" and re.search(r"\b(?:role\s*=\s*[\"']?main|itemprop\s*=\s*[\"']?articleBody)\b", attributes):
         return 2
     return 0
@@ -120,8 +122,10 @@ CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
 def text_blocks(page: str) -> list[tuple[str, list[float]]]:
-    """The text blocks of a page in order, with words, link density, in clutter, in article.
+    """The text blocks of a page in order, with words, link density, marked, in article, beside an article.
 
+    Elements like navigation mark with 1. A name is soft evidence: it marks with one less the share of the page's words that its element holds,
+    so a name on a wrapper around the whole page says nearly nothing, and one on a part of it nearly as much as an element does.
     An article that opens in clutter ends the mark for its own content, but for those in asides and the like, comments and teasers. A form
     whose names do not say clutter, with an article or the navigation, header or footer of the page in it, is none.
     """
@@ -132,11 +136,18 @@ def text_blocks(page: str) -> list[tuple[str, list[float]]]:
     holders: list[int] = []  # of elements that hold articles of their own,
     forms: list[tuple[int, int]] = []  # of forms that may be around the page, with the number of blocks before
     freed: list[tuple[int, int]] = []  # blocks from .. to lose a mark
+    named: list[list[int]] = []  # first and last block of elements that a name marks
+    active: list[tuple[int, int, bool]] = []  # marks: place in the stack, number in named or -1, whether an element is among it and those around it
+    marked_by: list[int] = []  # per block: number in named, -1 for an element, -2 for nothing
     clutter = article = links = at = 0
     seen = False  # an article
     parts: list[str] = []
     linked: list[str] = []
 
+    def within() -> bool:
+        """Whether the innermost mark counts here: no article inside it ended it."""
+        return bool(active) and (not ended or active[-1][0] > ended[-1])
+
     def flush() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
@@ -144,6 +155,7 @@ def text_blocks(page: str) -> list[tuple[str, list[float]]]:
                 words = len(text.split())
                 share = len(" ".join(unescape("".join(linked)).split()).split()) / words
                 out.append((text, [float(words), min(1.0, share), float(clutter), float(article > 0)]))
+                marked_by.append(-2 if not clutter else -1 if not within() or active[-1][2] else active[-1][1])
             parts.clear()
             linked.clear()
 
@@ -151,7 +163,7 @@ def text_blocks(page: str) -> list[tuple[str, list[float]]]:
         nonlocal clutter, article, links
         name, kind, marks = stack.pop()
         open_names[name] -= 1
-        clutter += marks - (kind == 1)
+        clutter += marks - (kind in MARKS)
         article -= kind == 2
         links -= name == "a"
         for places in (ended, holders):
@@ -159,8 +171,24 @@ def text_blocks(page: str) -> list[tuple[str, list[float]]]:
                 places.pop()
         while forms and forms[-1][0] >= len(stack):
             forms.pop()
+        while active and active[-1][0] >= len(stack):
+            number = active.pop()[1]
+            if number >= 0:
+                named[number][1] = len(out)
         return name
 
+    def free(lowest: int, places: set[int]) -> None:
+        """Marks from a place on anew, without those at some places."""
+        above = []
+        while active and active[-1][0] >= lowest:
+            above.append(active.pop())
+        for place, number, _ in reversed(above):
+            if place not in places:
+                mark(place, number)
+
+    def mark(place: int, number: int) -> None:
+        active.append((place, number, number < 0 or within() and active[-1][2]))
+
     def add(text: str) -> None:
         parts.append(text)
         if links:
@@ -198,6 +226,7 @@ def text_blocks(page: str) -> list[tuple[str, list[float]]]:
                 clutter -= 1
                 freed.append((before, len(out)))
             if forms:
+                free(forms[0][0], {place for place, _ in forms})
                 holders = [h for h in holders if h not in {place for place, _ in forms}]
                 forms.clear()
         marks, holds = 0, False
@@ -207,17 +236,21 @@ def text_blocks(page: str) -> list[tuple[str, list[float]]]:
             if clutter and (name != "article" or (own & OWN or not own & HINTS) and not (holders and holders[-1] >= inner)):
                 marks, clutter = clutter, 0
             seen = seen or clutter == 0 and (name == "article" or "articleBody" in attributes)
-        elif kind == 1:
+        elif kind in MARKS:
             holds = name in HOLDS or seen and not BESIDE.isdisjoint(set().union(*names_of(attributes)))
         if marks:
             ended.append(len(stack))
         if holds:
             holders.append(len(stack))
-        if kind == 1 and name == "form" and kind_of("div", attributes, article > 0) != 1:
+        if kind == 1 and name == "form" and kind_of("div", attributes, article > 0) not in MARKS:
             forms.append((len(stack), len(out)))
+        if kind in MARKS:
+            mark(len(stack), -1 if kind == 1 else len(named))
+            if kind == 3:
+                named.append([len(out), -1])
         stack.append((name, kind, marks))
         open_names[name] += 1
-        clutter += kind == 1
+        clutter += kind in MARKS
         article += kind == 2
         links += name == "a"
     if at < len(page):
@@ -229,7 +262,19 @@ def text_blocks(page: str) -> list[tuple[str, list[float]]]:
         fewer[a] += 1
         fewer[b] -= 1
     fewer = list(accumulate(fewer))
-    return [(text, [*f[:2], float(f[2] > fewer[k]), f[3]]) for k, (text, f) in enumerate(out)]
+    before = [0.0, *accumulate(f[0] for _, f in out)]
+
+    def marked(k: int) -> float:
+        if out[k][1][2] <= fewer[k]:
+            return 0.0
+        if marked_by[k] < 0:
+            return 1.0
+        a, b = named[marked_by[k]]
+        return max(FAINT, 1 - (before[b if b >= 0 else -1] - before[a]) / before[-1])
+
+    marks_of = [marked(k) for k in range(len(out))]
+    own_text = any(f[3] and not m for (_, f), m in zip(out, marks_of))
+    return [(text, [*f[:2], m, f[3], float(own_text and not f[3])]) for (text, f), m in zip(out, marks_of)]
 
 
 def features(blocks: list[tuple[str, list[float]]]) -> np.ndarray:
@@ -237,7 +282,7 @@ def features(blocks: list[tuple[str, list[float]]]) -> np.ndarray:
     if not blocks:
         return np.zeros((0, len(FEATURES)))
     own = np.array([f for _, f in blocks])
-    near = np.vstack([np.zeros(4), own, np.zeros(4)])
+    near = np.vstack([np.zeros(5), own, np.zeros(5)])
     return np.column_stack([own[:, :2], near[:-2, :2], near[2:, :2], own[:, 2:]])
 
 
@@ -294,8 +339,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text and n_chars (its code points).
 
     Markup is cut into flat blocks at block elements; comments, scripts, styles and the like are no text. A block has its word count and
-    link density, those of its neighbours, and whether it lies in clutter (navigation, footers, forms, and elements whose names say so) or in
-    an article. A decision tree trained on the labelled table of :mod:`blocks_table` keeps or drops it. Kept blocks have their character
+    link density, those of its neighbours, how far it is marked as clutter (1 in navigation, footers and forms; less in elements whose names say so, the
+    more of the page they hold), and whether it lies in or beside an article. A decision tree trained on the labelled table of :mod:`blocks_table` keeps or drops it. Kept blocks have their character
     references decoded and white space joined, and are put together in page order by line feeds; nothing is capped.
 
     Null and empty html, and pages without a kept block, have an empty text. Malformed and cut-off markup is read as far as it goes.
