@@ -77,3 +77,11 @@ def test_transfer_from_one_reference(spark):
     assert [r.confidence for r in got] == pytest.approx([near[0], sum(near) / 2, near[1]])
     with pytest.raises(PySparkException):
         Vo.transfer_one_reference(bounds, cells, 2, 7).collect()
+
+
+def test_provenance_of_a_transfer(spark):
+    from trajspark.operators import votes as Vo
+    costs = spark.createDataFrame([(1, 5, 0.3), (1, 4, 0.1), (1, 3, 0.1), (1, 2, 0.9), (2, 7, 0.5)], "target long, ref long, cost double")
+    got = {r.target: (r.best_ref, r.best_cost, round(r.mean_cost, 6), r.num_references) for r in Vo.transfer_provenance(costs, 3).collect()}
+    assert got == {1: (3, 0.1, 0.166667, 3), 2: (7, 0.5, 0.5, 1)}
+    assert Vo.transfer_provenance(costs.where("target > 9"), 3).count() == 0

@@ -123,6 +123,16 @@ def transfer_segments(scored: DataFrame, labels: Column) -> DataFrame:
     return segments_from_boundaries(inner.unionByName(outer), ["target"]).withColumn("label", labels)
 
 
+def transfer_provenance(costs: DataFrame, k: int) -> DataFrame:
+    """Where the labels of a target come from: its best reference with its cost, and the mean cost and number of the ``k`` that vote.
+
+    ``costs`` have one row (target, ref, cost) per pair; ties go to the smaller ref.
+    """
+    chosen = top_k(costs.select(*PAIR, "cost"), ["target"], "cost", "ref", k)
+    return chosen.groupBy("target").agg(F.min_by("ref", "rk").alias("best_ref"), F.min("cost").alias("best_cost"), F.avg("cost").alias("mean_cost"),
+                                        F.count(F.lit(1)).alias("num_references"))
+
+
 def transfer_one_reference(boundaries: DataFrame, cells: DataFrame, window: int, min_segment: int = 1) -> DataFrame:
     """Segments of every target from one reference: boundaries between the matches left and right of each reference boundary, made contiguous, with
     the similarity of the path around them and where each segment comes from.

@@ -150,24 +150,6 @@ def h3_one(spark, sf):
     return v.rounded(seg.join(bad, "target", "left").withColumn("valid", F.coalesce("ok", F.lit(True))).drop("ok"))
 
 
-@query("h3_transfer_labels")
-def h3(spark, sf):
-    """Aligned references vote on the boundaries of every target; the fused segments are checked before they count."""
-    f = _unit(spark, sf)
-    pairs = _vector_pairs(spark, sf)
-    cells = cut_lineage(Al.dtw_paths(pairs, f, f, Al.many_references()))  # used several times
-    voted = Vo.window_median_boundary(_vector_boundaries(spark, sf, pairs), cells, Vo.frame_mapping(cells), 2)
-    voted = Vo.projected_votes(voted.withColumn("parts", F.lit(PARTS).cast("long")))
-    costs = Al.pair_costs(cells).select("ref", "target", F.col("normalized_cost").alias("cost"))
-    votes = voted.join(costs, ["target", "ref"]).withColumn("weight", Vo.reference_weight("cost", 0.25))
-    scored = Vo.boundary_confidence(Vo.fuse_boundaries(votes, 2), 0.25)
-    seg = Vo.transfer_segments(scored, F.concat(F.lit("seg_"), F.col("segment_id").cast("string")))
-    checked = seg.withColumnsRenamed({"target": "episode"}).withColumns({"pos": F.col("segment_id"), "end_inclusive": F.col("end_frame") - 1})
-    lengths = scored.groupBy(F.col("target").alias("episode")).agg(F.max("target_n").alias("length"))
-    bad = segment_problems(checked, lengths).select(F.col("episode").alias("target")).distinct()
-    return v.rounded(seg.join(bad, "target", "left_anti"))
-
-
 VOTED = v.REFERENCES + f""",
 vp AS (SELECT *, CASE WHEN (target + ref) % 5 = 1 THEN tn ELSE (target * 7 + ref * 3) % 3 END AS jit, CASE WHEN (target + ref) % 4 = 0 THEN least(tn, 3) ELSE tn END AS span,
   ((target * 31 + ref * 17) % 97) / 197.0::DOUBLE AS cost FROM bound),
@@ -244,13 +226,18 @@ def d15(spark, sf):
     return v.rounded(Vo.boundary_similarity(bounds, path, 1))
 
 
-FUSED = VOTED + _votes_ctes(2) + f""",
-best AS (SELECT target, ref FROM (SELECT target, ref, row_number() OVER (PARTITION BY target ORDER BY cost, ref) AS rk FROM vp) WHERE rk <= 3),
-top AS (SELECT v.*, sum(weight) OVER (PARTITION BY target, idx ORDER BY vote, ref) AS cum, sum(weight) OVER (PARTITION BY target, idx) AS tot FROM votes v JOIN best USING (target, ref)),
+def _fused_ctes(k: int) -> str:
+    """The votes of the k best references per target, put together; written for PARTS = 4."""
+    return f""",
+best AS (SELECT target, ref, cost, rk FROM (SELECT target, ref, cost, row_number() OVER (PARTITION BY target ORDER BY cost, ref) AS rk FROM vp) WHERE rk <= {k}),
+top AS (SELECT v.*, sum(weight) OVER (PARTITION BY target, idx ORDER BY vote, ref) AS cum, sum(weight) OVER (PARTITION BY target, idx) AS tot FROM votes v SEMI JOIN best USING (target, ref)),
 st AS (SELECT target, idx, min(vote) FILTER (WHERE cum >= tot * 0.5) AS weighted_median, min(vote) AS vote_min, max(vote) AS vote_max, stddev_pop(vote) AS vote_std, count(*) AS num_votes, avg(cost) AS mean_cost, max(tn) AS tn FROM top GROUP BY target, idx),
 mono AS (SELECT *, idx + greatest(0, max(least(weighted_median - idx, tn - {PARTS})) OVER (PARTITION BY target ORDER BY idx)) AS boundary FROM st)"""
 
 
+FUSED = VOTED + _votes_ctes(2) + _fused_ctes(3)
+
+
 @query("d12_weighted_median", FUSED, 'SELECT target, idx AS "index", weighted_median FROM st')
 def d12(spark, sf):
     from trajspark.operators.sampling import top_k
@@ -271,3 +258,35 @@ SELECT target, idx AS "index", round(1 / (1 + vote_std / 5), 6) AS agreement, ro
 def d14(spark, sf):
     scored = Vo.boundary_confidence(Vo.fuse_boundaries(_votes(spark, sf, 2), 3), 0.25)
     return v.rounded(scored.select("target", "index", "agreement", "match_quality", "confidence"))
+
+
+TRANSFER = _warped("FLOAT", "VHD", 0.0, 0.0, 0.0, 0.0, 2) + f""",
+vp AS (SELECT w.target, w.ref, d.rn, d.tn, max(w.total) / count(*) AS cost FROM warped w JOIN done d ON d.ref = w.ref AND d.target = w.target GROUP BY ALL),
+path AS (SELECT target, ref, ref_frame, target_frame FROM warped),
+mapping AS (SELECT target, ref, ref_frame, median(target_frame) AS target_median FROM path GROUP BY ALL),
+bnd AS (SELECT target, ref, k.k AS idx, k.k * (rn // {PARTS}) + least(k.k, rn % {PARTS}) AS b, rn, tn, cost FROM vp, range(1, {PARTS}) k(k))""" + _votes_ctes(2) + _fused_ctes(2) + f""",
+conf AS (SELECT *, least(greatest(1 / (1 + vote_std / 5) * exp(-mean_cost / 0.25), 0), 1) AS conf FROM mono),
+ends AS (SELECT target, idx, boundary AS bound, conf FROM conf UNION ALL SELECT target, 0, 0, NULL FROM conf GROUP BY target UNION ALL SELECT target, {PARTS}, max(tn), NULL FROM conf GROUP BY target),
+seg AS (SELECT *, lead(bound) OVER w AS nb, lead(conf) OVER w AS nc FROM ends WINDOW w AS (PARTITION BY target ORDER BY idx)),
+source AS (SELECT target, arg_min(ref, rk) AS best_ref, min(cost) AS best_cost, avg(cost) AS mean_cost, count(*) AS num_references FROM best GROUP BY target)"""
+
+
+@query("h3_transfer_labels", TRANSFER, """
+SELECT s.target, s.idx AS segment_id, s.bound::BIGINT AS start_frame, s.nb::BIGINT AS end_frame, (s.nb - s.bound)::BIGINT AS num_frames, round((coalesce(conf, 1) + coalesce(nc, 1)) / 2, 6) AS confidence, 'seg_' || s.idx AS label,
+  best_ref, round(best_cost, 6) AS best_cost, round(mean_cost, 6) AS mean_cost, num_references
+FROM seg s JOIN source o ON o.target = s.target WHERE s.nb IS NOT NULL""", recursive=True)
+def h3(spark, sf):
+    """Aligned references vote on the boundaries of every target; the fused segments are checked before they count and say where they come from."""
+    f = _unit(spark, sf)
+    pairs = _vector_pairs(spark, sf)
+    cells = cut_lineage(Al.dtw_paths(pairs, f, f, Al.many_references()))  # used several times
+    voted = Vo.window_median_boundary(_vector_boundaries(spark, sf, pairs), cells, Vo.frame_mapping(cells), 2)
+    voted = Vo.projected_votes(voted.withColumn("parts", F.lit(PARTS).cast("long")))
+    costs = Al.pair_costs(cells).select("ref", "target", F.col("normalized_cost").alias("cost"))
+    votes = voted.join(costs, ["target", "ref"]).withColumn("weight", Vo.reference_weight("cost", 0.25))
+    scored = Vo.boundary_confidence(Vo.fuse_boundaries(votes, 2), 0.25)
+    seg = Vo.transfer_segments(scored, F.concat(F.lit("seg_"), F.col("segment_id").cast("string")))
+    checked = seg.withColumnsRenamed({"target": "episode"}).withColumns({"pos": F.col("segment_id"), "end_inclusive": F.col("end_frame") - 1})
+    lengths = scored.groupBy(F.col("target").alias("episode")).agg(F.max("target_n").alias("length"))
+    bad = segment_problems(checked, lengths).select(F.col("episode").alias("target")).distinct()
+    return v.rounded(seg.join(bad, "target", "left_anti").join(Vo.transfer_provenance(costs, 2), "target"))
