@@ -64,6 +64,33 @@ def test_paths_match_brute_force(spark, tile, rule):
             assert got[r, t][0].total == pytest.approx(total, rel=1e-5)
 
 
+def test_long_pairs_read_their_frames_a_few_times(spark):
+    """However many waves of tiles a pair takes, its frames are made and put into blocks a fixed number of times."""
+    rng = np.random.default_rng(3)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    rows = [(0, i, 40, [float(x) for x in row]) for i, row in enumerate(_unit(rng, 40))]
+    frames = spark.createDataFrame(rows, "episode long, frame long, n long, vec array<double>").mapInPandas(counted, "episode long, frame long, n long, vec array<double>")
+    pairs = spark.createDataFrame([(0, 0)], "ref long, target long")
+    got = Al.dtw_paths(pairs, frames, frames, replace(Al.many_references(), tile=14)).collect()
+    assert sorted((c.ref_frame, c.target_frame) for c in got) == [(i, i) for i in range(40)]
+    assert read.value <= 14 * len(rows)
+
+
+@pytest.mark.parametrize("rule", [Al.one_reference(), Al.many_references()])
+def test_edges_of_a_tile_are_those_of_its_costs(rule):
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (1, 6), (6, 1), (9, 4), (4, 9)):
+        edge = rng.random((n, m)).astype(np.float32).round(1), rng.random(m), rng.random(n), 0.25, rule
+        cost, (bottom, right) = Al._costs(*edge, True), Al._costs(*edge, False)
+        assert np.array_equal(bottom, cost[-1, 1:]) and np.array_equal(right, cost[1:, -1])
+
+
 def test_transfer_from_one_reference(spark):
     """A path of two target frames per reference frame: boundaries, provenance and confidence; a target too short for its segments ends the job."""
     from pyspark.errors import PySparkException
