@@ -199,3 +199,20 @@ def test_worst_frame_takes_the_last_of_equals_away_from_knots():
     assert pick([], 1) == 4 and pick([4], 2) == 2 and pick([2, 4], 3) is None
     assert list(adaptive.free_frames(4, 3, 7, [3], 2)) == [False, True, False]
     assert adaptive.even_indices(11, 3) == [3, 5, 7] and adaptive.even_indices(2, 3) == [] and adaptive.even_indices(5, 9) == [1, 2]
+
+
+def test_rounds_of_ordinary_episodes_are_no_stored_steps(spark, monkeypatch):
+    """An episode of more than a thousand frames goes through all its rounds in one call."""
+    def stored(*_):
+        raise AssertionError("a stored step per round")
+
+    monkeypatch.setattr(adaptive, "_fit_long", stored)
+    monkeypatch.setattr(interpolating, "_fit_long", stored)
+    n, rng = 1100, np.random.default_rng(2)
+    latent, state = np.cumsum(rng.normal(size=(n, 3)), axis=0), rng.normal(size=(n, 2))
+    rows = [(0, i, i / 23.0, i / (n - 1), latent[i].tolist(), state[i].tolist()) for i in range(n)]
+    df = spark.createDataFrame(rows, "episode long, frame long, t double, u double, latent array<double>, state array<double>")
+    moments = {"latent": (latent.mean(axis=0), latent.std(axis=0)), "state": (state.mean(axis=0), state.std(axis=0))}
+    limits = adaptive.Limits(latent=0.3, cosine=0.2, channels={"state": 3.0})
+    assert [r.frames for r in adaptive.fit_bspline(df, moments, limits, most=12).collect()] == [n]
+    assert [r.frames for r in interpolating.summaries(interpolating.fit_interpolating(df, moments, limits)).collect()] == [n]

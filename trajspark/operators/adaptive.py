@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from trajspark.operators.blocks import floor_div
-from trajspark.session import cut_lineage, dealt
+from trajspark.session import cut_lineage, dealt, small_batches
 
-#: Frames of a block.
+#: Frames of a block that is read once.
 BLOCK = 1024
+#: Frames of a block of a fit. A fit reads its blocks once per round, and rounds over several blocks are stored steps, so a block is worth more than those cost.
+FIT_BLOCK = 65536
 #: A component this close to the range of an episode's values is in it: the ends are reproduced up to rounding only.
 NOISE = 1e-9
 #: Unknowns that one step of the elimination takes.
@@ -384,7 +386,7 @@ def fit_one_block(frames: Frames, episode: int, n: int, rule: Rule, limits: Limi
 
 
 def fit_bspline(frames: DataFrame, moments: dict, limits: Limits, degree: int = 3, initial: int = 8, most: int = 256, spacing: int = 1,
-                end_weight: float = 1000.0, size: int = BLOCK) -> DataFrame:
+                end_weight: float = 1000.0, size: int = FIT_BLOCK) -> DataFrame:
     """Clamped least-squares B-splines of every episode, one row each (:data:`FITS`); each round adds one inner knot at the worst admissible frame.
 
     ``frames``: episode, frame (numbered from 0), t (increasing), u, latent and the channels of ``limits``, vectors of one length per channel;
@@ -393,6 +395,7 @@ def fit_bspline(frames: DataFrame, moments: dict, limits: Limits, degree: int =
     channels. A bounded number of knots is all that is kept of an episode between rounds, and no task gets more than a block of its frames.
     """
     rule = Rule(degree, initial, most, spacing, end_weight)
+    small_batches(frames.sparkSession)
     blocks = frame_blocks(frames, limits.names, size)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

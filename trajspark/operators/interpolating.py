@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.storagelevel import StorageLevel
 
-from trajspark.operators.adaptive import BLOCK, NUMBERS, Frames, Limits, _read, ddl, frame_blocks, table
+from trajspark.operators.adaptive import FIT_BLOCK, NUMBERS, Frames, Limits, _read, ddl, frame_blocks, table
 from trajspark.operators.quantiles import quantiles_long
-from trajspark.session import cut_lineage, dealt
+from trajspark.session import cut_lineage, dealt, small_batches
 
 SLOPES = ("pchip", "cubic")
 VECTORS = pa.map_(pa.string(), pa.list_(pa.float64()))
@@ -146,7 +146,7 @@ def next_status(severity: float, knots: int, n: int, allowed: int) -> str | None
 
 
 def fit_interpolating(frames: DataFrame, moments: dict, limits: Limits, method: str = "pchip", quantile: float = 0.9, gap: int = 12, most: int = 512,
-                      per_round: int = 4, size: int = BLOCK) -> DataFrame:
+                      per_round: int = 4, size: int = FIT_BLOCK) -> DataFrame:
     """Interpolating splines through adaptively chosen frames: per episode and block of frames the result of the episode and the block's ``curve``,
     an array of its knots with values and slopes of all (standardised) channels. :func:`summaries` and :func:`curve_knots` take them apart.
 
@@ -156,6 +156,7 @@ def fit_interpolating(frames: DataFrame, moments: dict, limits: Limits, method:
     """
     if size < 3 * gap:
         raise ValueError("a block holds three gaps at least")
+    small_batches(frames.sparkSession)
     blocks = frame_blocks(frames, limits.names, size)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
