@@ -188,3 +188,25 @@ def test_greedy_picks_against_one_by_one(spark):
         got = {(r.episode, r.frame): r.pick for r in K.greedy_picks(df, knots, spacing, size=size).collect()}
         assert got == want
     assert K.greedy_picks(df, knots, 3, most=2).where("pick >= 2").count() == 0
+
+
+def test_names_of_long_texts(spark):
+    """As by the rules on the whole text, in time that does not grow with the square of a run of marks."""
+    import re
+    import time
+
+    from trajspark.functions.scalars import sanitize_name
+
+    def brute(t, most):
+        safe = re.sub("^[._-]+|[._-]+$", "", re.sub("[^A-Za-z0-9._-]+", "_", t.strip(" ")))
+        return re.sub("[._-]+$", "", safe[:most]) if safe else "segment"
+
+    texts = ["", "   ", " a", "._-", "é", "é ü", "a é  ü b", "\n\ta\n", "-x-", "a" * 200, "a..", "a" + "\U0001f600" * 90 + "b", "a" * 79 + " b", "a" * 80 + " ", "a" * 79 + "._-" + "b", "ab" + "-" * 90 + "c", " _ " * 50 + "z" + " _ " * 50]
+    for most in (80, 3):
+        df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", sanitize_name(F.col("t"), most).alias("name"))
+        assert {r.t: r.name for r in df.collect()} == {t: brute(t, most) for t in texts}
+    assert spark.createDataFrame([(None,)], "t string").select(sanitize_name(F.col("t"))).first()[0] is None
+    start = time.monotonic()
+    long = spark.createDataFrame([(1,)], "n int").select(F.concat(F.lit("a"), F.repeat(F.lit("-"), F.lit(400_000)), F.lit("b")).alias("t"))
+    assert long.select(sanitize_name(F.col("t"))).first()[0] == "a"
+    assert time.monotonic() - start < 20

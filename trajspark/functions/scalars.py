@@ -79,9 +79,9 @@ def resolve_category(explicit: Column, kind: Column, name: Column, pairs: list[t
 
 
 def sanitize_name(s: Column, max_len: int = 80) -> Column:
-    safe = F.regexp_replace(F.regexp_replace(F.trim(s), "[^A-Za-z0-9._-]+", "_"), "^[._-]+|[._-]+$", "")
-    cut = F.when(F.length(safe) > max_len, F.regexp_replace(F.substring(safe, 1, max_len), "[._-]+$", "")).otherwise(safe)
-    return F.when(safe == "", "segment").otherwise(cut)
+    """Runs of other characters become one underscore, marks at both ends go; from the first letter or digit on, only what fills ``max_len`` is rewritten."""
+    begun = F.regexp_extract(s, "^[^A-Za-z0-9]*+((?:[A-Za-z0-9._-]|[^A-Za-z0-9._-]++){0,%d}+)" % max_len, 1)
+    return F.when(begun == "", "segment").otherwise(F.regexp_replace(F.regexp_replace(begun, "[^A-Za-z0-9._-]+", "_"), "[._-]+$", ""))
 
 
 def round_half_up(x: Column) -> Column:
