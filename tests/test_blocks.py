@@ -114,3 +114,11 @@ def test_windows_wider_than_a_block(spark):
     cut, window = blocks.halo(rows, ["k"], "pos", 40, 25, size=16)
     got = {r.pos: r.s for r in blocks.core(cut.withColumn("s", F.sum("pos").over(window.rowsBetween(-40, 25)))).collect()}
     assert got == {i: sum(range(max(0, i - 40), min(299, i + 25) + 1)) for i in range(300)}
+
+
+def test_blocks_of_ranges_are_dealt_out(spark):
+    """Block numbers are small, so adaptive execution would merge them into one task, which then made every value."""
+    df = spark.createDataFrame([(k, 0, 799) for k in range(4)], "k long, lo long, hi long")
+    out = blocks.explode_range(df, ["k"], "lo", "hi", "i", size=100).withColumn("p", F.spark_partition_id()).collect()
+    assert sorted((r.k, r.i) for r in out) == [(k, i) for k in range(4) for i in range(800)]
+    assert len({r.p for r in out}) > 4
