@@ -1,6 +1,7 @@
 """Pruned nearest references equal full warping."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from trajspark.operators import align as Al, nearest as Nr
@@ -60,3 +61,15 @@ def test_fewer_pairs_than_wanted_and_none(spark):
     few = Nr.nearest_references(pairs.where("target = 101 and ref < 2"), refs, targets, rule, 3)
     assert [r.rk for r in few.orderBy("rk").collect()] == [1, 2]
     assert Nr.nearest_references(pairs.where(F.lit(False)), refs, targets, rule, 3).count() == 0
+
+
+def test_bounds_of_single_frames_take_few_rows(spark):
+    """1,300 frames a side are one tile, compared in strips; the bound is that of all pairs of frames."""
+    rng = np.random.default_rng(4)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.normal(size=(1300, 3)), rng.normal(size=(1200, 3))))
+    row = {"ref": 0, "target": 1, "rn": 1300, "tn": 1200, "ti": 0, "tj": 0, "a": list(a), "b": list(b), "ar": np.zeros(1300), "br": np.zeros(1200), "az": np.ones(1300, int), "bz": np.ones(1200, int)}
+    got = list(Nr._lows(2.0)(iter([pd.DataFrame([row])])))
+    low = np.clip(1 - a @ b.T, 0, 2)
+    assert np.allclose(got[0]["low"][0], low.min(axis=1), atol=1e-12) and np.allclose(got[1]["low"][0], low.min(axis=0), atol=1e-12)
+    frames = spark.createDataFrame([(0, i, 1300, x.tolist()) for i, x in enumerate(a)], "episode long, frame long, n long, vec array<double>")
+    assert Nr.envelopes(frames, 1).count() == 1
