@@ -170,6 +170,35 @@ def test_restriction_keeps_the_curve():
     assert fits.restrict(t, c, 3, 0.5, 0.5) is None
 
 
+def _splines(rng, count):
+    for _ in range(count):
+        t = np.concatenate([np.zeros(4), np.sort(rng.random(rng.integers(0, 9))), np.ones(4)])
+        s, e = np.sort(rng.random(2)) if rng.random() < 0.7 else (t[rng.integers(0, len(t) // 2)], 1.0)
+        yield t, rng.normal(size=(len(t) - 4, 2)), s, e
+
+
+def test_intervals_are_restricted_together(monkeypatch, spark):
+    phases = np.array([0, 0.3, 1.0])
+    t, c, s, e = zip(*_splines(np.random.default_rng(4), 200))
+    bounds = [np.concatenate(([0], np.cumsum([len(x) for x in a]))) for a in (t, c)]
+    local, lt, out, values = fits.restrict_many(np.concatenate(t), bounds[0], np.concatenate(c), bounds[1], 3, np.array(s), np.array(e), phases)
+    for r in range(200):
+        one, coef = fits.restrict(t[r], c[r], 3, s[r], e[r])
+        assert np.array_equal(one, local[lt[r]:lt[r + 1]]) and np.array_equal(coef, out[lt[r] - 4 * r:lt[r + 1] - 4 * r - 4])
+        assert np.allclose(fits.basis_matrix(one, s[r] + phases * (e[r] - s[r]), 3) @ coef[:, 0], values[r], atol=1e-12)
+
+    monkeypatch.setattr(fits, "restrict", None)  # no call per interval
+    rows = [(1, i, float(s[i]), float(s[i] if i % 5 == 0 else e[i]), t[i].tolist(), c[i].tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "episode long, id long, start_u double, end_u double, knots array<double>, coefficients array<array<double>>")
+    got = {r.id: r for r in fits.restrict_bsplines(df, at=(0.0, 0.3, 1.0)).collect()}
+    for i in range(200):
+        if i % 5 == 0:
+            assert (got[i].valid, got[i].knots, got[i].local_knots, got[i].coefficients, got[i]["values"]) == (False, [], [], [], [])
+        else:
+            assert got[i].valid and got[i].knots == local[lt[i]:lt[i + 1]].tolist() and np.allclose(got[i]["values"], values[i])
+            assert np.allclose(got[i].coefficients, out[lt[i] - 4 * i:lt[i + 1] - 4 * i - 4]) and got[i].local_knots[-1] == 1
+
+
 def _one_spline(spark, inner=40):
     rng = np.random.default_rng(6)
     t = np.concatenate([np.zeros(4), np.sort(rng.random(inner)), np.ones(4)])
@@ -178,6 +207,25 @@ def _one_spline(spark, inner=40):
     return t, c, knots, spark.createDataFrame([(7, i, float(x)) for i, x in enumerate(c)], "episode long, i long, coef double")
 
 
+def test_pieces_of_blocks_are_those_of_single_functions(spark):
+    """Intervals take slices of blocks of functions, joined once a block; before, a row per interval and function was joined and put together."""
+    t, c, knots, coefficients = _one_spline(spark)
+    ends = [(0.0, 1.0), (0.0, 0.01), (0.2, 0.7), (0.5, 0.5), (0.99, 1.0), (1.0, 1.0), (float(t[9]), float(t[20]))]
+    iv = spark.createDataFrame([(7, 50, i, s, e) for i, (s, e) in enumerate(ends)], "episode long, n long, id long, start_u double, end_u double")
+    indices = {}
+    for r in K.overlap_index(iv, knots, ["id"]).where("i < 44").collect():
+        indices.setdefault(r.id, []).append(r.i)
+    for size in (5, 64):
+        pieces = K.interval_pieces(iv, knots, coefficients, size)
+        got = {r.id: r for r in pieces.collect()}
+        assert len(got) == len(ends)
+        for k, row in got.items():
+            i, j = min(indices[k]), max(indices[k])
+            assert row.knots == t[i:j + 5].tolist() and [x for x, in row.coefficients] == c[i:j + 1].tolist()
+    hits = pieces._jdf.queryExecution().optimizedPlan().toString()
+    assert hits.count("_blk") and "_first" in hits
+
+
 def test_evaluation_moves_a_point_once(spark):
     """A span brings its control values along: no row per point and function, no join of points with coefficients, no sum per point."""
     t, c, knots, coefficients = _one_spline(spark)

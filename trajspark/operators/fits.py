@@ -7,11 +7,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trajspark.session import spread
+from trajspark.session import small_batches, spread
 
 EPSILON = 1e-8
+#: Intervals that are restricted together.
+ROWS = 2048
 
 
 def basis_matrix(knots: np.ndarray, u: np.ndarray, degree: int, order: int = 0) -> np.ndarray:
@@ -32,9 +35,12 @@ def basis_matrix(knots: np.ndarray, u: np.ndarray, degree: int, order: int = 0)
     return low
 
 
-def blossom(t: np.ndarray, c: np.ndarray, degree: int, args: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Polar forms: row m is that of the piece on [t_span[m], t_span[m]+1) at the ``degree`` arguments args[m]."""
-    d = c[span[:, None] - degree + np.arange(degree + 1)]
+def blossom(t: np.ndarray, c: np.ndarray, degree: int, args: np.ndarray, span: np.ndarray, shift: np.ndarray | int = 0) -> np.ndarray:
+    """Polar forms: row m is that of the piece on [t_span[m], t_span[m]+1) at the ``degree`` arguments args[m].
+
+    ``t`` and ``c`` may hold many splines one after another; ``shift`` is how far a spline's knots start behind its control values.
+    """
+    d = c[(span - shift)[:, None] - degree + np.arange(degree + 1)]
     for r in range(1, degree + 1):
         for j in range(degree, r - 1, -1):
             lo, hi = t[j + span - degree], t[j + 1 + span - r]
@@ -43,6 +49,54 @@ def blossom(t: np.ndarray, c: np.ndarray, degree: int, args: np.ndarray, span: n
     return d[:, degree]
 
 
+def last_at_or_below(t: np.ndarray, low: np.ndarray, high: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For every x the last index in [low, high) of ascending values t that is not above it; low - 1 if none is."""
+    low, high = low.copy(), high.copy()
+    while (open_ := low < high).any():
+        middle = (low + high) // 2
+        up = open_ & (t[np.minimum(middle, len(t) - 1)] <= x)
+        low, high = np.where(up, middle + 1, low), np.where(open_ & ~up, middle, high)
+    return low - 1
+
+
+def restrict_many(t: np.ndarray, at: np.ndarray, c: np.ndarray, ct: np.ndarray, degree: int, start: np.ndarray, end: np.ndarray,
+                  phases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`restrict` of many splines at once: spline r has knots t[at[r]:at[r + 1]] and control values c[ct[r]:ct[r + 1]], and end[r] > start[r].
+
+    Returns all local knots, their bounds, all control values (``degree`` + 1 fewer per spline) and the first channel at the phases of each interval.
+    """
+    rows, width = len(start), degree + 1
+    row = np.repeat(np.arange(rows), np.diff(at))
+    inside = (t > start[row] + EPSILON) & (t < end[row] - EPSILON)
+    inner = np.bincount(row[inside], minlength=rows)
+    lt = np.concatenate(([0], np.cumsum(inner + 2 * width)))
+    local = np.empty(lt[-1])
+    local[lt[:-1, None] + np.arange(width)] = start[:, None]
+    local[lt[1:, None] - 1 - np.arange(width)] = end[:, None]
+    rank = np.arange(len(row[inside])) - (np.cumsum(inner) - inner)[row[inside]]
+    local[lt[row[inside]] + width + rank] = t[inside]
+    final = lt[1:] - width - 1  # the last positive span of each
+    positive = np.append(np.diff(local) > EPSILON, False)
+    positive[lt[1:] - 1] = False
+    positive[final] = True
+    index = np.arange(len(local))
+    ahead = np.minimum.accumulate(np.where(positive, index, len(local))[::-1])[::-1]  # first positive span from here on
+    count = inner + width
+    mine = np.repeat(np.arange(rows), count)
+    place = np.arange(len(mine)) - np.repeat(np.cumsum(count) - count, count) + lt[mine]  # of each function in the local knots
+    first = ahead[place]
+    span = last_at_or_below(t, at[mine], at[mine + 1], 0.5 * (local[first] + local[first + 1]))
+    if (span - at[mine] < degree).any() or (at[mine + 1] - span < degree + 2).any():
+        raise IndexError("an interval outside its spline")
+    out = blossom(t, c, degree, local[place[:, None] + np.arange(1, width)], span, (at[:-1] - ct[:-1])[mine])
+    each = np.repeat(np.arange(rows), len(phases))
+    u = (start[:, None] + phases * (end - start)[:, None]).ravel()
+    behind = np.maximum.accumulate(np.where(positive, index, -1))
+    span = np.maximum(behind[np.minimum(last_at_or_below(local, lt[each], lt[each + 1], u), final[each])], ahead[lt[each]])
+    values = blossom(local, out[:, :1], degree, np.repeat(u[:, None], degree, axis=1), span, (width * np.arange(rows))[each])
+    return local, lt, out, values[:, 0].reshape(rows, len(phases))
+
+
 def restrict(t: np.ndarray, c: np.ndarray, degree: int, start: float, end: float) -> tuple[np.ndarray, np.ndarray] | None:
     """Knots and control values of the same curve on [start, end]; every control value is one polar form."""
     if end <= start + EPSILON:
@@ -60,25 +114,44 @@ def restrict(t: np.ndarray, c: np.ndarray, degree: int, start: float, end: float
 def restrict_bsplines(pieces: DataFrame, degree: int = 3, at: tuple[float, ...] = ()) -> DataFrame:
     """Exact local splines of (episode, id, start_u, end_u, knots, coefficients), and their first channel at the phases ``at``.
 
-    Knots and control values are those whose support meets the interval (``knots.interval_pieces``), not the whole spline.
+    Knots and control values are those whose support meets the interval (``knots.interval_pieces``), not the whole spline. All coefficients have as
+    many channels; the intervals of a batch are restricted together.
     """
     schema = "episode LONG, id LONG, valid BOOLEAN, knots ARRAY<DOUBLE>, local_knots ARRAY<DOUBLE>, coefficients ARRAY<ARRAY<DOUBLE>>, values ARRAY<DOUBLE>"
     phases = np.array(at, float)
 
+    def lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), values)
+
+    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
+        flat = lambda a: a.to_numpy(zero_copy_only=False).astype(float, copy=False)
+        numbers = lambda a: pa.array(np.ascontiguousarray(a).ravel(), pa.float64(), from_pandas=True)
+        start, end = (flat(batch.column(c)) for c in ("start_u", "end_u"))
+        t, c = batch.column("knots"), batch.column("coefficients")
+        sizes = [a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for a in (t, c)]
+        valid = ~(end <= start + EPSILON)
+        t, c = flat(t.flatten()), c.flatten()
+        c = flat(c.flatten()).reshape(len(c), -1)
+        keep = [np.repeat(valid, n) for n in sizes]
+        bounds = [np.concatenate(([0], np.cumsum(n[valid]))) for n in sizes]
+        s, e = start[valid], end[valid]
+        local, lt, out, values = restrict_many(t[keep[0]], bounds[0], c[keep[1]], bounds[1], degree, s, e, phases)
+        length = np.zeros(len(valid), np.int64)
+        length[valid] = np.diff(lt)
+        phase = (local - np.repeat(s, np.diff(lt))) / np.repeat(np.maximum(e - s, EPSILON), np.diff(lt))
+        controls = lists(np.full(len(out), c.shape[1]), numbers(out))
+        return pa.record_batch([batch.column("episode"), batch.column("id"), pa.array(valid), lists(length, numbers(local)), lists(length, numbers(phase)),
+                                lists(np.where(valid, length - degree - 1, 0), controls), lists(np.where(valid, len(phases), 0), numbers(values))],
+                               ["episode", "id", "valid", "knots", "local_knots", "coefficients", "values"])
+
     def run(batches):
         for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                got = restrict(np.asarray(r.knots), np.stack(r.coefficients), degree, r.start_u, r.end_u)
-                if got is None:
-                    rows.append((r.episode, r.id, False, [], [], [], []))
-                else:
-                    values = basis_matrix(got[0], r.start_u + phases * (r.end_u - r.start_u), degree) @ got[1][:, 0]
-                    rows.append((r.episode, r.id, True, got[0].tolist(), ((got[0] - r.start_u) / max(r.end_u - r.start_u, EPSILON)).tolist(), got[1].tolist(), values.tolist()))
-            yield pd.DataFrame(rows, columns=["episode", "id", "valid", "knots", "local_knots", "coefficients", "values"])
-
-    rows = pieces.select("episode", "id", "start_u", "end_u", "knots", "coefficients")
-    return spread(rows, "episode", "id").mapInPandas(run, schema)
+            for lo in range(0, batch.num_rows, ROWS):
+                yield some(batch.slice(lo, ROWS))
+
+    small_batches(pieces.sparkSession)
+    rows = pieces.select(*[F.col(c).cast("long").alias(c) for c in ("episode", "id")], "start_u", "end_u", "knots", "coefficients")
+    return spread(rows, "episode", "id").mapInArrow(run, schema)
 
 
 def project_control_points(samples: DataFrame, ids: list[str], degree: int = 3, eta_velocity: float = 0.1, eta_acceleration: float = 0.01, ridge: float = 1e-6) -> DataFrame:
