@@ -2,7 +2,9 @@
 
 import datetime as dt
 import random
+import weakref
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from trajspark.streaming import bounded as Bs, sessions as Ss
@@ -93,3 +95,49 @@ def test_bounded_sessions_idle_and_late(spark, tmp_path):
     assert out[2, 3].source == "invalid" and out[2, 3].history == [0.0, 0.0, 2.0]  # forgotten when idle for a day
     assert (6, 4) not in out  # later than the watermark
     assert out[4, 2].history == [0.0, 1.0, 1.0]
+
+
+def test_rows_of_a_shard_are_merged_from_sorted_runs():
+    """No more than a run of rows is held, whatever a shard gets in one micro-batch; equal rows stay as they came, null comes last."""
+    rng = random.Random(5)
+    rows = pd.DataFrame({"session": range(5000), "seq": [rng.randrange(900) if rng.random() < 0.98 else None for _ in range(5000)], "ms": 1, "call_index": 2, "value": 0.5,
+                         "valid": True, "reset": False, "more": "x"})
+    batches = [rows.iloc[lo:lo + 70] for lo in range(0, 5000, 70)]
+    expected = pd.concat(batches, ignore_index=True).sort_values("seq", kind="stable")["session"].tolist()
+    for run in (100, 3000, 10_000):
+        assert [r[0] for r in Bs.in_order(iter(batches), run, 16)] == expected
+    assert list(Bs.in_order(iter([]))) == []
+    most, live = 0, weakref.WeakSet()
+
+    def fed():
+        nonlocal most
+        for b in batches:
+            b = b.copy()
+            live.add(b._mgr)
+            most = max(most, len(live))
+            yield b
+
+    assert len(list(Bs.in_order(fed(), 140, 16))) == 5000 and most < 10
+
+
+def test_a_shard_hands_on_its_rows_in_chunks(monkeypatch):
+    class Kept:
+        rows = {}
+        iterator = lambda self: iter(())
+        updateValue = lambda self, k, v: self.rows.__setitem__(k, v)
+
+    class Handle:
+        getMapState = lambda self, *a: Kept()
+        listTimers = lambda self: iter(())
+        registerTimer = lambda self, at: None
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    monkeypatch.setattr(Bs, "CHUNK", 64)
+    shard = Bs.Shard(3, 2, 1000)
+    shard.init(Handle())
+    rows = pd.DataFrame({"session": [i % 3 for i in range(1000)], "seq": range(999, -1, -1), "ms": 5, "call_index": range(1000), "value": 1.0, "valid": True, "reset": False})
+    parts = list(shard.handleInputRows((0,), iter([rows[:500], rows[500:]]), Times()))
+    assert [len(p) for p in parts] == [64] * 15 + [40] and [s for p in parts for s in p["seq"]] == list(range(1000))
+    assert sorted(k for k, in Kept.rows) == [0, 1]
