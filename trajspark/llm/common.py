@@ -11,6 +11,8 @@ from trajspark.session import checkpoint_dir, cut_lineage
 NO_ID = 2**63 - 1
 #: Bytes of an Arrow batch that a Python step over texts gets; a longer row is a batch of its own.
 BATCH = 4 << 20
+#: Links of which components are found in one task, with their stars broadcast (a few MB); more are dealt out.
+FEW_LINKS = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -81,17 +83,21 @@ def components(edges: DataFrame) -> DataFrame:
     def stored(df: DataFrame) -> tuple[DataFrame, tuple]:
         df = cut(df)
         mark = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return df.coalesce(1 + mark[0] // 500_000), tuple(mark)  # few links need few tasks and files
+        return df.coalesce(1 + mark[0] // FEW_LINKS), tuple(mark)  # few links are one task, and its rounds need no shuffle
 
+    def near(stars: DataFrame, count: int) -> DataFrame:
+        return F.broadcast(stars) if count <= FEW_LINKS else stars
+
+    pair = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
     links, before = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while before[0]:
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = links.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("l")).select("l.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
-        down = both.join(least, F.col("u") == F.col("k")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down, _ = stored(down.distinct())
+        down = both.join(near(least, before[0]), F.col("u") == F.col("k")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down, kept = stored(down.distinct())
         low = down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        small = down.join(low, F.col("u") == F.col("k"))
-        turned = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
+        small = down.join(near(low, kept[0]), F.col("u") == F.col("k"))
+        turned = small.select(F.explode(F.array(pair("v", "m"), pair("u", "m"))).alias("l")).select("l.*")
         links, now = stored(turned.where("u <> v").distinct())
         if now == before:
             break
