@@ -64,6 +64,52 @@ def test_paths_match_brute_force(spark, tile, rule):
             assert got[r, t][0].total == pytest.approx(total, rel=1e-5)
 
 
+def _table(spark, episodes):
+    rows = [(e, i, len(v), [float(x) for x in row]) for e, v in episodes.items() for i, row in enumerate(v)]
+    return spark.createDataFrame(rows, "episode long, frame long, n long, vec array<double>")
+
+
+@pytest.mark.parametrize("rule", [Al.one_reference(), Al.many_references()])
+def test_paths_over_several_squares_match_brute_force(spark, rule):
+    """Squares of 16 frames a side: pairs of 3 x 3, 3 x 1 and 1 x 3 squares, a pair that is one, and a pair that comes twice."""
+    rule = replace(rule, tile=2)
+    rng = np.random.default_rng(9)
+    refs, targets = {0: _unit(rng, 40), 1: _unit(rng, 7)}, {10: _unit(rng, 37), 11: np.repeat(_unit(rng, 4), 3, axis=0)}
+    pairs = spark.createDataFrame([(r, t) for r in refs for t in targets] + [(0, 10), (1, 11), (0, 99), (None, 10)], "ref long, target long")
+    got = {}
+    for c in Al.dtw_paths(pairs, _table(spark, refs), _table(spark, targets), rule).collect():
+        got.setdefault((c.ref, c.target), []).append(c)
+    assert sorted(got) == sorted((r, t) for r in refs for t in targets)
+    for (r, t), cells in got.items():
+        a, b = refs[r], targets[t]
+        d = 1.0 - a @ b.T
+        if rule.prior:
+            d = d + rule.prior * np.abs(np.linspace(0, 1, len(a))[:, None] - np.linspace(0, 1, len(b))[None, :])
+        path, total = _brute(np.clip(d, 0, rule.ceiling).astype(np.float32), rule)
+        times = 2 if (r, t) in ((0, 10), (1, 11)) else 1
+        assert sorted((c.ref_frame, c.target_frame) for c in cells) == sorted(path * times)
+        assert all(c.total == pytest.approx(total, rel=1e-5) for c in cells)
+
+
+def test_pairs_of_several_tiles_take_few_jobs(spark):
+    """Each of 5 x 5 tiles used to wait for its neighbours in Spark jobs of its own, there and back."""
+    frames = _table(spark, {0: _unit(np.random.default_rng(2), 40)})
+    pairs = spark.createDataFrame([(0, 0)], "ref long, target long")
+    spark.sparkContext.setJobGroup("few-jobs", "few jobs")
+    try:
+        assert len(Al.dtw_paths(pairs, frames, frames, replace(Al.many_references(), tile=8)).collect()) == 40
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs <= 25
+
+
+def test_vectors_of_unlike_lengths_are_refused(spark):
+    rows = spark.createDataFrame([(0, 0, 2, [1.0, 0.0]), (0, 1, 2, [1.0])], "episode long, frame long, n long, vec array<double>")
+    with pytest.raises(Exception, match="same length"):
+        Al.dtw_paths(spark.createDataFrame([(0, 0)], "ref long, target long"), rows, rows, Al.many_references()).collect()
+
+
 def test_long_pairs_read_their_frames_a_few_times(spark):
     """However many waves of tiles a pair takes, its frames are made and put into blocks a fixed number of times."""
     rng = np.random.default_rng(3)
