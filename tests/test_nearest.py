@@ -73,3 +73,28 @@ def test_bounds_of_single_frames_take_few_rows(spark):
     assert np.allclose(got[0]["low"][0], low.min(axis=1), atol=1e-12) and np.allclose(got[1]["low"][0], low.min(axis=0), atol=1e-12)
     frames = spark.createDataFrame([(0, i, 1300, x.tolist()) for i, x in enumerate(a)], "episode long, frame long, n long, vec array<double>")
     assert Nr.envelopes(frames, 1).count() == 1
+
+
+def test_least_gaps_are_those_of_all_envelopes():
+    rng = np.random.default_rng(6)
+    for n, m, radius in ((1, 1, 0.0), (200, 90, 0.0), (90, 200, 0.3), (130, 64, 2.0)):
+        a, b, ar, br = rng.normal(size=(n, 5)), rng.normal(size=(m, 5)), rng.random(n) * radius, rng.random(m) * radius
+        gap = np.maximum(np.linalg.norm(a[:, None] - b[None], axis=2) - ar[:, None] - br[None, :], 0.0)
+        by_a, by_b = Nr._least_gaps(a, b, ar, br)
+        assert np.allclose(by_a, gap.min(axis=1), atol=1e-7) and np.allclose(by_b, gap.min(axis=0), atol=1e-7)
+
+
+def test_frames_are_made_once(spark):
+    """Two kinds of bounds and two rounds of warping read stored frames."""
+    rng = np.random.default_rng(8)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    frames = _frames(spark, {e: _walk(rng, 20, rng.normal(size=4), 0.5) for e in range(6)}).mapInPandas(counted, FRAMES)
+    pairs = spark.createDataFrame([(t, r) for t in (4, 5) for r in range(4)], "target long, ref long")
+    assert Nr.nearest_references(pairs, frames, frames, Al.many_references(), 1).count() == 2
+    assert read.value <= 2 * 120
