@@ -158,3 +158,16 @@ def test_provenance_of_a_transfer(spark):
     got = {r.target: (r.best_ref, r.best_cost, round(r.mean_cost, 6), r.num_references) for r in Vo.transfer_provenance(costs, 3).collect()}
     assert got == {1: (3, 0.1, 0.166667, 3), 2: (7, 0.5, 0.5, 1)}
     assert Vo.transfer_provenance(costs.where("target > 9"), 3).count() == 0
+
+
+def test_label_transfer_plans_its_votes_once(spark, tmp_path):
+    """Votes and fused boundaries are stored: the plan of the result no longer has the median of the votes for every use."""
+    from trajspark.plans.q_align import h3
+    rng = np.random.default_rng(1)
+    rows = [(k, [float(x) for x in row], k % 4) for k, row in enumerate(_unit(rng, 80))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = h3(spark, str(tmp_path))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 12
+    rows = got.collect()
+    assert sorted((r.target, r.segment_id) for r in rows) == [(t, k) for t in (2, 3) for k in range(4)]
+    assert all(sum(r.num_frames for r in rows if r.target == t) == 20 for t in (2, 3))
